@@ -6,7 +6,7 @@ import importlib
 
 from cellset.catalog.registry import ORACLES, QUERIES
 
-MODULES = ("rows", "aggregates")
+MODULES = ("rows", "joins", "aggregates", "windows", "setops")
 
 
 def load() -> tuple[dict, dict]:
