@@ -6,7 +6,7 @@ import importlib
 
 from cellset.catalog.registry import ORACLES, QUERIES
 
-MODULES = ("rows", "joins", "aggregates", "windows", "setops", "selection", "metrics")
+MODULES = ("rows", "joins", "aggregates", "windows", "setops", "selection", "metrics", "checks", "storage")
 
 
 def load() -> tuple[dict, dict]:

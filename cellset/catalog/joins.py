@@ -34,9 +34,9 @@ def j02(t: Tables):
 
 @query("j03_join_validated", """
 select o.o_orderkey, coalesce(c.c_mktsegment, '') as segment, c.c_custkey is not null as matched
-from orders o left join (select * from customer where c_custkey % 7 <> 3) c on o.o_custkey = c.c_custkey""")
+from orders o left join (select * from customer where c_acctbal > 0) c on o.o_custkey = c.c_custkey""")
 def j03(t: Tables):
-    customers = t.read("customer").where("c_custkey % 7 <> 3").select(F.col("c_custkey").alias("k"), "c_mktsegment")
+    customers = t.read("customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("k"), "c_mktsegment")
     orders = t.read("orders").select("o_orderkey", F.col("o_custkey").alias("k"))
     return J.join_validated(orders, customers, ["k"]).select(
         "o_orderkey", F.coalesce("c_mktsegment", F.lit("")).alias("segment"), "matched")
@@ -83,26 +83,26 @@ def j05(t: Tables):
 
 
 @query("j06_restrict_plan", """
-with s as (select cell_index, row_number() over (order by cell_index) - 1 as new_index, owner_id from fx_indexed where cell_id % 3 = 0)
+with s as (select cell_index, row_number() over (order by cell_index) - 1 as new_index, owner_id from fx_indexed where sample_id <> 's1')
 select i.cell_index as source_index, s.new_index, i.owner_id, true as owner_agrees from fx_indexed i join s on i.cell_index = s.cell_index""")
 def j06(t: Tables):
-    plan = t.indexed.select(F.col("cell_index").alias("source_index"), "owner_type", "owner_id", "cell_id")
-    chosen = dense_index(plan.where("cell_id % 3 = 0"), ["source_index"], "new_index")
-    return J.restrict_plan(plan.drop("cell_id"), chosen).select("source_index", "new_index", "owner_id", "owner_agrees")
+    plan = t.indexed.select(F.col("cell_index").alias("source_index"), "owner_type", "owner_id", "sample_id")
+    chosen = dense_index(plan.where("sample_id <> 's1'"), ["source_index"], "new_index")
+    return J.restrict_plan(plan.drop("sample_id"), chosen).select("source_index", "new_index", "owner_id", "owner_agrees")
 
 
 @query("j07_reindex_plan", """
 with f as (select cell_index, row_number() over (order by cell_index) - 1 + 1000000 as new_index from fx_indexed
-  where owner_type = 1 and cell_id % 2 = 0)
+  where owner_type = 1 and sample_id <> 's1')
 select i.cell_index as source_index, i.cell_index - r.start + r.start + 500 as new_index, i.owner_id
 from fx_indexed i join fx_ranges r on i.owner_id = r.owner_id and i.owner_type = r.owner_type where i.owner_type = 0
 union all select i.cell_index, f.new_index, i.owner_id from fx_indexed i join f on i.cell_index = f.cell_index""")
 def j07(t: Tables):
-    plan = t.indexed.select(F.col("cell_index").alias("source_index"), "owner_type", "owner_id", "cell_id")
+    plan = t.indexed.select(F.col("cell_index").alias("source_index"), "owner_type", "owner_id", "sample_id")
     ranges = assign_ranges(t.owners, ["owner_type", "owner_id"]).where("owner_type = 0").select(
         "owner_id", F.col("start").alias("old_start"), F.col("stop").alias("old_stop"),
         (F.col("start") + 500).alias("new_start"))
-    fixed = dense_index(plan.where("owner_type = 1 and cell_id % 2 = 0"), ["source_index"], "_i").withColumn(
+    fixed = dense_index(plan.where("owner_type = 1 and sample_id <> 's1'"), ["source_index"], "_i").withColumn(
         "new_index", F.col("_i") + 1_000_000)
     return J.reindex_plan(plan, ranges, fixed).select("source_index", "new_index", "owner_id")
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cellset.catalog.aggregates import HIERARCHY, rounded_columns
+from cellset.catalog.aggregates import DIGEST, HIERARCHY, rounded_columns
 from cellset.catalog.registry import query, r6
 from cellset.functions import vectors as V
 from cellset.functions.numbers import rounded
@@ -286,11 +286,13 @@ def m16(t: Tables):
 
 
 @query("m17_evaluation_plan", f"""
-with g as (select r.repeat_epoch, f.label, count(*) as members, sha256(concat(cast(f.label as varchar), '|', cast(r.repeat_epoch as varchar), '|',
-   string_agg(cast(vec_id as varchar), ',' order by vec_id))) as digest
-  from embeddings f cross join fx_repeats r where f.vec_id % 5 <> r.repeat_epoch and f.label <> 0 group by all)
-select g.repeat_epoch, g.label, g.members, g.digest, {r6("sum(abs(d.true_delta))")} as truth_l1 from g
-join fx_delta d on d.repeat_epoch = g.repeat_epoch and d.label = g.label group by all""")
+with g as (select r.repeat_epoch, f.label, count(*) as members,
+  {DIGEST("concat(cast(label as varchar), '|', cast(repeat_epoch as varchar), '|', cast(vec_id as varchar))")} as digest
+  from embeddings f cross join fx_repeats r where f.vec_id % 5 <> r.repeat_epoch and f.label <> 0
+  group by r.repeat_epoch, f.label),
+ l as (select repeat_epoch, label, sum(abs(true_delta)) as truth_l1 from fx_delta group by repeat_epoch, label)
+select g.repeat_epoch, g.label, g.members, g.digest, {r6("l.truth_l1")} as truth_l1 from g
+join l on l.repeat_epoch = g.repeat_epoch and l.label = g.label""")
 def m17(t: Tables):
     plan = E.evaluation_plan(t.vec_repeats, "label", "vec_id", "v", PANEL)
     return plan.select("repeat_epoch", "label", "members", "digest",

@@ -9,7 +9,7 @@ from cellset.functions import vectors as V
 from cellset.functions.numbers import correlation, defined
 from cellset.operators import tiles
 from cellset.operators.scale import running_total
-from cellset.operators.windows import avg_rank
+from cellset.operators.windows import avg_rank, bh_adjust, row_rank
 from cellset.session import materialize
 
 
@@ -126,7 +126,6 @@ def genes_long(rows: DataFrame, keys: list[str], prediction: str, truth: str, la
 
 def spearman(rows: DataFrame, keys: list[str], prediction: str, truth: str) -> DataFrame:
     """Rank correlation across genes; the windows hold the genes of one comparison."""
-    from cellset.operators.windows import row_rank
     long = genes_long(rows, keys, prediction, truth)
     ranked = long.select(*keys, row_rank(keys, F.col("p")).alias("rp"), row_rank(keys, F.col("t")).alias("rt"))
     return ranked.groupBy(*keys).agg(correlation(F.col("rp"), F.col("rt")).alias("spearman"))
@@ -142,7 +141,6 @@ def condition_metrics(rows: DataFrame, keys: list[str], prediction: str, truth:
                        V.pearson(p, t).alias("pearson_delta"), V.l2_norm(t).alias("true_delta_norm"),
                        V.l2_norm(p).alias("pred_delta_norm"),
                        F.aggregate(y, F.lit(0), lambda s, x: s + x.cast("int")).alias("true_deg_count"))
-    from cellset.operators.windows import row_rank
     size = F.abs("p")
     down = Window.partitionBy(*keys).orderBy(size.desc())
     tied = down.rangeBetween(Window.unboundedPreceding, 0)
@@ -199,17 +197,17 @@ def two_sided_p(z: Column) -> Column:
     """Two-sided normal tail probability, computed on Arrow batches."""
     import pandas as pd
 
-    def tail(s: pd.Series) -> pd.Series:
+    def tail(s):
         import math
         return s.map(lambda x: None if x is None or x != x else math.erfc(abs(x) / math.sqrt(2.0))).astype("float64")
 
+    tail.__annotations__ = {"s": pd.Series, "return": pd.Series}
     return F.pandas_udf(tail, "double")(z)
 
 
 def de_test(cells: DataFrame, condition: str, pool: str, gene: str, value: str, control: Column,
             alpha: float = 0.05) -> DataFrame:
     """Labels per (condition, gene): adjusted p below ``alpha``. A gene without spread is not significant."""
-    from cellset.operators.windows import bh_adjust
     scored = de_scores(cells, condition, pool, gene, value, control)
     tested = scored.withColumn("p", F.coalesce(two_sided_p(F.col("z")), F.lit(1.0)))
     return bh_adjust(tested, [condition], "p", gene).withColumn("significant", F.col("p_adjusted") < alpha)

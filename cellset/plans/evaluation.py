@@ -9,6 +9,7 @@ from cellset.functions import vectors as V
 from cellset.functions.numbers import correlation
 from cellset.operators import aggregates as A
 from cellset.operators import metrics as M
+from cellset.operators.scale import set_digest
 from cellset.operators.windows import row_rank
 from cellset.session import materialize
 
@@ -16,16 +17,15 @@ from cellset.session import materialize
 def evaluation_plan(members: DataFrame, condition: str, member: str, column: str, dim: int) -> DataFrame:
     """Every condition and repeat with member count, member digest and ground-truth delta.
 
-    ``members`` holds drawn sets (fixed size); condition 0 is the control. Means and digests share one aggregate.
+    Condition 0 is the control. Means and digests merge in one aggregate, so a set of any size is never gathered.
     """
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(member)), lambda x: x.cast("string")), ",")
+    key = F.concat_ws("|", F.col(condition).cast("string"), F.col("repeat_epoch").cast("string"),
+                      F.col(member).cast("string"))
     table = materialize(V.mean_vectors(members, ["repeat_epoch", condition], column, dim, "_mean", extra={
-        "members": F.count("*"), "_text": text}))
+        "members": F.count("*"), "digest": set_digest(key)}))
     control = table.where(F.col(condition) == 0).select("repeat_epoch", F.col("_mean").alias("_control"))
-    digest = F.sha2(F.concat_ws("|", F.col(condition).cast("string"), F.col("repeat_epoch").cast("string"), "_text"), 256)
     return table.where(F.col(condition) != 0).join(control, "repeat_epoch").select(
-        "repeat_epoch", condition, "members", digest.alias("digest"),
-        V.difference(F.col("_mean"), F.col("_control")).alias("true_delta"))
+        "repeat_epoch", condition, "members", "digest", V.difference(F.col("_mean"), F.col("_control")).alias("true_delta"))
 
 
 def two_sided_metrics(rows: DataFrame, first: str, second: str, truth: str) -> DataFrame:
