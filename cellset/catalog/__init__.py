@@ -6,7 +6,8 @@ import importlib
 
 from cellset.catalog.registry import ORACLES, QUERIES
 
-MODULES = ("rows", "joins", "aggregates", "windows", "setops", "selection", "metrics", "checks", "storage")
+MODULES = ("rows", "joins", "aggregates", "windows", "setops", "selection", "metrics", "checks", "storage", "streams",
+           "inference")
 
 
 def load() -> tuple[dict, dict]:

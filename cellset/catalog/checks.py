@@ -8,6 +8,7 @@ from cellset.catalog.aggregates import raw_rows
 from cellset.catalog.registry import query
 from cellset.catalog.selection import TOTALS, chosen_subset, sides
 from cellset.operators import clean, quality as Q
+from cellset.operators.joins import expand_ranges
 from cellset.operators.sampling import sample_sets
 from cellset.operators.windows import assign_ranges, spot_indices
 from cellset.operators.scale import dense_index
@@ -72,8 +73,8 @@ def q05(t: Tables):
         "select count(*) from orders")))
 def q06(t: Tables):
     cells = materialize(t.indexed.select("cell_index"))
-    n = cells.agg(F.count("*").alias("n")).scalar()
-    planned = t.spark.range(1).select(F.explode(F.sequence(F.lit(0).cast("long"), n - 1)).alias("cell_index"))
+    whole = cells.agg(F.lit(0).cast("long").alias("start"), F.count("*").alias("stop"))
+    planned = expand_ranges(whole, [])
     return Q.run_checks([Q.covered_once(planned, cells, "cell_index", "index"), Q.covered_once(
         t.read("orders").select(F.col("o_orderkey").alias("k")), t.read("lineitem").select(F.col("l_orderkey").alias("k")),
         "k", "lines")])
