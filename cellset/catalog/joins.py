@@ -131,14 +131,14 @@ def j09_join(t: Tables):
 
 
 @query("j10_gather", f"""
-select l.l_orderkey, l.l_partkey, l.l_suppkey, l.l_linenumber, {r6("sum(f.v)")} as total
-from lineitem l join fx_vec_full f on l.l_suppkey = f.vec_id group by all""")
+select l.l_orderkey, l.l_partkey, l.l_suppkey, l.l_linenumber, l.l_extendedprice, {r6("f.total")} as total
+from lineitem l join (select vec_id, sum(v) as total from fx_vec_full group by vec_id) f on l.l_suppkey = f.vec_id""")
 def j10(t: Tables):
     """Members (lineitem rows, whose supplier key is the cell index) joined to their vectors."""
-    sets = t.read("lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber").distinct().withColumn(
+    sets = t.read("lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice").withColumn(
         "cell_index", F.col("l_suppkey"))
     vectors = t.vectors.select(F.col("vec_id").alias("cell_index"), "embedding")
-    return J.gather(sets, vectors).select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
+    return J.gather(sets, vectors).select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice",
                                           rounded(V.total(F.col("embedding"))).alias("total"))
 
 

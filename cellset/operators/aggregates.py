@@ -44,26 +44,32 @@ def gene_stats(cells: DataFrame) -> DataFrame:
     Cells carry collapsed ``entries``; absent genes count as zero because sums are divided by the cell count.
     """
     sized = cells.withColumn("library", clean.entry_library()).where("library > 0")
-    n = sized.agg(F.count("*").cast("double").alias("n")).scalar()
-    long = sized.select("library", F.explode("entries").alias("e"))
+    # one extra entry per cell (gene NULL) counts the cells in the same pass
+    marker = F.array(F.struct(F.lit(None).cast("long").alias("gene"), F.lit(0.0).alias("count")))
+    long = sized.select("library", F.explode(F.concat("entries", marker)).alias("e"))
     v = clean.cp10k(F.col("e.count"), F.col("library"))
-    sums = long.groupBy(F.col("e.gene").alias("gene_index")).agg(
-        F.sum(v).alias("s"), F.sum(v * v).alias("ss"), F.count_if(F.col("e.count") > 0).alias("present"))
-    return _from_sums(sums, n)
+    return _from_sums(long.groupBy(F.col("e.gene").alias("gene_index")).agg(
+        F.count("*").alias("rows"), F.sum(v).alias("s"), F.sum(v * v).alias("ss"),
+        F.count_if(F.col("e.count") > 0).alias("present")))
 
 
 def gene_stats_long(long: DataFrame) -> DataFrame:
     """The same from long counts ``cell_id, gene_index, count`` without duplicates."""
-    n = long.agg(F.count_distinct("cell_id").cast("double").alias("n")).scalar()
+    sizes = clean.library_size(long).where("library > 0").withColumn("gene_index", F.lit(None).cast("long"))
+    rows = clean.with_library(long).select("gene_index", "count", "library").unionByName(
+        sizes.select("gene_index", F.lit(0.0).alias("count"), "library"))
     v = clean.cp10k(F.col("count"), F.col("library"))
-    sums = clean.with_library(long).groupBy("gene_index").agg(
-        F.sum(v).alias("s"), F.sum(v * v).alias("ss"), F.count_if(F.col("count") > 0).alias("present"))
-    return _from_sums(sums, n)
+    return _from_sums(rows.groupBy("gene_index").agg(
+        F.count("*").alias("rows"), F.sum(v).alias("s"), F.sum(v * v).alias("ss"),
+        F.count_if(F.col("count") > 0).alias("present")))
 
 
-def _from_sums(sums: DataFrame, n: Column) -> DataFrame:
+def _from_sums(sums: DataFrame) -> DataFrame:
+    """Divide the sums of each gene by the number of cells, which is the row count of the NULL gene."""
+    table = materialize(sums)  # one row per gene
+    cells = table.where("gene_index is null").agg(F.max("rows").cast("double").alias("n")).scalar()
     mean = F.col("s") / F.col("_n")
-    return sums.withColumn("_n", n).select(
+    return table.where("gene_index is not null").withColumn("_n", cells).select(
         "gene_index", mean.alias("mean"), F.greatest(F.col("ss") / F.col("_n") - mean * mean, F.lit(0.0)).alias("variance"),
         (F.col("present") / F.col("_n")).alias("detection_rate"))
 

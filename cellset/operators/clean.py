@@ -69,7 +69,7 @@ def map_tokens(cells: DataFrame, vocab: DataFrame, key: str = "token_id", value:
         F.struct("pos", "gene", F.col("p.expressions").cast("double").alias("count")))).alias("_rows"))
     entries = F.transform("_rows", lambda r: F.struct(r.getField("gene").alias("gene"),
                                                       r.getField("count").alias("count")))
-    none = F.filter(entries, lambda p: F.lit(False))
+    none = F.array().cast("array<struct<gene:bigint,count:double>>")
     return cells.join(rows, "cell_id", "left").withColumn("entries", F.coalesce(entries, none)).drop("_rows")
 
 

@@ -20,6 +20,15 @@ def settled(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(*rest, F.inline(F.array(F.struct(*columns))))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores on a small input that sits in few row groups.
+
+    A scan that already has at least as many splits as there are cores, which any large input has, is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.rdd().getNumPartitions() < cores else df
+
+
 def ascending(keys: list[Column | str]) -> list[Column]:
     return [F.col(k) if isinstance(k, str) else k for k in keys]
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellset.functions.vectors import mean_vectors
-from cellset.operators.scale import dense_index, settled
+from cellset.operators.scale import dense_index, settled, spread
 
 PANEL = 20  # fixed value: panel width
 DIM = 64    # fixed value: width of embeddings.embedding
@@ -145,7 +145,7 @@ class Tables:
         genes = F.when(marked, F.concat(F.array(F.lit(-1).cast("long")), genes)).otherwise(genes)
         counts = F.when(marked, F.concat(F.array(F.lit(-1.0).cast("float")), counts)).otherwise(counts)
         gone = F.when(key % 89 == 7, F.lit(None)).when(key % 97 == 5, F.slice(genes, 1, 0)).otherwise(genes)
-        documents = self.read("documents").withColumn("_words", F.split("text", " "))
+        documents = spread(self.read("documents").select("doc_id", "text", "lang", "source")).withColumn("_words", F.split("text", " "))
         return settled(settled(documents, "_words").select(
             key.alias("cell_id"), gone.alias("genes"), counts.alias("expressions"),
             F.when(key % 3 == 0, "DMSO").otherwise(F.col("source")).alias("drug"),
