@@ -24,13 +24,11 @@ def labelled(t: Tables):
 
 
 def treated_and_control(t: Tables, repeats: bool = False):
-    """Members of each condition, and the control members repeated for each condition they serve."""
-    rows = t.vec_repeats if repeats else t.vectors.withColumn("v", F.col("embedding"))
-    keys = KEYS if repeats else ["label"]
-    treated = rows.where("label <> 0").select(*keys, "vec_id", "v")
-    labels = t.vectors.where("label <> 0").agg(F.array_sort(F.collect_set("label")).alias("l")).scalar()
-    control = rows.where("label = 0").drop("label").withColumn("label", F.explode(labels)).select(*keys, "vec_id", "v")
-    return treated, control
+    """Members of each condition, and the one control pool (per repeat) that the conditions share."""
+    rows = M.one_pool(t.vec_repeats if repeats else t.vectors.withColumn("v", F.col("embedding")))
+    pool = ["pool", "repeat_epoch"] if repeats else ["pool"]
+    treated = rows.where("label <> 0").select(*pool, "label", "vec_id", "v")
+    return treated, rows.where("label = 0").select(*pool, "vec_id", "v")
 
 
 DIST = "sqrt(sum((a.v - b.v) * (a.v - b.v)))"
@@ -44,7 +42,7 @@ with {DISTANCES} select la as label, count(*) as pairs, {r6("sum(d)")} as total,
 from dd where la <> 0 and lb = 0 group by la""")
 def j14(t: Tables):
     treated, control = treated_and_control(t)
-    out = M.set_pairs(treated, control, ["label"], "vec_id", "v", DIM).select("label", "pairs", "total", "min", "max")
+    out = M.set_pairs(treated, control, ["pool", "label"], "vec_id", "v", DIM, pool=["pool"]).select("label", "pairs", "total", "min", "max")
     return rounded_columns(out, "total", "min", "max")
 
 
@@ -54,7 +52,8 @@ with {DISTANCES}, xy as (select la as label, avg(d) as m from dd where la <> 0 a
 select xy.label, {r6("xy.m - x.m / 2 - y.m / 2")} as energy_distance from xy join xx x on x.label = xy.label join xx y on y.label = 0""")
 def m01(t: Tables):
     treated, control = treated_and_control(t)
-    return rounded_columns(M.energy_distance(treated, control, ["label"], "vec_id", "v", DIM), "energy_distance")
+    out = M.energy_distance(treated, control, ["pool", "label"], "vec_id", "v", DIM, pool=["pool"])
+    return rounded_columns(out.drop("pool"), "energy_distance")
 
 
 REPEAT_ENERGY = """rl as (select r.repeat_epoch, f.label, f.vec_id, cast(embedding[1:20] as double[]) as e
@@ -70,7 +69,8 @@ REPEAT_ENERGY = """rl as (select r.repeat_epoch, f.label, f.vec_id, cast(embeddi
 def m02(t: Tables):
     """Identity baseline: the prediction is the control set itself."""
     treated, control = treated_and_control(t, repeats=True)
-    return rounded_columns(M.energy_distance(control, treated, KEYS, "vec_id", "v", PANEL), "energy_distance")
+    out = M.energy_distance(treated, control, ["pool", *KEYS], "vec_id", "v", PANEL, pool=["pool", "repeat_epoch"])
+    return rounded_columns(out.drop("pool"), "energy_distance")
 
 
 NORMS = "sqrt(sum(true_delta * true_delta)) * sqrt(sum(pred_delta * pred_delta))"
@@ -360,7 +360,7 @@ with {REPEAT_ENERGY}, ce as (select repeat_epoch, label, sum(true_delta * pred_d
 select {", ".join(f"{r6(f'avg({c})')} as {c}_mean, {r6(f'stddev_samp({c})')} as {c}_std" for c in ("energy_distance", "centroid_cosine", "centroid_l2"))} from r""")
 def m22(t: Tables):
     treated, control = treated_and_control(t, repeats=True)
-    out = E.latent_evaluation(treated, control, t.deltas, KEYS, PANEL)
+    out = E.latent_evaluation(treated, control, t.deltas, KEYS, PANEL, ["pool", "repeat_epoch"])
     return rounded_columns(out, *out.columns)
 
 

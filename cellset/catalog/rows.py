@@ -179,15 +179,12 @@ def p14(t: Tables):
 @query("p15_condition_vectors", f"""
 with d as (select label, gene, avg(v) as m from fx_vec_long where label <> 0 group by label, gene)
 select c.vec_id, d.label, c.gene, {r6("c.v + d.m * (d.label / 9.0)")} as value
-from fx_vec_long c join d on c.gene = d.gene where c.label = 0""")
+from fx_vec_long c join d on c.gene = d.gene and c.label = d.label""")
 def p15(t: Tables):
     vecs = t.vectors.withColumn("v", F.slice("embedding", 1, PANEL))
     drugs = V.mean_vectors(vecs.where("label <> 0"), ["label"], "v", PANEL, "drug_vec").withColumn(
         "dose", F.col("label") / 9.0)
-    # the drug table has one row per drug; it rides along as one packed array instead of a join on no key
-    packed = drugs.agg(F.collect_list(F.struct("label", "drug_vec", "dose")).alias("d")).scalar()
-    sets = vecs.where("label = 0").select("vec_id", "v", F.explode(packed).alias("d"))
-    moved = sets.select("vec_id", "d.label", V.shifted(F.col("v"), F.col("d.drug_vec"), F.col("d.dose")).alias("p"))
+    moved = clean.condition_vectors(vecs.select("vec_id", "label", "v"), drugs, "label", "v", "p")
     return moved.select("vec_id", "label", F.posexplode("p").alias("gene", "x")).select(
         "vec_id", "label", F.col("gene").cast("long").alias("gene"), rounded(F.col("x")).alias("value"))
 

@@ -147,20 +147,34 @@ def h08(t: Tables):
     return P.stratum_quotas(P.keep_seen(rows, rows.where("split = 'train'"), "drug"), totals(t))
 
 
-@query("h09_select_conditions")
+@query("h09_select_conditions", """
+select c.pair_id, c.split, c.cell_line_id, c.dose_um, c.drug from fx_cand c join fx_selected s on s.pair_id = c.pair_id""")
 def h09(t: Tables):
     rows = materialize(candidate_conditions(t))
     return P.select_conditions(P.keep_seen(rows, rows.where("split = 'train'"), "drug"), totals(t)).select(
         "pair_id", "split", "cell_line_id", "dose_um", "drug")
 
 
-@query("h10_build_subset")
+@query("h10_build_subset", """
+select c.condition_index, c.pair_id, c.split, r.start, r.stop, p.control_pool_index, k.start as control_start, k.stop as control_stop, v.drug_id
+from fx_chosen c join fx_chosen_ranges r on r.owner_type = 0 and r.owner_index = c.condition_index
+join fx_chosen_pools p on p.control_pool_id = c.control_pool_id
+join fx_chosen_ranges k on k.owner_type = 1 and k.owner_index = p.control_pool_index
+join (select drug, row_number() over (order by drug) - 1 as drug_id from (select distinct drug from fx_labelled) d) v on v.drug = c.drug""")
 def h10(t: Tables):
     return chosen_subset(t)[0].select("condition_index", "pair_id", "split", "start", "stop", "control_pool_index",
                                       "control_start", "control_stop", "drug_id")
 
 
-@query("h11_build_cell_plan")
+@query("h11_build_cell_plan", f"""
+with k as (select *, row_number() over (partition by owner_id order by sha256(concat('42|control-cell|', owner_id, '|',
+   cast(cell_index as varchar))), cell_index) as n from fx_indexed where owner_type = 1),
+ m as (select owner_id, cell_index, row_number() over (partition by owner_id order by cell_index) - 1 as i from k where n <= {POOL_CAP})
+select r.start + row_number() over (partition by c.pair_id order by i.cell_index) - 1 as cell_index, i.cell_index as source_index,
+ 0 as owner_type, c.condition_index as owner_index from fx_chosen c join fx_indexed i on i.owner_type = 0 and i.owner_id = c.pair_id
+ join fx_chosen_ranges r on r.owner_type = 0 and r.owner_index = c.condition_index
+union all select r.start + m.i, m.cell_index, 1, p.control_pool_index from fx_chosen_pools p join m on m.owner_id = p.control_pool_id
+ join fx_chosen_ranges r on r.owner_type = 1 and r.owner_index = p.control_pool_index""")
 def h11(t: Tables):
     conditions, pools = chosen_subset(t)
     cells = t.indexed.select(F.col("cell_index").alias("source_index"), "owner_type", "owner_id")

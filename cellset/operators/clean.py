@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cellset.functions.vectors import all_finite, count_where
-from cellset.operators.scale import settled
+from cellset.functions.vectors import all_finite, count_where, shifted
+from cellset.operators.scale import dense_index, settled
 
 SCALE = 10_000.0   # fixed value: counts per ten thousand
 EPSILON = 1e-6     # fixed value: added to the standard deviation of the z-score
@@ -240,10 +240,8 @@ def scale_dose(conditions: DataFrame, dose: str = "dose_um") -> DataFrame:
 
 
 def drug_vocabulary(conditions: DataFrame) -> DataFrame:
-    """Distinct drugs in name order with ``drug_id`` 0..n-1; the distinct names are few by nature."""
-    names = conditions.agg(F.array_sort(F.collect_set("drug")).alias("names"))
-    return names.select(F.posexplode("names").alias("drug_id", "drug")).select(
-        F.col("drug_id").cast("long").alias("drug_id"), "drug")
+    """Distinct drugs in name order with ``drug_id`` 0..n-1."""
+    return dense_index(conditions.select("drug").distinct(), ["drug"], "drug_id")
 
 
 def featurize(conditions: DataFrame, vocab: DataFrame) -> DataFrame:
@@ -259,6 +257,11 @@ def featurize(conditions: DataFrame, vocab: DataFrame) -> DataFrame:
         "features", F.concat(hot, F.array("_dose"))).drop("_n", "_dose")
 
 
+def condition_vectors(sets: DataFrame, drug_vecs: DataFrame, drug: str, vector: str, name: str) -> DataFrame:
+    """Control vectors moved by their condition's drug vector times its scaled dose (``drug_vec``, ``dose``)."""
+    return sets.join(drug_vecs, drug).withColumn(name, shifted(F.col(vector), F.col("drug_vec"), F.col("dose")))
+
+
 def eligible(conditions: DataFrame, size: int, lines: DataFrame | None = None) -> DataFrame:
     """Conditions flagged usable, large enough on both sides, and of a wanted cell line."""
     kept = conditions.where((F.col("eligible") == 1) & (F.col("treated_cells") >= size)

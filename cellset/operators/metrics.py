@@ -13,19 +13,35 @@ from cellset.operators.windows import avg_rank, bh_adjust, row_rank
 from cellset.session import materialize
 
 
-def set_pairs(a: DataFrame, b: DataFrame, keys: list[str], row_id: str, vector: str, dim: int) -> DataFrame:
-    """Distances of all pairs (a, b) of each group, reduced block by block to count, sum, min and max."""
-    pairs = tiles.block_pairs(tiles.blocks(a, keys, row_id, vector), tiles.blocks(b, keys, row_id, vector), keys)
+def one_pool(df: DataFrame) -> DataFrame:
+    """Mark all rows as belonging to the same pool."""
+    return df.withColumn("pool", F.lit("all"))
+
+
+def set_pairs(a: DataFrame, b: DataFrame, keys: list[str], row_id: str, vector: str, dim: int,
+              pool: list[str] | None = None) -> DataFrame:
+    """Distances of all pairs (a, b) of each group, reduced block by block to count, sum, min and max.
+
+    With ``pool`` the groups of ``a`` share the members of ``b`` that have the same pool keys.
+    """
+    pairs = tiles.block_pairs(tiles.blocks(a, keys, row_id, vector), tiles.blocks(b, pool or keys, row_id, vector), keys,
+                              on=pool)
     return tiles.pair_moments(pairs, keys, dim)
 
 
-def energy_distance(a: DataFrame, b: DataFrame, keys: list[str], row_id: str, vector: str, dim: int) -> DataFrame:
-    """``E d(x,y) - E d(x,x')/2 - E d(y,y')/2`` per group, Euclidean, all pairs including self."""
+def energy_distance(a: DataFrame, b: DataFrame, keys: list[str], row_id: str, vector: str, dim: int,
+                    pool: list[str] | None = None) -> DataFrame:
+    """``E d(x,y) - E d(x,x')/2 - E d(y,y')/2`` per group, Euclidean, all pairs including self.
+
+    ``pool`` (a part of ``keys``) names the keys of ``b`` when several groups share it: its own term is computed once.
+    """
     x = materialize(tiles.blocks(a, keys, row_id, vector))
-    y = materialize(tiles.blocks(b, keys, row_id, vector))
-    mean = lambda p, q, name: tiles.pair_moments(tiles.block_pairs(p, q, keys), keys, dim).select(
-        *keys, (F.col("total") / F.col("pairs")).alias(name))
-    joined = mean(x, y, "_xy").join(mean(x, x, "_xx"), keys).join(mean(y, y, "_yy"), keys)
+    shared = pool or keys
+    y = materialize(tiles.blocks(b, shared, row_id, vector))
+    mean = lambda p, q, by, on, name: tiles.pair_moments(
+        tiles.block_pairs(p, q, by, on=on), by, dim).select(*by, (F.col("total") / F.col("pairs")).alias(name))
+    joined = mean(x, y, keys, shared, "_xy").join(mean(x, x, keys, keys, "_xx"), keys).join(
+        mean(y, y, shared, shared, "_yy"), shared)
     return joined.select(*keys, (F.col("_xy") - F.col("_xx") / 2 - F.col("_yy") / 2).alias("energy_distance"))
 
 

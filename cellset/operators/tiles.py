@@ -26,16 +26,21 @@ def blocks(df: DataFrame, keys: list[str], row_id: str, vector: str, block: int
         F.flatten(F.transform("m", lambda m: m.getField("v"))).alias("flat"))
 
 
-def block_pairs(a: DataFrame, b: DataFrame, keys: list[str], triangle: bool = False) -> DataFrame:
-    """Every block of ``a`` next to every block of ``b`` of the same group, distributed by (group, b-block)."""
-    counts = b.select(*keys, F.col("blocks").alias("_nb")).distinct()
-    left = a.join(counts, keys).withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_nb") - 1)))
+def block_pairs(a: DataFrame, b: DataFrame, keys: list[str], triangle: bool = False, on: list[str] | None = None
+                ) -> DataFrame:
+    """Every block of ``a`` next to every block of ``b`` of the same group, distributed by (group, b-block).
+
+    ``b`` may be grouped by fewer keys (``on``), as a pool shared by many groups of ``a``; it is packed only once.
+    """
+    on = on or keys
+    counts = b.select(*on, F.col("blocks").alias("_nb")).distinct()
+    left = a.join(counts, on).withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_nb") - 1)))
     if triangle:
         left = left.where(F.col("block") <= F.col("_b"))
     left = left.select(*keys, "_b", F.col("block").alias("a_block"), F.col("ids").alias("a_ids"),
                        F.col("flat").alias("a_flat"))
-    right = b.select(*keys, F.col("block").alias("_b"), F.col("ids").alias("b_ids"), F.col("flat").alias("b_flat"))
-    return left.join(right, [*keys, "_b"]).withColumnRenamed("_b", "b_block")
+    right = b.select(*on, F.col("block").alias("_b"), F.col("ids").alias("b_ids"), F.col("flat").alias("b_flat"))
+    return left.join(right, [*on, "_b"]).withColumnRenamed("_b", "b_block")
 
 
 def _reduce_pairs(pairs: DataFrame, keys: list[str], dim: int, metric: str, mode: str, triangle: bool) -> DataFrame:

@@ -62,18 +62,20 @@ def context_diagnostics(cells: DataFrame, condition: str, column: str, dim: int,
         correlation(F.col("r_dp"), F.col("r_dt")).alias("spearman_delta"))
 
 
-def latent_metrics(treated: DataFrame, control: DataFrame, deltas: DataFrame, keys: list[str], dim: int) -> DataFrame:
+def latent_metrics(treated: DataFrame, control: DataFrame, deltas: DataFrame, keys: list[str], dim: int,
+                   pool: list[str]) -> DataFrame:
     """Energy distance and centroid metrics per condition and repeat."""
-    energy = M.energy_distance(control, treated, keys, "vec_id", "v", dim)
+    energy = M.energy_distance(treated, control, [*dict.fromkeys([*pool, *keys])], "vec_id", "v", dim, pool=pool)
     centroid = deltas.select(*keys, *[c.alias(n) for n, c in M.centroid_metrics(
         F.col("pred_delta"), F.col("true_delta")).items()])
     return centroid.join(energy, keys)
 
 
-def latent_evaluation(treated: DataFrame, control: DataFrame, deltas: DataFrame, keys: list[str], dim: int) -> DataFrame:
+def latent_evaluation(treated: DataFrame, control: DataFrame, deltas: DataFrame, keys: list[str], dim: int,
+                      pool: list[str]) -> DataFrame:
     """Mean and sample std over repeats of the per-repeat macro means."""
     columns = ["energy_distance", "centroid_cosine", "centroid_l2"]
-    rows = latent_metrics(treated, control, deltas, keys, dim)
+    rows = latent_metrics(treated, control, deltas, keys, dim, pool)
     repeats = rows.groupBy("repeat_epoch").agg(*[F.avg(c).alias(c) for c in columns])
     return repeats.agg(*[e for c in columns for e in (
         F.avg(c).alias(f"{c}_mean"), F.coalesce(F.stddev_samp(c), F.lit(0.0)).alias(f"{c}_std"))])

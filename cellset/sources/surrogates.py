@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from cellset.functions.vectors import mean_vectors
 from cellset.operators.scale import dense_index, settled, spread
+from cellset.session import materialize
 
 PANEL = 20  # fixed value: panel width
 DIM = 64    # fixed value: width of embeddings.embedding
@@ -81,13 +82,14 @@ class Tables:
 
     @cached_property
     def conditions(self) -> DataFrame:
+        """A derived dimension, written once because most queries read it several times."""
         treated = self.cells.where((F.col("owner_type") == 0) & F.col("dose_um").isNotNull())
-        return treated.groupBy("cell_line_id", "drug", "dose_um", "plate").agg(
+        return materialize(treated.groupBy("cell_line_id", "drug", "dose_um", "plate").agg(
             F.count("*").alias("treated_cells")).select(
             "cell_line_id", "drug", "dose_um", "plate", F.concat_ws("|", "cell_line_id", "drug").alias("edge_id"),
             F.concat_ws("|", "cell_line_id", "plate").alias("control_pool_id"),
             F.concat_ws("|", "cell_line_id", "drug", "plate", F.col("dose_um").cast("string")).alias("pair_id"),
-            "treated_cells")
+            "treated_cells"))
 
     @cached_property
     def pools(self) -> DataFrame:
@@ -231,6 +233,53 @@ select *, row_number() over (order by owner_type, owner_id, cell_id) - 1 as cell
 select owner_type, owner_id, cells, cast(sum(cells) over (order by owner_type, owner_id) - cells as bigint) as start,
  cast(sum(cells) over (order by owner_type, owner_id) as bigint) as stop
 from (select owner_type, owner_id, count(*) as cells from fx_owned group by owner_type, owner_id) o""",
+    "fx_cand": """
+select l.*, p.control_cells, concat(l.cell_line_id, '|', cast(l.dose_um as varchar)) as stratum
+from fx_labelled l join fx_pools p on l.control_pool_id = p.control_pool_id
+where l.treated_cells >= 16 and p.control_cells >= 16 and l.drug in (select drug from fx_labelled where split = 'train')""",
+    "fx_quota": """
+select split, stratum, total // n + case when r <= total % n then 1 else 0 end as quota
+from (select split, stratum, row_number() over (partition by split order by sha256(concat('42|stratum|', stratum))) as r,
+  count(*) over (partition by split) as n, case split when 'train' then 60 when 'val' then 15 else 20 end as total
+ from fx_cand group by split, stratum) s""",
+    "fx_options": """
+select split, drug, stratum, arg_min(pair_id, pick) as pair_id, min(pick) as pick, count(*) as n
+from (select *, sha256(concat('42|required-pick|', split, '|', drug, '|', pair_id)) as pick from fx_cand) c
+group by split, drug, stratum""",
+    "fx_drug_order": """
+select split, drug, row_number() over (partition by split order by sum(n), sha256(concat('42|required-drug|', split, '|', drug))) as k
+from fx_options group by split, drug""",
+    "fx_picks": """
+select split, cast(0 as bigint) as k, cast([] as varchar[]) as used, cast(null as varchar) as pair_id from (select distinct split from fx_cand) s
+union all
+select o.split, o.k + 1, list_append(o.used, arg_min(o.stratum, o.key)), arg_min(o.pair_id, o.key)
+from (select p.split, p.k, p.used, o.stratum, o.pair_id,
+   concat(lpad(cast(1000 - (q.quota - len(list_filter(p.used, lambda x: x = o.stratum))) as varchar), 6, '0'), o.pick) as key
+  from fx_picks p join fx_drug_order d on d.split = p.split and d.k = p.k + 1
+  join fx_options o on o.split = d.split and o.drug = d.drug join fx_quota q on q.split = o.split and q.stratum = o.stratum
+  where q.quota > len(list_filter(p.used, lambda x: x = o.stratum))) o group by o.split, o.k, o.used""",
+    "fx_rounds": """
+select c.*, q.quota - (select count(*) from fx_picks f join fx_cand g on g.pair_id = f.pair_id
+   where g.split = c.split and g.stratum = c.stratum) as need,
+ row_number() over (partition by c.split, c.stratum, drug order by sha256(concat('42|condition|', c.split, '|', pair_id))) - 1 as dr,
+ row_number() over (partition by c.split, c.stratum, control_pool_id order by sha256(concat('42|condition|', c.split, '|', pair_id))) - 1 as cr
+from fx_cand c join fx_quota q on q.split = c.split and q.stratum = c.stratum
+where c.pair_id not in (select pair_id from fx_picks where pair_id is not null)""",
+    "fx_selected": """
+select pair_id from fx_picks where pair_id is not null union all
+select pair_id from (select pair_id, need, row_number() over (partition by split, stratum order by greatest(dr, cr), dr, cr,
+  sha256(concat('42|condition|', split, '|', pair_id))) as place from fx_rounds) r where place <= need""",
+    "fx_chosen": """
+select c.*, row_number() over (order by case split when 'train' then 1 when 'val' then 2 else 3 end, cell_line_id, dose_um, plate, pair_id) - 1
+ as condition_index from fx_cand c where pair_id in (select pair_id from fx_selected)""",
+    "fx_chosen_pools": """
+select p.*, row_number() over (order by plate, cell_line_id, control_pool_id) - 1 as control_pool_index,
+ least(control_cells, 32) as cached_cells from fx_pools p where control_pool_id in (select control_pool_id from fx_chosen)""",
+    "fx_chosen_ranges": """
+select owner_type, owner_index, cast(sum(cells) over (order by owner_type, owner_index) - cells as bigint) as start,
+ cast(sum(cells) over (order by owner_type, owner_index) as bigint) as stop
+from (select 0 as owner_type, condition_index as owner_index, treated_cells as cells from fx_chosen
+ union all select 1, control_pool_index, cached_cells from fx_chosen_pools) o""",
     "fx_words": """
 select doc_id, lang, source, string_split(text, ' ') as w from documents""",
     "fx_ragged_a": """
@@ -295,7 +344,7 @@ def with_views(sql: str) -> str:
 
     def visit(text: str) -> None:
         for name, body in VIEWS.items():
-            if name not in needed and re.search(rf"\b{name}\b", text):
+            if body is not text and name not in needed and re.search(rf"\b{name}\b", text):
                 visit(body)
                 if name not in needed:
                     needed.append(name)
@@ -303,8 +352,9 @@ def with_views(sql: str) -> str:
     visit(sql)
     if not needed:
         return sql
+    # "recursive" is allowed whether or not a view refers to itself
     head = ",\n".join(f"{name} as ({VIEWS[name]})" for name in needed)
     body = sql.strip()
     if body.lower().startswith("with "):
-        return f"with {head},\n{body[5:]}"
-    return f"with {head}\n{body}"
+        return f"with recursive {head},\n{body[5:]}"
+    return f"with recursive {head}\n{body}"
