@@ -156,7 +156,7 @@ def panel_target(cells: DataFrame, panel: DataFrame, width: int, name: str = "ta
         F.filter("_hits", lambda e: e.getField("rank") == r), F.lit(0.0), lambda s, e: s + e.getField("count"))
     values = F.transform(F.sequence(F.lit(0), F.lit(width - 1)),
                          lambda r: F.log1p(F.lit(SCALE) * one(r) / F.col("library")))
-    return table.where("library > 0").withColumn(name, values).drop("_hits")
+    return settled(table.where("library > 0").withColumn(name, values).drop("_hits"), name)
 
 
 def to_long(cells: DataFrame) -> DataFrame:

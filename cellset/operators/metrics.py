@@ -110,10 +110,11 @@ def context_ranks(rows: DataFrame, context: list[str], row_id: str, prediction:
         *context, F.pmod(F.xxhash64(row_id), F.col("_blocks")).alias("_b"),
         F.struct(F.col(row_id).alias("i"), F.col(truth).alias("t")).alias("_t"))
     packed = truths.groupBy(*context, "_b").agg(F.collect_list("_t").alias("_ts"))
-    distance = lambda m: V.l1_distance(F.col(prediction), m.getField("t"))
-    closer = V.count_where(F.col("_ts"), lambda m: (m.getField("i") != F.col(row_id)) & (
-        (distance(m) < F.col("own_distance"))
-        | ((distance(m) == F.col("own_distance")) & (m.getField("i") < F.col(row_id)))))
+    measured = F.transform("_ts", lambda m: F.struct(
+        m.getField("i").alias("i"), V.l1_distance(F.col(prediction), m.getField("t")).alias("d")))
+    closer = V.count_where(measured, lambda m: (m.getField("i") != F.col(row_id)) & (
+        (m.getField("d") < F.col("own_distance"))
+        | ((m.getField("d") == F.col("own_distance")) & (m.getField("i") < F.col(row_id)))))
     met = sized.join(packed, [*context, "_b"]).withColumn("_closer", closer)
     return met.groupBy(*context, row_id).agg(
         F.max("candidates").alias("candidates"), F.max("own_distance").alias("own_distance"),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cellset.functions.hashing import seeded_hash
 from cellset.operators import clean
-from cellset.operators.joins import expand_ranges, keep_seen, lookup_strict, unseen
+from cellset.operators.joins import keep_seen, lookup_strict, unseen
 from cellset.operators.scale import dense_index
 from cellset.operators.setops import union_all
 from cellset.operators.windows import assign_ranges, coverage_rounds, fill_quota, hash_top_k
@@ -139,20 +139,13 @@ def build_cell_plan(conditions: DataFrame, pools: DataFrame, source: DataFrame,
 
 
 def rank_groups(conditions: DataFrame, splits: list[str]) -> DataFrame:
-    """Rank cell lines by smallest split coverage, edges, conditions (all descending), then id.
-
-    The final order is over cell lines, of which there are few.
-    """
+    """Rank cell lines by smallest split coverage, edges, conditions (all descending), then id."""
     edges = [F.count_distinct(F.when(F.col("split") == s, F.col("edge_id"))) for s in splits]
     stats = conditions.groupBy("cell_line_id").agg(
         F.least(*edges).alias("min_split_edges"), F.count_distinct("edge_id").alias("edges"),
         F.count("*").alias("conditions"))
-    packed = stats.agg(F.array_sort(F.collect_list(F.struct(
-        (-F.col("min_split_edges")).alias("a"), (-F.col("edges")).alias("b"), (-F.col("conditions")).alias("c"),
-        "cell_line_id"))).alias("g"))
-    return packed.select(F.posexplode("g").alias("rank", "e")).select(
-        F.col("rank").cast("long").alias("rank"), "e.cell_line_id", (-F.col("e.a")).alias("min_split_edges"),
-        (-F.col("e.b")).alias("edges"), (-F.col("e.c")).alias("conditions"))
+    order = [F.col(c).desc() for c in ("min_split_edges", "edges", "conditions")]
+    return dense_index(stats, [*order, "cell_line_id"], "rank")
 
 
 def one_context_each(conditions: DataFrame) -> DataFrame:
@@ -174,7 +167,3 @@ def set_sides(conditions: DataFrame) -> DataFrame:
         F.struct(F.lit("treated").alias("side"), F.col("start").alias("start"), F.col("stop").alias("stop")),
         F.struct(F.lit("control").alias("side"), F.col("control_start").alias("start"),
                  F.col("control_stop").alias("stop")))).alias("s")).select("pair_id", "s.*")
-
-
-def plan_members(plan_ranges: DataFrame) -> DataFrame:
-    return expand_ranges(plan_ranges, ["owner_type", "owner_index"])
