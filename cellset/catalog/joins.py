@@ -42,15 +42,16 @@ def j03(t: Tables):
         "o_orderkey", F.coalesce("c_mktsegment", F.lit("")).alias("segment"), "matched")
 
 
-VOCABS = """a as (select ensembl_id, gene_symbol, token_id from fx_genes where token_id % 7 <> 0),
- b as (select ensembl_id, case when token_id % 3 = 0 then concat(gene_symbol, '*') else gene_symbol end as gene_symbol, token_id
-  from fx_genes where token_id % 5 <> 0)"""
+VOCABS = """a as (select ensembl_id, gene_symbol, token_id from fx_genes where gene_symbol not like 'red%'),
+ b as (select ensembl_id, case when gene_symbol like 'small%' then concat(gene_symbol, '*') else gene_symbol end as gene_symbol, token_id
+  from fx_genes where gene_symbol not like '%ring')"""
 
 
 def vocabularies(t: Tables):
     genes = t.genes.select("ensembl_id", "gene_symbol", "token_id")
-    changed = F.when(F.col("token_id") % 3 == 0, F.concat("gene_symbol", F.lit("*"))).otherwise(F.col("gene_symbol"))
-    return genes.where("token_id % 7 <> 0"), genes.where("token_id % 5 <> 0").withColumn("gene_symbol", changed)
+    symbol = F.col("gene_symbol")
+    changed = F.when(symbol.startswith("small"), F.concat(symbol, F.lit("*"))).otherwise(symbol)
+    return genes.where(~symbol.startswith("red")), genes.where(~symbol.endswith("ring")).withColumn("gene_symbol", changed)
 
 
 @query("j04_compare_dimensions", f"""
