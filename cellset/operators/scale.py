@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from cellset.session import materialize
 
-SMALL_ROWS = 200_000
-
 
 def settled(df: DataFrame, *columns: str) -> DataFrame:
     """Evaluate costly columns once per row.
@@ -21,7 +19,7 @@ def settled(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Use all cores on a small input that sits in few row groups.
+    """Use all cores on a small file scan that sits in few row groups (only for plain scans: counting splits is free).
 
     A scan that already has at least as many splits as there are cores, which any large input has, is left as it is.
     """
@@ -33,16 +31,6 @@ def ascending(keys: list[Column | str]) -> list[Column]:
     return [F.col(k) if isinstance(k, str) else k for k in keys]
 
 
-def within(df: DataFrame, rows: int = SMALL_ROWS) -> bool:
-    """True when ``df`` is proven to have at most ``rows`` rows; reads no more than that many."""
-    return df.limit(rows + 1).count() <= rows
-
-
-def small_side(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
-    """Broadcast hint only after the row count was checked; otherwise the plain frame, joined by shuffle."""
-    return F.broadcast(df) if within(df, rows) else df
-
-
 def placed(df: DataFrame, order: list[Column | str]) -> DataFrame:
     """Global sort kept as a durable table with ``_part`` (range) and ``_row`` (place inside it).
 

@@ -28,6 +28,14 @@ def test_undefined_metrics_stay_undefined(spark):
     assert out[2].set_level_des == 1.0 and out[2].auprc == 1.0 and out[2].auprc_reason == ""
 
 
+def test_undefined_rows_are_counted_and_listed_with_a_reason(spark):
+    rows = spark.createDataFrame([(0, 1, None, 0), (0, 2, float("nan"), 3), (0, 3, 0.5, 2)],
+                                 "r long, c long, auprc double, true_deg_count long")
+    out = M.rollup_with_undefined(rows, "auprc", ["r"]).first()
+    assert (out["mean"], out.valid_n, out.undefined_n, out.unexpected_undefined_n) == (0.5, 1, 2, 1)
+    assert {r.c: r.reason for r in M.excluded_rows(rows, "auprc").collect()} == {1: "no_true_genes", 2: "unexpected"}
+
+
 def test_average_precision_with_ties(spark):
     rows = spark.createDataFrame([(1, .9, 1), (1, .5, 0), (1, .5, 1)], "k long, score double, label int")
     assert average_precision(rows, ["k"]).first().auprc == pytest.approx(0.5 + 0.5 * 2 / 3)

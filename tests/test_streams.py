@@ -38,6 +38,21 @@ def test_a_batch_run_again_replaces_itself(spark):
     assert spark.read.parquet(sink).count() == 10
 
 
+def test_running_audit_in_complete_mode_equals_the_batch(spark):
+    source = sinks.new_folder(spark)
+    for lo in (0, 100, 200):
+        shards(spark, source, lo, lo + 100)
+    schema = spark.read.parquet(source).schema
+    query = (X.running_audit(spark, source, schema, ["g"], "value", 1).writeStream.format("memory").queryName("audit")
+             .outputMode("complete").option("checkpointLocation", sinks.new_folder(spark)).trigger(availableNow=True).start())
+    query.awaitTermination()
+    merged = X.stream_audit(spark, source, schema, sinks.new_folder(spark), sinks.new_folder(spark), ["g"], "value", 1)
+    one = {r.g: r for r in spark.table("audit").collect()}
+    for r in merged.collect():
+        assert r["count"] == one[r.g]["count"] == 100
+        assert abs(r["mean"] - one[r.g]["mean"]) < 1e-9 and abs(r["std"] - one[r.g]["std"]) < 1e-9
+
+
 def test_state_of_other_inputs_is_refused(spark):
     import pytest
     source, sink, check = (sinks.new_folder(spark) for _ in range(3))
