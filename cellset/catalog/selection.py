@@ -23,14 +23,14 @@ def totals(t: Tables):
     return t.spark.createDataFrame(list(TOTALS.items()), "split string, total long")
 
 
-def candidate_conditions(t: Tables):
-    return t.labelled.join(t.pools.select("control_pool_id", "control_cells"), "control_pool_id").withColumn(
+def candidate_conditions(t: Tables, pools=None):
+    return t.labelled.join((pools or t.pools).select("control_pool_id", "control_cells"), "control_pool_id").withColumn(
         "eligible", F.lit(1))
 
 
 def chosen_subset(t: Tables):
-    rows = materialize(candidate_conditions(t))
-    pools = t.pools
+    pools = materialize(t.pools)
+    rows = materialize(candidate_conditions(t, pools))
     return P.build_subset(rows, pools, totals(t), SET_SIZE, POOL_CAP, SPLITS)
 
 
