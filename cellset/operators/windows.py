@@ -37,7 +37,7 @@ def avg_rank(df: DataFrame, by: list[str], column: str, name: str = "rank") -> D
     return df.join(ranks, [*by, column])
 
 
-def row_rank(by: list[str], column: Column, ) -> Column:
+def row_rank(by: list[str], column: Column) -> Column:
     """Average rank inside a group that one row set bounds (the genes of one comparison)."""
     w = Window.partitionBy(*by).orderBy(column)
     ties = F.count("*").over(Window.partitionBy(*by, column))
