@@ -49,8 +49,8 @@ def heavy_candidates(digests: DataFrame, counters: int = COUNTERS) -> DataFrame:
     """
     merged = digests.mapInArrow(summarise(counters), "key binary, n long").groupBy("key").agg(F.sum("n").alias("n"))
     merged = materialize(merged)
-    rows = merged.where("key is null").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"))
-    return merged.where("key is not null").join(rows, F.col("n") * (counters + 1) > F.col("rows")).select("key")
+    rows = merged.where("key is null").agg(F.sum("n")).scalar()
+    return merged.where("key is not null").where(F.col("n") * (counters + 1) > rows).select("key")
 
 
 def marked_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None,

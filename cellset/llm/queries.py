@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from cellset.llm.exact_dup import marked_copies
+from cellset.llm.mixing import mixed
+from cellset.llm.packing import packed_documents
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -23,9 +26,42 @@ with d as (select doc_id, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') as
 select doc_id, max(doc_id) over (partition by t) as keep_id, count(*) over (partition by t) as group_size,
  doc_id = max(doc_id) over (partition by t) as kept, sha256(t) as text_sha256 from d"""
 
+
+
+def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed_documents(documents(spark, sf_dir, "doc_id", "text"))
+
+
+def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = mixed(documents(spark, sf_dir, "doc_id", "text", "source"), carry=["doc_id"])
+    return rows.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+OP8_SQL = r"""
+with d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as size,
+  (cast(concat('0x', substr(md5(concat('mix|', doc_id)), 1, 13)) as bigint) + 0.5::double) / 4503599627370496.0::double as u from documents),
+s as (select source, cast(sum(size) as bigint) as source_size,
+  (row_number() over (order by source is null, source) - 1) % 3 + 1 as weight from d group by source),
+o as (select *, row_number() over (order by (3 * source_size)::double / weight, source is null, source) as place from s),
+c as (select *, coalesce(sum(3 * source_size) over before, 0) as caps, coalesce(sum(weight) over before, 0) as weights from o
+  window before as (order by place rows between unbounded preceding and 1 preceding)),
+l as (select max(((select sum(source_size) from s) - caps)::double / ((select sum(weight) from s) - weights)::double) as level from c),
+t as (select source, source_size, least((3 * source_size)::double, level * weight) as target from s, l),
+r as (select *, case when source_size > 0 then target / source_size else 0.0::double end as ratio from t),
+w as (select source, source_size, target, floor(ratio) as whole, ratio - floor(ratio) as share from r),
+k as (select d.doc_id, d.size, w.*, case when share > 0 and size > 0 then (u / (1 - u)) / (share / (1 - share)) end as key
+  from d join w on d.source is not distinct from w.source),
+b as (select *, coalesce(sum(case when key is not null then size else 0 end) over (partition by source order by key nulls last, doc_id
+  rows between unbounded preceding and 1 preceding), 0) as before from k)
+select doc_id, size, source_size, target, cast(size * (whole + case when key is not null
+  and before + size / 2 <= target - whole * source_size then 1 else 0 end) as bigint) as taken from b"""
+
 QUERIES = {
+    "op1_pack": op1_pack,
+    "op8_mix": op8_mix,
     "op10_exact_dedup": op10_exact_dedup,
 }
 ORACLES = {
+    "op8_mix": OP8_SQL,
     "op10_exact_dedup": OP10_SQL,
 }
