@@ -15,6 +15,7 @@ from collections import Counter
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cellset.llm.common import ascii_lower, byte_text, fresh, texts_of
 from cellset.session import materialize
@@ -22,7 +23,7 @@ from cellset.session import materialize
 COUNTERS = 4096
 
 
-@F.arrow_udf("binary")
+@F.arrow_udf(T.BinaryType())
 def text_digest(text: pa.Array) -> pa.Array:
     return pa.array([hashlib.sha256(ascii_lower(x)).digest() for x in texts_of(text)], pa.binary())
 

@@ -3,8 +3,9 @@
 Every source gets a share of all words by its weight, at most ``most`` times its own words; what a full source cannot
 take is shared out again. A document of a source with ratio ``r = target / words`` is expected ``r`` times: ``floor(r)``
 copies are certain, and the rest is drawn with inclusion odds ``p / (1 - p)``, ``p = r - floor(r)``. Documents are ordered by
-random odds over inclusion odds; the first ones are taken until the source's words are met. The place of the cut is
-kept as one row per source, so the documents themselves are never shuffled.
+random odds over inclusion odds; the first ones are taken as long as they fit into the words that are wanted, and one more
+document, the one that comes closest to the words still missing, closes the source. The cut and the closing document
+are kept as one row per source, so the documents themselves are never shuffled.
 """
 
 from __future__ import annotations
@@ -50,10 +51,10 @@ def order_key(share: Column, random: Column) -> Column:
 
 
 def quotas(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
-    """One row per source: ``source, source_size, target, whole`` copies, ``share`` and the last place ``cut`` that is taken.
+    """One row per source: ``source, source_size, target, whole`` copies, ``share``, the last place ``cut`` that is taken and ``closing``.
 
-    ``sized`` has ``source, size, random, id, tie``. A document is taken while it brings the source's words nearer to the
-    target. The running total is split over ranges, so a hot source is never in one task.
+    ``sized`` has ``source, size, random, id, tie``. The running total is split over ranges, so a hot source is never in one
+    task.
     """
     plan = materialize(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most).withColumn(
         "_ratio", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
@@ -62,10 +63,18 @@ def quotas(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOS
     drawn = sized.alias("d").join(plan.where("share > 0").alias("p"), F.expr("d.source <=> p.source")).where("size > 0").select(
         "d.source", "d.size", "d.id", "d.tie", "_rest", order_key(F.col("share"), F.col("random")).alias("key"))
     counted = running_total(drawn, ["source"], ["key", "id", "tie"], F.col("size"), "_before", inclusive=False)
-    last = counted.where(F.col("_before") + F.col("size") / 2 <= F.col("_rest")).groupBy("source").agg(
-        F.max(F.struct("key", "id", "tie")).alias("cut"))
-    return plan.alias("p").join(last.alias("c"), F.expr("p.source <=> c.source"), "left").select(
-        "p.source", "source_size", "target", "whole", "share", "cut")
+    place = F.struct("key", "id", "tie")
+    fits = F.col("_before") + F.col("size") <= F.col("_rest")
+    last = counted.where(fits).groupBy("source").agg(F.max(place).alias("cut"), F.sum("size").alias("_taken"))
+    left = counted.where(~fits).alias("d").join(last.alias("c"), F.expr("d.source <=> c.source"), "left").withColumn(
+        "_gap", F.col("_rest") - F.coalesce("_taken", F.lit(0)))
+    miss = F.abs(F.col("size") - F.col("_gap"))
+    closing = left.where(miss < F.col("_gap")).groupBy(F.col("d.source").alias("source")).agg(
+        F.min(F.struct(miss.alias("miss"), "key", "id", "tie")).alias("c")).select(
+        "source", F.struct("c.key", "c.id", "c.tie").alias("closing"))
+    return plan.alias("p").join(last.alias("c"), F.expr("p.source <=> c.source"), "left").join(
+        closing.alias("e"), F.expr("p.source <=> e.source"), "left").select(
+        "p.source", "source_size", "target", "whole", "share", "cut", "closing")
 
 
 def mixed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
@@ -90,13 +99,14 @@ def mixed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         sized = wide.select(*[F.col(f).alias(n) for n, f in own.items()])
     else:
         sized = materialize(wide.select(*[F.col(f).alias(n) for n, f in own.items()]))
-    names = fresh(wide, "_q_source", "_q_size", "_q_target", "_q_whole", "_q_share", "_q_cut")
+    names = fresh(wide, "_q_source", "_q_size", "_q_target", "_q_whole", "_q_share", "_q_cut", "_q_closing")
     plan = materialize(quotas(sized, weights, most)).toDF(*names)
-    q = dict(zip(("source", "size", "target", "whole", "share", "cut"), names, strict=True))
+    q = dict(zip(("source", "size", "target", "whole", "share", "cut", "closing"), names, strict=True))
     joined = wide.join(plan, wide[own["source"]].eqNullSafe(plan[q["source"]]), "left")
     place = F.struct(order_key(F.col(q["share"]), F.col(own["random"])).alias("key"), F.col(own["id"]).alias("id"),
                      F.col(own["tie"]).alias("tie"))
-    drawn = (F.col(q["share"]) > 0) & (F.col(own["size"]) > 0) & F.col(q["cut"]).isNotNull() & (place <= F.col(q["cut"]))
+    drawn = (F.col(q["share"]) > 0) & (F.col(own["size"]) > 0) & (
+        F.coalesce(place <= F.col(q["cut"]), F.lit(False)) | F.coalesce(place == F.col(q["closing"]), F.lit(False)))
     copies = F.col(q["whole"]) + F.when(drawn, 1).otherwise(0)
     return joined.select(*[F.col(f"`{c}`") for c in carry], F.col(own["size"]).alias("size"), F.col(q["size"]).alias("source_size"),
                          F.col(q["target"]).alias("target"), copies.cast("long").alias("copies"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cellset.llm.exact_dup import marked_copies
 from cellset.llm.mixing import mixed
+from cellset.llm.near_dup import marked_near_copies
 from cellset.llm.packing import packed_documents
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -37,6 +38,11 @@ def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = marked_near_copies(documents(spark, sf_dir, "doc_id", "text"))
+    return rows.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
+
+
 OP8_SQL = r"""
 with d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as size,
   (cast(concat('0x', substr(md5(concat('mix|', doc_id)), 1, 13)) as bigint) + 0.5::double) / 4503599627370496.0::double as u from documents),
@@ -52,12 +58,17 @@ w as (select source, source_size, target, floor(ratio) as whole, ratio - floor(r
 k as (select d.doc_id, d.size, w.*, case when share > 0 and size > 0 then (u / (1 - u)) / (share / (1 - share)) end as key
   from d join w on d.source is not distinct from w.source),
 b as (select *, coalesce(sum(case when key is not null then size else 0 end) over (partition by source order by key nulls last, doc_id
-  rows between unbounded preceding and 1 preceding), 0) as before from k)
-select doc_id, size, source_size, target, cast(size * (whole + case when key is not null
-  and before + size / 2 <= target - whole * source_size then 1 else 0 end) as bigint) as taken from b"""
+  rows between unbounded preceding and 1 preceding), 0) as before from k),
+f as (select *, target - whole * source_size as rest, key is not null and before + size <= target - whole * source_size as fits from b),
+g as (select *, rest - coalesce(sum(case when fits then size else 0 end) over (partition by source), 0) as gap from f),
+h as (select *, case when key is not null and not fits and abs(size - gap) < gap then abs(size - gap) end as miss from g),
+e as (select *, row_number() over (partition by source order by miss nulls last, key nulls last, doc_id) as place from h)
+select doc_id, size, source_size, target,
+ cast(size * (whole + case when fits or miss is not null and place = 1 then 1 else 0 end) as bigint) as taken from e"""
 
 QUERIES = {
     "op1_pack": op1_pack,
+    "op3_near_dedup": op3_near_dedup,
     "op8_mix": op8_mix,
     "op10_exact_dedup": op10_exact_dedup,
 }
