@@ -9,6 +9,7 @@ from cellset.llm.exact_dup import marked_copies
 from cellset.llm.mixing import mixed
 from cellset.llm.near_dup import marked_near_copies
 from cellset.llm.packing import packed_documents
+from cellset.llm.quality import scored
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -38,6 +39,11 @@ def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
+    return scored(documents(spark, sf_dir, "doc_id", "text"), labels)
+
+
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = marked_near_copies(documents(spark, sf_dir, "doc_id", "text"))
     return rows.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
@@ -69,6 +75,7 @@ select doc_id, size, source_size, target,
 QUERIES = {
     "op1_pack": op1_pack,
     "op3_near_dedup": op3_near_dedup,
+    "op4_quality": op4_quality,
     "op8_mix": op8_mix,
     "op10_exact_dedup": op10_exact_dedup,
 }
