@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cellset.llm.chat import TURN_END, TURN_START, formatted_chats
 from cellset.llm.exact_dup import marked_copies
+from cellset.llm.licenses import PERCENT as LICENSE_PERCENT
+from cellset.llm.licenses import TEMPLATES, license_lines
 from cellset.llm.mixing import mixed
 from cellset.llm.near_dup import marked_near_copies
 from cellset.llm.packing import packed_documents
@@ -39,6 +42,46 @@ def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_lines(documents(spark, sf_dir, "doc_id", "text"))
+
+
+def lowered(text: str) -> str:
+    return f"translate({text}, '{UPPER}', '{LOWER}')"
+
+
+def grams_sql(text: str) -> str:
+    """DuckDB list of the distinct word bigrams of a normalised text."""
+    words = f"string_split(trim(regexp_replace({lowered(text)}, '[^0-9a-z]+', ' ', 'g')), ' ')"
+    return f"list_distinct([concat({words}[i], ' ', {words}[i + 1]) for i in range(1, len({words}))])"
+
+
+OP2_SQL = f"""
+with t(license, template) as (values {', '.join(f"('{n}', '{x}')" for n, x in TEMPLATES)}),
+tg as (select license, {grams_sql('template')} as tg from t),
+l as (select doc_id, string_split(text, chr(10)) as lines from documents where text is not null),
+u as (select doc_id, unnest(range(0, len(lines))) as line, unnest(lines) as said from l),
+g as (select doc_id, line, {grams_sql('said')} as g from u),
+m as (select doc_id, line, license, 2.0::double * len(list_intersect(g, tg)) / (len(g) + len(tg)) as dice,
+  200 * len(list_intersect(g, tg)) >= {LICENSE_PERCENT} * (len(g) + len(tg)) as hit
+  from g join tg on len(g) > 0 and 2 * least(len(g), len(tg)) * 100 >= {LICENSE_PERCENT} * (len(g) + len(tg)))
+select doc_id, line, license, dice from m where hit
+qualify row_number() over (partition by doc_id, line order by dice desc, license) = 1"""
+
+
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return formatted_chats(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+OP5_SQL = f"""
+with c as (select conv_id, count(*) as n, list(struct_pack(role := role, said := text) order by turn, role, text) as turns
+  from conversations where conv_id is not null group by conv_id),
+k as (select min(conv_id) as conv_id, n, turns, count(*) as n_copies from c group by n, turns)
+select conv_id, n as n_turns, n_copies, list_aggregate([concat('{TURN_START}', coalesce(t.role, 'user'), chr(10),
+  coalesce(t.said, ''), '{TURN_END}', chr(10)) for t in turns], 'string_agg', '') as rendered
+from k where not exists (select 1 from c longer where longer.n > k.n and longer.turns[1] = k.turns[1] and longer.turns[1:k.n] = k.turns)"""
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
     return scored(documents(spark, sf_dir, "doc_id", "text"), labels)
@@ -74,12 +117,16 @@ select doc_id, size, source_size, target,
 
 QUERIES = {
     "op1_pack": op1_pack,
+    "op2_license_scan": op2_license_scan,
     "op3_near_dedup": op3_near_dedup,
     "op4_quality": op4_quality,
+    "op5_chat_format": op5_chat_format,
     "op8_mix": op8_mix,
     "op10_exact_dedup": op10_exact_dedup,
 }
 ORACLES = {
+    "op2_license_scan": OP2_SQL,
+    "op5_chat_format": OP5_SQL,
     "op8_mix": OP8_SQL,
     "op10_exact_dedup": OP10_SQL,
 }
