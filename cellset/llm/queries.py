@@ -13,6 +13,7 @@ from cellset.llm.mixing import mixed
 from cellset.llm.near_dup import marked_near_copies
 from cellset.llm.packing import packed_documents
 from cellset.llm.quality import scored
+from cellset.llm.substrings import text_sha256, without_repeats
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -92,6 +93,11 @@ def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = without_repeats(documents(spark, sf_dir, "doc_id", "text"))
+    return rows.select("doc_id", "n_words", "n_removed", text_sha256("kept_text").alias("kept_sha256"))
+
+
 OP8_SQL = r"""
 with d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as size,
   (cast(concat('0x', substr(md5(concat('mix|', doc_id)), 1, 13)) as bigint) + 0.5::double) / 4503599627370496.0::double as u from documents),
@@ -122,6 +128,7 @@ QUERIES = {
     "op4_quality": op4_quality,
     "op5_chat_format": op5_chat_format,
     "op8_mix": op8_mix,
+    "op9_substring_dedup": op9_substring_dedup,
     "op10_exact_dedup": op10_exact_dedup,
 }
 ORACLES = {
