@@ -11,6 +11,7 @@ from cellset.llm.licenses import PERCENT as LICENSE_PERCENT
 from cellset.llm.licenses import TEMPLATES, license_lines
 from cellset.llm.mixing import mixed
 from cellset.llm.near_dup import marked_near_copies
+from cellset.llm.order_minhash import fingerprints
 from cellset.llm.packing import packed_documents
 from cellset.llm.quality import scored
 from cellset.llm.substrings import text_sha256, without_repeats
@@ -93,6 +94,10 @@ def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
 
 
+def op7_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(documents(spark, sf_dir, "doc_id", "text"))
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = without_repeats(documents(spark, sf_dir, "doc_id", "text"))
     return rows.select("doc_id", "n_words", "n_removed", text_sha256("kept_text").alias("kept_sha256"))
@@ -127,6 +132,7 @@ QUERIES = {
     "op3_near_dedup": op3_near_dedup,
     "op4_quality": op4_quality,
     "op5_chat_format": op5_chat_format,
+    "op7_fingerprint": op7_fingerprint,
     "op8_mix": op8_mix,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_exact_dedup": op10_exact_dedup,
