@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cellset.llm import katz
 from cellset.llm.chat import TURN_END, TURN_START, formatted_chats
 from cellset.llm.exact_dup import marked_copies
 from cellset.llm.licenses import PERCENT as LICENSE_PERCENT
@@ -94,6 +95,10 @@ def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
 
 
+def op6_katz_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.scored(documents(spark, sf_dir, "doc_id", "text"))
+
+
 def op7_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(documents(spark, sf_dir, "doc_id", "text"))
 
@@ -132,6 +137,7 @@ QUERIES = {
     "op3_near_dedup": op3_near_dedup,
     "op4_quality": op4_quality,
     "op5_chat_format": op5_chat_format,
+    "op6_katz_score": op6_katz_score,
     "op7_fingerprint": op7_fingerprint,
     "op8_mix": op8_mix,
     "op9_substring_dedup": op9_substring_dedup,
