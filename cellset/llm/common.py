@@ -41,10 +41,21 @@ def byte_text(column: str) -> Column:
     return F.col(column).cast("binary")
 
 
-def batches(fn, iterator: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+#: Bytes of one Arrow batch. Tasks hold a batch several times over (in both processes, and as Python objects).
+BATCH_BYTES = 8 << 20
+
+
+def in_small_batches(df: DataFrame) -> DataFrame:
+    """``df`` itself; its session sends at most ``BATCH_BYTES`` (and one row at least) to a Python task at once."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df
+
+
+def slices(iterator: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """Small pieces of Arrow batches, for tasks whose output is larger than their input."""
     for batch in iterator:
-        if batch.num_rows:
-            yield fn(batch)
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
 def uniform(seed: str, *columns: str) -> Column:

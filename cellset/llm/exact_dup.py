@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cellset.llm.common import ascii_lower, byte_text, fresh, texts_of
+from cellset.llm.common import ascii_lower, byte_text, fresh, in_small_batches, texts_of
 from cellset.session import materialize
 
 COUNTERS = 4096
@@ -65,7 +65,7 @@ def marked_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     results = ["keep_id", "group_size", "kept", "text_sha256"]
     clash = [c for c in df.columns if c.lower() in results and c not in (id_col, text_col)]
-    df = df.drop(*clash)
+    df = in_small_batches(df.drop(*clash))
     carry = [c for c in (carry or df.columns) if c in df.columns]
     digest, heavy_key, heavy_n, heavy_id, place = fresh(df, "_digest", "_heavy", "_heavy_n", "_heavy_id", "_place")
     with_digest = df.withColumn(digest, text_digest(byte_text(text_col)))

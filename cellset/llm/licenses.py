@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellset.llm.common import byte_text, texts_of
+from cellset.llm.common import byte_text, in_small_batches, texts_of
 
 #: SPDX names and short notices by which texts declare these licences.
 TEMPLATES = (
@@ -98,5 +98,5 @@ def license_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                                              [id_col, "line", "license", "dice"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(F.col(id_col), byte_text(text_col).alias("_text")).mapInArrow(
+    return in_small_batches(df).select(F.col(id_col), byte_text(text_col).alias("_text")).mapInArrow(
         run, f"`{id_col}` {kind}, line long, license string, dice double")

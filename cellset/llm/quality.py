@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cellset.llm.common import byte_text, fresh, texts_of
+from cellset.llm.common import byte_text, fresh, in_small_batches, texts_of
 from cellset.session import materialize
 
 FEATURES = ("words", "word_bytes", "spread_of_word_bytes", "upper", "symbols", "digits", "variety", "top_word", "repeats_before",
@@ -159,7 +159,7 @@ def training_rows(features: DataFrame, labels: DataFrame, id_col: str, label_col
 
 def featured(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Written table ``id, features`` with one row per row of ``df``; NULL text counts as empty."""
-    return materialize(df.select(F.col(id_col), features_of(byte_text(text_col)).alias("features")))
+    return materialize(in_small_batches(df).select(F.col(id_col), features_of(byte_text(text_col)).alias("features")))
 
 
 def scored(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
