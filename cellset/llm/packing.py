@@ -21,20 +21,31 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from cellset.llm.common import byte_text, fresh, texts_of
+from cellset.llm.common import byte_text, fresh, in_small_batches, texts_of
 from cellset.session import materialize
 
 CAPACITY = 2048
 TOKENIZER = "word_bpe_49k.json"
 #: Words kept with their ids in one Python worker (about 200 bytes each).
-CACHED_WORDS = 400_000
+CACHED_WORDS = 600_000
 PIECES = "piece int, start long, length long, ids_crc32 long"
 
 
+#: ASCII marks; a run of them after a letter or digit is a piece of its own for the default tokenizer.
+MARKS = bytes(c for c in range(33, 127) if not chr(c).isalnum())
+
+
+def ends_alphanumeric(word: bytes) -> bool:
+    """Whether the last character is a digit or a letter of basic Latin, its supplement or extensions."""
+    last = word[-1:] if word[-1:] < b"\x80" else word.decode()[-1].encode()
+    return last.isalnum() or (len(last) == 2 and last.decode().isalpha() and last.decode() < "\u0250")
+
+
 class WordIds(dict):
     """Token ids of one white-space-free word as little-endian unsigned 32-bit bytes, remembered.
 
-    Only for tokenizers whose pieces never span ASCII white space and that lower-case A-Z, as the default one.
+    Only for tokenizers that treat texts as the default one: pieces never span ASCII white space, A-Z are lower-cased, and a
+    run of ASCII letters is one piece that normalisation leaves alone.
     """
 
     def __init__(self, path: str):
@@ -42,10 +53,14 @@ class WordIds(dict):
         self.tokenizer = Tokenizer.from_file(path)
         # a text that spells a special token is ordinary text
         self.tokenizer.encode_special_tokens = True
+        self.model = self.tokenizer.model
 
     def __missing__(self, word: bytes) -> bytes:
-        if len(word) > 1 and word[-1:] in b".,;:!?" and word[-2:-1].isalnum():
-            ids = self[word[:-1]] + self[word[-1:]]  # a mark after a letter or digit is a piece of its own
+        stem = word.rstrip(MARKS)
+        if word.isalpha():
+            ids = np.array([t.id for t in self.model.tokenize(word.decode())], "<u4").tobytes()
+        elif len(stem) < len(word) and ends_alphanumeric(stem):
+            ids = self[stem] + self[word[len(stem):]]
         else:
             ids = np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
         self[word] = ids
@@ -86,7 +101,7 @@ def pieces_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", cap
                 [id_col, "piece", "start", "length", "ids_crc32"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(id_col, byte_text(text_col).alias("_text")).mapInArrow(run, f"`{id_col}` {kind}, {PIECES}")
+    return in_small_batches(df).select(id_col, byte_text(text_col).alias("_text")).mapInArrow(run, f"`{id_col}` {kind}, {PIECES}")
 
 
 def fullest(room: int, counts: dict[int, int]) -> list[int]:
