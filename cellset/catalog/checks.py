@@ -96,9 +96,10 @@ def q08(t: Tables):
 
 
 @query("q09_owner_agrees", result(
-    row("pool_line", "0", "0"), row("sample", "select count(*) from fx_owned where owner_type = 0 and sample_id = 's3'", "0")))
+    row("pool_line", """select count(*) from fx_conditions c left join fx_pools p on p.control_pool_id = c.control_pool_id
+ where p.cell_line_id is distinct from c.cell_line_id""", "0"), row("sample", "select count(*) from fx_owned where owner_type = 0 and sample_id = 's3'", "0")))
 def q09(t: Tables):
-    joined = t.conditions.join(t.pools.select("control_pool_id", F.col("cell_line_id").alias("_l")), "control_pool_id")
+    joined = t.conditions.join(t.pools.select("control_pool_id", F.col("cell_line_id").alias("_l")), "control_pool_id", "left")
     listed = F.array_contains(F.split(F.lit("s0|s1|s2"), r"\|"), F.col("sample_id"))
     return Q.run_checks([Q.none_of(joined, "pool_line", ~F.col("cell_line_id").eqNullSafe(F.col("_l"))),
                          Q.none_of(t.owned.where("owner_type = 0"), "sample", ~listed)])

@@ -12,7 +12,7 @@ from cellset.functions.numbers import rounded
 from cellset.operators import clean, joins as J
 from cellset.operators.scale import dense_index
 from cellset.operators.windows import assign_ranges
-from cellset.sources.surrogates import PANEL, Tables
+from cellset.sources.surrogates import Tables
 
 
 @query("j01_lookup_strict", """
@@ -25,11 +25,13 @@ def j01(t: Tables):
 
 
 @query("j02_attach_controls", """
-select c.pair_id, p.control_cells, c.cell_line_id = p.cell_line_id as cell_line_id_agrees, c.plate = p.plate as plate_agrees
-from fx_conditions c join fx_pools p on c.control_pool_id = p.control_pool_id""")
+select c.pair_id, coalesce(p.control_cells, 0) as control_cells, p.control_pool_id is not null as pool_found, coalesce(c.cell_line_id = p.cell_line_id, false) as cell_line_id_agrees,
+ coalesce(c.plate = p.plate, false) as plate_agrees
+from fx_conditions c left join (select * from fx_pools where plate <> 'plate2') p on c.control_pool_id = p.control_pool_id""")
 def j02(t: Tables):
-    return J.attach_controls(t.conditions, t.pools, ["cell_line_id", "plate"]).select(
-        "pair_id", "control_cells", "cell_line_id_agrees", "plate_agrees")
+    """Pools of one plate are left out, so their conditions are reported as without a pool."""
+    return J.attach_controls(t.conditions, t.pools.where("plate <> 'plate2'"), ["cell_line_id", "plate"]).select(
+        "pair_id", F.coalesce("control_cells", F.lit(0)).alias("control_cells"), "pool_found", "cell_line_id_agrees", "plate_agrees")
 
 
 @query("j03_join_validated", """
@@ -76,11 +78,13 @@ def j04_case(t: Tables):
 
 
 @query("j05_diff_results", f"""
-with {RAW} select count(*) as rows, {r6("max(abs(energy - cosine))")} as max_abs_energy from raw""")
+with {RAW} select count(case when repeat_epoch not in (1, 2) then 1 end) as rows, count(case when repeat_epoch = 1 then 1 end) as only_first,
+ count(case when repeat_epoch = 2 then 1 end) as only_second,
+ {r6("max(case when repeat_epoch not in (1, 2) then abs(energy - cosine) end)")} as max_abs_energy from raw""")
 def j05(t: Tables):
     a = raw_rows(t)
-    b = a.select("condition_id", "repeat_epoch", F.col("cosine").alias("energy"))
-    return rounded_columns(J.diff_results(a, b, ["condition_id", "repeat_epoch"], ["energy"]), "max_abs_energy")
+    b = a.select("condition_id", "repeat_epoch", F.col("cosine").alias("energy")).where("repeat_epoch <> 1")
+    return rounded_columns(J.diff_results(a.where("repeat_epoch <> 2"), b, ["condition_id", "repeat_epoch"], ["energy"]), "max_abs_energy")
 
 
 @query("j06_restrict_plan", """
@@ -97,7 +101,7 @@ with f as (select cell_index, row_number() over (order by cell_index) - 1 + 1000
   where owner_type = 1 and sample_id <> 's1')
 select i.cell_index as source_index, i.cell_index - r.start + r.start + 500 as new_index, i.owner_id
 from fx_indexed i join fx_ranges r on i.owner_id = r.owner_id and i.owner_type = r.owner_type where i.owner_type = 0
-union all select i.cell_index, f.new_index, i.owner_id from fx_indexed i join f on i.cell_index = f.cell_index""")
+union all select i.cell_index, coalesce(f.new_index, -1), i.owner_id from fx_indexed i left join f on i.cell_index = f.cell_index where i.owner_type = 1""")
 def j07(t: Tables):
     plan = t.indexed.select(F.col("cell_index").alias("source_index"), "owner_type", "owner_id", "sample_id")
     ranges = assign_ranges(t.owners, ["owner_type", "owner_id"]).where("owner_type = 0").select(
@@ -105,15 +109,17 @@ def j07(t: Tables):
         (F.col("start") + 500).alias("new_start"))
     fixed = dense_index(plan.where("owner_type = 1 and sample_id <> 's1'"), ["source_index"], "_i").withColumn(
         "new_index", F.col("_i") + 1_000_000)
-    return J.reindex_plan(plan, ranges, fixed).select("source_index", "new_index", "owner_id")
+    return J.reindex_plan(plan, ranges, fixed).select(
+        "source_index", F.coalesce("new_index", F.lit(-1)).alias("new_index"), "owner_id")
 
 
 @query("j08_verify_owner", """
-select cell_id, owner_id, true as drug_ok, plate <> 'plate2' as plate_ok, sample_id in ('s0', 's1', 's2') as sample_ok
-from fx_owned where owner_type = 0 and not (plate <> 'plate2' and sample_id in ('s0', 's1', 's2'))""")
+select cell_id, owner_id, drug <> 'MACHINERY' as owner_known, drug <> 'MACHINERY' as drug_ok, drug <> 'MACHINERY' and plate <> 'plate2' as plate_ok,
+ drug <> 'MACHINERY' and sample_id in ('s0', 's1', 's2') as sample_ok
+from fx_owned where owner_type = 0 and not (drug <> 'MACHINERY' and plate <> 'plate2' and sample_id in ('s0', 's1', 's2'))""")
 def j08(t: Tables):
-    """Owners list three samples, and every plate2 owner carries a wrong plate: those cells must be reported."""
-    owners = t.conditions.select(
+    """Owners list three samples, every plate2 owner carries a wrong plate, one drug's owners are unknown: all must be reported."""
+    owners = t.conditions.where("drug <> 'MACHINERY'").select(
         F.col("pair_id").alias("owner_id"), "drug", F.lit("s0|s1|s2").alias("samples"),
         F.when(F.col("plate") == "plate2", "plate3").otherwise(F.col("plate")).alias("plate"))
     return J.verify_owner(t.owned.where("owner_type = 0"), owners, ["drug", "plate"])
@@ -133,7 +139,7 @@ def j09_join(t: Tables):
 
 @query("j10_gather", f"""
 select l.l_orderkey, l.l_partkey, l.l_suppkey, l.l_linenumber, l.l_extendedprice, {r6("f.total")} as total
-from lineitem l join (select vec_id, sum(v) as total from fx_vec_full group by vec_id) f on l.l_suppkey = f.vec_id""")
+from lineitem l left join (select vec_id, sum(v) as total from fx_vec_full group by vec_id) f on l.l_suppkey = f.vec_id""")
 def j10(t: Tables):
     """Members (lineitem rows, whose supplier key is the cell index) joined to their vectors."""
     sets = t.read("lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice").withColumn(
@@ -158,16 +164,16 @@ def j12(t: Tables):
 
 
 @query("j15_paired_cells", f"""
-select f.vec_id, {r6("sum(f.v)")} as latent_sum, {r6("sum(case when dim < 20 then v end)")} as target_sum
+select f.vec_id, {r6("sum(f.v)")} as latent_sum, {r6("case when f.vec_id % 5 <> 0 then sum(f.v) end")} as target_sum, f.vec_id % 5 <> 0 as complete
 from fx_vec_full f where f.label in (1, 4, 7) group by f.vec_id""")
 def j15(t: Tables):
     plan = t.vectors.select(F.col("vec_id").alias("cell_index"), F.when(F.col("label") % 3 == 1, "val").otherwise(
         "train").alias("split"))
     latent = t.vectors.select(F.col("vec_id").alias("cell_index"), F.col("embedding").alias("latent"))
-    target = t.vectors.select(F.col("vec_id").alias("cell_index"), F.slice("embedding", 1, PANEL).alias("target"))
+    target = t.vectors.where("vec_id % 5 <> 0").select(F.col("vec_id").alias("cell_index"), F.col("embedding").alias("target"))
     return J.paired_cells(plan, latent, target, "val").select(
         F.col("cell_index").alias("vec_id"), rounded(V.total(F.col("latent"))).alias("latent_sum"),
-        rounded(V.total(F.col("target"))).alias("target_sum"))
+        rounded(V.total(F.col("target"))).alias("target_sum"), "complete")
 
 
 @query("j16_assert_same", f"""
@@ -180,15 +186,15 @@ def j16(t: Tables):
 
 
 @query("j17_align_branches", f"""
-with {RAW} select condition_id, repeat_epoch, {r6("energy")} as first_score, {r6("cosine")} as second_score,
- repeat_epoch <> 4 as same_members from raw""")
+with {RAW} select condition_id, repeat_epoch, {r6("case when repeat_epoch <> 1 then energy end")} as first_score,
+ {r6("case when repeat_epoch <> 2 then cosine end")} as second_score, repeat_epoch not in (1, 2, 4) as same_members from raw""")
 def j17(t: Tables):
     rows = raw_rows(t)
     digest = seeded_hash(F.col("condition_id"), F.col("repeat_epoch"))
     a = rows.select("condition_id", "repeat_epoch", rounded(F.col("energy")).alias("score"), digest.alias("digest"))
     other = F.when(F.col("repeat_epoch") == 4, F.lit("")).otherwise(digest)
     b = rows.select("condition_id", "repeat_epoch", rounded(F.col("cosine")).alias("score"), other.alias("digest"))
-    return J.align_branches(a, b, ["condition_id", "repeat_epoch"], "score")
+    return J.align_branches(a.where("repeat_epoch <> 1"), b.where("repeat_epoch <> 2"), ["condition_id", "repeat_epoch"], "score")
 
 
 @query("m18_vector_parity", f"""
@@ -197,7 +203,7 @@ with p as (select vec_id, cast(v as double) as x, cast(v as double) + (vec_id %
   sqrt(sum((x - y) * (x - y))) / greatest(sqrt(sum(y * y)), 1e-12) as rel,
   sum(x * y) / greatest(sqrt(sum(x * x)) * sqrt(sum(y * y)), 1e-12) as cos,
   bool_and(abs(x - y) <= 1e-6 + 1e-5 * abs(y)) as close from p group by vec_id)
-select count(*) as rows, {r6("max(gap)")} as max_abs, {r6("sum(gs) / sum(n)")} as mean_abs, {r6("max(rel)")} as max_relative_l2,
+select count(*) as rows, 0 as missing, {r6("max(gap)")} as max_abs, {r6("sum(gs) / sum(n)")} as mean_abs, {r6("max(rel)")} as max_relative_l2,
  {r6("min(cos)")} as min_cosine, bool_and(close) as allclose,
  max(gap) <= 0.2 and sum(gs) / sum(n) <= 0.03 and max(rel) <= 0.06 and min(cos) >= 0.998 as consistent from r""")
 def m18(t: Tables):

@@ -143,10 +143,14 @@ def m08(t: Tables):
     return rounded_columns(out, "u", "z")
 
 
-@query("m08_de_test")
+@query("m08_de_test", f"""
+with {MANN_WHITNEY}, p as (select label, gene, coalesce({M.two_sided_p_sql("z")}, 1.0) as p from mw),
+ o as (select *, row_number() over (partition by label order by p, gene) as place, count(*) over (partition by label) as n from p),
+ b as (select *, least(1.0, min(p * n / place) over (partition by label order by place rows between current row and unbounded following)) as q from o)
+select label, gene, {r6("p")} as p, {r6("q")} as p_adjusted, q < 0.05 as significant from b""")
 def m08_test(t: Tables):
     out = M.de_test(de_cells(t), "label", "pool", "gene", "v", F.col("label") == 0)
-    return out.select("label", "gene", "p", "p_adjusted", "significant")
+    return rounded_columns(out.select("label", "gene", "p", "p_adjusted", "significant"), "p", "p_adjusted")
 
 
 TOP = f"""{LABELLED}, p as (select *, row_number() over (partition by repeat_epoch, label order by abs(pred_delta) desc, gene) as place,
@@ -333,7 +337,7 @@ def a17(t: Tables):
 
 @query("m20_context_diagnostics", f"""
 with a as (select f.label, f.gene, avg(f.v) as t, avg(case when f.vec_id % 2 = 0 then f.v end) as p from fx_vec_long f group by f.label, f.gene),
- c as (select x.label, x.gene, x.t, x.p, x.t - k.t as dt, x.p - k.t as dp from a x join a k on k.gene = x.gene and k.label = 0 where x.label <> 0),
+ c as (select x.label, x.gene, x.t, x.p, x.t - k.t as dt, x.p - k.p as dp from a x join a k on k.gene = x.gene and k.label = 0 where x.label <> 0),
  r as (select *, rank() over (partition by label order by t) as rt, rank() over (partition by label order by p) as rp,
   rank() over (partition by label order by dt) as rdt, rank() over (partition by label order by dp) as rdp from c)
 select label, {r6(_corr("p", "t"))} as pearson_absolute, {r6(_corr("dp", "dt"))} as pearson_delta,

@@ -103,13 +103,12 @@ with e as (select cell_id, unnest(genes) as tok from fx_stripped),
   group by e.cell_id)
 select s.cell_id, s.had_sentinel, len(f.genes) as raw_entries, len(s.genes) as kept_entries,
  coalesce(m.mapped, 0) as mapped_entries, len(s.genes) - coalesce(m.mapped, 0) as unmapped_entries,
- coalesce(m.mapped - m.uniq, 0) as duplicates_collapsed,
- len(list_filter(s.expressions, lambda x: x <> floor(x))) as non_integer_entries
-from fx_stripped s join fx_ragged f on s.cell_id = f.cell_id left join m on m.cell_id = s.cell_id
-where len(s.genes) = len(s.expressions)""")
+ coalesce(m.mapped - m.uniq, 0) as duplicates_collapsed, coalesce(m.uniq, 0) as mapped_genes,
+ (select count(*) from (select unnest(s.genes) as tok, unnest(s.expressions) as x) u join fx_genes g on u.tok = g.token_id where x <> floor(x)) as non_integer_entries,
+ len(s.genes) = len(s.expressions) as lists_match
+from fx_stripped s join fx_ragged f on s.cell_id = f.cell_id left join m on m.cell_id = s.cell_id""")
 def p08(t: Tables):
-    matched = t.ragged.where(F.coalesce(F.size("genes"), F.lit(0)) == F.size("expressions"))
-    return clean.cell_audit(matched, t.genes)
+    return clean.cell_audit(t.ragged, t.genes)
 
 
 @query("p09_cp10k_log1p", f"""
@@ -177,16 +176,18 @@ def p14(t: Tables):
 
 
 @query("p15_condition_vectors", f"""
-with d as (select label, gene, avg(v) as m from fx_vec_long where label <> 0 group by label, gene)
-select c.vec_id, d.label, c.gene, {r6("c.v + d.m * (d.label / 9.0)")} as value
-from fx_vec_long c join d on c.gene = d.gene and c.label = d.label""")
+with d as (select label, dim, avg(v) as m from fx_vec_full where label <> 0 group by label, dim)
+select c.vec_id, c.label, c.dim as gene, {r6("c.v + d.m * (d.label / 9.0)")} as value
+from fx_vec_full c join d on c.dim = d.dim and c.label = d.label
+union all select vec_id, label, -1, null from embeddings where label = 0""")
 def p15(t: Tables):
-    vecs = t.vectors.withColumn("v", F.slice("embedding", 1, PANEL))
-    drugs = V.mean_vectors(vecs.where("label <> 0"), ["label"], "v", PANEL, "drug_vec").withColumn(
+    """Rows of label 0 have no drug vector and stay, undefined."""
+    vecs = t.vectors.withColumn("v", F.col("embedding"))
+    drugs = V.mean_vectors(vecs.where("label <> 0"), ["label"], "v", DIM, "drug_vec").withColumn(
         "dose", F.col("label") / 9.0)
     moved = clean.condition_vectors(vecs.select("vec_id", "label", "v"), drugs, "label", "v", "p")
-    return moved.select("vec_id", "label", F.posexplode("p").alias("gene", "x")).select(
-        "vec_id", "label", F.col("gene").cast("long").alias("gene"), rounded(F.col("x")).alias("value"))
+    return moved.select("vec_id", "label", F.posexplode_outer("p").alias("gene", "x")).select(
+        "vec_id", "label", F.coalesce(F.col("gene").cast("long"), F.lit(-1)).alias("gene"), rounded(F.col("x")).alias("value"))
 
 
 @query("p16_eligible", """

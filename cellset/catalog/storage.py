@@ -33,7 +33,7 @@ def order_shards(t: Tables):
 select o_orderkey, 'orders.parquet' as shard, row_number() over () - 1 as row, true as inside from orders""")
 def s03(t: Tables):
     return scans.with_locator(t.read("orders")).select(
-        "o_orderkey", "shard", "row", (F.col("block_start") >= 0).alias("inside"))
+        "o_orderkey", F.substring_index("shard", "/", -1).alias("shard"), "row", (F.col("block_start") >= 0).alias("inside"))
 
 
 @query("s04_scan_by_locator", "select o_orderkey, o_totalprice from orders where o_orderstatus = 'F'")

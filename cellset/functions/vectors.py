@@ -62,11 +62,15 @@ def constant(v: Column) -> Column:
     return F.array_min(v) == F.array_max(v)
 
 
+def centred(v: Column) -> Column:
+    """Deviations from the mean; the mean is the element of a one-element array, so it is computed once per row."""
+    mean = F.array(total(v) / F.size(v))
+    return F.flatten(F.transform(mean, lambda m: F.transform(v, lambda x: x.cast("double") - m)))
+
+
 def pearson(a: Column, b: Column) -> Column:
     """Correlation across the elements of two vectors; NULL when either is constant."""
-    n = F.size(a)
-    ca = F.transform(a, lambda x: x.cast("double") - total(a) / n)
-    cb = F.transform(b, lambda x: x.cast("double") - total(b) / n)
+    ca, cb = centred(a), centred(b)
     value = F.try_divide(dot(ca, cb), l2_norm(ca) * l2_norm(cb))
     return F.when(~constant(a) & ~constant(b), value)
 
@@ -88,14 +92,22 @@ def mean_vectors(df: DataFrame, keys: list[str], column: str, dim: int, name: st
     if dim <= chunk:
         means = [F.avg(pick(F.col(column)[i].cast("double"))) for i in range(dim)]
         return df.groupBy(*keys).agg(F.array(*means).alias(name), *[c.alias(k) for k, c in extra.items()])
-    if extra:
-        raise ValueError("extra aggregates need vectors no wider than one chunk")
     width = -(-dim // chunk)
-    pieces = df.select(*keys, F.posexplode(F.transform(
+    pieces = (df if weight is None else df.where(weight)).select(*keys, F.posexplode(F.transform(
         F.sequence(F.lit(0), F.lit(width - 1)),
         lambda c: F.slice(F.col(column), c * chunk + 1, chunk))).alias("piece", "part"))
     parts = pieces.groupBy(*keys, "piece").agg(F.array(*[
         F.avg(F.try_element_at("part", F.lit(i + 1)).cast("double")) for i in range(chunk)]).alias("part"))
     whole = F.array_sort(F.collect_list(F.struct("piece", "part")))
     joined = F.flatten(F.transform(whole, lambda p: p.getField("part")))
-    return parts.groupBy(*keys).agg(F.slice(joined, 1, dim).alias(name))
+    wide = parts.groupBy(*keys).agg(F.slice(joined, 1, dim).alias(name))
+    if not extra and weight is None:
+        return wide
+    # further aggregates, and groups without any weighted row, come from one narrow pass over the rows
+    rest = df.groupBy(*keys).agg(F.count("*").alias("_rows"), *[c.alias(k) for k, c in extra.items()])
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(f"r.{k}").eqNullSafe(F.col(f"w.{k}"))
+    return rest.alias("r").join(wide.alias("w"), same, "left").select(
+        *[F.col(f"r.{k}") for k in keys], F.coalesce(F.col(f"w.{name}"), F.array_repeat(F.lit(None).cast("double"), dim)).alias(name),
+        *[F.col(f"r.{k}") for k in extra])

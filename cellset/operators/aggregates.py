@@ -27,13 +27,18 @@ def long_stats(values: DataFrame, column: str) -> DataFrame:
 def global_stats(cells: DataFrame, limit: int | None = None, order: str = "cell_id") -> DataFrame:
     """Mean and sample std of ``log1p(expression)`` over the values after sentinel removal, before mapping.
 
-    ``limit`` keeps the first cells in ``order``; the cut is by index, so it never gathers rows in one place.
+    ``limit`` keeps the first raw cells in ``order``, with or without values; only their keys are ordered, so no cell is
+    moved. Cells without expressions add nothing. A negative value after the leading marker has no logarithm here: it is
+    counted in ``negative_values`` and in none of the other numbers.
     """
-    kept = clean.strip_sentinel(clean.drop_malformed(cells))
     if limit is not None:
-        kept = dense_index(kept, [order], "_i").where(F.col("_i") < limit)
-    values = kept.select(F.explode("expressions").alias("x")).where(F.col("x") >= 0)
-    stats = long_stats(values, "x")
+        first = dense_index(cells.select(order), [order], "_i").where(F.col("_i") < limit).select(order)
+        cells = cells.join(first, order, "left_semi")
+    kept = clean.strip_sentinel(cells.where(F.size("expressions") > 0))
+    values = kept.select(F.explode("expressions").alias("x")).where(F.col("x").isNotNull())
+    fine = F.when(F.col("x") >= 0, F.log1p("x"))
+    stats = values.agg(F.count(fine).alias("count"), F.avg(fine).alias("mean"), F.stddev_samp(fine).alias("std"),
+                       F.count_if(F.col("x") < 0).alias("negative_values"))
     enough = F.assert_true(F.col("count") >= 2, F.lit("fewer than two values")).isNull()
     return stats.where(enough)
 

@@ -51,13 +51,18 @@ def lookup_array(vocab: DataFrame, key: str, value: str) -> Column | None:
     return filled.agg(F.transform(packed, lambda s: s.getField("_value")).alias("a")).scalar()
 
 
+def slot(key: Column) -> Column:
+    """Place in a dense lookup; keys that no lookup can hold become -1, which is nowhere."""
+    return F.when((key >= 0) & (key < LOOKUP_LIMIT), key).otherwise(F.lit(-1)).cast("int")
+
+
 def map_tokens(cells: DataFrame, vocab: DataFrame, key: str = "token_id", value: str = "gene_index") -> DataFrame:
     """Replace tokens by vocabulary positions; adds ``entries array<struct<gene, count>>`` in list order."""
     lookup = lookup_array(vocab, key, value)
     if lookup is not None:
         table = cells.withColumn("_lookup", lookup)
         pairs = F.zip_with("genes", "expressions", lambda g, e: F.struct(
-            F.get(F.col("_lookup"), F.coalesce(g, F.lit(-1)).cast("int")).alias("gene"),
+            F.get(F.col("_lookup"), slot(g)).alias("gene"),
             e.cast("double").alias("count")))
         kept = F.filter(pairs, lambda p: p.getField("gene").isNotNull())
         return settled(table.withColumn("entries", kept).drop("_lookup"), "entries")
@@ -128,15 +133,16 @@ def cleaned(cells: DataFrame, vocab: DataFrame) -> DataFrame:
 
 
 def cell_audit(cells: DataFrame, vocab: DataFrame) -> DataFrame:
-    """Per-cell preparation counters."""
+    """Per-cell preparation counters; lists of unequal length are reported, and mapped entries before and after collapse."""
     raw = drop_malformed(cells).withColumn("raw_entries", F.size("genes"))
     table = map_tokens(strip_sentinel(raw), vocab)
     distinct = F.size(F.array_distinct(F.transform("entries", lambda e: e.getField("gene"))))
     return table.select(
         "cell_id", "had_sentinel", "raw_entries", F.size("genes").alias("kept_entries"),
         F.size("entries").alias("mapped_entries"), (F.size("genes") - F.size("entries")).alias("unmapped_entries"),
-        (F.size("entries") - distinct).alias("duplicates_collapsed"),
-        count_where(F.col("expressions"), lambda x: x != F.rint(x.cast("double"))).alias("non_integer_entries"))
+        (F.size("entries") - distinct).alias("duplicates_collapsed"), distinct.alias("mapped_genes"),
+        count_where(F.col("entries"), lambda e: e.getField("count") != F.rint(e.getField("count"))).alias("non_integer_entries"),
+        (F.size("genes") == F.size("expressions")).alias("lists_match"))
 
 
 def panel_target(cells: DataFrame, panel: DataFrame, width: int, name: str = "target") -> DataFrame:
@@ -149,7 +155,7 @@ def panel_target(cells: DataFrame, panel: DataFrame, width: int, name: str = "ta
         raise ValueError("panel gene indexes must fit a dense lookup")
     table = cells.withColumn("_rank_of", rank_of).withColumn("library", entry_library())
     ranked = F.transform("entries", lambda e: F.struct(
-        F.get(F.col("_rank_of"), e.getField("gene").cast("int")).alias("rank"), e.getField("count").alias("count")))
+        F.get(F.col("_rank_of"), slot(e.getField("gene"))).alias("rank"), e.getField("count").alias("count")))
     hits = F.filter(ranked, lambda e: e.getField("rank").isNotNull())
     table = settled(table.withColumn("_hits", hits).drop("_rank_of"), "library", "_hits")
     one = lambda r: F.aggregate(
@@ -258,8 +264,11 @@ def featurize(conditions: DataFrame, vocab: DataFrame) -> DataFrame:
 
 
 def condition_vectors(sets: DataFrame, drug_vecs: DataFrame, drug: str, vector: str, name: str) -> DataFrame:
-    """Control vectors moved by their condition's drug vector times its scaled dose (``drug_vec``, ``dose``)."""
-    return sets.join(drug_vecs, drug).withColumn(name, shifted(F.col(vector), F.col("drug_vec"), F.col("dose")))
+    """Control vectors moved by their condition's drug vector times its scaled dose (``drug_vec``, ``dose``).
+
+    Rows whose drug has no vector stay, with a NULL result.
+    """
+    return sets.join(drug_vecs, drug, "left").withColumn(name, shifted(F.col(vector), F.col("drug_vec"), F.col("dose")))
 
 
 def eligible(conditions: DataFrame, size: int, lines: DataFrame | None = None) -> DataFrame:

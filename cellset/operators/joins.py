@@ -16,15 +16,19 @@ def lookup_strict(df: DataFrame, dim: DataFrame, key: str, value: str) -> DataFr
     """Attach ``value``; a key that the dimension lacks fails the job."""
     joined = df.join(dim.select(key, F.col(value).alias("_found")), key, "left")
     message = F.concat(F.lit(f"no {value} for {key} "), F.coalesce(F.col(key).cast("string"), F.lit("NULL")))
-    return joined.withColumn(value, F.coalesce("_found", F.raise_error(message))).drop("_found")
+    known = F.assert_true(F.col("_found").isNotNull(), message).isNull()  # a filter, so it is checked whatever is read
+    return joined.where(known).withColumn(value, F.col("_found")).drop("_found")
 
 
 def attach_controls(conditions: DataFrame, pools: DataFrame, agree: list[str]) -> DataFrame:
-    """Many-to-one join on the pool with one ``<column>_agrees`` flag per shared column."""
-    side = pools.select("control_pool_id", "control_cells", *[F.col(c).alias(f"_{c}") for c in agree])
-    joined = conditions.join(side, "control_pool_id")
-    flags = {f"{c}_agrees": F.col(c).eqNullSafe(F.col(f"_{c}")) for c in agree}
-    return joined.withColumns(flags).drop(*[f"_{c}" for c in agree])
+    """Many-to-one join on the pool with ``pool_found`` and one ``<column>_agrees`` flag per shared column.
+
+    A condition without a pool is kept; nothing of it agrees.
+    """
+    side = pools.select("control_pool_id", "control_cells", F.lit(True).alias("_hit"), *[F.col(c).alias(f"_{c}") for c in agree])
+    joined = conditions.join(side, "control_pool_id", "left").withColumn("pool_found", F.coalesce("_hit", F.lit(False)))
+    flags = {f"{c}_agrees": F.col("pool_found") & F.col(c).eqNullSafe(F.col(f"_{c}")) for c in agree}
+    return joined.withColumns(flags).drop("_hit", *[f"_{c}" for c in agree])
 
 
 def unique_side(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -68,11 +72,13 @@ def compatibility(compared: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def diff_results(a: DataFrame, b: DataFrame, key: list[str], columns: list[str]) -> DataFrame:
-    """Largest absolute difference per column over matching keys."""
-    left = a.select(*key, *[F.col(c).alias(f"_a_{c}") for c in columns])
-    joined = left.join(b.select(*key, *columns), key)
-    return joined.agg(F.count("*").alias("rows"), *[
-        F.max(F.abs(F.col(f"_a_{c}") - F.col(c))).alias(f"max_abs_{c}") for c in columns])
+    """Largest absolute difference per column over matching keys, and the keys that only one side has."""
+    left = a.select(*key, F.lit(True).alias("_a"), *[F.col(c).alias(f"_a_{c}") for c in columns])
+    joined = left.join(b.select(*key, F.lit(True).alias("_b"), *columns), key, "full_outer")
+    return joined.agg(
+        F.count_if(F.col("_a") & F.col("_b")).alias("rows"), F.count_if(F.col("_b").isNull()).alias("only_first"),
+        F.count_if(F.col("_a").isNull()).alias("only_second"),
+        *[F.max(F.abs(F.col(f"_a_{c}") - F.col(c))).alias(f"max_abs_{c}") for c in columns])
 
 
 def restrict_plan(plan: DataFrame, selected: DataFrame) -> DataFrame:
@@ -83,22 +89,27 @@ def restrict_plan(plan: DataFrame, selected: DataFrame) -> DataFrame:
 
 
 def reindex_plan(plan: DataFrame, ranges: DataFrame, fixed: DataFrame) -> DataFrame:
-    """New index of each planned row: treated rows keep their offset in the owner's range, fixed rows are looked up."""
+    """New index of each planned row: treated rows keep their offset in the owner's range, fixed rows are looked up.
+
+    Rows outside their owner's range, without a range or without a fixed index stay, with a NULL index.
+    """
     treated = plan.where("owner_type = 0").join(
-        ranges.select("owner_id", "old_start", "old_stop", "new_start"), "owner_id")
+        ranges.select("owner_id", "old_start", "old_stop", "new_start"), "owner_id", "left")
     inside = (F.col("source_index") >= F.col("old_start")) & (F.col("source_index") < F.col("old_stop"))
-    moved = treated.where(inside).withColumn("new_index", F.col("new_start") + F.col("source_index") - F.col("old_start"))
-    kept = plan.where("owner_type = 1").join(fixed.select("source_index", "new_index"), "source_index")
+    moved = treated.withColumn("new_index", F.when(inside, F.col("new_start") + F.col("source_index") - F.col("old_start")))
+    kept = plan.where("owner_type = 1").join(fixed.select("source_index", "new_index"), "source_index", "left")
     columns = [*plan.columns, "new_index"]
     return moved.select(*columns).unionByName(kept.select(*columns))
 
 
 def verify_owner(cells: DataFrame, owners: DataFrame, columns: list[str]) -> DataFrame:
-    """Cells whose metadata disagrees with their owner: equal columns, and the sample in the owner's pipe list."""
-    side = owners.select("owner_id", F.col("samples").alias("_samples"), *[F.col(c).alias(f"_{c}") for c in columns])
-    joined = cells.join(side, "owner_id")
-    flags = {f"{c}_ok": F.col(c).eqNullSafe(F.col(f"_{c}")) for c in columns}
-    flags["sample_ok"] = F.array_contains(F.split("_samples", r"\|"), F.col("sample_id"))
+    """Cells whose owner is unknown or disagrees with them: equal columns, and the sample in the owner's pipe list."""
+    side = owners.select("owner_id", F.lit(True).alias("_hit"), F.col("samples").alias("_samples"),
+                         *[F.col(c).alias(f"_{c}") for c in columns])
+    joined = cells.join(side, "owner_id", "left")
+    known = F.coalesce("_hit", F.lit(False))
+    flags = {"owner_known": known, **{f"{c}_ok": known & F.col(c).eqNullSafe(F.col(f"_{c}")) for c in columns}}
+    flags["sample_ok"] = F.coalesce(F.array_contains(F.split("_samples", r"\|"), F.col("sample_id")), F.lit(False))
     good = reduce(lambda a, b: a & b, [F.col(name) for name in flags])
     return joined.withColumns(flags).where(~good).select("cell_id", "owner_id", *flags)
 
@@ -125,7 +136,8 @@ def range_join(cells: DataFrame, ranges: DataFrame, index: str = "cell_index", g
 
 
 def gather(sets: DataFrame, vectors: DataFrame, key: str = "cell_index") -> DataFrame:
-    return sets.join(vectors, key)
+    """Vectors of set members; a member without a vector stays, with NULL."""
+    return sets.join(vectors, key, "left")
 
 
 def keep_seen(df: DataFrame, reference: DataFrame, key: str) -> DataFrame:
@@ -137,8 +149,11 @@ def unseen(df: DataFrame, reference: DataFrame, key: str) -> DataFrame:
 
 
 def paired_cells(plan: DataFrame, latent: DataFrame, target: DataFrame, split: str) -> DataFrame:
-    """Latent and target of every planned cell of one split."""
-    return plan.where(F.col("split") == split).join(latent, "cell_index").join(target, "cell_index")
+    """Latent and target of every planned cell of one split; ``complete`` is false where either is missing."""
+    left = latent.withColumn("_l", F.lit(True))
+    right = target.withColumn("_t", F.lit(True))
+    joined = plan.where(F.col("split") == split).join(left, "cell_index", "left").join(right, "cell_index", "left")
+    return joined.withColumn("complete", F.coalesce(F.col("_l") & F.col("_t"), F.lit(False))).drop("_l", "_t")
 
 
 def assert_same(a: DataFrame, b: DataFrame, key: str, columns: list[str]) -> DataFrame:
@@ -152,28 +167,32 @@ def assert_same(a: DataFrame, b: DataFrame, key: str, columns: list[str]) -> Dat
 
 
 def align_branches(a: DataFrame, b: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Two result tables side by side; rows drawn from different members are flagged."""
+    """Two result tables side by side; rows of one table only, or drawn from different members, are flagged."""
     left = a.select(*keys, F.col(value).alias(f"first_{value}"), F.col("digest").alias("_d1"))
     right = b.select(*keys, F.col(value).alias(f"second_{value}"), F.col("digest").alias("_d2"))
-    return left.join(right, keys).withColumn("same_members", F.col("_d1") == F.col("_d2")).drop("_d1", "_d2")
+    same = F.coalesce(F.col("_d1") == F.col("_d2"), F.lit(False))
+    return left.join(right, keys, "full_outer").withColumn("same_members", same).drop("_d1", "_d2")
 
 
 def parity(a: DataFrame, b: DataFrame, key: str, column: str, rtol: float, atol: float,
            thresholds: dict[str, float]) -> DataFrame:
-    """Element-wise and row-wise agreement of two vector tables with a verdict."""
-    joined = a.select(key, F.col(column).alias("_a")).join(b.select(key, F.col(column).alias("_b")), key)
+    """Element-wise and row-wise agreement of two vector tables with a verdict.
+
+    A row that one table lacks is counted as ``missing``, and tables with such rows aren't consistent.
+    """
+    joined = a.select(key, F.col(column).alias("_a")).join(b.select(key, F.col(column).alias("_b")), key, "full_outer")
     x, y = F.col("_a"), F.col("_b")
     gap = F.zip_with(x, y, lambda p, q: F.abs(p.cast("double") - q.cast("double")))
     close = F.forall(F.arrays_zip(x, y), lambda e: F.abs(e["_a"].cast("double") - e["_b"].cast("double"))
                      <= F.lit(atol) + F.lit(rtol) * F.abs(e["_b"].cast("double")))
     rows = joined.select(
-        F.array_max(gap).alias("gap"), V.total(gap).alias("gap_sum"), F.size(x).alias("n"),
+        (x.isNull() | y.isNull()).alias("missing"), F.array_max(gap).alias("gap"), V.total(gap).alias("gap_sum"), F.size(x).alias("n"),
         (V.l2_distance(x, y) / F.greatest(V.l2_norm(y), F.lit(V.FLOOR))).alias("rel"),
         V.cosine(x, y).alias("cos"), close.alias("close"))
     out = rows.agg(
-        F.count("*").alias("rows"), F.max("gap").alias("max_abs"), (F.sum("gap_sum") / F.sum("n")).alias("mean_abs"),
+        F.count_if(~F.col("missing")).alias("rows"), F.count_if("missing").alias("missing"), F.max("gap").alias("max_abs"), (F.sum("gap_sum") / F.sum("n")).alias("mean_abs"),
         F.max("rel").alias("max_relative_l2"), F.min("cos").alias("min_cosine"), F.bool_and("close").alias("allclose"))
-    verdict: Column = ((F.col("max_abs") <= thresholds["max_abs"]) & (F.col("mean_abs") <= thresholds["mean_abs"])
+    verdict: Column = ((F.col("missing") == 0) & (F.col("max_abs") <= thresholds["max_abs"]) & (F.col("mean_abs") <= thresholds["mean_abs"])
                        & (F.col("max_relative_l2") <= thresholds["max_relative_l2"])
                        & (F.col("min_cosine") >= thresholds["min_cosine"]))
     return out.withColumn("consistent", verdict)

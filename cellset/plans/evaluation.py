@@ -49,11 +49,12 @@ def context_diagnostics(cells: DataFrame, condition: str, column: str, dim: int,
     part = [F.avg(F.when(predicted, F.col(column)[i].cast("double"))) for i in range(dim)]
     means = materialize(cells.withColumn("_control", control).groupBy("_control", condition).agg(
         F.array(*width).alias("t"), F.array(*part).alias("p")))
-    base = means.where("_control").select(F.col("t").alias("c")).scalar()
-    rows = means.where("not _control").withColumn("c", base)
-    long = rows.select(condition, F.explode(F.arrays_zip("t", "p", "c")).alias("e")).select(
-        condition, F.col("e.t").alias("t"), F.col("e.p").alias("p"), (F.col("e.t") - F.col("e.c")).alias("dt"),
-        (F.col("e.p") - F.col("e.c")).alias("dp"))
+    # true deltas are taken to the true control mean, predicted ones to the predicted control mean
+    base = means.where("_control").agg(F.first(F.struct("t", "p"))).scalar()
+    rows = means.where("not _control").withColumn("_c", base).withColumns({"ct": F.col("_c.t"), "cp": F.col("_c.p")})
+    long = rows.select(condition, F.explode(F.arrays_zip("t", "p", "ct", "cp")).alias("e")).select(
+        condition, F.col("e.t").alias("t"), F.col("e.p").alias("p"), (F.col("e.t") - F.col("e.ct")).alias("dt"),
+        (F.col("e.p") - F.col("e.cp")).alias("dp"))
     ranks = long.withColumns({f"r_{c}": row_rank([condition], F.col(c)) for c in ("t", "p", "dt", "dp")})
     return ranks.groupBy(condition).agg(
         correlation(F.col("p"), F.col("t")).alias("pearson_absolute"),

@@ -12,9 +12,6 @@ CELL_SCHEMA = T.StructType([
     T.StructField("BARCODE_SUB_LIB_ID", T.StringType()), T.StructField("cell_line_id", T.StringType()),
     T.StructField("plate", T.StringType())])
 
-PUSHED_KEYS = 1000
-LISTED_FILES = 10_000
-
 
 def scan_cells(spark: SparkSession, paths: list[str], columns: list[str], schema: T.StructType = CELL_SCHEMA) -> DataFrame:
     """Cell shards with a declared schema; only the named columns are read."""
@@ -26,21 +23,14 @@ def stream_cells(spark: SparkSession, path: str, schema: T.StructType, files_per
 
 
 def with_locator(df: DataFrame) -> DataFrame:
-    """Physical place of every row: file, row in file, start of the file block it was read from."""
-    return df.select("*", F.col("_metadata.file_name").alias("shard"), F.col("_metadata.row_index").alias("row"),
+    """Physical place of every row: full path of the file, row in file, start of the file block it was read from."""
+    return df.select("*", F.col("_metadata.file_path").alias("shard"), F.col("_metadata.row_index").alias("row"),
                      F.col("_metadata.file_block_start").alias("block_start"))
 
 
 def scan_by_locator(spark: SparkSession, root: str, plan: DataFrame) -> DataFrame:
-    """Rows named by a plan ``shard, row``; files that the plan does not name are never opened.
-
-    The list of shards is bounded before it comes to the driver; a longer list is pruned by the join alone.
-    """
-    shards = [r.shard for r in plan.select("shard").distinct().limit(LISTED_FILES + 1).collect()]
-    if not shards:
-        return with_locator(spark.read.parquet(root)).where(F.lit(False))
-    paths = [root] if len(shards) > LISTED_FILES else [f"{root}/{name}" for name in sorted(shards)]
-    return with_locator(spark.read.parquet(*paths)).join(plan, ["shard", "row"])
+    """Rows named by a plan ``shard, row``, whatever its size; partitioned roots are fine, as shards are full paths."""
+    return with_locator(spark.read.parquet(root)).join(plan, ["shard", "row"])
 
 
 def scan_index_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -61,12 +51,8 @@ def scan_vectors(spark: SparkSession, path: str, column: str, dim: int) -> DataF
 
 
 def scan_keys(spark: SparkSession, path: str, key: str, keys: DataFrame) -> DataFrame:
-    """Rows whose key is wanted: few keys are pushed into the file scan, many become a semi join."""
-    wanted = [r[0] for r in keys.select(key).distinct().limit(PUSHED_KEYS + 1).collect()]
-    table = spark.read.parquet(path)
-    if len(wanted) <= PUSHED_KEYS:
-        return table.where(F.col(key).isin(wanted))
-    return table.join(keys.select(key), key, "left_semi")
+    """Rows whose key is wanted, by a semi join; the planner may prune the scan with the keys at run time."""
+    return spark.read.parquet(path).join(keys.select(key), key, "left_semi")
 
 
 def scan_plan_range(spark: SparkSession, path: str, column: str, start: int, stop: int) -> DataFrame:
