@@ -7,8 +7,9 @@ repeat is found inside the bucket of one minimiser:
 1. Only ``(minimiser, place)`` of each super-k-mer is shuffled first. A bucket with one window source can't hold a repeat.
 2. Super-k-mers of the remaining buckets travel as one packed string each to their bucket. There the words become numbers, the
    windows are sorted by hash, and sorted neighbours are compared word by word.
-3. A bucket of more than ``BUCKET`` super-k-mers (a passage that very many texts share) isn't gathered: its windows are counted
-   by 128-bit digests in an ordinary aggregation, which adds up inside the map tasks. This is as complete as the other way.
+3. A bucket of more than ``BUCKET`` super-k-mers (a passage that very many texts share) isn't gathered: each of its windows
+   travels as a 128-bit digest to one of several parts of the bucket. Two of a part are repeated; what is single in its part
+   is counted over all parts by an ordinary aggregation. This is as complete as the other way.
 4. The spans that repeated windows cover go back to their texts.
 """
 
@@ -23,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellset.llm.common import byte_text, texts_of
+from cellset.llm.common import byte_text, in_small_batches, slices, texts_of
 from cellset.llm.near_dup import hashed_words, mixed_bits
 from cellset.session import materialize
 
@@ -32,7 +33,7 @@ MINIMISER = 8
 #: Super-k-mers of one bucket that are sorted in one task.
 BUCKET = 20_000
 #: Words sorted at once inside a task; a bucket is never split.
-CHUNK = 1_000_000
+CHUNK = 250_000
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -92,7 +93,7 @@ def keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def runs_of(docs: DataFrame, id_kind: str, window: int, minimiser: int) -> DataFrame:
     def run(iterator):
-        for batch in iterator:
+        for batch in slices(iterator):
             take, parts = [], []
             for i, text in enumerate(texts_of(batch.column(2))):
                 if (found := super_kmers(text.split(), window, minimiser)) is not None:
@@ -116,23 +117,35 @@ def per_text(docs: DataFrame, found: DataFrame, value: str, how: str) -> DataFra
     return docs.join(lists, on, how).select("id", "key", "text", "found")
 
 
-def spans_of(docs: DataFrame, live: DataFrame, id_kind: str, window: int) -> DataFrame:
-    """``bucket, id, key, start, packed``: live super-k-mers with their words."""
+SPAN = "bucket long, id {kind}, key long, start int, packed binary, hot boolean"
+
+
+def spans_of(docs: DataFrame, live: DataFrame, id_kind: str, window: int, most: int) -> DataFrame:
+    """``SPAN`` rows: super-k-mers with their words, or each window's digest where the bucket holds more than ``most``."""
     def run(iterator):
-        for batch in iterator:
-            take, bucket, start, packed = [], [], [], []
+        for batch in slices(iterator):
+            take, rows = [], []
             for i, (text, found) in enumerate(zip(texts_of(batch.column(2)), batch.column(3).to_pylist(), strict=True)):
                 words = text.split()
                 for x in found:
-                    take.append(i), bucket.append(x["bucket"]), start.append(x["start"])
-                    packed.append(b" ".join(words[x["start"]:x["start"] + x["run"] + window - 1]))
+                    first, end = x["start"], x["start"] + x["run"]
+                    if x["n"] <= most:
+                        take.append(i)
+                        rows.append((x["bucket"], first, b" ".join(words[first:end + window - 1]), False))
+                        continue
+                    for at in range(first, end):
+                        digest = xxhash.xxh3_128_digest(b" ".join(words[at:at + window]))
+                        part = xxhash.xxh3_64_intdigest(b"%d %d" % (x["start"], len(words))) % (x["n"] // most + 1)
+                        take.append(i)
+                        rows.append((xxhash.xxh3_64_intdigest(digest, seed=part) - (1 << 63), at, digest, True))
             take = pa.array(take, pa.int64())
+            bucket, start, packed, hot = zip(*rows, strict=True) if rows else ((), (), (), ())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(bucket, pa.int64()), batch.column(0).take(take), batch.column(1).take(take), pa.array(start, pa.int32()),
-                 pa.array(packed, pa.binary())], ["bucket", "id", "key", "start", "packed"])
+                 pa.array(packed, pa.binary()), pa.array(hot, pa.bool_())], ["bucket", "id", "key", "start", "packed", "hot"])
 
-    rows = per_text(docs, live.withColumn("x", F.struct("bucket", "start", "run")), "x", "inner")
-    return rows.mapInArrow(run, f"bucket long, id {id_kind}, key long, start int, packed binary")
+    rows = per_text(docs, live.withColumn("x", F.struct("bucket", "start", "run", "n")), "x", "inner")
+    return rows.mapInArrow(run, SPAN.format(kind=id_kind))
 
 
 def repeated_windows(packed: list[bytes], window: int) -> list[np.ndarray]:
@@ -175,58 +188,47 @@ def covered(places: np.ndarray, window: int) -> list[tuple[int, int]]:
     return list(zip(places[np.append(0, cut + 1)].tolist(), (places[np.append(cut, len(places) - 1)] + window).tolist(), strict=True))
 
 
-def sorted_buckets(spans: DataFrame, id_kind: str, window: int, chunk: int) -> DataFrame:
-    """``id, key, first, last``: spans of repeated windows, found by sorting whole buckets."""
-    def settle(rows):
-        out = []
-        for (_, row_id, key, start, _), places in zip(rows, repeated_windows([r[4] for r in rows], window), strict=True):
-            out += [(row_id, key, start + a, start + b) for a, b in covered(places, window)]
-        return out
+FOUND = "id {kind}, key long, first int, last int, digest binary, weight int"
 
+
+def settled_rows(rows: list[tuple], window: int) -> list[tuple]:
+    """``FOUND`` rows of whole buckets. A digest comes with a weight: 1 for a window that is single here, 2 where there are more."""
+    out = []
+    plain = [r for r in rows if not r[5]]
+    for (_, row_id, key, start, _, _), places in zip(plain, repeated_windows([r[4] for r in plain], window) if plain else [], strict=True):
+        out += [(row_id, key, start + a, start + b, None, None) for a, b in covered(places, window)]
+    counts = Counter(r[4] for r in rows if r[5])
+    for _, row_id, key, start, digest, hot in rows:
+        if hot:
+            out.append((row_id, key, start, start + window, *((None, None) if counts[digest] > 1 else (digest, 1))))
+    return out + [(None, None, None, None, digest, 2) for digest, n in counts.items() if n > 1]
+
+
+def sorted_buckets(spans: DataFrame, id_kind: str, window: int, chunk: int) -> DataFrame:
+    """``FOUND`` rows of all buckets, each sorted as a whole in one task."""
     def run(iterator):
-        kind = None
-        rows, size = [], 0
-        for batch in iterator:
-            kind = batch.schema.field("id").type
-            out = []
+        rows, size, kind = [], 0, None
+
+        def batch_of(out):
+            columns = zip(*out, strict=True)
+            types = (kind, pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int32())
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)],
+                                              ["id", "key", "first", "last", "digest", "weight"])
+
+        for batch in slices(iterator):
+            kind, out = batch.schema.field("id").type, []
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if size >= chunk and row[0] != rows[-1][0]:
-                    out += settle(rows)
+                    out += settled_rows(rows, window)
                     rows, size = [], 0
                 rows.append(row)
-                size += row[4].count(b" ") + 1
+                size += 1 if row[5] else row[4].count(b" ") + 1
             if out:
-                yield spans_batch(out, kind)
-        if rows and (out := settle(rows)):
-            yield spans_batch(out, kind)
-
-    return spans.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(
-        run, f"id {id_kind}, key long, first int, last int")
-
-
-def spans_batch(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
-    row_id, key, first, last = zip(*rows, strict=True)
-    return pa.RecordBatch.from_arrays([pa.array(row_id, kind), pa.array(key, pa.int64()), pa.array(first, pa.int32()),
-                                       pa.array(last, pa.int32())], ["id", "key", "first", "last"])
-
-
-def counted_windows(spans: DataFrame, id_kind: str, window: int) -> DataFrame:
-    """``id, key, first, last`` as ``sorted_buckets``, for buckets of any size: one row per window, counted by digest."""
-    def run(iterator):
-        for batch in iterator:
-            take, start, digest = [], [], []
-            for i, (at, packed) in enumerate(zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)):
-                words = packed.split(b" ")
-                for j in range(len(words) - window + 1):
-                    take.append(i), start.append(at + j)
-                    digest.append(xxhash.xxh3_128_digest(b" ".join(words[j:j + window])))
-            take = pa.array(take, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(1).take(take), batch.column(2).take(take), pa.array(start, pa.int32()),
-                                              pa.array(digest, pa.binary())], ["id", "key", "first", "digest"])
+                yield batch_of(out)
+        if rows and (out := settled_rows(rows, window)):
+            yield batch_of(out)
 
-    windows = materialize(spans.mapInArrow(run, f"id {id_kind}, key long, first int, digest binary"))
-    often = windows.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
-    return windows.join(often, "digest", "left_semi").select("id", "key", "first", (F.col("first") + window).alias("last"))
+    return spans.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, FOUND.format(kind=id_kind))
 
 
 def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW,
@@ -239,17 +241,18 @@ def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     and equal rows repeat each other. Other columns are ignored; an empty table gives an empty result.
     """
     id_kind = df.schema[id_col].dataType.simpleString()
-    docs = keyed(df, id_col, text_col)
+    docs = keyed(in_small_batches(df), id_col, text_col)
     runs = materialize(runs_of(docs, id_kind, window, minimiser))
     buckets = runs.groupBy("bucket").agg(F.sum("weight").alias("w"), F.count("*").alias("n")).where("w > 1").select("bucket", "n")
     live = materialize(runs.drop("weight").join(buckets, "bucket"))
-    found = sorted_buckets(spans_of(docs, live.where(F.col("n") <= bucket), id_kind, window), id_kind, window, chunk)
-    hot = live.where(F.col("n") > bucket)
-    if hot.limit(1).count():
-        found = found.unionByName(counted_windows(spans_of(docs, hot, id_kind, window), id_kind, window))
+    found = materialize(sorted_buckets(spans_of(docs, live, id_kind, window, bucket), id_kind, window, chunk))
+    single = found.where("weight is not null")
+    again = single.groupBy("digest").agg(F.sum("weight").alias("w")).where("w > 1").select("digest")
+    found = found.where("weight is null").unionByName(
+        single.where("weight = 1").join(again, "digest", "left_semi").select(*found.columns)).select("id", "key", "first", "last")
 
     def run(iterator):
-        for batch in iterator:
+        for batch in slices(iterator):
             n, removed, kept = [], [], []
             for text, spans in zip(texts_of(batch.column(2)), batch.column(3).to_pylist(), strict=True):
                 words = text.split()
@@ -262,7 +265,6 @@ def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()),
                                               pa.array(kept, pa.string())], [id_col, "n_words", "n_removed", "kept_text"])
 
-    found = materialize(found)
     rows = per_text(docs, found.withColumn("x", F.struct("first", "last")), "x", "left")
     return rows.mapInArrow(run, f"`{id_col}` {id_kind}, n_words long, n_removed long, kept_text string")
 
