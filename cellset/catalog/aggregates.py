@@ -9,7 +9,7 @@ from cellset.functions import vectors as V
 from cellset.functions.numbers import rounded
 from cellset.operators import aggregates as A
 from cellset.operators import clean
-from cellset.sources.surrogates import PANEL, REPEATS, Tables
+from cellset.sources.surrogates import DIM, PANEL, REPEATS, Tables
 
 RAW = """raw as (select concat(cell_line_id,'|',drug,'|',plate,'|',cast(dose_um as varchar)) as condition_id,
  concat(cell_line_id,'|',drug) as edge_id, cell_line_id, drug, dose_um, plate, cell_id % 5 as repeat_epoch,
@@ -298,8 +298,8 @@ with m as (select label, gene, avg(v) as m from fx_vec_long group by label, gene
 select count(distinct vec_id) as cells, {r6("sum((v - m) * (v - m)) / count(*)")} as mse
 from fx_vec_long f join m on f.label = m.label and f.gene = m.gene""")
 def a21(t: Tables):
-    vecs = t.vectors.withColumn("target", F.slice("embedding", 1, PANEL))
-    means = V.mean_vectors(vecs, ["label"], "target", PANEL, "prediction")
+    vecs = t.vectors.withColumn("target", F.col("embedding"))
+    means = V.mean_vectors(vecs, ["label"], "target", DIM, "prediction")
     return rounded_columns(A.corpus_mse(vecs.join(means, "label")), "mse")
 
 

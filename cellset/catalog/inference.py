@@ -12,7 +12,7 @@ from cellset.operators import clean, infer
 from cellset.operators import metrics as M
 from cellset.operators.sampling import sample_sets
 from cellset.operators.windows import hash_top_k
-from cellset.sources.surrogates import PANEL, SET_SIZE, Tables
+from cellset.sources.surrogates import DIM, SET_SIZE, Tables
 
 
 def moments(batch_size: int = 64):
@@ -40,7 +40,7 @@ def u01(t: Tables):
 def drawn_sets(t: Tables):
     """Sixteen members of every label; label 0 serves as control of each other label."""
     rows = hash_top_k(t.vectors, ["label"], SET_SIZE, "structure", "vec_id").select(
-        "label", F.col("vec_id").alias("cell_index"), F.slice("embedding", 1, PANEL).alias("v"))
+        "label", F.col("vec_id").alias("cell_index"), F.col("embedding").alias("v"))
     labels = t.vectors.where("label <> 0").agg(F.array_sort(F.collect_set("label")).alias("l")).scalar()
     control = rows.where("label = 0").drop("label").withColumn("label", F.explode(labels)).withColumn("side", F.lit("control"))
     return rows.where("label <> 0").withColumn("side", F.lit("treated")).unionByName(control)
@@ -66,7 +66,7 @@ select l.label, {r6("sum(dl.v + l.label * 0.1 * 0.5)")} as total, count(distinct
 where dl.label = 0 group by l.label""")
 def u03(t: Tables):
     sets = drawn_sets(t).withColumn("drug_id", F.col("label")).withColumn("dose", F.lit(0.5))
-    out = infer.infer_transition(sets, lambda control, drug, dose: control + drug * 0.1 * dose, ["label"], "drug_id", "dose", PANEL)
+    out = infer.infer_transition(sets, lambda control, drug, dose: control + drug * 0.1 * dose, ["label"], "drug_id", "dose", DIM)
     return out.groupBy("label").agg(
         rounded(F.sum(F.aggregate("v", F.lit(0.0), lambda s, x: s + x))).alias("total"),
         F.count_distinct("member").alias("members"))

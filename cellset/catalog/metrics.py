@@ -12,7 +12,7 @@ from cellset.operators import aggregates as A, metrics as M
 from cellset.operators.windows import hash_top_k
 from cellset.plans import evaluation as E
 from cellset.session import materialize
-from cellset.sources.surrogates import DIM, PANEL, Tables
+from cellset.sources.surrogates import DIM, Tables
 
 KEYS = ["repeat_epoch", "label"]
 CUT = 0.02  # fixed value: a true delta larger than this counts as a changed gene on these vectors
@@ -56,7 +56,7 @@ def m01(t: Tables):
     return rounded_columns(out.drop("pool"), "energy_distance")
 
 
-REPEAT_ENERGY = """rl as (select r.repeat_epoch, f.label, f.vec_id, cast(embedding[1:20] as double[]) as e
+REPEAT_ENERGY = """rl as (select r.repeat_epoch, f.label, f.vec_id, cast(embedding as double[]) as e
   from embeddings f cross join fx_repeats r where f.vec_id % 5 <> r.repeat_epoch),
  rd as (select a.repeat_epoch, a.label as la, b.label as lb, avg(list_distance(a.e, b.e)) as m from rl a join rl b
   on a.repeat_epoch = b.repeat_epoch and (a.label = b.label or b.label = 0) group by all),
@@ -69,7 +69,7 @@ REPEAT_ENERGY = """rl as (select r.repeat_epoch, f.label, f.vec_id, cast(embeddi
 def m02(t: Tables):
     """Identity baseline: the prediction is the control set itself."""
     treated, control = treated_and_control(t, repeats=True)
-    out = M.energy_distance(treated, control, ["pool", *KEYS], "vec_id", "v", PANEL, pool=["pool", "repeat_epoch"])
+    out = M.energy_distance(treated, control, ["pool", *KEYS], "vec_id", "v", DIM, pool=["pool", "repeat_epoch"])
     return rounded_columns(out.drop("pool"), "energy_distance")
 
 
@@ -132,7 +132,7 @@ MANN_WHITNEY = """v as (select vec_id, label, gene, round(v, 2) as v from fx_vec
 
 
 def de_cells(t: Tables):
-    long = t.vectors.select("vec_id", "label", F.posexplode(F.slice("embedding", 1, PANEL)).alias("gene", "x"))
+    long = t.vectors.select("vec_id", "label", F.posexplode(F.col("embedding")).alias("gene", "x"))
     return long.select(F.lit("all").alias("pool"), "label", F.col("gene").cast("long").alias("gene"),
                        F.round(F.col("x").cast("double"), 2).alias("v"))
 
@@ -298,7 +298,7 @@ with g as (select r.repeat_epoch, f.label, count(*) as members,
 select g.repeat_epoch, g.label, g.members, g.digest, {r6("l.truth_l1")} as truth_l1 from g
 join l on l.repeat_epoch = g.repeat_epoch and l.label = g.label""")
 def m17(t: Tables):
-    plan = E.evaluation_plan(t.vec_repeats, "label", "vec_id", "v", PANEL)
+    plan = E.evaluation_plan(t.vec_repeats, "label", "vec_id", "v", DIM)
     return plan.select("repeat_epoch", "label", "members", "digest",
                        rounded(V.total(F.transform("true_delta", F.abs))).alias("truth_l1"))
 
@@ -343,7 +343,7 @@ with a as (select f.label, f.gene, avg(f.v) as t, avg(case when f.vec_id % 2 = 0
 select label, {r6(_corr("p", "t"))} as pearson_absolute, {r6(_corr("dp", "dt"))} as pearson_delta,
  {r6(_corr("rp", "rt"))} as spearman_absolute, {r6(_corr("rdp", "rdt"))} as spearman_delta from r group by label""")
 def m20(t: Tables):
-    out = E.context_diagnostics(t.vectors.withColumn("v", F.slice("embedding", 1, PANEL)), "label", "v", PANEL,
+    out = E.context_diagnostics(t.vectors.withColumn("v", F.col("embedding")), "label", "v", DIM,
                                 control=F.col("label") == 0, predicted=F.col("vec_id") % 2 == 0)
     return rounded_columns(out, "pearson_absolute", "pearson_delta", "spearman_absolute", "spearman_delta")
 
@@ -364,7 +364,7 @@ with {REPEAT_ENERGY}, ce as (select repeat_epoch, label, sum(true_delta * pred_d
 select {", ".join(f"{r6(f'avg({c})')} as {c}_mean, {r6(f'stddev_samp({c})')} as {c}_std" for c in ("energy_distance", "centroid_cosine", "centroid_l2"))} from r""")
 def m22(t: Tables):
     treated, control = treated_and_control(t, repeats=True)
-    out = E.latent_evaluation(treated, control, t.deltas, KEYS, PANEL, ["pool", "repeat_epoch"])
+    out = E.latent_evaluation(treated, control, t.deltas, KEYS, DIM, ["pool", "repeat_epoch"])
     return rounded_columns(out, *out.columns)
 
 
@@ -381,9 +381,9 @@ with m as (select label, gene, avg(v) as m from fx_vec_long group by label, gene
 select count(distinct vec_id) as cells, {r6("sum((v - m) * (v - m)) / count(*)")} as mse, 0 as missing, 0 as repeated
 from fx_vec_long f join m on f.label = m.label and f.gene = m.gene where f.label in (2, 5, 8)""")
 def m23(t: Tables):
-    vecs = t.vectors.withColumn("target", F.slice("embedding", 1, PANEL)).withColumn(
+    vecs = t.vectors.withColumn("target", F.col("embedding")).withColumn(
         "split", F.when(F.col("label") % 3 == 2, "test").otherwise("train"))
-    means = V.mean_vectors(vecs, ["label"], "target", PANEL, "prediction")
+    means = V.mean_vectors(vecs, ["label"], "target", DIM, "prediction")
     pairs = vecs.join(means, "label").select(F.col("vec_id").alias("cell_index"), "prediction", "target", "split")
     out = E.decode_quality(pairs, vecs.select(F.col("vec_id").alias("cell_index"), "split"), "test")
     return rounded_columns(out, "mse")

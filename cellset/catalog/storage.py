@@ -13,7 +13,7 @@ from cellset.functions.numbers import rounded
 from cellset.operators.sampling import sample_sets
 from cellset.session import materialize
 from cellset.sources import scans, sinks
-from cellset.sources.surrogates import DIM, PANEL, SET_SIZE, Tables
+from cellset.sources.surrogates import DIM, SET_SIZE, Tables
 
 
 @query("s01_scan_cells", "select l_orderkey, l_partkey, l_quantity from lineitem")
@@ -161,7 +161,7 @@ def s15(t: Tables):
     sets = t.vectors.select(F.concat(F.lit("label"), F.col("label").cast("string")).alias("condition_id"),
                             F.when(F.col("label") == 0, "control").otherwise("treated").alias("side"),
                             F.col("vec_id").alias("cell_index"))
-    expr = t.vectors.select(F.col("vec_id").alias("cell_index"), F.slice("embedding", 1, PANEL).alias("expr"))
+    expr = t.vectors.select(F.col("vec_id").alias("cell_index"), F.col("embedding").alias("expr"))
     bundle = sinks.expression_bundle(sets, expr, t.panel)
     return bundle["obs"].join(bundle["x"], "obs_name").select(
         "obs_name", "perturbation", rounded(V.total(F.col("expr"))).alias("total"))

@@ -165,18 +165,18 @@ class Tables:
     def vec_repeats(self) -> DataFrame:
         """Vectors taking part in each repeat (each repeat leaves one fifth out)."""
         repeats = F.explode(F.array(*[F.lit(i) for i in range(REPEATS)])).alias("repeat_epoch")
-        return self.vectors.select("vec_id", "label", F.slice("embedding", 1, PANEL).alias("v"), repeats).where(
+        return self.vectors.select("vec_id", "label", F.col("embedding").alias("v"), repeats).where(
             F.col("vec_id") % REPEATS != F.col("repeat_epoch"))
 
     @cached_property
     def deltas(self) -> DataFrame:
-        """``repeat_epoch, label, true_delta[20], pred_delta[20]``; the prediction uses the even half.
+        """``repeat_epoch, label, true_delta[64], pred_delta[64]``; the prediction uses the even half.
 
         All means come from one scan; the table of means is small.
         """
         even = F.col("vec_id") % 2 == 0
-        half = F.array(*[F.avg(F.when(even, F.col("v")[i].cast("double"))) for i in range(PANEL)])
-        means = materialize(mean_vectors(self.vec_repeats, ["repeat_epoch", "label"], "v", PANEL, "t", extra={"p": half}))
+        half = F.array(*[F.avg(F.when(even, F.col("v")[i].cast("double"))) for i in range(DIM)])
+        means = materialize(mean_vectors(self.vec_repeats, ["repeat_epoch", "label"], "v", DIM, "t", extra={"p": half}))
         control = means.where("label = 0").select("repeat_epoch", F.col("t").alias("c"))
         return means.where("label <> 0").join(control, "repeat_epoch").select(
             "repeat_epoch", "label", difference(F.col("t"), F.col("c")).alias("true_delta"),
@@ -321,7 +321,7 @@ select e.cell_id, g.gene_index, e.expr as count, e.pos from fx_ragged_long e joi
 select cell_id, sum(count) as library from fx_mapped_long group by cell_id having sum(count) > 0""",
     "fx_vec_long": """
 select vec_id, label, i-1 as gene, cast(embedding[i] as double) as v
-from (select vec_id, label, embedding, unnest(range(1,21)) as i from embeddings)""",
+from (select vec_id, label, embedding, unnest(range(1,65)) as i from embeddings)""",
     "fx_vec_full": """
 select vec_id, label, i-1 as dim, cast(embedding[i] as double) as v
 from (select vec_id, label, embedding, unnest(range(1,65)) as i from embeddings)""",

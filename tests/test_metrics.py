@@ -142,3 +142,35 @@ def test_failed_gate_is_reported_and_strict_fails(spark):
     assert not Q.run_checks([Q.contiguous_index(rows, "k", "c")]).first().passed
     with pytest.raises(Exception, match="check failed: c"):
         Q.run_checks([Q.contiguous_index(rows, "k", "c")], strict=True).collect()
+
+
+def test_normal_tail_equals_erfc(spark):
+    import math
+
+    from cellset.operators.metrics import two_sided_p
+    zs = [0.0, 1e-9, 0.3, -1.96, 3.999999, 4.0, 5.5, 8.0, -12.0, 37.0]
+    rows = spark.createDataFrame([(z,) for z in [*zs, None, float("nan")]], "z double").select("z", two_sided_p(F.col("z")).alias("p")).collect()
+    for r in rows:
+        if r.z is None or r.z != r.z:
+            assert r.p is None
+        else:
+            assert math.isclose(r.p, math.erfc(abs(r.z) / math.sqrt(2)), rel_tol=1e-9, abs_tol=1e-15)
+
+
+def test_means_and_deltas_at_any_width(spark):
+    import numpy as np
+
+    from cellset.functions.vectors import mean_vectors, pearson
+    from cellset.operators.aggregates import set_delta
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(40, 768)).round(3)
+    table = spark.createDataFrame([(i % 2, f"c{i % 3}", "p", v.tolist()) for i, v in enumerate(x)],
+                                  "owner_type int, pair_id string, control_pool_id string, v array<double>")
+    control = x[1::2].mean(0)
+    for r in set_delta(table, "v", 768).collect():
+        own = x[[i for i in range(0, 40, 2) if f"c{i % 3}" == r.pair_id]]
+        assert r.treated_cells == len(own) and r.control_cells == 20 and np.allclose(r.delta, own.mean(0) - control)
+    some = mean_vectors(table, ["control_pool_id"], "v", 768, weight=F.col("owner_type") == 1, extra={"n": F.count("*")}).first()
+    assert some.n == 40 and np.allclose(some["mean"], control)
+    pair = spark.createDataFrame([(x[0].tolist(), x[1].tolist())], "a array<double>, b array<double>").select(pearson(F.col("a"), F.col("b")).alias("r")).first()
+    assert np.isclose(pair.r, np.corrcoef(x[0], x[1])[0, 1])
