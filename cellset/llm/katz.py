@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cellset.llm.common import ascii_lower, byte_text, texts_of
+from cellset.llm.common import ascii_lower, byte_text, in_small_batches, texts_of
 from cellset.llm.near_dup import mixed_bits
 from cellset.session import durable_dir, materialize
 
@@ -31,7 +31,7 @@ ORDER = 2
 #: Counts above this are trusted and not discounted.
 GT_MAX = 5
 #: Tokens of a chunk, from which it is closed; documents are never split.
-CHUNK = 3_000_000
+CHUNK = 1_000_000
 #: Tokens of the corpus for each partition of a table of n-grams; word and context tables get a quarter as many partitions.
 PART_TOKENS = 1_500_000
 HELD_OUT_OF, HELD_OUT = 7, 2
@@ -86,7 +86,7 @@ def chunks_of(df: DataFrame, id_col: str, text_col: str, chunk: int) -> DataFram
         if ids:
             yield closed()
 
-    rows = df.select(F.col(id_col), held_out(id_col).alias("_held"), byte_text(text_col).alias("_text"))
+    rows = in_small_batches(df).select(F.col(id_col), held_out(id_col).alias("_held"), byte_text(text_col).alias("_text"))
     chunks = rows.mapInArrow(run, CHUNKS.format(kind=kind)).withColumn("chunk", F.monotonically_increasing_id())
     # bucketed by chunk, so that replies can be joined with the chunks without shuffling these
     name = f"chunks_{uuid.uuid4().hex}"
