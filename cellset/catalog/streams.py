@@ -87,8 +87,9 @@ def x05(t: Tables):
 def x06(t: Tables):
     folder, schema = event_shards(t)
     total = t.read("events").count()
-    run = X.ingest(t.spark, folder, schema, new_folder(t.spark), new_folder(t.spark), files_per_batch=1)
-    return X.progress(run, total).agg(F.max("processed").alias("processed"), F.min("remaining").alias("remaining"))
+    sink = new_folder(t.spark)
+    run = X.ingest(t.spark, folder, schema, sink, new_folder(t.spark), files_per_batch=1)
+    return X.progress(run, total, sink).agg(F.max("processed").alias("processed"), F.min("remaining").alias("remaining"))
 
 
 @query("x07_fill_pending_labels", f"with {MANN_WHITNEY} select label, gene, {r6('u')} as u from mw")

@@ -8,16 +8,32 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from cellset.operators import clean
-from cellset.operators.setops import missing
 from cellset.sources.scans import stream_cells
 
 
+def claim(spark: SparkSession, sink: str, owner: str) -> None:
+    """Tie a sink to the checkpoint (and inputs) that fill it; any other owner is refused before anything is written.
+
+    Batch numbers start again with a new checkpoint, so two checkpoints would overwrite each other's batches.
+    """
+    try:
+        known = spark.read.text(f"{sink}/_owner").first()
+    except AnalysisException as error:
+        if "PATH_NOT_FOUND" not in str(error):
+            raise
+        spark.createDataFrame([(owner,)], "owner string").write.text(f"{sink}/_owner")
+        return
+    if known is None or known[0] != owner:
+        raise ValueError(f"the sink {sink} belongs to {known and known[0]}, not to {owner}")
+
+
 def write_batch(df: DataFrame, sink: str, batch_id: int) -> None:
     df.write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
 
@@ -31,8 +47,12 @@ def run_available(stream: DataFrame, checkpoint: str, each: Callable[[DataFrame,
 
 
 def ingest(spark: SparkSession, source: str, schema: T.StructType, sink: str, checkpoint: str, files_per_batch: int = 64,
-           transform: Callable[[DataFrame], DataFrame] | None = None) -> StreamingQuery:
-    """Append new shard files to the sink; a further call continues where the last one ended."""
+           transform: Callable[[DataFrame], DataFrame] | None = None, inputs: str = "") -> StreamingQuery:
+    """Append new shard files to the sink; a further call continues where the last one ended.
+
+    The sink belongs to its checkpoint and to ``inputs``, a fingerprint of what is ingested.
+    """
+    claim(spark, sink, f"{checkpoint} {inputs}".rstrip())
     stream = stream_cells(spark, source, schema, files_per_batch)
     step = transform or (lambda df: df)
     return run_available(stream, checkpoint, lambda df, batch_id: write_batch(step(df), sink, batch_id))
@@ -50,6 +70,7 @@ def ingest_once(spark: SparkSession, source: str, schema: T.StructType, sink: st
 
     Seen keys are looked up in the sink itself, so no key is held in streaming state.
     """
+    claim(spark, sink, checkpoint)
     # an empty zeroth folder makes the sink readable from the first batch on
     spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{sink}/batch_id=-1")
 
@@ -94,8 +115,7 @@ def incremental_gene_stats(spark: SparkSession, source: str, schema: T.StructTyp
                            fingerprint: str, files_per_batch: int = 64) -> DataFrame:
     """Per-gene mean and variance of CP10K-log1p from long count shards, resumable.
 
-    A cell must lie in one shard. Every partial row carries the fingerprint of the inputs; state written under another
-    fingerprint is refused.
+    A cell must lie in one shard. State of other inputs (another fingerprint) is refused before anything is written.
     """
     def partial(df: DataFrame) -> DataFrame:
         once = clean.collapse_duplicates(df)
@@ -103,11 +123,10 @@ def incremental_gene_stats(spark: SparkSession, source: str, schema: T.StructTyp
         genes = clean.with_library(once).groupBy("gene_index").agg(F.sum(v).alias("s"), F.sum(v * v).alias("ss"))
         cells = clean.library_size(once).where("library > 0").agg(
             F.lit(-1).cast("long").alias("gene_index"), F.count("*").cast("double").alias("s"), F.lit(0.0).alias("ss"))
-        return genes.unionByName(cells).withColumn("fingerprint", F.lit(fingerprint))
+        return genes.unionByName(cells)
 
-    ingest(spark, source, schema, sink, checkpoint, files_per_batch, partial)
-    same = F.assert_true(F.col("fingerprint") == fingerprint, F.lit("state belongs to other inputs")).isNull()
-    table = spark.read.parquet(sink).where(same)
+    ingest(spark, source, schema, sink, checkpoint, files_per_batch, partial, fingerprint)
+    table = spark.read.parquet(sink)
     n = table.where("gene_index = -1").agg(F.sum("s").alias("n")).scalar()
     sums = table.where("gene_index >= 0").groupBy("gene_index").agg(F.sum("s").alias("s"), F.sum("ss").alias("ss"))
     mean = F.col("s") / F.col("_n")
@@ -117,15 +136,21 @@ def incremental_gene_stats(spark: SparkSession, source: str, schema: T.StructTyp
 
 def fill_pending(plan: DataFrame, done: DataFrame, key: str, compute: Callable[[DataFrame], DataFrame], sink: str) -> None:
     """Compute only the planned rows whose key is not done yet, and append them."""
-    pending = plan.join(missing(plan, done, key), key, "left_semi")
+    pending = plan.join(done.select(key), key, "left_anti")
     compute(pending).write.mode("append").parquet(sink)
 
 
-def progress(query: StreamingQuery, total_rows: int | None = None) -> DataFrame:
-    """One row per batch: rows, rate, rows so far, rows and seconds left."""
+def progress(query: StreamingQuery, total_rows: int | None = None, sink: str | None = None) -> DataFrame:
+    """One row per recent batch: rows, rate, rows so far, rows and seconds left.
+
+    Spark remembers the last hundred batches; rows of earlier ones are counted in the ``sink``.
+    """
     spark = SparkSession.active()
+    recent = query.recentProgress
     rows, so_far = [], 0
-    for p in query.recentProgress:
+    if sink and recent and int(recent[0]["batchId"]) > 0:
+        so_far = spark.read.parquet(sink).where(F.col("batch_id") < int(recent[0]["batchId"])).count()
+    for p in recent:
         n, rate = int(p["numInputRows"]), float(p.get("processedRowsPerSecond") or 0.0)
         so_far += n
         left = None if total_rows is None else total_rows - so_far

@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from cellset.sources import scans, sinks
@@ -59,7 +60,7 @@ def test_state_of_other_inputs_is_refused(spark):
     rows = spark.createDataFrame([(1, 0, 2.0), (1, 1, 3.0)], "cell_id long, gene_index long, count double")
     rows.write.parquet(source)
     X.incremental_gene_stats(spark, source, rows.schema, sink, check, "a").collect()
-    with pytest.raises(Exception, match="other inputs"):
+    with pytest.raises(Exception, match="belongs to"):
         X.incremental_gene_stats(spark, source, rows.schema, sink, check, "b").collect()
 
 
@@ -88,3 +89,17 @@ def test_wrong_vector_width_fails(spark):
     spark.createDataFrame([([1.0, 2.0],)], "v array<double>").write.parquet(folder)
     with pytest.raises(Exception, match="vector width"):
         scans.scan_vectors(spark, folder, "v", 3).collect()
+
+
+def test_sink_refuses_other_checkpoints_and_inputs(spark, tmp_path):
+    source, sink = str(tmp_path / "in"), str(tmp_path / "out")
+    spark.range(10).selectExpr("id as cell_id", "id % 3 as gene_index", "1.0 as count").write.parquet(source)
+    schema = spark.read.parquet(source).schema
+    first = X.incremental_gene_stats(spark, source, schema, sink, str(tmp_path / "check"), "a").collect()
+    before = spark.read.parquet(sink).count()
+    for check, inputs in (("check", "b"), ("other", "a")):
+        with pytest.raises(ValueError, match="belongs to"):
+            X.incremental_gene_stats(spark, source, schema, sink, str(tmp_path / check), inputs)
+    assert spark.read.parquet(sink).count() == before
+    again = X.incremental_gene_stats(spark, source, schema, sink, str(tmp_path / "check"), "a").collect()
+    assert sorted(again) == sorted(first)
