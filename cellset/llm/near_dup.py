@@ -9,9 +9,14 @@ has probability below ``2 * (1 - s**K)**M``: 1.5e-6 at 0.85 with the defaults, a
 is dropped before pairs are formed, so documents without relatives give no table keys at all.
 
 *Links without all pairs.* In every bucket one centre, the class with the most shared half keys, is compared with the
-other members. Linked classes are joined to components, members used as centres leave, and buckets whose remaining members lie
-in one component are closed. The next rounds take 2, 4, 8, ... centres per bucket until no bucket is open. A pair is left
-untested only if its members already are in one component, so components are those of all links found by the tables.
+other members; all members that meet a centre anywhere are its cluster. A cluster of up to ``CLUSTER`` members is settled
+by the task that gets its texts: members outside the centre's component count their overlaps with the others in inverted lists.
+
+In larger clusters, two members that aren't both linked with their centre c meet through the prefix filter: in the order "shingles
+outside c first, then by hash" two sets of the wanted similarity share one of their first ``n - ceil(s n) + 1`` shingles, and the place
+of the first shared one bounds their overlap. Members far from the centre have mostly shingles of their own there, so hardly any of
+them meet. One member of a meeting is compared with the others, then 8, 64, ... until all of them are in one component or compared.
+Either way a pair is left out only if it can't reach the similarity or is in one component already.
 """
 
 from __future__ import annotations
@@ -24,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellset.llm.common import ascii_lower, byte_text, texts_of
+from cellset.llm.common import ascii_lower, byte_text, in_small_batches, slices, texts_of
 from cellset.llm.components import components
 from cellset.session import materialize
 
@@ -32,7 +37,9 @@ WIDTH = 5
 M, K = 11, 2
 #: Similarity at which documents are linked, in hundredths.
 PERCENT = 85
-CACHED_WORDS = 500_000
+CACHED_WORDS = 200_000
+#: Members of a cluster that one task settles; their sets are held in memory.
+CLUSTER = 4_000
 
 
 class WordHashes(dict):
@@ -141,57 +148,172 @@ def table_rows(classes: DataFrame) -> DataFrame:
     return keys.select(F.xxhash64("l", "r").alias("bucket"), "cid", "n", "shared")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """Links ``a, b`` among candidate ``pairs`` (``centre, cid``): similarity of the whole shingle sets."""
+def least_prefix(own: np.ndarray, centre: np.ndarray, percent: int) -> np.ndarray:
+    """The shingles of ``own`` of which one must be shared, in the order of ``centre``: others first, then by hash."""
+    inside = np.isin(own, centre, assume_unique=True)
+    first = len(own) + percent * len(own) // -100 + 1
+    return np.concatenate([own[~inside], own[inside]])[:first]
+
+
+def needed(n, m, percent: int):
+    """Shared shingles that sets of ``n`` and ``m`` need."""
+    return (percent * (n + m) + 99 + percent) // (100 + percent)
+
+
+def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    return len(np.intersect1d(a, b, assume_unique=True)) >= needed(len(a), len(b), percent)
+
+
+class Cluster:
+    """Members of one centre that a single task settles."""
+
+    def __init__(self, centre: int, own: np.ndarray, percent: int):
+        self.percent, self.ids, self.sets, self.label, self.links = percent, [centre], [own], [0], []
+
+    def root(self, i: int) -> int:
+        while self.label[i] != i:
+            self.label[i] = i = self.label[self.label[i]]
+        return i
+
+    def add(self, cid: int, own: np.ndarray) -> None:
+        self.ids.append(cid)
+        self.sets.append(own)
+        self.label.append(len(self.label))
+        if similar(self.sets[0], own, self.percent):
+            self.join(0, len(self.ids) - 1)
+
+    def join(self, i: int, j: int) -> None:
+        self.links.append((self.ids[i], self.ids[j]))
+        self.label[max(self.root(i), self.root(j))] = min(self.root(i), self.root(j))
+
+    def settle(self) -> list[tuple[int, int]]:
+        """Links (enough to connect each component) among the members.
+
+        Members outside the centre's component count their overlaps with all others through the shingles' lists of members.
+        """
+        far = [i for i in range(len(self.ids)) if self.root(i) != 0]
+        if len(self.ids) < 3 or not far:
+            return self.links
+        sizes = np.array([len(x) for x in self.sets])
+        begin = np.cumsum(sizes) - sizes
+        code = np.unique(np.concatenate(self.sets), return_inverse=True)[1]
+        owners = np.repeat(np.arange(len(sizes)), sizes)[np.argsort(code, kind="stable")]
+        count = np.bincount(code)
+        start = np.cumsum(count) - count
+        for i in far:
+            own = code[begin[i]:begin[i] + sizes[i]]
+            own = own[count[own] > 1]
+            lengths = count[own]
+            at = np.arange(lengths.sum()) + np.repeat(start[own] - (np.cumsum(lengths) - lengths), lengths)
+            shared = np.bincount(owners[at], minlength=len(sizes))
+            for j in np.flatnonzero(shared >= needed(sizes, sizes[i], self.percent)).tolist():
+                if self.root(i) != self.root(j):
+                    self.join(i, j)
+        return self.links
+
+
+def settled_clusters(pairs: DataFrame, texts: DataFrame, percent: int, most: int) -> DataFrame:
+    """``a, b, linked, prefix`` of candidate ``pairs`` (``centre, cid``) by their whole shingle sets.
+
+    Clusters of up to ``most`` members come as links that connect them; of larger ones each member comes with its
+    comparison with the centre and its prefix.
+    """
     def run(iterator):
-        last, last_set = None, None
-        for batch in iterator:
-            a, b = [], []
-            rows = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts_of(batch.column(2)), texts_of(batch.column(3)),
-                       strict=True)
-            for centre, cid, centre_text, text in rows:
-                if centre != last:
-                    last, last_set = centre, shingles(centre_text)
+        out, cluster, large, centre_set = [], None, False, None
+        for batch in slices(iterator):
+            for centre, cid, m, text in zip(*(c.to_pylist() for c in batch.columns[:3]), texts_of(batch.column(3)), strict=True):
                 own = shingles(text)
-                both = len(np.intersect1d(last_set, own, assume_unique=True))
-                if 100 * both >= percent * (len(last_set) + len(own) - both):
-                    a.append(centre), b.append(cid)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+                if centre == cid:
+                    if cluster is not None:
+                        out += [(a, b, True, None) for a, b in cluster.settle()]
+                    large, centre_set = m > most, own
+                    cluster = None if large else Cluster(cid, own, percent)
+                elif large:
+                    out.append((centre, cid, similar(centre_set, own, percent), least_prefix(own, centre_set, percent).view(np.int64)))
+                else:
+                    cluster.add(cid, own)
+            if len(out) > 1000:
+                yield links_batch(out)
+                out = []
+        if cluster is not None:
+            out += [(a, b, True, None) for a, b in cluster.settle()]
+        if out:
+            yield links_batch(out)
+
+    sizes = pairs.groupBy("centre").agg((F.count("*") + 1).alias("m"))
+    rows = pairs.join(sizes, "centre").select("centre", "cid", "m").unionByName(sizes.select("centre", F.col("centre").alias("cid"), "m"))
+    placed = rows.join(texts, "cid").select("centre", "cid", "m", "text").repartition("centre").sortWithinPartitions(
+        "centre", F.col("cid") != F.col("centre"))
+    return placed.mapInArrow(run, "a long, b long, linked boolean, prefix array<long>")
+
+
+def links_batch(rows: list[tuple]) -> pa.RecordBatch:
+    types = (pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64()))
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)],
+                                      ["a", "b", "linked", "prefix"])
+
+
+def overlap(n: str, m: str, percent: int) -> str:
+    """Shared shingles that sets of ``n`` and ``m`` need."""
+    return f"(({percent} * ({n} + {m}) + {99 + percent}) div {100 + percent})"
+
+
+def with_component(rows: DataFrame, comps: DataFrame) -> DataFrame:
+    named = comps.select(F.col("node").alias("cid"), F.col("component").alias("comp"))
+    return rows.join(named, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
+
 
-    member = pairs.join(texts, "cid").select("centre", "cid", "text")
-    centre = texts.select(F.col("cid").alias("centre"), F.col("text").alias("centre_text"))
-    return member.join(centre, "centre").select("centre", "cid", "centre_text", "text").mapInArrow(run, "a long, b long")
+def still_open(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of those groups that hold more than one component."""
+    mixed = rows.groupBy(*keys).agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select(*keys)
+    return rows.join(mixed, keys, "left_semi")
 
 
-def linked_components(members: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+def linked_components(members: DataFrame, texts: DataFrame, percent: int, most: int) -> DataFrame:
     """``node, component`` of the classes with links, from the table rows ``bucket, cid, n, shared`` (see the module's text)."""
-    members = members.withColumn("comp", F.col("cid"))
-    links = members.sparkSession.createDataFrame([], "a long, b long")
-    tested = members.sparkSession.createDataFrame([], "centre long, cid long")
-    comps, turn = components(links), 0
-    while members.limit(1).count():
-        slot = F.pmod(F.xxhash64("cid", F.lit(turn)), F.lit(1 << turn))
-        centres = materialize(members.withColumn("slot", slot).groupBy("bucket", "slot").agg(
-            F.max(F.struct("shared", "cid", "n", "comp")).alias("c")).select(
-            "bucket", F.col("c.cid").alias("centre"), F.col("c.n").alias("cn"), F.col("c.comp").alias("centre_comp")))
-        pairs = members.join(centres, "bucket").where(F.col("comp") != F.col("centre_comp")).where(
-            F.least("n", "cn") * 100 >= F.greatest("n", "cn") * percent).select("centre", "cid").distinct()
-        pairs = materialize(pairs.join(tested, ["centre", "cid"], "left_anti"))
-        found = materialize(verified(pairs, texts, percent))
-        tested, links = tested.unionByName(pairs), links.unionByName(found)
+    centres = members.groupBy("bucket").agg(F.max(F.struct("shared", "cid")).alias("c")).select("bucket", F.col("c.cid").alias("centre"))
+    pairs = materialize(members.join(centres, "bucket").where("cid <> centre").select("centre", "cid", "n", "shared").distinct())
+    first = materialize(settled_clusters(pairs.select("centre", "cid"), texts, percent, most))
+    links = first.where("linked").select("a", "b")
+    comps = components(links)
+    large = first.where("prefix is not null").select(F.col("a").alias("centre"), F.col("b").alias("cid"), "linked", "prefix")
+    if not large.limit(1).count():
+        return comps
+
+    far = large.where("not linked").select("centre").distinct()
+    meeting = large.join(far, "centre", "left_semi").join(pairs, ["centre", "cid"]).select(
+        "centre", "cid", "n", "shared", F.posexplode("prefix").alias("pos", "shingle"))
+    least = meeting.groupBy("centre", "shingle").agg(F.min("n").alias("least_n"), F.count("*").alias("c")).where("c > 1").drop("c")
+    able = meeting.join(least, ["centre", "shingle"]).where(
+        f"n - pos >= {overlap('n', f'greatest(least_n, ({percent} * n + 99) div 100)', percent)}").drop("least_n")
+    rows = materialize(still_open(with_component(able, comps), ["centre", "shingle"]))
+
+    tested, turn = pairs.select("centre", "cid"), 0
+    while rows.limit(1).count():
+        slot = F.pmod(F.xxhash64("cid", F.lit(turn)), F.lit(8 ** turn))
+        chosen = materialize(rows.withColumn("slot", slot).groupBy("centre", "shingle", "slot").agg(
+            F.max(F.struct("shared", "cid", "n", "pos", "comp")).alias("c")).select(
+            "centre", "shingle", F.col("c.cid").alias("other"), F.col("c.n").alias("m"), F.col("c.pos").alias("at"),
+            F.col("c.comp").alias("other_comp")))
+        near = rows.join(chosen, ["centre", "shingle"]).where(F.col("comp") != F.col("other_comp")).where(
+            f"least(n, m) * 100 >= greatest(n, m) * {percent} and least(n - pos, m - at) >= {overlap('n', 'm', percent)}")
+        near = near.select(F.col("other").alias("centre"), "cid").distinct()
+        near = materialize(near.join(tested, ["centre", "cid"], "left_anti"))
+        # as clusters of any size: only the comparison with the centre is wanted
+        found = materialize(settled_clusters(near, texts, percent, 0).where("linked").select("a", "b"))
+        tested = tested.unionByName(near)
         if found.limit(1).count():
+            links = links.unionByName(found)
             comps = components(links)
-        used = centres.select("bucket", F.col("centre").alias("cid"))
-        left = materialize(members.drop("comp").join(used, ["bucket", "cid"], "left_anti").join(
-            comps.select(F.col("node").alias("cid"), F.col("component").alias("comp")), "cid", "left").withColumn(
-            "comp", F.coalesce("comp", "cid")))
-        unsettled = left.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("bucket")
-        members = materialize(left.join(unsettled, "bucket", "left_semi"))
+        used = chosen.select("centre", "shingle", F.col("other").alias("cid"))
+        left = rows.drop("comp").join(used, ["centre", "shingle", "cid"], "left_anti")
+        rows = materialize(still_open(with_component(left, comps), ["centre", "shingle"]))
         turn += 1
     return comps
 
 
-def marked_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
+def marked_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT,
+                       most: int = CLUSTER) -> DataFrame:
     """``id, n_shingles, component_id, kept`` and the set digest ``s1, s2``, one row per row of ``df``.
 
     Documents are linked when their sets of distinct five-word shingles (A-Z lower-cased) have a similarity of ``percent``
@@ -199,7 +321,7 @@ def marked_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     repeat an id with equal text share everything; with different texts each is placed by its own text. NULL ids
     are never smallest unless a component has no other. An empty table gives an empty result.
     """
-    rows = materialize(signed(df, id_col, text_col))
+    rows = materialize(signed(in_small_batches(df), id_col, text_col))
     classes = rows.where("n_shingles > 0").groupBy("s1", "s2").agg(
         F.min("id").alias("first_id"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys"))
     classes = materialize(classes.withColumn("cid", F.monotonically_increasing_id()))
@@ -207,7 +329,7 @@ def marked_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     live = classes.join(members.select("cid").distinct(), "cid", "left_semi").select("cid", "s1", "s2", "first_id")
     texts = materialize(class_texts(df, id_col, text_col, live))
 
-    comps = linked_components(members, texts, percent)
+    comps = linked_components(members, texts, percent, most)
     grouped = classes.select("cid", "s1", "s2", "first_id").join(comps.withColumnRenamed("node", "cid"), "cid", "left").withColumn(
         "component", F.coalesce("component", "cid"))
     least = grouped.groupBy("component").agg(F.min("first_id").alias("component_id"))

@@ -70,12 +70,14 @@ def classes(texts):
     return {k: (len(sets[k]), label[k], label[k] == k) for k in sets}
 
 
-def test_near_equals_brute_force(docs, texts):
-    got = {r.id: (r.n_shingles, r.component_id, r.kept) for r in marked_near_copies(docs).collect()}
+@pytest.mark.parametrize("most", [N.CLUSTER, 0])
+def test_near_equals_brute_force(docs, texts, most):
+    got = {r.id: (r.n_shingles, r.component_id, r.kept) for r in marked_near_copies(docs, most=most).collect()}
     assert got == classes(texts)
 
 
-def test_near_group_around_one_origin(spark):
+@pytest.mark.parametrize("most", [N.CLUSTER, 0])
+def test_near_group_around_one_origin(spark, most):
     """Copies with few and with many edits around one origin, a second origin, and a chain: no link is lost."""
     rng = np.random.default_rng(5)
     words = np.array([f"w{i}" for i in range(400)])
@@ -95,7 +97,7 @@ def test_near_group_around_one_origin(spark):
     order = rng.permutation(len(made))
     texts = {int(i): " ".join(made[i]) for i in order}
     table = spark.createDataFrame([(k, t) for k, t in texts.items()], "doc_id long, text string").repartition(4)
-    got = {r.id: (r.n_shingles, r.component_id, r.kept) for r in marked_near_copies(table).collect()}
+    got = {r.id: (r.n_shingles, r.component_id, r.kept) for r in marked_near_copies(table, most=most).collect()}
     assert got == classes(texts)
 
 
