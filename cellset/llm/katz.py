@@ -50,6 +50,18 @@ def packed(values: np.ndarray) -> bytes:
     return np.ascontiguousarray(values).tobytes()
 
 
+def planes(columns: np.ndarray) -> bytes:
+    """Columns of numbers, first bytes first, so that the empty high bytes of small numbers lie together and compress away."""
+    columns = np.ascontiguousarray(columns)
+    return packed(columns.view(np.uint8).reshape(*columns.shape, columns.itemsize).transpose(0, 2, 1))
+
+
+def from_planes(blob: bytes, kind: type, n: int) -> np.ndarray:
+    """Columns of ``n`` numbers from their ``planes``."""
+    parts = np.frombuffer(blob, np.uint8).reshape(-1, np.dtype(kind).itemsize, n).transpose(0, 2, 1)
+    return np.ascontiguousarray(parts).view(kind).reshape(-1, n)
+
+
 def chunks_of(df: DataFrame, id_col: str, text_col: str, chunk: int) -> DataFrame:
     """Written table of ``CHUNKS``: per document its tokens as places in the chunk's ascending list of word hashes."""
     kind = df.schema[id_col].dataType.simpleString()
@@ -131,7 +143,7 @@ class Chunk:
 
 
 def keys_of(blob: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(blob, np.uint8).reshape(8, -1).T.copy().view(np.uint64).ravel(), dtype=np.uint64)
+    return np.cumsum(from_planes(blob, np.uint64, len(blob) // 8)[0], dtype=np.uint64)
 
 
 def requests(frame: DataFrame, make, parts: int) -> DataFrame:
@@ -147,7 +159,7 @@ def requests(frame: DataFrame, make, parts: int) -> DataFrame:
                     if end > at:
                         # differences of ascending keys have empty high bytes, which the shuffle compresses away
                         steps = np.diff(keys[at:end], prepend=np.uint64(0))
-                        out.append((part, row["chunk"], packed(steps.view(np.uint8).reshape(-1, 8).T), packed(sums[:, at:end])))
+                        out.append((part, row["chunk"], planes(steps[None, :]), planes(sums[:, at:end])))
                         at = end
                 if out:
                     columns = zip(*out, strict=True)
@@ -167,7 +179,7 @@ def answered(asked: DataFrame, tag: int, kind: type, settle) -> DataFrame:
     def run(table: pa.Table) -> pa.Table:
         rows = sorted(table.to_pylist(), key=lambda r: r["chunk"])
         keys = [keys_of(r["keys"]) for r in rows]
-        sums = np.concatenate([np.frombuffer(r["sums"], kind).reshape(-1, len(k)) for r, k in zip(rows, keys, strict=True)], axis=1)
+        sums = np.concatenate([from_planes(r["sums"], kind, len(k)) for r, k in zip(rows, keys, strict=True)], axis=1)
         every = np.concatenate(keys)
         distinct, place = np.unique(every, return_inverse=True)
         totals = np.array([np.bincount(place, weights=x, minlength=len(distinct)) for x in sums])
@@ -182,7 +194,7 @@ def answered(asked: DataFrame, tag: int, kind: type, settle) -> DataFrame:
         part = rows[0]["part"]
         return pa.Table.from_arrays(
             [pa.array([*(r["chunk"] for r in rows), None], pa.int64()), pa.array([tag] * (len(rows) + 1), pa.int32()),
-             pa.array([part] * (len(rows) + 1), pa.int32()), pa.array([*(packed(reply[:, a:b]) for a, b in cuts), None], pa.binary()),
+             pa.array([part] * (len(rows) + 1), pa.int32()), pa.array([*(planes(reply[:, a:b]) for a, b in cuts), None], pa.binary()),
              pa.array([*(packed(np.packbits(owned[a:b])) for a, b in cuts), None], pa.binary()),
              pa.array([*(None for _ in rows), stats], pa.list_(pa.int64()))],
             ["chunk", "tag", "part", "totals", "owned", "stats"])
@@ -214,7 +226,8 @@ def read_replies(row: dict, sizes: dict[int, int], kinds: dict[int, type]) -> di
     out = {}
     for tag, parts in blobs.items():
         width = 2 if tag < 0 else 1
-        totals = [np.frombuffer(r["totals"], kinds[tag]).reshape(width, -1) for r in parts]
+        size = width * np.dtype(kinds[tag]).itemsize
+        totals = [from_planes(r["totals"], kinds[tag], len(r["totals"]) // size) for r in parts]
         owned = [np.unpackbits(np.frombuffer(r["owned"], np.uint8), count=t.shape[1]).astype(bool) for r, t in zip(parts, totals, strict=True)]
         out[tag] = (np.concatenate(totals, axis=1), np.concatenate(owned))
         assert out[tag][0].shape[1] == sizes[tag]
