@@ -137,9 +137,8 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[floa
     counted = outer.groupBy(*by, "_n", "_place", point.alias("_point")).agg(
         F.count("*").alias("_c"), F.max("_v").alias("_max"), F.min("_v").alias("_min"))
     at = F.when(F.col("_place") == -1, F.col("_max")).otherwise(F.col("_min"))
-    ordered = Window.partitionBy(*by).orderBy("_at")
-    ranked = counted.withColumn("_at", at).withColumn(
-        "_upto", F.sum("_c").over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
+    # ranges, not one window per quantile: a bracket holds a fixed share of the rows, however many these are
+    ranked = running_total(counted.withColumn("_at", at), by, ["_at"], F.col("_c"), "_upto")
     target = F.col("prob") * (F.col("_n") - 1)
     low, high = F.floor(target), F.ceil(target)
     first = lambda rank: F.min(F.when(F.col("_upto") > rank, F.col("_at")))
