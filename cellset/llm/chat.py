@@ -18,15 +18,20 @@ from cellset.session import materialize
 TURN_START, TURN_END = "<|im_start|>", "<|im_end|>"
 
 
+def said(seed: int):
+    """Hash of role and text; NULL differs from empty."""
+    return F.xxhash64(F.lit(seed), F.col("role").isNull(), F.coalesce("role", F.lit("")), F.col("text").isNull(),
+                      F.coalesce("text", F.lit("")))
+
+
 def turn_digests(turns: DataFrame) -> DataFrame:
-    """``conv_id, place, d1, d2, role, text``: places from 1 in the order of ``turn`` and prefix digests."""
-    order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_last(), "role", "text")
-    placed = turns.select("conv_id", "turn", "role", "text").withColumn("place", F.row_number().over(order).cast("long"))
-    # NULL role or text differs from an empty one
-    said = ["place", F.col("role").isNull(), F.coalesce("role", F.lit("")), F.col("text").isNull(), F.coalesce("text", F.lit(""))]
-    own = placed.withColumns({"h1": F.xxhash64(F.lit(1), *said), "h2": F.xxhash64(F.lit(2), *said)})
-    upto = Window.partitionBy("conv_id").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
-    return own.select("conv_id", "place", "role", "text", F.bit_xor("h1").over(upto).alias("d1"), F.bit_xor("h2").over(upto).alias("d2"))
+    """``conv_id, place, d1, d2``: places from 1 in the order of the turns, and prefix digests. Texts aren't shuffled."""
+    hashed = turns.select("conv_id", "turn", said(1).alias("h1"), said(2).alias("h2"))
+    order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_last(), "h1", "h2")
+    placed = hashed.withColumn("place", F.row_number().over(order).cast("long"))
+    own = placed.withColumns({"g1": F.xxhash64("place", "h1", "h2"), "g2": F.xxhash64("place", "h2", "h1")})
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    return own.select("conv_id", "place", F.bit_xor("g1").over(upto).alias("d1"), F.bit_xor("g2").over(upto).alias("d2"))
 
 
 def maximal(prefixes: DataFrame) -> DataFrame:
@@ -42,16 +47,18 @@ def maximal(prefixes: DataFrame) -> DataFrame:
 def formatted_chats(conversations: DataFrame) -> DataFrame:
     """``conv_id, n_turns, n_copies, rendered`` of every maximal conversation of ``conv_id, turn, role, text``.
 
-    Turns are ordered by ``turn`` (NULL last), then role and text; equal turn rows all count. A missing role is rendered as
+    Turns are ordered by ``turn`` (NULL last), equal ones by a hash of role and text; equal turn rows all count. A missing role is rendered as
     ``user``, a missing text as empty; they differ from given ones when conversations are compared. Rows without
     ``conv_id`` belong to no conversation. Equal conversations are rendered once, under the smallest id, with their
     number in ``n_copies``. Other columns are ignored; an empty table gives an empty result.
     """
-    prefixes = materialize(turn_digests(conversations.where("conv_id is not null")))
-    kept = materialize(maximal(prefixes.drop("role", "text")))
-    said = prefixes.join(kept, "conv_id", "left_semi").select("conv_id", F.struct("place", F.concat(
-        F.lit(TURN_START), F.coalesce("role", F.lit("user")), F.lit("\n"), F.coalesce("text", F.lit("")), F.lit(f"{TURN_END}\n")
-    ).alias("said")).alias("turn"))
-    rendered = said.groupBy("conv_id").agg(F.sort_array(F.collect_list("turn")).alias("turns")).select(
+    turns = conversations.where("conv_id is not null").select("conv_id", "turn", "role", "text")
+    kept = materialize(maximal(materialize(turn_digests(turns))))
+    shown = F.concat(F.lit(TURN_START), F.coalesce("role", F.lit("user")), F.lit("\n"), F.coalesce("text", F.lit("")),
+                     F.lit(f"{TURN_END}\n"))
+    placed = turns.select("conv_id", F.struct(F.col("turn").isNull().alias("last"), "turn", said(1).alias("h1"), said(2).alias("h2"),
+                                              shown.alias("said")).alias("turn"))
+    rendered = placed.join(kept.select("conv_id"), "conv_id", "left_semi").groupBy("conv_id").agg(
+        F.sort_array(F.collect_list("turn")).alias("turns")).select(
         "conv_id", F.array_join(F.transform("turns", lambda t: t["said"]), "").alias("rendered"))
     return kept.join(rendered, "conv_id").select("conv_id", "n_turns", "n_copies", "rendered")
