@@ -31,9 +31,9 @@ ORDER = 2
 #: Counts above this are trusted and not discounted.
 GT_MAX = 5
 #: Tokens of a chunk, from which it is closed; documents are never split.
-CHUNK = 1_000_000
+CHUNK = 600_000
 #: Tokens of the corpus for each partition of a table of n-grams; word and context tables get a quarter as many partitions.
-PART_TOKENS = 1_500_000
+PART_TOKENS = 750_000
 HELD_OUT_OF, HELD_OUT = 7, 2
 #: Words can't contain white space, so these are no words: the end of a text, and what stands before its first word.
 END, BEGIN = b" ", b"\n"
@@ -80,7 +80,7 @@ def chunks_of(df: DataFrame, id_col: str, text_col: str, chunk: int) -> DataFram
             return pa.RecordBatch.from_arrays(
                 [pa.array([0], pa.int64()), pa.array([size], pa.int64()), pa.array([ids], pa.list_(id_type)),
                  pa.array([held], pa.list_(pa.bool_())), pa.array([packed(np.array(lengths, np.int64))], pa.binary()),
-                 pa.array([packed(place[np.concatenate(codes)])], pa.binary()), pa.array([packed(hashes[order])], pa.binary())],
+                 pa.array([planes(place[np.concatenate(codes)][None, :])], pa.binary()), pa.array([packed(hashes[order])], pa.binary())],
                 ["chunk", "n_tokens", "ids", "held", "lengths", "codes", "hashes"])
 
         for batch in iterator:
@@ -103,7 +103,8 @@ def chunks_of(df: DataFrame, id_col: str, text_col: str, chunk: int) -> DataFram
     # bucketed by chunk, so that replies can be joined with the chunks without shuffling these
     name = f"chunks_{uuid.uuid4().hex}"
     buckets = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    chunks.write.bucketBy(buckets, "chunk").option("path", f"{durable_dir(df.sparkSession)}/{name}").saveAsTable(name)
+    chunks.write.bucketBy(buckets, "chunk").option("path", f"{durable_dir(df.sparkSession)}/{name}").option(
+        "compression", "zstd").saveAsTable(name)
     return df.sparkSession.table(name)
 
 
@@ -121,17 +122,19 @@ class Chunk:
     @classmethod
     def of(cls, row: dict, order: int) -> Chunk:
         lengths = np.frombuffer(row["lengths"], np.int64)
-        codes = np.frombuffer(row["codes"], np.uint32).astype(np.int64)
+        codes = from_planes(row["codes"], np.uint32, len(row["codes"]) // 4)[0].astype(np.int64)
         hashes = np.frombuffer(row["hashes"], np.uint64)
         chunk = cls(np.repeat(~np.array(row["held"], bool), lengths), lengths, {1: hashes}, {1: codes}, {}, {})
         words = hashes[codes]
-        since = np.arange(len(codes)) - np.repeat(np.cumsum(lengths) - lengths, lengths)  # tokens of the text before this one
+        # tokens of the text before this one
+        since = np.arange(len(codes), dtype=np.int32) - np.repeat((np.cumsum(lengths) - lengths).astype(np.int32), lengths)
         begin = np.uint64(xxhash.xxh3_64_intdigest(BEGIN))
         before = np.zeros(len(codes), np.uint64)
         for o in range(2, order + 1):
             word = np.full(len(codes), begin, np.uint64)
             known = np.flatnonzero(since >= o - 1)
             word[known] = words[known - (o - 1)]
+            del known
             before = mixed_bits(before * np.uint64(3) + word)
             chunk.keys[o], chunk.gram[o] = np.unique(mixed_bits(before ^ (words * np.uint64(5))), return_inverse=True)
             chunk.contexts[o], chunk.context[o] = np.unique(before, return_inverse=True)
