@@ -7,9 +7,10 @@ repeat is found inside the bucket of one minimiser:
 1. Only ``(minimiser, place)`` of each super-k-mer is shuffled first. A bucket with one window source can't hold a repeat.
 2. Super-k-mers of the remaining buckets travel as one packed string each to their bucket. There the words become numbers, the
    windows are sorted by hash, and sorted neighbours are compared word by word.
-3. A bucket of more than ``BUCKET`` super-k-mers (a passage that very many texts share) isn't gathered: each of its windows
-   travels as a 128-bit digest to one of several parts of the bucket. Two of a part are repeated; what is single in its part
-   is counted over all parts by an ordinary aggregation. This is as complete as the other way.
+3. A bucket of more than ``BUCKET`` super-k-mers, or ``EACH`` times as many words (a passage that very many texts share, or a
+   very long periodic text), isn't gathered: each of its windows travels as a 128-bit digest to one of several parts of
+   the bucket, chosen by text and place, so that equal windows are spread too. Two of a part are repeated; what is single in its
+   part is counted over all parts by an ordinary aggregation. This is as complete as the other way.
 4. The spans that repeated windows cover go back to their texts.
 """
 
@@ -32,7 +33,9 @@ WINDOW = 35
 MINIMISER = 8
 #: Super-k-mers of one bucket that are sorted in one task.
 BUCKET = 20_000
-#: Words sorted at once inside a task; a bucket is never split.
+#: Words of such a bucket, per super-k-mer of the bound.
+EACH = 64
+#: Words sorted at once inside a task; a bucket that is gathered is never split.
 CHUNK = 250_000
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -120,31 +123,39 @@ def per_text(docs: DataFrame, found: DataFrame, value: str, how: str) -> DataFra
 SPAN = "bucket long, id {kind}, key long, start int, packed binary, hot boolean"
 
 
-def spans_of(docs: DataFrame, live: DataFrame, id_kind: str, window: int, most: int) -> DataFrame:
-    """``SPAN`` rows: super-k-mers with their words, or each window's digest where the bucket holds more than ``most``."""
+def spans_of(docs: DataFrame, live: DataFrame, id_kind: str, window: int) -> DataFrame:
+    """``SPAN`` rows: super-k-mers with their words, or each window's digest where the bucket has ``parts``."""
+    def span_batch(batch, take, rows):
+        take = pa.array(take, pa.int64())
+        bucket, start, packed, hot = zip(*rows, strict=True) if rows else ((), (), (), ())
+        return pa.RecordBatch.from_arrays(
+            [pa.array(bucket, pa.int64()), batch.column(0).take(take), batch.column(1).take(take), pa.array(start, pa.int32()),
+             pa.array(packed, pa.binary()), pa.array(hot, pa.bool_())], ["bucket", "id", "key", "start", "packed", "hot"])
+
     def run(iterator):
         for batch in slices(iterator):
             take, rows = [], []
             for i, (text, found) in enumerate(zip(texts_of(batch.column(2)), batch.column(3).to_pylist(), strict=True)):
-                words = text.split()
+                words, own = text.split(), None
                 for x in found:
-                    first, end = x["start"], x["start"] + x["run"]
-                    if x["n"] <= most:
+                    first, end, parts = x["start"], x["start"] + x["run"], x["parts"]
+                    if not parts:
                         take.append(i)
                         rows.append((x["bucket"], first, b" ".join(words[first:end + window - 1]), False))
                         continue
+                    if own is None:
+                        own = xxhash.xxh3_64_intdigest(repr((batch.column(0)[i].as_py(), batch.column(1)[i].as_py())).encode())
                     for at in range(first, end):
                         digest = xxhash.xxh3_128_digest(b" ".join(words[at:at + window]))
-                        part = xxhash.xxh3_64_intdigest(b"%d %d" % (x["start"], len(words))) % (x["n"] // most + 1)
+                        part = xxhash.xxh3_64_intdigest(b"%d" % at, seed=own) % parts
                         take.append(i)
                         rows.append((xxhash.xxh3_64_intdigest(digest, seed=part) - (1 << 63), at, digest, True))
-            take = pa.array(take, pa.int64())
-            bucket, start, packed, hot = zip(*rows, strict=True) if rows else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(bucket, pa.int64()), batch.column(0).take(take), batch.column(1).take(take), pa.array(start, pa.int32()),
-                 pa.array(packed, pa.binary()), pa.array(hot, pa.bool_())], ["bucket", "id", "key", "start", "packed", "hot"])
+                        if len(rows) >= BUCKET:
+                            yield span_batch(batch, take, rows)
+                            take, rows = [], []
+            yield span_batch(batch, take, rows)
 
-    rows = per_text(docs, live.withColumn("x", F.struct("bucket", "start", "run", "n")), "x", "inner")
+    rows = per_text(docs, live.withColumn("x", F.struct("bucket", "start", "run", "parts")), "x", "inner")
     return rows.mapInArrow(run, SPAN.format(kind=id_kind))
 
 
@@ -243,9 +254,10 @@ def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     id_kind = df.schema[id_col].dataType.simpleString()
     docs = keyed(in_small_batches(df), id_col, text_col)
     runs = materialize(runs_of(docs, id_kind, window, minimiser))
-    buckets = runs.groupBy("bucket").agg(F.sum("weight").alias("w"), F.count("*").alias("n")).where("w > 1").select("bucket", "n")
+    buckets = runs.groupBy("bucket").agg(F.sum("weight").alias("w"), F.count("*").alias("n"), F.sum("run").alias("windows")).where(
+        "w > 1").selectExpr("bucket", f"if(n > {bucket} or windows + n * {window - 1} > {bucket * EACH}, windows div {bucket} + 1, 0) as parts")
     live = materialize(runs.drop("weight").join(buckets, "bucket"))
-    found = materialize(sorted_buckets(spans_of(docs, live, id_kind, window, bucket), id_kind, window, chunk))
+    found = materialize(sorted_buckets(spans_of(docs, live, id_kind, window), id_kind, window, chunk))
     single = found.where("weight is not null")
     again = single.groupBy("digest").agg(F.sum("weight").alias("w")).where("w > 1").select("digest")
     found = found.where("weight is null").unionByName(

@@ -8,6 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from cellset.llm import near_dup as N
+from cellset.llm import substrings as S
 from cellset.llm.components import components
 from cellset.llm.exact_dup import heavy_candidates, marked_copies, without_copies
 from cellset.llm.near_dup import marked_near_copies, without_near_copies
@@ -138,6 +139,21 @@ def test_substrings_equal_brute_force(docs, texts, bucket, chunk):
     assert {r.doc_id: (r.n_words, r.n_removed, r.h) for r in rows.collect()} == want
 
 
+def test_substrings_spread_hot_windows(spark, monkeypatch):
+    """Copies of one text, also with a word replaced, and a periodic text: no bucket gathers them, and nothing is lost."""
+    words = [f"w{i}" for i in range(60)]
+    made = [" ".join(words)] * 300 + [" ".join([*words[:k], "x", *words[k + 1:]]) for k in range(60)] + ["wort " * 3000]
+    table = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string").repartition(4)
+    seen, real = [], S.sorted_buckets
+    monkeypatch.setattr(S, "sorted_buckets", lambda spans, *rest: seen.append(spans) or real(spans, *rest))
+    rows = without_repeats(table, bucket=20).select("doc_id", "n_words", "n_removed", text_sha256("kept_text").alias("h")).collect()
+    assert {r.doc_id: (r.n_words, r.n_removed, r.h) for r in rows} == dict(enumerate(brute_force([t.encode() for t in made])))
+    groups = seen[0].selectExpr("bucket", "if(hot, 1, size(split(decode(packed, 'utf-8'), ' '))) as n", "hot").groupBy("bucket", "hot").agg(
+        {"n": "sum"}).collect()
+    assert max(r[2] for r in groups if r.hot) <= 60
+    assert max((r[2] for r in groups if not r.hot), default=0) <= 20 * S.EACH
+
+
 def test_substrings_awkward(awkward, nothing):
     rows = without_repeats(awkward).collect()
     assert len(rows) == 12 and {r.n_removed for r in rows if r.doc_id != 7} == {0}
