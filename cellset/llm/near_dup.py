@@ -9,8 +9,9 @@ has probability below ``2 * (1 - s**K)**M``: 1.5e-6 at 0.85 with the defaults, a
 is dropped before pairs are formed, so documents without relatives give no table keys at all.
 
 *Links without all pairs.* In every bucket one centre, the class with the most shared half keys, is compared with the
-other members; all members that meet a centre anywhere are its cluster. A cluster of up to ``CLUSTER`` members is settled
-by the task that gets its texts: members outside the centre's component count their overlaps with the others in inverted lists.
+other members; all members that meet a centre anywhere are its cluster. A cluster of up to ``CLUSTER`` members and ``LOAD`` shingles is
+settled by the task that gets its texts: members outside the centre's component count their overlaps with the others in inverted
+lists. A larger cluster is dealt in slices, each with the centre's text.
 
 In larger clusters, two members that aren't both linked with their centre c meet through the prefix filter: in the order "shingles
 outside c first, then by hash" two sets of the wanted similarity share one of their first ``n - ceil(s n) + 1`` shingles, and the place
@@ -40,6 +41,10 @@ PERCENT = 85
 CACHED_WORDS = 200_000
 #: Members of a cluster that one task settles; their sets are held in memory.
 CLUSTER = 4_000
+#: Shingles of all members of such a cluster.
+LOAD = 2_000_000
+#: Members of a larger cluster that one slice compares with the centre, and their shingles.
+SLICE, SLICE_LOAD = 500, 250_000
 
 
 class WordHashes(dict):
@@ -215,18 +220,18 @@ class Cluster:
 def settled_clusters(pairs: DataFrame, texts: DataFrame, percent: int, most: int) -> DataFrame:
     """``a, b, linked, prefix`` of candidate ``pairs`` (``centre, cid``) by their whole shingle sets.
 
-    Clusters of up to ``most`` members come as links that connect them; of larger ones each member comes with its
-    comparison with the centre and its prefix.
+    ``pairs`` has ``n`` too, the shingles of ``cid``. Clusters of up to ``most`` members and ``LOAD`` shingles come as links that connect
+    them; of larger ones, which are dealt in slices, each member comes with its comparison with the centre and its prefix.
     """
     def run(iterator):
         out, cluster, large, centre_set = [], None, False, None
         for batch in slices(iterator):
-            for centre, cid, m, text in zip(*(c.to_pylist() for c in batch.columns[:3]), texts_of(batch.column(3)), strict=True):
+            for centre, cid, is_large, text in zip(*(c.to_pylist() for c in batch.columns[:3]), texts_of(batch.column(3)), strict=True):
                 own = shingles(text)
                 if centre == cid:
                     if cluster is not None:
                         out += [(a, b, True, None) for a, b in cluster.settle()]
-                    large, centre_set = m > most, own
+                    large, centre_set = is_large, own
                     cluster = None if large else Cluster(cid, own, percent)
                 elif large:
                     out.append((centre, cid, similar(centre_set, own, percent), least_prefix(own, centre_set, percent).view(np.int64)))
@@ -240,10 +245,13 @@ def settled_clusters(pairs: DataFrame, texts: DataFrame, percent: int, most: int
         if out:
             yield links_batch(out)
 
-    sizes = pairs.groupBy("centre").agg((F.count("*") + 1).alias("m"))
-    rows = pairs.join(sizes, "centre").select("centre", "cid", "m").unionByName(sizes.select("centre", F.col("centre").alias("cid"), "m"))
-    placed = rows.join(texts, "cid").select("centre", "cid", "m", "text").repartition("centre").sortWithinPartitions(
-        "centre", F.col("cid") != F.col("centre"))
+    sizes = pairs.groupBy("centre").agg((F.count("*") + 1).alias("m"), F.sum("n").alias("load")).selectExpr(
+        "centre", f"m > {most} or load > {LOAD} as large", f"cast(greatest(m div {SLICE}, load div {SLICE_LOAD}) + 1 as int) as parts")
+    sizes = sizes.withColumn("parts", F.when(F.col("large"), F.col("parts")).otherwise(1))
+    rows = pairs.join(sizes, "centre").select("centre", "cid", "large", F.expr("cast(pmod(xxhash64(cid), parts) as int)").alias("slice"))
+    rows = rows.unionByName(sizes.select("centre", F.col("centre").alias("cid"), "large", F.expr("explode(sequence(0, parts - 1))").alias("slice")))
+    placed = rows.join(texts, "cid").select("centre", "cid", "large", "text", "slice").repartition(
+        "centre", "slice").sortWithinPartitions("centre", "slice", F.col("cid") != F.col("centre")).drop("slice")
     return placed.mapInArrow(run, "a long, b long, linked boolean, prefix array<long>")
 
 
@@ -273,7 +281,7 @@ def linked_components(members: DataFrame, texts: DataFrame, percent: int, most:
     """``node, component`` of the classes with links, from the table rows ``bucket, cid, n, shared`` (see the module's text)."""
     centres = members.groupBy("bucket").agg(F.max(F.struct("shared", "cid")).alias("c")).select("bucket", F.col("c.cid").alias("centre"))
     pairs = materialize(members.join(centres, "bucket").where("cid <> centre").select("centre", "cid", "n", "shared").distinct())
-    first = materialize(settled_clusters(pairs.select("centre", "cid"), texts, percent, most))
+    first = materialize(settled_clusters(pairs.select("centre", "cid", "n"), texts, percent, most))
     links = first.where("linked").select("a", "b")
     comps = components(links)
     large = first.where("prefix is not null").select(F.col("a").alias("centre"), F.col("b").alias("cid"), "linked", "prefix")
@@ -297,11 +305,11 @@ def linked_components(members: DataFrame, texts: DataFrame, percent: int, most:
             F.col("c.comp").alias("other_comp")))
         near = rows.join(chosen, ["centre", "shingle"]).where(F.col("comp") != F.col("other_comp")).where(
             f"least(n, m) * 100 >= greatest(n, m) * {percent} and least(n - pos, m - at) >= {overlap('n', 'm', percent)}")
-        near = near.select(F.col("other").alias("centre"), "cid").distinct()
+        near = near.select(F.col("other").alias("centre"), "cid", "n").distinct()
         near = materialize(near.join(tested, ["centre", "cid"], "left_anti"))
         # as clusters of any size: only the comparison with the centre is wanted
         found = materialize(settled_clusters(near, texts, percent, 0).where("linked").select("a", "b"))
-        tested = tested.unionByName(near)
+        tested = tested.unionByName(near.select("centre", "cid"))
         if found.limit(1).count():
             links = links.unionByName(found)
             comps = components(links)

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from cellset.llm import near_dup as N
 from cellset.llm import substrings as S
@@ -102,6 +103,23 @@ def test_near_group_around_one_origin(spark, most):
     assert got == classes(texts)
 
 
+def test_near_large_clusters_are_dealt(spark, monkeypatch):
+    """Members of a large cluster reach several tasks; texts of many shingles make a cluster large as well."""
+    base = [f"w{i}" for i in range(300)]
+    texts = {k: " ".join([*base[:k % 300], f"e{k}", *base[k % 300 + 1:]]) for k in range(1500)}
+    table = spark.createDataFrame(list(texts.items()), "cid long, text string").withColumn("text", F.encode("text", "utf-8"))
+    pairs = table.where("cid > 0").selectExpr("0L as centre", "cid", "296L as n")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = N.settled_clusters(pairs, table, 85, 100).select("b", "linked", F.spark_partition_id().alias("task")).collect()
+        monkeypatch.setattr(N, "LOAD", 100_000)
+        heavy = N.settled_clusters(pairs, table, 85, N.CLUSTER).where("prefix is not null").count()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sorted(r.b for r in rows) == list(range(1, 1500)) and all(r.linked for r in rows)
+    assert len({r.task for r in rows}) > 1 and heavy == 1499
+
+
 def test_near_awkward(awkward, nothing):
     rows = marked_near_copies(awkward).collect()
     assert len(rows) == 12
