@@ -3,7 +3,8 @@
 *Signatures.* Two small collections of ``M`` half keys each are computed per shingle set; a half key is made of ``K`` minhashes.
 A table of the banding is a pair (i, j) and its key is the pair of half keys (left i, right j): ``M * M`` tables from only
 ``2 * M * K`` minhashes. Two sets of similarity s share a table unless they differ in all left or in all right half keys, which
-has probability below ``2 * (1 - s**K)**M``: 1.5e-6 at 0.85 with the defaults, and far less above.
+has probability below ``2 * (1 - s**K)**M``: 1.5e-6 at 0.85 with the defaults, and far less above. Another similarity gets
+as many half keys as it needs for a probability below ``MISS``.
 
 *Candidates.* Documents with equal shingle sets form one class, represented once. A half key that only one class has
 is dropped before pairs are formed, so documents without relatives give no table keys at all.
@@ -23,6 +24,7 @@ Either way a pair is left out only if it can't reach the similarity or is in one
 from __future__ import annotations
 
 from functools import lru_cache
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +38,8 @@ from cellset.session import materialize
 
 WIDTH = 5
 M, K = 11, 2
+#: Largest probability that the tables miss a pair of just the wanted similarity.
+MISS = 2e-6
 #: Similarity at which documents are linked, in hundredths.
 PERCENT = 85
 CACHED_WORDS = 200_000
@@ -89,8 +93,13 @@ def shingles(text: bytes, width: int = WIDTH) -> np.ndarray:
     return np.unique(value)
 
 
-def multipliers() -> np.ndarray:
-    seeds = np.arange(1, 2 * M * K + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+def half_keys(percent: int) -> int:
+    """Half keys of each collection for a similarity in hundredths: ``M`` at the default."""
+    return next(m for m in count(1) if 2 * (1 - (percent / 100) ** K) ** m < MISS)
+
+
+def multipliers(m: int) -> np.ndarray:
+    seeds = np.arange(1, 2 * m * K + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     return mixed_bits(seeds) | np.uint64(1)
 
 
@@ -103,22 +112,22 @@ def set_digest(values: np.ndarray) -> tuple[int, int]:
 BLOCK = 16_384
 
 
-def signature(values: np.ndarray) -> np.ndarray:
-    """Half keys of a set as 64-bit numbers; place ``t`` belongs to the left collection for ``t < M``."""
-    least = np.full(2 * M * K, np.iinfo(np.uint64).max, np.uint64)
-    factors = multipliers()[:, None]
+def signature(values: np.ndarray, m: int = M) -> np.ndarray:
+    """Half keys of a set as 64-bit numbers; place ``t`` belongs to the left collection for ``t < m``."""
+    least = np.full(2 * m * K, np.iinfo(np.uint64).max, np.uint64)
+    factors = multipliers(m)[:, None]
     for at in range(0, len(values), BLOCK):
         scrambled = values[at:at + BLOCK] * factors
         scrambled ^= scrambled >> np.uint64(32)
         np.minimum(least, scrambled.min(axis=1), out=least)
-    least = least.reshape(2 * M, K)
-    key = np.zeros(2 * M, np.uint64)
+    least = least.reshape(2 * m, K)
+    key = np.zeros(2 * m, np.uint64)
     for i in range(K):
         key = mixed_bits(key + least[:, i])
-    return mixed_bits(key + np.arange(2 * M, dtype=np.uint64))
+    return mixed_bits(key + np.arange(2 * m, dtype=np.uint64))
 
 
-def signed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def signed(df: DataFrame, id_col: str, text_col: str, m: int) -> DataFrame:
     """``id, n_shingles, s1, s2, keys``: set size, a 128-bit digest of the set and its half keys (NULL for an empty set)."""
     def run(iterator):
         for batch in iterator:
@@ -131,7 +140,7 @@ def signed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     continue
                 one, two = set_digest(values)
                 s1.append(one), s2.append(two)
-                keys.append(signature(values).view(np.int64))
+                keys.append(signature(values, m).view(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()),
                  pa.array(keys, pa.list_(pa.int64()))], ["id", "n_shingles", "s1", "s2", "keys"])
@@ -141,13 +150,13 @@ def signed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
         run, f"id {kind}, n_shingles long, s1 long, s2 long, keys array<long>")
 
 
-def table_rows(classes: DataFrame) -> DataFrame:
+def table_rows(classes: DataFrame, m: int) -> DataFrame:
     """``bucket, cid, n, shared`` for every table key that at least two classes may have."""
     halves = classes.select("cid", "n", F.posexplode("keys").alias("place", "half"))
     common = halves.groupBy("half").agg(F.count("*").alias("c")).where("c > 1")
     alive = halves.join(common, "half").groupBy("cid", "n").agg(
-        F.sum("c").alias("shared"), F.collect_list(F.when(F.col("place") < M, F.col("half"))).alias("left"),
-        F.collect_list(F.when(F.col("place") >= M, F.col("half"))).alias("right"))  # at most M each
+        F.sum("c").alias("shared"), F.collect_list(F.when(F.col("place") < m, F.col("half"))).alias("left"),
+        F.collect_list(F.when(F.col("place") >= m, F.col("half"))).alias("right"))  # at most m each
     keys = alive.select("cid", "n", "shared", F.explode("left").alias("l"), "right").select(
         "cid", "n", "shared", "l", F.explode("right").alias("r"))
     return keys.select(F.xxhash64("l", "r").alias("bucket"), "cid", "n", "shared")
@@ -329,11 +338,12 @@ def marked_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     repeat an id with equal text share everything; with different texts each is placed by its own text. NULL ids
     are never smallest unless a component has no other. An empty table gives an empty result.
     """
-    rows = materialize(signed(in_small_batches(df), id_col, text_col))
+    m = half_keys(percent)
+    rows = materialize(signed(in_small_batches(df), id_col, text_col, m))
     classes = rows.where("n_shingles > 0").groupBy("s1", "s2").agg(
         F.min("id").alias("first_id"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys"))
     classes = materialize(classes.withColumn("cid", F.monotonically_increasing_id()))
-    members = materialize(table_rows(classes))
+    members = materialize(table_rows(classes, m))
     live = classes.join(members.select("cid").distinct(), "cid", "left_semi").select("cid", "s1", "s2", "first_id")
     texts = materialize(class_texts(df, id_col, text_col, live))
 

@@ -26,8 +26,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One of each group of near copies: the one with the smallest id."""
-    return without_near_copies(docs)
+    """One of each group of near copies (similarity 0.8 of word shingles): the one with the smallest id."""
+    return without_near_copies(docs, percent=80)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from cellset.llm import near_dup as N
 from cellset.llm import substrings as S
 from cellset.llm.components import components
@@ -57,7 +58,7 @@ def sets_of(texts):
     return out
 
 
-def classes(texts):
+def classes(texts, percent=85):
     sets = sets_of(texts)
     label = {k: k for k in sets}
     for _ in sets:
@@ -65,7 +66,7 @@ def classes(texts):
         for a in sets:
             for b in sets:
                 both = len(sets[a] & sets[b])
-                if both and 100 * both >= 85 * (len(sets[a]) + len(sets[b]) - both):
+                if both and 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
                     label[a] = min(label[a], label[b])
         if label == before:
             break
@@ -120,6 +121,19 @@ def test_near_large_clusters_are_dealt(spark, monkeypatch):
     assert len({r.task for r in rows}) > 1 and heavy == 1499
 
 
+def test_near_stage_of_the_pipeline_links_from_080(spark, docs, texts):
+    """The stage against brute force at 0.8, on the given texts and on pairs of 0.80 to 0.85."""
+    made = {}
+    for pair in range(40):
+        words = [f"p{pair}w{i}" for i in range(104)]
+        made |= {10**12 + 2 * pair: " ".join(words), 10**12 + 2 * pair + 1: " ".join([*words[:50], "x", *words[51:-8]])}
+    more = spark.createDataFrame(list(made.items()), "doc_id long, text string")
+    got = {r.doc_id for r in corpus_pipeline.near(spark, docs.select("doc_id", "text").unionByName(more), "").collect()}
+    want = {k for k, (_, _, kept) in classes(texts | made, 80).items() if kept}
+    assert got == want and len(want) < sum(kept for _, _, kept in classes(texts | made).values())
+    assert 2 * (1 - 0.8 ** N.K) ** N.half_keys(80) < 2e-6 and N.half_keys(85) == N.M
+
+
 def test_near_awkward(awkward, nothing):
     rows = marked_near_copies(awkward).collect()
     assert len(rows) == 12
