@@ -141,6 +141,31 @@ def test_mix_with_a_hot_source(spark):
     assert all(abs(taken - target) <= 1 for taken, target in by.values())
 
 
+def test_mix_refills_behind_a_long_document(spark):
+    """With very long documents among short ones, the documents taken are those of a sequential pass that skips what doesn't fit."""
+    sizes = {i: 900 if i % 7 == 0 else 1 + i * 37 % 90 for i in range(600)}
+    table = spark.createDataFrame([(i, "w " * n, f"s{i % 6}") for i, n in sizes.items()], "doc_id long, text string, source string")
+    rows = mixed(table, refill=True, carry=["doc_id", "source"]).collect()
+    by = {}
+    for r in rows:
+        by.setdefault(r.source, []).append(r)
+    for own in by.values():
+        ratio = own[0].target / own[0].source_size
+        whole, share = math.floor(ratio), ratio - math.floor(ratio)
+        draw = lambda i: (int(hashlib.md5(f"mix|{i}".encode()).hexdigest()[:13], 16) + 0.5) / 2.0 ** 52
+        gap, taken, rest = own[0].target - whole * own[0].source_size, set(), []
+        for i in sorted((r.doc_id for r in own), key=lambda i: (draw(i) / (1 - draw(i)), i)):
+            if sizes[i] <= gap:
+                gap -= sizes[i]
+                taken.add(i)
+            else:
+                rest.append(i)
+        better = [i for i in rest if abs(sizes[i] - gap) < gap]
+        if share > 0 and better:
+            taken.add(min(better, key=lambda i: abs(sizes[i] - gap)))
+        assert {r.doc_id for r in own if r.copies > whole} == (taken if share > 0 else set())
+
+
 def test_mix_awkward(awkward, nothing):
     rows = mixed(awkward).collect()
     assert len(rows) == 12 and {r.size for r in rows if r.doc_id in (3, 4, 5)} == {0}
@@ -148,6 +173,12 @@ def test_mix_awkward(awkward, nothing):
     assert mixed(nothing).count() == 0 and mixture(nothing).count() == 0
 
 
+def test_mix_refill_awkward(awkward, nothing):
+    rows = mixed(awkward, refill=True).collect()
+    assert len(rows) == 12 and {r.size for r in rows if r.doc_id in (3, 4, 5)} == {0}
+    assert mixture(awkward, refill=True).columns == awkward.columns and mixture(nothing, refill=True).count() == 0
+
+
 def test_fingerprints(docs, texts):
     rows = {r.doc_id: r for r in fingerprints(docs).collect()}
     order = sorted(texts, reverse=True)
