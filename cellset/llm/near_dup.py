@@ -29,7 +29,7 @@ from itertools import count
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellset.llm.common import ascii_lower, byte_text, in_small_batches, slices, texts_of
@@ -127,8 +127,13 @@ def signature(values: np.ndarray, m: int = M) -> np.ndarray:
     return mixed_bits(key + np.arange(2 * m, dtype=np.uint64))
 
 
+def text_digest(text_col: str) -> Column:
+    return F.md5(byte_text(text_col))
+
+
 def signed(df: DataFrame, id_col: str, text_col: str, m: int) -> DataFrame:
-    """``id, n_shingles, s1, s2, keys``: set size, a 128-bit digest of the set and its half keys (NULL for an empty set)."""
+    """``id, n_shingles, s1, s2, keys, digest``: set size, a 128-bit digest of the set, its half keys (NULL for an empty set) and
+    an MD5 of the text."""
     def run(iterator):
         for batch in iterator:
             n, s1, s2, keys = [], [], [], []
@@ -143,11 +148,11 @@ def signed(df: DataFrame, id_col: str, text_col: str, m: int) -> DataFrame:
                 keys.append(signature(values, m).view(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()),
-                 pa.array(keys, pa.list_(pa.int64()))], ["id", "n_shingles", "s1", "s2", "keys"])
+                 pa.array(keys, pa.list_(pa.int64())), batch.column(2)], ["id", "n_shingles", "s1", "s2", "keys", "digest"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(F.col(id_col).alias("id"), byte_text(text_col).alias("text")).mapInArrow(
-        run, f"id {kind}, n_shingles long, s1 long, s2 long, keys array<long>")
+    return df.select(F.col(id_col).alias("id"), byte_text(text_col).alias("text"), text_digest(text_col).alias("digest")).mapInArrow(
+        run, f"id {kind}, n_shingles long, s1 long, s2 long, keys array<long>, digest string")
 
 
 def table_rows(classes: DataFrame, m: int) -> DataFrame:
@@ -331,7 +336,8 @@ def linked_components(members: DataFrame, texts: DataFrame, percent: int, most:
 
 def marked_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT,
                        most: int = CLUSTER) -> DataFrame:
-    """``id, n_shingles, component_id, kept`` and the set digest ``s1, s2``, one row per row of ``df``.
+    """``id, n_shingles, component_id, kept``, one row per row of ``df``, with the MD5 ``digest`` of its text and the number
+    ``component`` of its component (NULL for a text without words).
 
     Documents are linked when their sets of distinct five-word shingles (A-Z lower-cased) have a similarity of ``percent``
     hundredths or more; ``component_id`` is the smallest id reachable. Texts without words are linked with nothing. Rows that
@@ -352,9 +358,9 @@ def marked_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
         "component", F.coalesce("component", "cid"))
     least = grouped.groupBy("component").agg(F.min("first_id").alias("component_id"))
     named = grouped.join(least, "component")
-    placed = rows.drop("keys").join(named.select("s1", "s2", "component_id"), ["s1", "s2"], "left").withColumn(
+    placed = rows.drop("keys").join(named.select("s1", "s2", "component", "component_id"), ["s1", "s2"], "left").withColumn(
         "component_id", F.when(F.col("n_shingles") == 0, F.col("id")).otherwise(F.col("component_id")))
-    return placed.select("id", "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"), "s1", "s2")
+    return placed.select("id", "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"), "digest", "component")
 
 
 def class_texts(df: DataFrame, id_col: str, text_col: str, live: DataFrame) -> DataFrame:
@@ -371,12 +377,18 @@ def class_texts(df: DataFrame, id_col: str, text_col: str, live: DataFrame) -> D
 
 
 def without_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
-    """``df`` with one document of each component: the one with the smallest id. Columns unchanged.
+    """``df`` with one document of each component: the one with the smallest id (NULL last, ties by an MD5 of the text). Columns unchanged.
 
-    Texts without words are all kept. Rows that repeat the smallest id of a component all stay.
+    Texts without words are all kept. A document is its id and text together: other texts under the same id, or without an
+    id, are placed by what they say, and rows equal in both stay or go together. An empty table gives an empty result.
     """
     place = {c: f"c{i}" for i, c in enumerate(df.columns)}
     rows = df.toDF(*place.values())
-    gone = materialize(marked_near_copies(rows, place[id_col], place[text_col], percent).where("not kept").select("id"))
-    kept = rows.join(gone.distinct(), rows[place[id_col]].eqNullSafe(gone["id"]), "left_anti")
+    marked = materialize(marked_near_copies(rows, place[id_col], place[text_col], percent).where("n_shingles > 0").select(
+        "component", "id", "digest"))
+    first = marked.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "digest")).alias("first"))
+    gone = marked.distinct().join(first, "component").where(
+        ~(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("digest") == F.col("first.digest"))))
+    gone = materialize(gone.select("id", F.col("digest").alias("gone_digest")))
+    kept = rows.join(gone, rows[place[id_col]].eqNullSafe(gone["id"]) & (text_digest(place[text_col]) == gone["gone_digest"]), "left_anti")
     return kept.select(*[F.col(v).alias(k) for k, v in place.items()])

@@ -37,6 +37,8 @@ BUCKET = 20_000
 EACH = 64
 #: Words sorted at once inside a task; a bucket that is gathered is never split.
 CHUNK = 250_000
+#: End of a span that covers the rest of a text.
+WHOLE = (1 << 31) - 1
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -249,11 +251,17 @@ def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Words are separated by ASCII white space and unchanged; the kept ones are joined by one space. A window is repeated if
     its words also start at any other place, of the same text or another; all its places are removed. Texts
     shorter than a window keep everything; NULL counts as empty. Rows that repeat an id are told apart by their text,
-    and equal rows repeat each other. Other columns are ignored; an empty table gives an empty result.
+    and equal rows repeat each other; any number of them costs no more than as many different rows. Other columns are ignored; an empty table gives an empty result.
     """
     id_kind = df.schema[id_col].dataType.simpleString()
     docs = keyed(in_small_batches(df), id_col, text_col)
     runs = materialize(runs_of(docs, id_kind, window, minimiser))
+    # every window of a row that is there twice is repeated; the others only need one of its copies to meet
+    twice = materialize(runs.where("start = 0").groupBy(F.col("id").alias("t_id"), F.col("key").alias("t_key")).agg(
+        F.count("*").alias("rows")).where("rows > 1").select("t_id", "t_key"))
+    is_twice = F.col("id").eqNullSafe(F.col("t_id")) & (F.col("key") == F.col("t_key"))
+    runs = runs.join(twice, is_twice, "left_anti").unionByName(runs.join(twice, is_twice, "left_semi").groupBy("bucket", "id", "key", "start").agg(
+        F.first("run").alias("run"), F.first("weight").alias("weight")))
     buckets = runs.groupBy("bucket").agg(F.sum("weight").alias("w"), F.count("*").alias("n"), F.sum("run").alias("windows")).where(
         "w > 1").selectExpr("bucket", f"if(n > {bucket} or windows + n * {window - 1} > {bucket * EACH}, windows div {bucket} + 1, 0) as parts")
     live = materialize(runs.drop("weight").join(buckets, "bucket"))
@@ -262,6 +270,8 @@ def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     again = single.groupBy("digest").agg(F.sum("weight").alias("w")).where("w > 1").select("digest")
     found = found.where("weight is null").unionByName(
         single.where("weight = 1").join(again, "digest", "left_semi").select(*found.columns)).select("id", "key", "first", "last")
+    found = found.join(twice, is_twice, "left_anti").unionByName(
+        twice.selectExpr("t_id as id", "t_key as key", "0 as first", f"{WHOLE} as last"))
 
     def run(iterator):
         for batch in slices(iterator):

@@ -146,6 +146,16 @@ def test_near_awkward(awkward, nothing):
     assert marked_near_copies(nothing).count() == 0 and without_near_copies(nothing).count() == 0
 
 
+def test_near_stage_keeps_every_text_that_has_no_copy(spark):
+    """Ids that repeat or are NULL: a row goes only if a copy of its own text's class stays."""
+    u, v, w = (" ".join(f"{x}{i}" for i in range(30)) for x in "uvw")
+    rows = [(1, w), (5, w), (5, u), (None, w), (None, v), (None, v + " end"), (7, None), (7, ""), (8, u.upper()), (8, u.upper())]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted((r.doc_id or 0, r.text or "") for r in without_near_copies(table).collect())
+    assert [(i, t) for i, t in kept if t] in ([(0, v), (1, w), (5, u)], [(0, v + " end"), (1, w), (5, u)])
+    assert [(i, t) for i, t in kept if not t] == [(7, ""), (7, "")]
+
+
 def test_tables_miss_hardly_anything():
     rng = np.random.default_rng(0)
     assert 2 * (1 - 0.85 ** N.K) ** N.M < 2e-6
@@ -186,6 +196,28 @@ def test_substrings_spread_hot_windows(spark, monkeypatch):
     assert max((r[2] for r in groups if not r.hot), default=0) <= 20 * S.EACH
 
 
+def test_substrings_are_linear_in_repeated_rows(spark):
+    """Equal rows without an id, beside a text that shares a passage with them and one of its own."""
+    words, more = [f"w{i}" for i in range(60)], [f"v{i}" for i in range(50)]
+    shared = " ".join([*more, *words[10:50], *more[::-1]])
+    table = spark.range(20_000).selectExpr("cast(null as long) as doc_id", f"'{' '.join(words)}' as text").unionByName(
+        spark.createDataFrame([(None, shared), (None, " ".join(more[:40])), (3, "a b")], "doc_id long, text string"))
+    rows = without_repeats(table).groupBy("doc_id", "n_words", "n_removed", "kept_text").count().collect()
+    assert {(r.doc_id, r.n_words, r.n_removed, r.kept_text): r["count"] for r in rows} == {
+        (None, 60, 60, ""): 20_000, (None, 140, 80, " ".join([*more[40:], *more[::-1]])): 1,
+        (None, 40, 40, ""): 1, (3, 2, 0, "a b"): 1}
+
+
+@settings(max_examples=6, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from([None, 1, 2]), st.lists(st.sampled_from("ab"), max_size=9)), max_size=8))
+def test_substrings_with_repeated_ids_equal_brute_force(spark, made):
+    rows = [(i, " ".join(w)) for i, w in made]
+    got = without_repeats(spark.createDataFrame(rows, "doc_id long, text string"), window=4, minimiser=2).select(
+        "doc_id", "n_words", "n_removed", text_sha256("kept_text").alias("h")).collect()
+    want = [(i, *x) for (i, _), x in zip(rows, brute_force([t.encode() for _, t in rows], 4), strict=True)]
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+
+
 def test_substrings_awkward(awkward, nothing):
     rows = without_repeats(awkward).collect()
     assert len(rows) == 12 and {r.n_removed for r in rows if r.doc_id != 7} == {0}

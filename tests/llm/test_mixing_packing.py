@@ -11,12 +11,11 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from test_dedup import classes
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from cellset.llm.exact_dup import without_copies
 from cellset.llm.mixing import mixed, mixture
-from cellset.llm.near_dup import without_near_copies
 from cellset.llm.order_minhash import fingerprints
 from cellset.llm.packing import CAPACITY, TOKENIZER, fullest, packed, packed_documents, patterns, word_ids
 
@@ -234,8 +233,27 @@ def test_pipeline_equals_its_parts(spark):
         key = (r.text or "").encode().lower()
         best[key] = max(best.get(key, -1), r.doc_id)
     assert {r.doc_id for r in rows[2]} == set(best.values())
-    assert {r.doc_id for r in rows[3]} == {r.doc_id for r in without_near_copies(without_copies(kept[1])).collect()}
+    near = classes({r.doc_id: r.text or "" for r in rows[2]}, 80)
+    assert {r.doc_id for r in rows[3]} == {k for k, (_, _, stays) in near.items() if stays}
     assert {r.doc_id for r in rows[4]} <= {r.doc_id for r in rows[3]}
     out = corpus_pipeline.run(spark, folder).collect()
     assert Counter(r.doc_id for r in out if r.piece == 0) == Counter(r.doc_id for r in rows[4])
     well_packed(out, CAPACITY)
+
+
+def test_pipeline_awkward(spark, awkward, nothing, tmp_path):
+    """Every stage takes NULLs, empty and long texts, repeated rows and clashing names; an empty table gives an empty one."""
+    labels = spark.createDataFrame([(1, 1, 0), (2, 1, 0), (6, 0, 0), (7, 0, 1), (9, 1, 0), (None, 1, None), (4, None, 0)],
+                                   "doc_id long, quality int, toxic int")
+    for name, table in (("some", awkward), ("none", nothing)):
+        folder = str(tmp_path / name)
+        table.write.parquet(f"{folder}/documents.parquet")
+        labels.write.parquet(f"{folder}/labels.parquet")
+        if name == "none":
+            assert corpus_pipeline.run(spark, folder).count() == 0
+            continue
+        docs = spark.read.parquet(f"{folder}/documents.parquet")
+        for _, stage in corpus_pipeline.STAGES[:4]:
+            docs = stage(spark, docs, folder)
+            assert docs.columns == table.columns and docs.count() > 0
+        well_packed(corpus_pipeline.pack(spark, docs, folder).collect(), CAPACITY)
