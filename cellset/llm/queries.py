@@ -16,6 +16,7 @@ from cellset.llm.order_minhash import fingerprints
 from cellset.llm.packing import packed_documents
 from cellset.llm.quality import scored
 from cellset.llm.substrings import text_sha256, without_repeats
+from cellset.llm.token_store import stored_documents
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -108,6 +109,10 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "n_removed", text_sha256("kept_text").alias("kept_sha256"))
 
 
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored_documents(documents(spark, sf_dir, "doc_id", "text")).withColumnRenamed("id", "doc_id")
+
+
 OP8_SQL = r"""
 with d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as size,
   (cast(concat('0x', substr(md5(concat('mix|', doc_id)), 1, 13)) as bigint) + 0.5::double) / 4503599627370496.0::double as u from documents),
@@ -142,6 +147,7 @@ QUERIES = {
     "op8_mix": op8_mix,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_token_files": op11_token_files,
 }
 ORACLES = {
     "op2_license_scan": OP2_SQL,
