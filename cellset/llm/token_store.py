@@ -28,62 +28,94 @@ from cellset.session import durable_dir
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
-#: Words kept with their ids in one Python worker (about 200 bytes each).
-CACHED_WORDS = 600_000
+#: Words kept with their ids in one Python worker (about 200 bytes each), half of them from before the last change of generation.
+CACHED_WORDS = 900_000
 #: Marks that end a word without being part of it.
 MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
-#: A space beside other white space, where splitting at spaces would change the pieces.
-WIDE_SPACE = re.compile(r"\s | \s")
+#: Letters up to here are letters in every version of Unicode.
+LATIN_END = "\u0250"
+#: White space beside a space or line break, where splitting at those would change the pieces.
+WIDE_SPACE = re.compile(r"\s[ \n]|[ \n]\s")
 SINGLE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 COLUMNS = "part int, local_start long, n_tokens long, ids array<int>"
 
 
-class SpacedWordIds(dict):
-    """Ids of ``" " + word`` as little-endian unsigned 32-bit bytes, remembered.
+def byte_letters() -> dict[int, str]:
+    """The visible letter that byte-level tokenizers write for each byte: itself if it is visible, else one from U+0100 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = (b for b in range(256) if b not in plain)
+    return {b: chr(b) for b in plain} | {b: chr(256 + n) for n, b in enumerate(hidden)}
 
-    For byte-level tokenizers whose pieces never span a single space between two visible characters and take that space to
-    the word behind it; letters a to z are a piece of their own before marks.
+
+class WordIds(dict):
+    """Ids of ``before + word`` as little-endian unsigned 32-bit bytes, remembered; ``before`` is a space or nothing.
+
+    For byte-level tokenizers whose pieces never span a single space or line break between two visible characters, take such a
+    space to the word behind it, and end a run of letters before marks. Two generations of words are kept: the older one is
+    forgotten when the younger one is full, but for the words that were used again.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, tokenizer: Tokenizer, before: str):
         super().__init__()
-        self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
-        self.space = self.model.id_to_token(self.plain(" ")[0])
-        self.marks: dict[str, bytes] = {}
+        self.tokenizer, self.model, self.before = tokenizer, tokenizer.model, before
+        self.letters, self.ends = byte_letters(), {}
+        self.head = self.spelt(before)
+        self.old: dict[str, bytes] = {}
 
-    def plain(self, text: str) -> array:
-        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids)
+    def plain(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def spelt(self, text: str) -> str:
+        return text.encode().decode("latin-1").translate(self.letters)
 
     def end(self, marks: str) -> bytes:
-        if marks not in self.marks:
-            if len(self.marks) > CACHED_WORDS:
-                self.marks.clear()
-            self.marks[marks] = self.plain(marks).tobytes()
-        return self.marks[marks]
+        if marks not in self.ends:
+            if len(self.ends) > 1000:
+                self.ends.clear()
+            self.ends[marks] = self.plain(marks)
+        return self.ends[marks]
 
     def __missing__(self, word: str) -> bytes:
-        stem = word.rstrip(MARKS)
-        if not (stem.isascii() and stem.isalpha()):
-            ids = self.plain(" " + word).tobytes()
-        elif len(stem) < len(word):
-            ids = self[stem] + self.end(word[len(stem):])
-        else:
-            ids = array("I", [t.id for t in self.model.tokenize(self.space + word)]).tobytes()
+        ids = self.old.get(word)
+        if ids is None:
+            stem = word.rstrip(MARKS)
+            if not stem.isalpha() or not (stem.isascii() or max(stem) < LATIN_END):
+                ids = self.plain(self.before + word)
+            elif len(stem) < len(word):
+                ids = self[stem] + self.end(word[len(stem):])
+            else:
+                spelt = word if word.isascii() else self.spelt(word)
+                ids = array("I", [t.id for t in self.model.tokenize(self.head + spelt)]).tobytes()
         self[word] = ids
         return ids
 
-    def encode(self, text: str) -> bytes:
-        """Ids of the whole text, as the tokenizer itself gives them."""
-        if len(self) > CACHED_WORDS:
+    def turn(self, most: int) -> None:
+        if len(self) > most:
+            self.old = dict(self)
             self.clear()
-        words = SINGLE_SPACE.split(text) if WIDE_SPACE.search(text) else text.split(" ")
-        return self.plain(words[0]).tobytes() + b"".join(map(self.__getitem__, words[1:]))
+
+
+class TextIds:
+    """Ids of whole texts, exactly as the tokenizer itself gives them, put together from the ids of words."""
+
+    def __init__(self, path: str):
+        tokenizer = Tokenizer.from_file(path)
+        self.later, self.first = WordIds(tokenizer, " "), WordIds(tokenizer, "")
+        self.line_end = self.first.plain("\n")
+
+    def line(self, words: list[str]) -> bytes:
+        return self.first[words[0]] + b"".join(map(self.later.__getitem__, words[1:]))
+
+    def encode(self, text: str) -> bytes:
+        self.later.turn(CACHED_WORDS * 4 // 10), self.first.turn(CACHED_WORDS // 10)
+        if WIDE_SPACE.search(text):
+            return self.line(SINGLE_SPACE.split(text))
+        return self.line_end.join([self.line(x.split(" ")) for x in text.split("\n")])
 
 
 @lru_cache(maxsize=2)
-def word_ids(path: str) -> SpacedWordIds:
-    return SpacedWordIds(path)
+def text_ids(path: str) -> TextIds:
+    return TextIds(path)
 
 
 def encoded(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = TOKENIZER, end_id: int = END_ID) -> DataFrame:
@@ -93,7 +125,7 @@ def encoded(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", token
     a hash of their texts, and no number of them lands in one task.
     """
     def run(iterator):
-        encode, total = word_ids(public_tokenizers.path(tokenizer)).encode, 0
+        encode, total = text_ids(public_tokenizers.path(tokenizer)).encode, 0
         end = array("I", [end_id]).tobytes()
         for batch in slices(iterator):
             rows = [encode(text or "") + end for text in batch.column(2).to_pylist()]

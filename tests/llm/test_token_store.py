@@ -11,8 +11,9 @@ from hypothesis import example, given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
+from cellset.llm import token_store
 from cellset.llm.queries import op11_token_files
-from cellset.llm.token_store import END_ID, TOKENIZER, encoded, read_tokens, stored_documents, word_ids, write_tokens
+from cellset.llm.token_store import END_ID, TOKENIZER, TextIds, encoded, read_tokens, stored_documents, text_ids, write_tokens
 
 
 @pytest.fixture(scope="module")
@@ -36,13 +37,23 @@ PARTS = st.sampled_from(["a", "Word", "it's", "don't", "x1", "42", ".", ",'", "l
 
 @settings(max_examples=400, deadline=None)
 @given(st.one_of(st.lists(PARTS, max_size=12).map("".join), st.lists(PARTS, max_size=12).map(" ".join), st.text(max_size=40)))
+@example("a\n b\n\nc").via("blank line")
 @example("end <|endoftext|> start").via("special token")
 @example("a\n ").via("white space at the end")
-def test_word_ids_equal_tokenizer(tokenizer, text):
-    got = np.frombuffer(word_ids(public_tokenizers.path(TOKENIZER)).encode(text), "<u4").tolist()
+def test_text_ids_equal_tokenizer(tokenizer, text):
+    got = np.frombuffer(text_ids(public_tokenizers.path(TOKENIZER)).encode(text), "<u4").tolist()
     assert got == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_old_words_are_forgotten(tokenizer, monkeypatch):
+    monkeypatch.setattr(token_store, "CACHED_WORDS", 50)
+    own = TextIds(public_tokenizers.path(TOKENIZER))
+    texts = [" ".join(f"word{chr(97 + i % 7)}{chr(97 + i // 7 % 26)}" for i in range(k, k + 30)) for k in range(0, 300, 10)]
+    for text in texts:
+        assert np.frombuffer(own.encode(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+        assert len(own.later) + len(own.later.old) <= 110
+
+
 def test_query_equals_whole_text_encoding(spark, docs, tokenizer):
     want = want_of([(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()], tokenizer)
     got = sorted(tuple(r) for r in op11_token_files(spark, "/root/testdata/sf0.001").collect())
