@@ -15,6 +15,7 @@ from cellset.llm.near_dup import marked_near_copies
 from cellset.llm.order_minhash import fingerprints
 from cellset.llm.packing import packed_documents
 from cellset.llm.quality import scored
+from cellset.llm.resampling import resampled
 from cellset.llm.substrings import text_sha256, without_repeats
 from cellset.llm.token_store import stored_documents
 
@@ -113,6 +114,11 @@ def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored_documents(documents(spark, sf_dir, "doc_id", "text")).withColumnRenamed("id", "doc_id")
 
 
+def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = resampled(documents(spark, sf_dir, "doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("text"))
+    return rows.select(F.col("id").alias("doc_id"), "n_features", "weight", "score", "rank")
+
+
 OP8_SQL = r"""
 with d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as size,
   (cast(concat('0x', substr(md5(concat('mix|', doc_id)), 1, 13)) as bigint) + 0.5::double) / 4503599627370496.0::double as u from documents),
@@ -148,6 +154,7 @@ QUERIES = {
     "op9_substring_dedup": op9_substring_dedup,
     "op10_exact_dedup": op10_exact_dedup,
     "op11_token_files": op11_token_files,
+    "op13_resample": op13_resample,
 }
 ORACLES = {
     "op2_license_scan": OP2_SQL,
