@@ -18,6 +18,7 @@ from cellset.llm.quality import scored
 from cellset.llm.resampling import resampled
 from cellset.llm.substrings import text_sha256, without_repeats
 from cellset.llm.token_store import stored_documents
+from cellset.llm.vector_codes import ENTRIES, PARTS, ROUNDS, SCALE, coded
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -119,6 +120,34 @@ def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("id").alias("doc_id"), "n_features", "weight", "score", "rank")
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = coded(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding", "label"))
+    return rows.select(F.col("id").alias("vec_id"), "code", "error", "label_error", "codebooks_sha256")
+
+
+def op12_sql() -> str:
+    """Every part against every entry of its codebook, round after round; doubles hold the integers exactly."""
+    texts = [f"""with v as (select row_number() over () as r, vec_id, label, [floor({SCALE} * x::double) for x in embedding] as q
+  from embeddings where embedding is not null and len([x for x in embedding if x is null or not isfinite(x)]) = 0),
+x as (select r, vec_id, q, p, q[p * len(q) // {PARTS} + 1:(p + 1) * len(q) // {PARTS}] as part from v, range({PARTS}) t(p)),
+c0 as (select p, e, part as entry from (select p, part, row_number() over (partition by p order by vec_id, q) - 1 as e from x) where e < {ENTRIES})"""]
+    for i in range(ROUNDS + 1):
+        texts.append(f"""a{i} as (select r, p, part, min(struct_pack(d := list_inner_product(part, part) + list_inner_product(entry, entry)
+  - 2 * list_inner_product(part, entry), e := e)) as best from x join c{i} using (p) group by r, p, part)""")
+        if i < ROUNDS:
+            texts.append(f"""u{i} as (select p, best.e as e, k, floor(sum(part[k]) / count(*)) as m from (select *, unnest(range(1, len(part) + 1)) as k from a{i})
+  group by p, best.e, k),
+m{i} as (select p, e, list(m order by k) as entry from u{i} group by p, e),
+c{i + 1} as (select p, e, coalesce(m.entry, c.entry) as entry from c{i} c left join m{i} m using (p, e))""")
+    texts.append(f"""o as (select r, string_agg(lower(lpad(to_hex(best.e), 2, '0')), '' order by p) as code, cast(sum(best.d) as bigint) as error
+  from a{ROUNDS} group by r),
+h as (select sha256(string_agg(cast(m as bigint)::varchar, ',' order by p, e, k)) as s from
+  (select p, e, unnest(entry) as m, unnest(range(len(entry))) as k from c{ROUNDS}))
+select vec_id, code, error, cast(sum(error) over (partition by label) as bigint) as label_error, (select s from h) as codebooks_sha256
+from v join o using (r)""")
+    return ",\n".join(texts)
+
+
 OP8_SQL = r"""
 with d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as size,
   (cast(concat('0x', substr(md5(concat('mix|', doc_id)), 1, 13)) as bigint) + 0.5::double) / 4503599627370496.0::double as u from documents),
@@ -154,6 +183,7 @@ QUERIES = {
     "op9_substring_dedup": op9_substring_dedup,
     "op10_exact_dedup": op10_exact_dedup,
     "op11_token_files": op11_token_files,
+    "op12_vector_codes": op12_vector_codes,
     "op13_resample": op13_resample,
 }
 ORACLES = {
@@ -161,4 +191,5 @@ ORACLES = {
     "op5_chat_format": OP5_SQL,
     "op8_mix": OP8_SQL,
     "op10_exact_dedup": OP10_SQL,
+    "op12_vector_codes": op12_sql(),
 }
