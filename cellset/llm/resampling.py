@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from cellset.llm.common import byte_text, in_small_batches, slices, texts_of
 from cellset.operators.scale import dense_index
+from cellset.session import materialize
 
 BUCKETS = 10_000
 ORDERS = 3
@@ -225,7 +226,8 @@ def resampled(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_c
     key = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("id").cast("string"), F.lit("")))
     h = F.conv(F.substring(F.sha2(key, 256), 1, 8), 16, 10).cast("long")
     noise = F.floor(-1000 * F.log(-F.log((h + 0.5) / F.lit(4294967296.0)))).cast("long")
-    rows = weighted(docs, gains, id_col, text_col, orders).withColumn("score", F.col("weight") + noise)
+    # written first, as the sort's sample of the keys would scan all texts once more
+    rows = materialize(weighted(docs, gains, id_col, text_col, orders).withColumn("score", F.col("weight") + noise))
     able = F.col("n_words") >= enough
     placed = dense_index(rows, [(~able).cast("int").asc(), F.col("score").desc(), F.col("id").asc_nulls_last()], "_place")
     drawn = placed.where(able).count() * percent // 100

@@ -3,7 +3,7 @@
 Every vector is cut into parts with a codebook each. For every entry of a codebook the others are listed by distance. A search
 walks along the list of its best entry so far, jumps to the list of a better one when it finds it, passes over entries that it
 has seen, and ends where the list goes beyond twice the distance to the best entry: by the triangle inequality nothing
-behind that can be as near. A whole batch searches at once, one step of every open search at a time.
+behind that can be as near. A whole batch searches at once, a short stretch of every open search's list at a time.
 
 Codebooks have at most ``ENTRIES`` entries, so they travel through the driver; of the vectors only sums per entry do, one row
 per entry and component from each task.
@@ -28,7 +28,9 @@ ENTRIES = 256
 ROUNDS = 4
 SCALE = 1024
 #: Searches that go on at once; each remembers which entries it has seen.
-TOGETHER = 4096
+TOGETHER = 16_384
+#: Entries of its list that a search looks at in one step.
+STRETCH = 128
 #: A label with more than this share of all rows is joined by broadcast: there are at most as many.
 HOT_LABELS = 1000
 
@@ -68,26 +70,43 @@ def nearest(points: np.ndarray, book: Codebook) -> tuple[np.ndarray, np.ndarray,
 
 def searched(points: np.ndarray, book: Codebook) -> tuple[np.ndarray, np.ndarray, int]:
     n, k = len(points), len(book.entries)
+    most = max(int(np.abs(points).max(initial=0)), int(np.abs(book.entries).max(initial=0)))
+    kind = np.float64 if 4 * points.shape[1] * most * most < 1 << 53 else np.int64  # doubles hold such integers exactly
+    x, e = points.astype(kind), book.entries.astype(kind)
+    x2, e2 = (x * x).sum(axis=1), (e * e).sum(axis=1)
+
+    beyond = np.inf if kind is np.float64 else np.iinfo(np.int64).max
     sums = book.entries.sum(axis=1)[book.by_sum]
     best = book.by_sum[np.minimum(np.searchsorted(sums, points.sum(axis=1)), k - 1)]
-    least = ((points - book.entries[best]) ** 2).sum(axis=1)
+    every = np.arange(n)
+    least = (x2 - 2 * (x * e[best]).sum(axis=1) + e2[best]).astype(np.int64)
     seen = np.zeros((n, k), bool)
-    seen[np.arange(n), best] = True
-    place, open_, taken = np.zeros(n, np.int64), np.arange(n), n
+    seen[every, best] = True
+    place, open_, taken = np.zeros(n, np.int64), every, n
     while True:
         open_ = open_[book.gaps[best[open_], place[open_]] <= 4 * least[open_]]
         if not len(open_):
             return best, least, taken
-        other = book.others[best[open_], place[open_]]
-        place[open_] += 1
-        new = ~seen[open_, other]
-        who, other = open_[new], other[new]
-        seen[who, other] = True
-        taken += len(who)
-        distance = ((points[who] - book.entries[other]) ** 2).sum(axis=1)
-        better = (distance < least[who]) | ((distance == least[who]) & (other < best[who]))
-        who = who[better]
-        best[who], least[who], place[who] = other[better], distance[better], 0
+        # searches at the same place of the same list take their distances together
+        at = best[open_] * k + place[open_]
+        order = np.argsort(at, kind="stable")
+        for who in np.split(open_[order], np.flatnonzero(np.diff(at[order])) + 1):
+            entry, start = best[who[0]], place[who[0]]
+            end = min(start + STRETCH, k - 1)
+            other, gaps = book.others[entry, start:end], book.gaps[entry, start:end]
+            by_index = np.argsort(other)
+            other, gaps = other[by_index], gaps[by_index]
+            new = (gaps <= 4 * least[who, None]) & ~seen[who[:, None], other]
+            taken += int(new.sum())
+            seen[who[:, None], other] |= new
+            distance = np.where(new, x2[who, None] - 2 * (x[who] @ e[other].T) + e2[other], beyond)
+            nearest_one = distance.argmin(axis=1)  # the first, so ties go to the lower index
+            distance = distance[np.arange(len(who)), nearest_one]
+            found = other[nearest_one]
+            better = (distance < least[who]) | ((distance == least[who]) & (found < best[who]))
+            place[who] = np.where(better, 0, end)
+            who = who[better]
+            best[who], least[who] = found[better], distance[better]
 
 
 def whole_vectors(df: DataFrame, id_col: str, vector_col: str, label_col: str, scale: int, parts: int) -> DataFrame:
