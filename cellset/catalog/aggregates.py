@@ -9,6 +9,8 @@ from cellset.functions import vectors as V
 from cellset.functions.numbers import rounded
 from cellset.operators import aggregates as A
 from cellset.operators import clean
+from cellset.sources.scans import with_locator
+from cellset.sources.sinks import new_folder
 from cellset.sources.surrogates import DIM, PANEL, REPEATS, Tables
 
 RAW = """raw as (select concat(cell_line_id,'|',drug,'|',plate,'|',cast(dose_um as varchar)) as condition_id,
@@ -313,3 +315,15 @@ def a22(t: Tables):
     progress = t.read("orders").groupBy("o_orderstatus").agg(
         F.count("*").alias("planned"), done.alias("processed"), (done / 60.0).alias("rate"))
     return rounded_columns(A.progress_rollup(progress), "rate", "eta_seconds")
+
+
+@query("a16_stored_order", """
+select count(*) as rows, true as by_key, (select coalesce(bool_and(x >= coalesce(b, x)), true) from
+ (select o_custkey as x, lag(o_custkey) over (order by o_orderkey) as b from orders) o) as by_customer from orders""")
+def a16_stored(t: Tables):
+    """Orders written in key order: are keys, and customers, sorted as they lie?"""
+    folder = new_folder(t.spark)
+    t.read("orders").repartitionByRange("o_orderkey").sortWithinPartitions("o_orderkey").write.parquet(folder)
+    located = with_locator(t.spark.read.parquet(folder))
+    by_key = A.stored_order(located, "o_orderkey").select("rows", F.col("sorted").alias("by_key"))
+    return by_key.withColumns(clean.one_row(A.stored_order(located, "o_custkey").select(F.col("sorted").alias("by_customer"))))

@@ -134,7 +134,7 @@ def j09(t: Tables):
 def j09_join(t: Tables):
     ranges = assign_ranges(t.owners, ["owner_type", "owner_id"]).select("owner_id", "start", "stop")
     cells = t.indexed.select("cell_id", "cell_index")
-    return J.range_join(cells, ranges).select("cell_id", "owner_id", "cell_index")
+    return J.owner_join(cells, ranges).select("cell_id", "owner_id", "cell_index")
 
 
 @query("j10_gather", f"""

@@ -9,7 +9,6 @@ from cellset.catalog.registry import query, r6
 from cellset.functions import vectors as V
 from cellset.functions.numbers import rounded
 from cellset.operators import aggregates as A, metrics as M
-from cellset.operators.windows import hash_top_k
 from cellset.plans import evaluation as E
 from cellset.session import materialize
 from cellset.sources.surrogates import DIM, Tables
@@ -303,21 +302,19 @@ def m17(t: Tables):
                        rounded(V.total(F.transform("true_delta", F.abs))).alias("truth_l1"))
 
 
-DRAWN = """dr as (select vec_id, label, row_number() over (partition by label
-   order by sha256(concat('42|structure|', cast(label as varchar), '|', cast(vec_id as varchar))), vec_id) as n from embeddings),
- pr as (select a.label, a.vec_id as i, b.vec_id as j from dr a join dr b on a.label = b.label and a.vec_id < b.vec_id where a.n <= 16 and b.n <= 16)"""
+AVERAGE_RANK = lambda c: (f"rank() over (partition by label order by {c}) + (count(*) over (partition by label, {c}) - 1) / 2.0")
 
 
 @query("m19_structure_correlation", f"""
-with {DRAWN}, t as (select pr.label, pr.i, pr.j,
+with t as (select x.label, x.vec_id as i, y.vec_id as j,
   list_distance(cast(x.embedding[1:32] as double[]), cast(y.embedding[1:32] as double[])) as a,
   list_distance(cast(x.embedding[33:64] as double[]), cast(y.embedding[33:64] as double[])) as b
-  from pr join embeddings x on x.vec_id = pr.i join embeddings y on y.vec_id = pr.j),
- k as (select *, rank() over (partition by label order by a) as ra, rank() over (partition by label order by b) as rb from t)
+  from embeddings x join embeddings y on x.label = y.label and x.vec_id < y.vec_id),
+ k as (select *, {AVERAGE_RANK("a")} as ra, {AVERAGE_RANK("b")} as rb from t)
 select label, count(*) as pairs, {r6(_corr("a", "b"))} as pearson, {r6(_corr("ra", "rb"))} as spearman from k group by label""")
 def m19(t: Tables):
-    drawn = hash_top_k(t.vectors, ["label"], 16, "structure", "vec_id")
-    sets = drawn.select("label", "vec_id", F.slice("embedding", 1, 32).alias("a"), F.slice("embedding", 33, 32).alias("b"))
+    """Whole sets of a label: the pair structure of the first half of the components against that of the second."""
+    sets = t.vectors.select("label", "vec_id", F.slice("embedding", 1, 32).alias("a"), F.slice("embedding", 33, 32).alias("b"))
     return rounded_columns(M.structure_correlation(sets, ["label"], "vec_id", "a", "b"), "pearson", "spearman")
 
 

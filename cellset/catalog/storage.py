@@ -12,7 +12,7 @@ from cellset.functions import vectors as V
 from cellset.functions.numbers import rounded
 from cellset.operators.sampling import sample_sets
 from cellset.session import materialize
-from cellset.sources import scans, sinks
+from cellset.sources import footers, scans, sinks
 from cellset.sources.surrogates import DIM, SET_SIZE, Tables
 
 
@@ -29,11 +29,42 @@ def order_shards(t: Tables):
     return folder
 
 
-@query("s03_with_locator", """
-select o_orderkey, 'orders.parquet' as shard, row_number() over () - 1 as row, true as inside from orders""")
+#: Rows of a row group in the shards that the locator queries write.
+GROUP_ROWS = 500
+LOCATED = f"""(select *, (row - row_group * {GROUP_ROWS})::int as row_in_group from (select *, (row // {GROUP_ROWS})::int as row_group from
+ (select *, o_orderkey % 8 as shard, row_number() over (partition by o_orderkey % 8 order by o_orderkey) - 1 as row from orders)))"""
+
+
+def grouped_shards(t: Tables) -> str:
+    """Orders in eight shards by key, each in key order and row groups of ``GROUP_ROWS``."""
+    folder = sinks.new_folder(t.spark)
+    rows = t.read("orders").withColumn("bucket", F.col("o_orderkey") % 8)
+    rows.repartition("bucket").sortWithinPartitions("bucket", "o_orderkey").write.option(
+        "parquet.block.row.count.limit", GROUP_ROWS).partitionBy("bucket").parquet(folder)
+    return folder
+
+
+def located_orders(t: Tables, folder: str):
+    rows = scans.with_locator(t.spark.read.parquet(folder)).drop("block_start")
+    return footers.with_row_groups(rows, footers.footer_table(t.spark, folder))
+
+
+@query("s03_with_locator", f"select o_orderkey, concat('bucket=', shard) as folder, row, row_group, row_in_group from {LOCATED}")
 def s03(t: Tables):
-    return scans.with_locator(t.read("orders")).select(
-        "o_orderkey", F.substring_index("shard", "/", -1).alias("shard"), "row", (F.col("block_start") >= 0).alias("inside"))
+    """Full path, row, row group and row in it of every order."""
+    folder = F.element_at(F.split("shard", "/"), -2).alias("folder")
+    return located_orders(t, grouped_shards(t)).select("o_orderkey", folder, "row", "row_group", "row_in_group")
+
+
+@query("s04_planned_row_groups", f"""
+select o_orderkey, o_totalprice, o_orderstatus, row_group from {LOCATED} where row_group % 2 = 0 and o_orderpriority < '3'""")
+def s04_groups(t: Tables):
+    """Planned rows read by tasks that open nothing but the planned row groups."""
+    folder = grouped_shards(t)
+    wanted = located_orders(t, folder).where("row_group % 2 = 0 and o_orderpriority < '3'")
+    plan = materialize(wanted.select("shard", "row_group", "row_in_group"))
+    columns = ["o_orderkey", "o_totalprice", "o_orderstatus"]
+    return footers.scan_row_groups(plan, columns, t.read("orders").schema).select(*columns, "row_group")
 
 
 @query("s04_scan_by_locator", "select o_orderkey, o_totalprice from orders where o_orderstatus = 'F'")
@@ -121,13 +152,18 @@ def s09(t: Tables):
     return scans.scan_plan_range(t.spark, folder, "cell_index", 1000, 3000)
 
 
-@query("s12_sink_plan", "select cell_index, owner_type, cell_id % 2 as worker_id from fx_indexed")
+@query("s12_sink_plan", f"""
+select o_orderkey as embedding_index, (o_custkey % 3)::int as worker_id, shard::int as shard_index, row_group::smallint as row_group_index,
+ row_in_group as row_index_in_row_group, row::int as row_index_in_shard, (o_custkey % 2)::tinyint as owner_type,
+ row_number() over (partition by o_custkey % 3 order by shard, row) - 1 as part_index from {LOCATED}""")
 def s12(t: Tables):
-    folder = sinks.new_folder(t.spark)
-    plan = t.indexed.select("cell_index", F.col("owner_type").cast("tinyint").alias("owner_type"),
-                            (F.col("cell_id") % 2).cast("int").alias("worker_id"))
-    sinks.sink_plan(plan, folder, "worker_id", ["cell_index"])
-    return t.spark.read.parquet(folder)
+    """Plan with full locators and narrow types, written per worker in physical order and read back."""
+    folder, shards = sinks.new_folder(t.spark), grouped_shards(t)
+    cells = located_orders(t, shards).withColumns({
+        "embedding_index": F.col("o_orderkey"), "owner_type": F.col("o_custkey") % 2, "worker_id": (F.col("o_custkey") % 3).cast("int")})
+    plan = sinks.locator_plan(cells, "worker_id", ["embedding_index", "owner_type"])
+    sinks.sink_plan(plan, folder, "worker_id", ["part_index"])
+    return t.spark.read.parquet(folder).drop("shard_path")
 
 
 @query("s13_sink_vectors", f"select vec_id as cell_index, {r6('sum(v * v)')} as squares from fx_vec_full group by vec_id")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cellset.catalog.aggregates import rounded_columns
@@ -43,6 +44,18 @@ def x01(t: Tables):
     return t.spark.read.parquet(sink).groupBy("event_type").agg(F.count("*").alias("events"), F.sum("event_id").alias("key_sum"))
 
 
+@query("x01_bounded_runs", "select event_id, event_type, value, event_id is not null as once from events")
+def x01_bounded(t: Tables):
+    """Runs of a third of the rows each, which stop inside batches; together they take every row once."""
+    folder, schema = event_shards(t)
+    sink, checkpoint = new_folder(t.spark), new_folder(t.spark)
+    budget = t.read("events").count() // 3 + 1
+    while X.ingest(t.spark, folder, schema, sink, checkpoint, files_per_batch=2, max_rows=budget) is None:
+        pass
+    copies = F.count("*").over(Window.partitionBy("event_id")) == 1
+    return t.spark.read.parquet(sink).select("event_id", "event_type", "value", copies.alias("once"))
+
+
 @query("x02_ingest_once", "select event_id, event_type, value from events")
 def x02(t: Tables):
     folder, schema = event_shards(t, copies=True)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from cellset.functions import vectors as V
 from cellset.functions.numbers import defined, is_finite
 from cellset.operators import clean
-from cellset.operators.scale import dense_index, exact_quantiles, set_digest, with_previous
+from cellset.operators.scale import exact_quantiles, first_in_order, set_digest, with_previous
 from cellset.session import materialize
 
 PROBS = {"p05": 0.05, "p25": 0.25, "median": 0.5, "p75": 0.75, "p95": 0.95}  # fixed values: reported quantiles
@@ -27,13 +27,12 @@ def long_stats(values: DataFrame, column: str) -> DataFrame:
 def global_stats(cells: DataFrame, limit: int | None = None, order: str = "cell_id") -> DataFrame:
     """Mean and sample std of ``log1p(expression)`` over the values after sentinel removal, before mapping.
 
-    ``limit`` keeps the first raw cells in ``order``, with or without values; only their keys are ordered, so no cell is
+    ``limit`` keeps the first raw cells in ``order``, with or without values, by a boundary of their keys, so no cell is
     moved. Cells without expressions add nothing. A negative value after the leading marker has no logarithm here: it is
     counted in ``negative_values`` and in none of the other numbers.
     """
     if limit is not None:
-        first = dense_index(cells.select(order), [order], "_i").where(F.col("_i") < limit).select(order)
-        cells = cells.join(first, order, "left_semi")
+        cells = first_in_order(cells, [order], limit)
     kept = clean.strip_sentinel(cells.where(F.size("expressions") > 0))
     values = kept.select(F.explode("expressions").alias("x")).where(F.col("x").isNotNull())
     fine = F.when(F.col("x") >= 0, F.log1p("x"))
@@ -224,8 +223,11 @@ def split_distributions(conditions: DataFrame) -> DataFrame:
 
 
 def profile_dimension(df: DataFrame, key: str, row_order: str, columns: list[str]) -> DataFrame:
-    """Rows, distincts, missing values and duplicated rows per column; key range, contiguity and sortedness."""
-    ordered = with_previous(df, [row_order], key, "_before")
+    """Rows, distincts, missing values and duplicated rows per column; key range, contiguity and sortedness by ``row_order``.
+
+    ``stored_order`` tells whether files are sorted as they lie, without a shuffle.
+    """
+    ordered = with_previous(df.select(row_order, key) if row_order != key else df.select(key), [row_order], key, "_before")
     head = ordered.agg(
         F.count("*").alias("rows"), F.min(key).alias("key_min"), F.max(key).alias("key_max"),
         F.coalesce(F.bool_and(F.col(key) >= F.coalesce(F.col("_before"), F.col(key))), F.lit(True)).alias("sorted"))
@@ -244,6 +246,60 @@ def profile_dimension(df: DataFrame, key: str, row_order: str, columns: list[str
         F.col("distinct_values") == F.col("key_max") - F.col("key_min") + 1))
 
 
+STRETCH = "shard string, first_row long, last_row long, n long, first {kind}, last {kind}, sorted boolean"
+
+
+def stored_order(located: DataFrame, key: str) -> DataFrame:
+    """One row: ``rows``, ``sorted``: whether ``key`` never falls in the order in which the rows lie in their files, by file name.
+
+    ``located`` is a plain scan with ``shard, row``. A task reduces every stretch of a file that it reads to its ends, and the stretches
+    (a few per file split) are joined in order, so no row is shuffled. NULL and NaN keys fail the job; an empty table is sorted.
+    """
+    kind = located.schema[key].dataType.simpleString()
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        now = None
+        names = ["shard", "first_row", "last_row", "n", "first", "last", "sorted"]
+        fields = None
+
+        def row_of(x):
+            return pa.RecordBatch.from_arrays([pa.array([x[n]], fields[n]) for n in names], names)
+
+        for batch in batches:
+            shard, row, values = batch.columns
+            fields = {"shard": pa.string(), "first_row": pa.int64(), "last_row": pa.int64(), "n": pa.int64(), "first": values.type,
+                      "last": values.type, "sorted": pa.bool_()}
+            if values.null_count or (pa.types.is_floating(values.type) and np.isnan(values.to_numpy()).any()):
+                raise ValueError(f"{key} is undefined in some rows")
+            shards, rows, x = shard.to_numpy(zero_copy_only=False), row.to_numpy(), values.to_numpy(zero_copy_only=False)
+            cuts = np.flatnonzero((shards[1:] != shards[:-1]) | (rows[1:] != rows[:-1] + 1)) + 1
+            for a, b in zip([0, *cuts], [*cuts, len(rows)], strict=True):
+                if a == b:
+                    continue
+                rising = bool((x[a + 1:b] >= x[a:b - 1]).all())
+                part = {"shard": shards[a], "first_row": int(rows[a]), "last_row": int(rows[b - 1]), "n": int(b - a),
+                        "first": values[int(a)].as_py(), "last": values[int(b) - 1].as_py(), "sorted": rising}
+                if now and (now["shard"], now["last_row"] + 1) == (part["shard"], part["first_row"]):
+                    now |= {"last_row": part["last_row"], "n": now["n"] + part["n"], "last": part["last"],
+                            "sorted": now["sorted"] and rising and now["last"] <= part["first"]}
+                else:
+                    if now:
+                        yield row_of(now)
+                    now = part
+        if now:
+            yield row_of(now)
+
+    stretches = materialize(located.select("shard", "row", key).mapInArrow(run, STRETCH.format(kind=kind)))
+    # one row per stretch of a file
+    before = Window.orderBy("shard", "first_row")
+    met = F.coalesce(F.lag("last").over(before) <= F.col("first"), F.lit(True))
+    return stretches.withColumn("_met", met).agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.coalesce(F.bool_and(F.col("sorted") & F.col("_met")), F.lit(True)).alias("sorted"))
+
+
 def coverage(consumed: DataFrame, expected: DataFrame, key: str) -> DataFrame:
     """Consumed rows, unique ids, missing, unexpected and repeated ids, and the digest of the id set."""
     seen = consumed.groupBy(key).agg(F.count("*").alias("_n"))

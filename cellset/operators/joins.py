@@ -6,8 +6,10 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cellset.functions import vectors as V
+from cellset.operators.scale import with_last
 
 GRID = 1 << 16  # cells of an index range handled as one unit
 
@@ -135,6 +137,27 @@ def range_join(cells: DataFrame, ranges: DataFrame, index: str = "cell_index", g
     return joined.where((F.col(index) >= F.col("start")) & (F.col(index) < F.col("stop"))).drop("_unit")
 
 
+def owner_join(cells: DataFrame, ranges: DataFrame, index: str = "cell_index") -> DataFrame:
+    """Attach to each cell the one of the disjoint half-open ``ranges`` that owns its index; cells of no range are left out.
+
+    Cells and range starts are put in one order; each cell takes the last start before it, which crosses the heads of the sort's
+    partitions where a range is longer than one. Nothing depends on how long or how many the ranges are. Empty ranges are
+    ignored; ranges that overlap fail the job (``range_join`` takes those).
+    """
+    own = [c for c in ranges.columns if c not in ("start", "stop")]
+    heads = ranges.where("stop > start").select(
+        F.col("start").cast("long").alias("_at"), F.lit(0).alias("_kind"), F.col("stop").cast("long").alias("_tie"),
+        F.struct("start", "stop", *own).alias("_range"), F.lit(None).cast(T.StructType(cells.schema.fields)).alias("_cell"))
+    rows = cells.where(F.col(index).isNotNull()).select(
+        F.col(index).cast("long").alias("_at"), F.lit(1).alias("_kind"), F.lit(0).cast("long").alias("_tie"),
+        F.lit(None).cast(heads.schema["_range"].dataType).alias("_range"), F.struct(*cells.columns).alias("_cell"))
+    known = with_last(heads.unionByName(rows), ["_at", "_kind", "_tie"], "_range", "_owner")
+    apart = F.assert_true(F.col("_owner").isNull() | (F.col("_owner.stop") <= F.col("_at")), F.lit("ranges overlap"))
+    # one condition for both kinds of rows, so that no filter passes the check by
+    owned = F.when(F.col("_kind") == 0, apart.isNotNull()).otherwise(F.col("_at") < F.col("_owner.stop"))
+    return known.where(owned).select("_cell.*", *[F.col(f"_owner.{c}").alias(c) for c in ("start", "stop", *own)])
+
+
 def gather(sets: DataFrame, vectors: DataFrame, key: str = "cell_index") -> DataFrame:
     """Vectors of set members; a member without a vector stays, with NULL."""
     return sets.join(vectors, key, "left")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -42,8 +43,8 @@ def energy_distance(a: DataFrame, b: DataFrame, keys: list[str], row_id: str, ve
     y = materialize(tiles.blocks(b, shared, row_id, vector))
     mean = lambda p, q, by, on, name: tiles.pair_moments(
         tiles.block_pairs(p, q, by, on=on), by, dim).select(*by, (F.col("total") / F.col("pairs")).alias(name))
-    joined = mean(x, y, keys, shared, "_xy").join(mean(x, x, keys, keys, "_xx"), keys).join(
-        mean(y, y, shared, shared, "_yy"), shared)
+    within = tiles.join_groups(mean(x, y, keys, shared, "_xy"), mean(x, x, keys, keys, "_xx"), keys)
+    joined = tiles.join_groups(within, mean(y, y, shared, shared, "_yy"), shared)
     return joined.select(*keys, (F.col("_xy") - F.col("_xx") / 2 - F.col("_yy") / 2).alias("energy_distance"))
 
 
@@ -57,44 +58,50 @@ def pairwise_structure(vecs: DataFrame, keys: list[str], row_id: str, vector: st
     for metric in metrics:
         moments = materialize(tiles.pair_moments(pairs, keys, dim, metric, triangle=True))
         median = tiles.pair_median(pairs, moments, keys, dim, metric, triangle=True)
-        mean = F.col("total") / F.col("pairs")
-        table = moments.join(median, keys).select(
+        mean = F.try_divide("total", "pairs")  # a group of one member has no pair
+        table = tiles.join_groups(moments, median, keys, "left").select(
             *keys, F.lit(metric).alias("metric"), "pairs", "min", "median", mean.alias("mean"),
-            F.sqrt(F.greatest(F.col("squares") / F.col("pairs") - mean * mean, F.lit(0.0))).alias("std"), "max")
+            F.when(mean.isNotNull(), F.sqrt(F.greatest(F.try_divide("squares", "pairs") - mean * mean, F.lit(0.0)))).alias("std"), "max")
         out = table if out is None else out.unionByName(table)
     return out
 
 
-def structure_correlation(sets: DataFrame, keys: list[str], row_id: str, first: str, second: str,
-                          max_set: int = 2048) -> DataFrame:
-    """Pearson and Spearman between two pairwise-distance triangles of the same drawn sets.
+def structure_correlation(sets: DataFrame, keys: list[str], row_id: str, first: str, second: str) -> DataFrame:
+    """Pearson and Spearman between two pairwise-distance triangles of the same sets, of any size.
 
-    Sets come from a fixed-size draw; a set larger than ``max_set`` fails the job instead of being cut.
+    Block pairs return counts of value pairs; average ranks come from running totals over ranges of distinct values, so no
+    set is gathered. NULL where a triangle is constant or has less than two pairs; repeated ids form no pair with themselves.
     """
-    sized = sets.groupBy(*keys).agg(F.count("*").alias("_n"))
-    fits = F.assert_true(F.col("_n") <= max_set, F.lit("set too large for a triangle correlation")).isNull()
-    rows = sets.join(sized.where(fits), keys).select(*keys, row_id, first, second)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keys).schema)
-
-    def per_set(pdf):
-        import numpy as np
-        import pandas as pd
-        pdf = pdf.sort_values(row_id)
-        upper = np.triu_indices(len(pdf), 1)
-
-        def triangle(column):
-            v = np.stack([np.asarray(x, dtype=np.float64) for x in pdf[column]])
-            return np.sqrt(((v[:, None, :] - v[None, :, :]) ** 2).sum(-1))[upper]
-
-        x, y = pd.Series(triangle(first)), pd.Series(triangle(second))
-        flat = len(x) < 2 or x.min() == x.max() or y.min() == y.max()
-        row = {k: pdf[k].iloc[0] for k in keys}
-        row["pairs"] = len(x)
-        row["pearson"] = None if flat else float(np.corrcoef(x, y)[0, 1])
-        row["spearman"] = None if flat else float(np.corrcoef(x.rank(), y.rank())[0, 1])
-        return pd.DataFrame([row])
-
-    return rows.groupBy(*keys).applyInPandas(per_set, f"{fields}, pairs long, pearson double, spearman double")
+    sizes = sets.select(F.size(first).alias("a"), F.size(second).alias("b")).first()
+    groups = sets.select(*keys).distinct()
+    if sizes is None:
+        return groups.selectExpr(*keys, "0L as pairs", "cast(null as double) as pearson", "cast(null as double) as spearman")
+    both = sets.select(*keys, row_id, F.concat(F.col(first).cast("array<double>"), F.col(second).cast("array<double>")).alias("_v"))
+    packed = materialize(tiles.blocks(both, keys, row_id, "_v"))
+    pairs = tiles.block_pairs(packed, packed, keys, triangle=True)
+    values = materialize(tiles.pair_values(pairs, keys, sizes.a, sizes.a + sizes.b).groupBy(*keys, "x", "y").agg(F.sum("c").alias("c")))
+
+    def ranks(column: str, name: str) -> DataFrame:
+        counts = values.groupBy(*keys, column).agg(F.sum("c").alias("_c"))
+        upto = running_total(counts, keys, [column], F.col("_c"), "_upto")
+        return upto.select(*keys, column, (F.col("_upto") - (F.col("_c") - 1) / 2).alias(name))
+
+    ranked = values
+    for column, name in (("x", "_rx"), ("y", "_ry")):
+        ranked = tiles.join_groups(ranked, ranks(column, name), [*keys, column])
+    ranked = materialize(ranked)
+    total = lambda c: F.sum(F.col("c") * F.col(c)) / F.sum("c")
+    means = ranked.groupBy(*keys).agg(F.sum("c").alias("pairs"), *[total(c).alias(f"_m{c}") for c in ("x", "y", "_rx", "_ry")])
+    met = tiles.join_groups(ranked, means, keys)
+    off = lambda c: F.col(c) - F.col(f"_m{c}")
+    product = lambda a, b: F.sum(F.col("c") * off(a) * off(b))
+
+    def correlation(a: str, b: str):
+        flat = (F.min(a) == F.max(a)) | (F.min(b) == F.max(b)) | (F.max("pairs") < 2)
+        return F.when(~flat, product(a, b) / F.sqrt(product(a, a) * product(b, b)))
+
+    found = met.groupBy(*keys).agg(F.max("pairs").alias("pairs"), correlation("x", "y").alias("pearson"), correlation("_rx", "_ry").alias("spearman"))
+    return tiles.join_groups(groups, found, keys, "left").select(*keys, F.coalesce("pairs", F.lit(0).cast("long")).alias("pairs"), "pearson", "spearman")
 
 
 def context_ranks(rows: DataFrame, context: list[str], row_id: str, prediction: str, truth: str,

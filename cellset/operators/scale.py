@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cellset.session import materialize
 
@@ -161,6 +162,80 @@ def with_previous(df: DataFrame, order: list[Column | str], column: str, name: s
         "_part", "_row", "_lag", "_head")
 
 
+def with_last(df: DataFrame, order: list[Column | str], column: str, name: str) -> DataFrame:
+    """Last value of ``column`` that isn't NULL in the rows before, by a global total order; NULL where there is none.
+
+    Runs inside each range of the order; of a range only its last value crosses to the next ones, however many of these have none.
+    """
+    table = placed(df, order)
+    local = Window.partitionBy("_part").orderBy("_row").rowsBetween(Window.unboundedPreceding, -1)
+    ends = table.where(F.col(column).isNotNull()).groupBy("_part").agg(F.max_by(column, "_row").alias("_end"))
+    parts = table.select("_part").distinct().join(ends, "_part", "left")
+    # one row per range
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    heads = parts.select("_part", F.last("_end", ignorenulls=True).over(earlier).alias("_head"))
+    seen = table.withColumn("_last", F.last(column, ignorenulls=True).over(local)).join(F.broadcast(heads), "_part")
+    return seen.withColumn(name, F.coalesce("_last", "_head")).drop("_part", "_row", "_last", "_head")
+
+
+def first_in_order(df: DataFrame, order: list[Column | str], n: int) -> DataFrame:
+    """The first ``n`` rows by ``order`` (NULL first), found as a boundary and a filter, so whole rows are neither sorted nor written.
+
+    A number's boundary comes from counts in bins that are refined until they hold one value; another key's from the counts of its
+    values. Rows that share the boundary are told apart by the next key; rows equal in all keys are interchangeable.
+    """
+    if n <= 0:
+        return df.limit(0)
+    key, rest = ascending(order)[0], ascending(order)[1:]
+    seen = df.agg(F.count("*").alias("n"), F.count(key).alias("known")).first()
+    if n >= seen.n:
+        return df
+    unknown = seen.n - seen.known
+    if n <= unknown:
+        return first_of_equals(df.where(key.isNull()), rest, n)
+    known = df.where(key.isNotNull())
+    kind = df.select(key.alias("k")).schema["k"].dataType
+    find = counted_boundary if not isinstance(kind, T.IntegralType) else binned_boundary
+    boundary, before = find(known, key, n - unknown)
+    value = F.lit(boundary).cast(kind)
+    within = df.where(key.isNull() | (key < value))
+    return within.unionByName(first_of_equals(known.where(key == value), rest, n - unknown - before))
+
+
+def first_of_equals(tied: DataFrame, rest: list[Column], n: int) -> DataFrame:
+    if rest:
+        return first_in_order(tied, rest, n)
+    if tied.count() == n:
+        return tied
+    return dense_index(tied, [F.monotonically_increasing_id()], "_i").where(F.col("_i") < n).drop("_i")
+
+
+def binned_boundary(df: DataFrame, key: Column, n: int, bins: int = 1024) -> tuple[int, int]:
+    """Value of the ``n``-th smallest whole number and how many are smaller; each turn returns ``bins`` counts at most."""
+    value = key.cast("decimal(20,0)")
+    lo, hi = df.agg(F.min(key), F.max(key)).first()
+    before = 0
+    while lo < hi:
+        width = (hi - lo) // bins + 1
+        bin_of = F.floor((value - F.lit(lo).cast("decimal(20,0)")) / F.lit(width).cast("decimal(20,0)"))
+        counts = df.where(key.between(lo, hi)).groupBy(bin_of.alias("bin")).agg(
+            F.count("*").alias("c"), F.min(key).alias("lo"), F.max(key).alias("hi")).orderBy("bin").collect()
+        for r in counts:
+            if before + r.c >= n:
+                break
+            before += r.c
+        lo, hi = r.lo, r.hi
+    return lo, before
+
+
+def counted_boundary(df: DataFrame, key: Column, n: int) -> tuple[object, int]:
+    """The same for any other key, from the counts of its values."""
+    counts = df.groupBy(key.alias("k")).agg(F.count("*").alias("c"))
+    upto = running_total(counts, [], ["k"], F.col("c"), "upto")
+    found = upto.where(F.col("upto") >= n).agg(F.min_by(F.struct("k", (F.col("upto") - F.col("c")).alias("before")), "upto").alias("r")).first().r
+    return found.k, found.before
+
+
 def set_digest(key: Column) -> Column:
     """Digest of a set of rows, mergeable and independent of row order: XOR of the four quarters of each SHA-256."""
     text = F.sha2(key, 256)

@@ -6,6 +6,8 @@ a few numbers. A hot group simply has more blocks, spread over tasks by (group,
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,10 +17,17 @@ BLOCK = 256
 BINS = 1024
 
 
+def join_groups(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on group keys, of which NULL is one."""
+    side = right.withColumnsRenamed({k: f"_k_{k}" for k in keys})
+    same = reduce(lambda p, q: p & q, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys], F.lit(True))
+    return left.join(side, same, how).drop(*[f"_k_{k}" for k in keys])
+
+
 def blocks(df: DataFrame, keys: list[str], row_id: str, vector: str, block: int = BLOCK) -> DataFrame:
     """``keys, block, blocks, ids, flat``: members packed by a hash of their id."""
     sizes = df.groupBy(*keys).agg(F.ceil(F.count("*") / block).alias("blocks"))
-    placed = df.join(sizes, keys).withColumn("block", F.pmod(F.xxhash64(row_id), F.col("blocks")))
+    placed = join_groups(df, sizes, keys).withColumn("block", F.pmod(F.xxhash64(row_id), F.col("blocks")))
     wide = F.transform(vector, lambda x: x.cast("double"))
     packed = placed.select(*keys, "block", "blocks", F.struct(F.col(row_id).alias("i"), wide.alias("v")).alias("m"))
     return packed.groupBy(*keys, "block", "blocks").agg(F.collect_list("m").alias("m")).select(
@@ -34,41 +43,60 @@ def block_pairs(a: DataFrame, b: DataFrame, keys: list[str], triangle: bool = Fa
     """
     on = on or keys
     counts = b.select(*on, F.col("blocks").alias("_nb")).distinct()
-    left = a.join(counts, on).withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_nb") - 1)))
+    left = join_groups(a, counts, on).withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_nb") - 1)))
     if triangle:
         left = left.where(F.col("block") <= F.col("_b"))
     left = left.select(*keys, "_b", F.col("block").alias("a_block"), F.col("ids").alias("a_ids"),
                        F.col("flat").alias("a_flat"))
     right = b.select(*on, F.col("block").alias("_b"), F.col("ids").alias("b_ids"), F.col("flat").alias("b_flat"))
-    return left.join(right, [*on, "_b"]).withColumnRenamed("_b", "b_block")
+    return join_groups(left, right, [*on, "_b"]).withColumnRenamed("_b", "b_block")
+
+
+def pair_distances(x, y, metric: str):
+    """All distances between the rows of two matrices."""
+    import numpy as np
+
+    if metric == "cosine":
+        x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+        y = y / np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-12)
+        return x @ y.T
+    squares = (x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2.0 * (x @ y.T)
+    return np.sqrt(np.maximum(squares, 0.0))
+
+
+def bin_counts(d, lo: float, hi: float, bins: int):
+    """``(bins, counts, smallest, largest)`` of the values of ``d`` inside ``[lo, hi]``, for the bins that hold any."""
+    import numpy as np
+
+    inside = d[(d >= lo) & (d <= hi)]
+    step = (hi - lo) / bins
+    place = np.minimum((inside - lo) / step, bins - 1).astype(np.int64) if step > 0 else np.zeros(len(inside), np.int64)
+    used, back = np.unique(place, return_inverse=True)
+    least, most = np.full(len(used), np.inf), np.full(len(used), -np.inf)
+    np.minimum.at(least, back, inside)
+    np.maximum.at(most, back, inside)
+    return used, np.bincount(back, minlength=len(used)), least, most
 
 
 def _reduce_pairs(pairs: DataFrame, keys: list[str], dim: int, metric: str, mode: str, triangle: bool) -> DataFrame:
-    """One Arrow pass over block pairs. ``moments``: n, s, ss, lo, hi. ``bins``: counts over [lo, hi] of the row.
-    ``values``: how many lie below lo, and the distances inside [lo, hi]."""
-    bins = BINS
-    schema = {"moments": "n long, s double, ss double, lo double, hi double", "bins": "bins array<long>",
-              "values": "below long, values array<double>"}[mode]
+    """One Arrow pass over block pairs. ``moments``: n, s, ss, lo, hi. ``bins``: for each of the row's intervals (arrays ``target``,
+    ``lo``, ``hi``) the bins that hold distances, with their counts and ends."""
+    schema = {"moments": "n long, s double, ss double, lo double, hi double",
+              "bins": "target int, bin int, c long, lo double, hi double"}[mode]
     fields = pairs.select(*keys).schema
-    bounds = [] if mode == "moments" else ["lo", "hi"]
+    bounds = [] if mode == "moments" else ["target", "lo", "hi"]
+    names = [f.split()[0] for f in schema.split(", ")]
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        def distances(x, y):
-            if metric == "cosine":
-                x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-                y = y / np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-12)
-                return x @ y.T
-            squares = (x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2.0 * (x @ y.T)
-            return np.sqrt(np.maximum(squares, 0.0))
-
+        kinds = {"n": pa.int64(), "c": pa.int64(), "target": pa.int32(), "bin": pa.int32()}
         for batch in batches:
-            out = []
+            take, out = [], []
             for k in range(batch.num_rows):
                 get = lambda name, k=k: batch.column(name)[k].values.to_numpy(zero_copy_only=False)
-                d = distances(get("a_flat").reshape(-1, dim), get("b_flat").reshape(-1, dim))
+                d = pair_distances(get("a_flat").reshape(-1, dim), get("b_flat").reshape(-1, dim), metric)
                 if triangle:
                     a_ids, b_ids = get("a_ids"), get("b_ids")
                     same = batch.column("a_block")[k].as_py() == batch.column("b_block")[k].as_py()
@@ -76,23 +104,18 @@ def _reduce_pairs(pairs: DataFrame, keys: list[str], dim: int, metric: str, mode
                 else:
                     d = d.ravel()
                 if mode == "moments":
+                    take.append(k)
                     out.append((d.size, float(d.sum()), float((d * d).sum()), float(d.min()) if d.size else None,
                                 float(d.max()) if d.size else None))
                     continue
-                lo, hi = batch.column("lo")[k].as_py(), batch.column("hi")[k].as_py()
-                inside = d[(d >= lo) & (d <= hi)]
-                if mode == "values":
-                    out.append((int((d < lo).sum()), inside))
-                else:
-                    step = (hi - lo) / bins or 1.0
-                    place = np.minimum(((inside - lo) / step).astype(np.int64), bins - 1)
-                    out.append((np.bincount(place, minlength=bins),))
-            arrays = [batch.column(name) for name in keys]
-            types = {"n": pa.int64(), "below": pa.int64(), "bins": pa.list_(pa.int64()), "values": pa.list_(pa.float64())}
-            names = [f.split()[0] for f in schema.split(", ")]
-            for i, name in enumerate(names):
-                arrays.append(pa.array([row[i] for row in out], types.get(name, pa.float64())))
-            yield pa.RecordBatch.from_arrays(arrays, [*keys, *names])
+                for target, lo, hi in zip(*(batch.column(c)[k].as_py() for c in bounds), strict=True):
+                    for x in zip(*bin_counts(d, lo, hi, BINS), strict=True):
+                        take.append(k)
+                        out.append((target, *x))
+            rows = pa.array(take, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [*[batch.column(name).take(rows) for name in keys],
+                 *[pa.array([row[i] for row in out], kinds.get(name, pa.float64())) for i, name in enumerate(names)]], [*keys, *names])
 
     extra = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
     full = f"{extra}, {schema}" if extra else schema
@@ -111,25 +134,59 @@ def pair_median(pairs: DataFrame, moments: DataFrame, keys: list[str], dim: int,
                 ) -> DataFrame:
     """Exact median of all pair distances of each group, as ``keys, median``.
 
-    A histogram finds the bins of the two middle ranks; a second pass returns only the distances inside them.
+    Each of the two middle ranks has an interval that holds its distance. A pass counts the distances in ``BINS`` bins of it,
+    and the bin that the rank falls into, cut to the distances it really holds, is the next interval, until that is one
+    value. Only counts leave a task; the number of passes grows with the logarithm of the number of pairs.
     """
-    bounds = materialize(moments.where("pairs > 0").select(
-        *keys, "pairs", F.col("min").alias("lo"), F.col("max").alias("hi")))
-    counted = _reduce_pairs(pairs.join(bounds.drop("pairs"), keys), keys, dim, metric, "bins", triangle).select(
-        *keys, F.posexplode("bins").alias("bin", "c")).groupBy(*keys, "bin").agg(F.sum("c").alias("c"))
-    running = Window.partitionBy(*keys).orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)  # BINS rows a group
-    ranked = counted.withColumn("_upto", F.sum("c").over(running)).join(bounds, keys)
-    low, high = F.floor((F.col("pairs") - 1) / 2), F.floor(F.col("pairs") / 2)
-    bin_of = lambda rank: F.min(F.when(F.col("_upto") > rank, F.col("bin")))
-    step = (F.max("hi") - F.max("lo")) / BINS
-    window = materialize(ranked.groupBy(*keys).agg(
-        F.max("pairs").alias("pairs"),
-        F.greatest(F.max("lo"), F.max("lo") + (bin_of(low) - 1e-6) * step).alias("lo"),
-        F.least(F.max("hi"), F.max("lo") + (bin_of(high) + 1 + 1e-6) * step).alias("hi")))
-    found = materialize(_reduce_pairs(pairs.join(window.drop("pairs"), keys), keys, dim, metric, "values", triangle))
-    below = found.groupBy(*keys).agg(F.sum("below").alias("_below"))
-    values = found.select(*keys, F.explode("values").alias("d")).groupBy(*keys, "d").agg(F.count("*").alias("c"))
-    order = Window.partitionBy(*keys).orderBy("d").rowsBetween(Window.unboundedPreceding, 0)
-    picked = values.withColumn("_in", F.sum("c").over(order)).join(below, keys).join(window, keys)
-    at = lambda rank: F.min(F.when(F.col("_below") + F.col("_in") > rank, F.col("d")))
-    return picked.groupBy(*keys).agg(((at(low) + at(high)) / 2).alias("median"))
+    ranks = F.array(F.struct(F.lit(0).alias("target"), F.floor((F.col("pairs") - 1) / 2).alias("rank")),
+                    F.struct(F.lit(1).alias("target"), F.floor(F.col("pairs") / 2).alias("rank")))
+    state = materialize(moments.where("pairs > 0").select(
+        *keys, F.inline(ranks), F.lit(0).cast("long").alias("below"), F.col("min").alias("lo"), F.col("max").alias("hi")))
+    done = state.where("lo >= hi")
+    while not (left := state.where("lo < hi")).isEmpty():
+        # one row per group, with an interval for each open rank
+        wanted = left.groupBy(*keys).agg(F.collect_list(F.struct("target", "lo", "hi")).alias("_w")).select(
+            *keys, *[F.col(f"_w.{c}").alias(c) for c in ("target", "lo", "hi")])
+        counts = _reduce_pairs(join_groups(pairs, wanted, keys), keys, dim, metric, "bins", triangle).groupBy(*keys, "target", "bin").agg(
+            F.sum("c").alias("c"), F.min("lo").alias("bin_lo"), F.max("hi").alias("bin_hi"))
+        upto = Window.partitionBy(*keys, "target").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)  # BINS rows a rank
+        joined = join_groups(left, counts.withColumn("_upto", F.sum("c").over(upto)), [*keys, "target"])
+        hit = F.col("below") + F.col("_upto") > F.col("rank")
+        # a distance that a pass computes differently in its last digit can't leave a rank without a bin
+        place = F.struct((~hit).alias("missed"), F.when(hit, F.col("bin")).otherwise(-F.col("bin")).alias("at"))
+        found = F.struct((F.col("below") + F.col("_upto") - F.col("c")).alias("below"), F.col("bin_lo").alias("lo"), F.col("bin_hi").alias("hi"))
+        state = materialize(joined.groupBy(*keys, "target", "rank").agg(F.min_by(found, place).alias("_f")).select(
+            *keys, "target", "rank", "_f.below", "_f.lo", "_f.hi"))
+        done = done.unionByName(state.where("lo >= hi"))
+    return done.groupBy(*keys).agg((F.sum("lo") / 2).alias("median"))
+
+
+def pair_values(pairs: DataFrame, keys: list[str], split: int, dim: int) -> DataFrame:
+    """``keys, x, y, c``: Euclidean distances in the first ``split`` and in the other components of each pair of the triangle.
+
+    Equal value pairs of a block pair leave it as one row with their number.
+    """
+    fields = pairs.select(*keys).schema
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            for k in range(batch.num_rows):
+                get = lambda name, k=k: batch.column(name)[k].values.to_numpy(zero_copy_only=False)
+                a, b = get("a_flat").reshape(-1, dim), get("b_flat").reshape(-1, dim)
+                a_ids, b_ids = get("a_ids"), get("b_ids")
+                same = batch.column("a_block")[k].as_py() == batch.column("b_block")[k].as_py()
+                found = []
+                for i in range(len(a)):  # differences, not products: equal distances stay equal
+                    squares = (a[i] - (b[b_ids > a_ids[i]] if same else b)) ** 2
+                    found.append(np.sqrt(np.stack([squares[:, :split].sum(1), squares[:, split:].sum(1)], axis=1)))
+                values, counts = np.unique(np.concatenate(found), axis=0, return_counts=True)
+                take = pa.array(np.full(len(counts), k))
+                yield pa.RecordBatch.from_arrays(
+                    [*[batch.column(c).take(take) for c in keys], pa.array(values[:, 0].copy()), pa.array(values[:, 1].copy()), pa.array(counts)],
+                    [*keys, "x", "y", "c"])
+
+    extra = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in fields)
+    return pairs.select(*keys, "a_block", "b_block", "a_ids", "a_flat", "b_ids", "b_flat").mapInArrow(run, f"{extra}x double, y double, c long")

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellset.functions.hashing import SEED, seeded_hash
-from cellset.operators.scale import dense_index, place_in_group, running_total, top_per_group, with_previous
+from cellset.operators.scale import first_in_order, place_in_group, running_total, top_per_group, with_previous
+from cellset.session import materialize
 
 
 def coverage_rounds(pool: DataFrame, strata: list[str], order: list[str]) -> DataFrame:
@@ -134,14 +135,17 @@ def arg_best(df: DataFrame, value: str, largest: bool, ties: list[Column], by: l
 
 def cap_rows(df: DataFrame, order: list[str], total: int | None = None, per_shard: int | None = None,
              per_block: int | None = None) -> DataFrame:
-    """First rows of each shard and of each block inside it, then of the whole, in physical order."""
+    """First rows of each shard and of each block inside it, then of the whole, in physical order.
+
+    The cap of the whole is a boundary and a filter; only what the other caps left is written before it.
+    """
     table = df
     if per_block is not None:
         table = top_per_group(table, ["shard", "block"], [F.col(c) for c in order], per_block, F.col(order[-1]))
     if per_shard is not None:
         table = top_per_group(table, ["shard"], [F.col(c) for c in order], per_shard, F.col(order[-1]))
     if total is not None:
-        table = dense_index(table, order, "_i").where(F.col("_i") < total).drop("_i")
+        table = first_in_order(materialize(table) if table is not df else table, order, total)
     return table
 
 

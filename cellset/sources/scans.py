@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cellset.sources.footers import file_digests
+
 CELL_SCHEMA = T.StructType([
     T.StructField("genes", T.ArrayType(T.LongType())), T.StructField("expressions", T.ArrayType(T.FloatType())),
     T.StructField("drug", T.StringType()), T.StructField("sample", T.StringType()),
@@ -29,8 +33,15 @@ def with_locator(df: DataFrame) -> DataFrame:
 
 
 def scan_by_locator(spark: SparkSession, root: str, plan: DataFrame) -> DataFrame:
-    """Rows named by a plan ``shard, row``, whatever its size; partitioned roots are fine, as shards are full paths."""
-    return with_locator(spark.read.parquet(root)).join(plan, ["shard", "row"])
+    """Rows named by a plan ``shard, row``, whatever its size; files that the plan doesn't name are never opened.
+
+    Shards are full paths, and ``root`` gives the partition columns. ``footers.scan_row_groups`` also leaves out unplanned row groups.
+    """
+    # names of files only, as many as the planned scan lists itself
+    shards = [unquote(r.shard) for r in plan.select("shard").distinct().collect()]
+    if not shards:
+        return with_locator(spark.read.parquet(root)).join(plan, ["shard", "row"])
+    return with_locator(spark.read.option("basePath", root).parquet(*sorted(shards))).join(plan, ["shard", "row"])
 
 
 def scan_index_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -62,6 +73,5 @@ def scan_plan_range(spark: SparkSession, path: str, column: str, start: int, sto
 
 
 def artifact_inventory(spark: SparkSession, root: str, pattern: str) -> DataFrame:
-    """Path, size and SHA-256 of every file; hashed in the tasks that read them."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(root)
-    return files.select("path", F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256"))
+    """Path, size and SHA-256 of every file, of any size; hashed as streams in the tasks."""
+    return file_digests(spark, root, pattern)

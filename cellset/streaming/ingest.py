@@ -8,13 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
+from pyspark.errors import AnalysisException, StreamingQueryException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from cellset.operators import clean
+from cellset.operators.scale import first_in_order
 from cellset.sources.scans import stream_cells
 
 
@@ -46,39 +47,85 @@ def run_available(stream: DataFrame, checkpoint: str, each: Callable[[DataFrame,
     return query
 
 
+class BudgetReached(Exception):
+    """Ends a run whose row budget is used up; the batch is not committed, so the next run continues with it."""
+
+
+def rows_written(spark: SparkSession, sink: str, batch_id: int) -> int:
+    """Rows that an earlier attempt left in a batch's folder (its durable cursor)."""
+    try:
+        return spark.read.parquet(f"{sink}/batch_id={batch_id}").count()
+    except AnalysisException as error:
+        if "PATH_NOT_FOUND" not in str(error) and "UNABLE_TO_INFER_SCHEMA" not in str(error):
+            raise
+        return 0
+
+
+def write_within(df: DataFrame, sink: str, batch_id: int, room: int) -> int:
+    """Write a batch, or its first rows in physical order up to ``room`` rows more than stand there; returns how many are new."""
+    spark, columns = df.sparkSession, [c for c in df.columns if c not in ("_shard", "_place")]
+    done, n = rows_written(spark, sink, batch_id), df.count()
+    if n - done <= room:
+        write_batch(df.select(*columns), sink, batch_id)
+        return n - done
+    # the batch's rows come from its source files, so reading them while its folder is replaced is safe
+    write_batch(first_in_order(df, ["_shard", "_place"], done + room).select(*columns), sink, batch_id)
+    raise BudgetReached(f"{room} rows of batch {batch_id} taken")
+
+
 def ingest(spark: SparkSession, source: str, schema: T.StructType, sink: str, checkpoint: str, files_per_batch: int = 64,
-           transform: Callable[[DataFrame], DataFrame] | None = None, inputs: str = "") -> StreamingQuery:
+           transform: Callable[[DataFrame], DataFrame] | None = None, inputs: str = "", max_rows: int | None = None) -> StreamingQuery | None:
     """Append new shard files to the sink; a further call continues where the last one ended.
 
-    The sink belongs to its checkpoint and to ``inputs``, a fingerprint of what is ingested.
+    The sink belongs to its checkpoint and to ``inputs``, a fingerprint of what is ingested. ``max_rows`` bounds the new rows of this run,
+    exactly and across batches: the run stops inside a batch, whose rest the next run takes first (then there is no query to
+    return). A bound needs rows as they are, without ``transform``.
     """
     claim(spark, sink, f"{checkpoint} {inputs}".rstrip())
     stream = stream_cells(spark, source, schema, files_per_batch)
-    step = transform or (lambda df: df)
-    return run_available(stream, checkpoint, lambda df, batch_id: write_batch(step(df), sink, batch_id))
+    if max_rows is None:
+        step = transform or (lambda df: df)
+        return run_available(stream, checkpoint, lambda df, batch_id: write_batch(step(df), sink, batch_id))
+    if transform is not None:
+        raise ValueError("a run with a row budget takes rows as they are")
+    left = max_rows
 
+    def each(df: DataFrame, batch_id: int) -> None:
+        nonlocal left
+        left -= write_within(df, sink, batch_id, left)
 
-def earlier_rows(spark: SparkSession, sink: str, schema: T.StructType, batch_id: int) -> DataFrame:
-    """What batches before this one have committed; the batch's own earlier attempt is left out."""
-    with_batch = T.StructType([*schema.fields, T.StructField("batch_id", T.LongType())])
-    return spark.read.schema(with_batch).parquet(sink).where(F.col("batch_id") < batch_id)
+    placed = stream.select("*", F.col("_metadata.file_path").alias("_shard"), F.col("_metadata.row_index").alias("_place"))
+    try:
+        return run_available(placed, checkpoint, each)
+    except StreamingQueryException as error:
+        if BudgetReached.__name__ not in str(error):
+            raise
+        return None
+
+
+#: State store on executors' disks with change logs in the checkpoint, so state may outgrow memory.
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def ingest_once(spark: SparkSession, source: str, schema: T.StructType, sink: str, checkpoint: str, key: str,
                 files_per_batch: int = 64) -> StreamingQuery:
-    """Ingestion that keeps the first arrival of every key, across batches and restarts.
+    """Ingestion that keeps the first arrival of every key (NULL is one), across batches and restarts.
 
-    Seen keys are looked up in the sink itself, so no key is held in streaming state.
+    Seen keys are state of the stream, versioned by its checkpoint: a batch looks up its own keys only, and neither the sink
+    nor earlier batches are read again, however long the stream has run.
     """
     claim(spark, sink, checkpoint)
-    # an empty zeroth folder makes the sink readable from the first batch on
-    spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{sink}/batch_id=-1")
-
-    def each(df: DataFrame, batch_id: int) -> None:
-        seen = earlier_rows(spark, sink, schema, batch_id).select(key)
-        write_batch(df.dropDuplicates([key]).join(seen, key, "left_anti").select(*schema.names), sink, batch_id)
-
-    return run_available(stream_cells(spark, source, schema, files_per_batch), checkpoint, each)
+    names = {"spark.sql.streaming.stateStore.providerClass": STATE_STORE,
+             "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true"}
+    before = {name: spark.conf.get(name, None) for name in names}
+    for name, value in names.items():
+        spark.conf.set(name, value)
+    try:
+        stream = stream_cells(spark, source, schema, files_per_batch).dropDuplicates([key])
+        return run_available(stream, checkpoint, lambda df, batch_id: write_batch(df, sink, batch_id))
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
 def partial_stats(df: DataFrame, by: list[str], value: Column) -> DataFrame:
@@ -111,21 +158,38 @@ def running_audit(spark: SparkSession, source: str, schema: T.StructType, by: li
         F.min(value).alias("min"), F.max(value).alias("max"))
 
 
+def refuse_split_cells(spark: SparkSession, cells: str) -> None:
+    """Fail if a cell has come from two shards; only ``cell_id, shard`` pairs are compared."""
+    shards = spark.read.parquet(cells).groupBy("cell_id").agg(F.count_distinct("shard").alias("n")).where("n > 1")
+    if split := shards.orderBy("cell_id").limit(5).collect():
+        raise ValueError("cells lie in more than one shard: " + ", ".join(str(r.cell_id) for r in split))
+
+
 def incremental_gene_stats(spark: SparkSession, source: str, schema: T.StructType, sink: str, checkpoint: str,
                            fingerprint: str, files_per_batch: int = 64) -> DataFrame:
     """Per-gene mean and variance of CP10K-log1p from long count shards, resumable.
 
-    A cell must lie in one shard. State of other inputs (another fingerprint) is refused before anything is written.
+    A cell must lie in one shard: its pairs with shards are kept beside the sums, and a cell with two fails the run. State of other
+    inputs (another fingerprint) is refused before anything is written.
     """
+    cells = f"{sink}/_cells"  # not part of the sink's table
+
     def partial(df: DataFrame) -> DataFrame:
         once = clean.collapse_duplicates(df)
         v = clean.cp10k(F.col("count"), F.col("library"))
         genes = clean.with_library(once).groupBy("gene_index").agg(F.sum(v).alias("s"), F.sum(v * v).alias("ss"))
-        cells = clean.library_size(once).where("library > 0").agg(
+        counted = clean.library_size(once).where("library > 0").agg(
             F.lit(-1).cast("long").alias("gene_index"), F.count("*").cast("double").alias("s"), F.lit(0.0).alias("ss"))
-        return genes.unionByName(cells)
+        return genes.unionByName(counted)
+
+    def each(df: DataFrame, batch_id: int) -> None:
+        write_batch(df.select("cell_id", "shard").distinct(), cells, batch_id)
+        write_batch(partial(df.drop("shard")), sink, batch_id)
 
-    ingest(spark, source, schema, sink, checkpoint, files_per_batch, partial, fingerprint)
+    claim(spark, sink, f"{checkpoint} {fingerprint}".rstrip())
+    stream = stream_cells(spark, source, schema, files_per_batch).select("*", F.col("_metadata.file_path").alias("shard"))
+    run_available(stream, checkpoint, each)
+    refuse_split_cells(spark, cells)
     table = spark.read.parquet(sink)
     n = table.where("gene_index = -1").agg(F.sum("s").alias("n")).scalar()
     sums = table.where("gene_index >= 0").groupBy("gene_index").agg(F.sum("s").alias("s"), F.sum("ss").alias("ss"))

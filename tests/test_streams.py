@@ -58,7 +58,7 @@ def test_state_of_other_inputs_is_refused(spark):
     import pytest
     source, sink, check = (sinks.new_folder(spark) for _ in range(3))
     rows = spark.createDataFrame([(1, 0, 2.0), (1, 1, 3.0)], "cell_id long, gene_index long, count double")
-    rows.write.parquet(source)
+    rows.coalesce(1).write.parquet(source)
     X.incremental_gene_stats(spark, source, rows.schema, sink, check, "a").collect()
     with pytest.raises(Exception, match="belongs to"):
         X.incremental_gene_stats(spark, source, rows.schema, sink, check, "b").collect()
@@ -103,3 +103,50 @@ def test_sink_refuses_other_checkpoints_and_inputs(spark, tmp_path):
     assert spark.read.parquet(sink).count() == before
     again = X.incremental_gene_stats(spark, source, schema, sink, str(tmp_path / "check"), "a").collect()
     assert sorted(again) == sorted(first)
+
+
+def test_once_reads_neither_the_sink_nor_earlier_batches(spark):
+    """Fifty batches over the same keys: each looks up its own rows, though all that earlier batches wrote is gone."""
+    import glob
+    import os
+    source, sink, check = (sinks.new_folder(spark) for _ in range(3))
+    for i in range(50):
+        shards(spark, source, i, i + 20)
+    schema = spark.read.parquet(source).schema
+    query = X.ingest_once(spark, source, schema, sink, check, "event_id", 2)
+    assert sorted(r.event_id for r in spark.read.parquet(sink).collect()) == list(range(69))
+    assert {p["numInputRows"] for p in query.recentProgress if p["numInputRows"]} == {40}
+    for path in glob.glob(f"{sink.removeprefix('file:')}/batch_id=*/*.parquet"):
+        os.remove(path)
+    shards(spark, source, 60, 75)
+    X.ingest_once(spark, source, schema, sink, check, "event_id", 2)
+    assert sorted(r.event_id for r in spark.read.schema(schema).parquet(sink).collect()) == list(range(69, 75))
+
+
+def test_a_run_stops_at_its_row_budget(spark):
+    source, sink, check = (sinks.new_folder(spark) for _ in range(3))
+    for lo in (0, 40, 80):
+        shards(spark, source, lo, lo + 40)
+    schema = spark.read.parquet(source).schema
+    seen = []
+    for _ in range(6):
+        done = X.ingest(spark, source, schema, sink, check, 1, max_rows=25)
+        ids = [r.event_id for r in spark.read.parquet(sink).collect()]
+        assert len(ids) == len(set(ids))
+        seen.append(len(ids))
+        if done is not None:
+            break
+    assert seen == [25, 50, 75, 100, 120] and sorted(ids) == list(range(120))
+    with pytest.raises(ValueError):
+        X.ingest(spark, source, schema, sink, check, 1, lambda df: df, max_rows=5)
+
+
+def test_a_cell_in_two_shards_fails(spark):
+    source, sink, check = (sinks.new_folder(spark) for _ in range(3))
+    kinds = "cell_id long, gene_index long, count double"
+    spark.createDataFrame([(1, 0, 2.0), (2, 0, 3.0)], kinds).coalesce(1).write.parquet(source)
+    schema = spark.read.parquet(source).schema
+    X.incremental_gene_stats(spark, source, schema, sink, check, "a").collect()
+    spark.createDataFrame([(3, 0, 2.0), (1, 1, 3.0)], kinds).coalesce(1).write.mode("append").parquet(source)
+    with pytest.raises(ValueError, match="more than one shard: 1$"):
+        X.incremental_gene_stats(spark, source, schema, sink, check, "a")
