@@ -51,9 +51,9 @@ class WordIds(dict):
     def __init__(self, path: str):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        # a text that spells a special token is ordinary text
-        self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
+        #: Texts with one of these (in any case, as the tokenizer may lower-case) are encoded as a whole.
+        self.special = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     def __missing__(self, word: bytes) -> bytes:
         stem = word.rstrip(MARKS)
@@ -69,7 +69,10 @@ class WordIds(dict):
     def encode(self, text: bytes) -> bytes:
         if len(self) > CACHED_WORDS:
             self.clear()
-        return b"".join(map(self.__getitem__, text.lower().split()))
+        lower = text.lower()
+        if any(token in lower for token in self.special):
+            return np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+        return b"".join(map(self.__getitem__, lower.split()))
 
 
 @lru_cache(maxsize=2)
@@ -81,7 +84,8 @@ def pieces_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", cap
               tokenizer: str = TOKENIZER) -> DataFrame:
     """Token pieces ``id, piece, start, length, ids_crc32`` of every row: ids of the whole text, then id 0, cut at ``capacity``.
 
-    NULL text counts as empty and gives one piece of length 1. Ids may be NULL or repeat; each row gives its own pieces.
+    NULL text counts as empty and gives one piece of length 1; a text that spells a special token of the tokenizer gets its id, as
+    the tokenizer itself does it. Ids may be NULL or repeat; each row gives its own pieces.
     """
     def run(iterator):
         encode = word_ids(public_tokenizers.path(tokenizer)).encode

@@ -22,9 +22,7 @@ from cellset.llm.packing import CAPACITY, TOKENIZER, fullest, packed, packed_doc
 
 @pytest.fixture(scope="module")
 def tokenizer():
-    made = Tokenizer.from_file(public_tokenizers.path(TOKENIZER))
-    made.encode_special_tokens = True
-    return made
+    return Tokenizer.from_file(public_tokenizers.path(TOKENIZER))
 
 
 def ids_of(tokenizer, text):
@@ -61,12 +59,17 @@ def test_pieces_equal_whole_text_encoding(docs, texts, tokenizer):
                                   st.characters(codec="utf-8", exclude_categories=("Cs",))), max_size=40))
 def test_word_ids_equal_tokenizer(text):
     made = Tokenizer.from_file(public_tokenizers.path(TOKENIZER)) if not hasattr(test_word_ids_equal_tokenizer, "t") else test_word_ids_equal_tokenizer.t
-    made.encode_special_tokens = True
     test_word_ids_equal_tokenizer.t = made
     ids = np.array(made.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
     assert word_ids(public_tokenizers.path(TOKENIZER)).encode(text.encode()) == ids
 
 
+@pytest.mark.parametrize("text", ["end <|endoftext|> start", "A<|StartOfText|>b", "<|endoftext|><|endoftext|>", " x  <|endoftext|>\n y"])
+def test_special_tokens_are_read_as_the_tokenizer_reads_them(tokenizer, text):
+    got = np.frombuffer(word_ids(public_tokenizers.path(TOKENIZER)).encode(text.encode()), "<u4").tolist()
+    assert got == tokenizer.encode(text, add_special_tokens=False).ids
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.integers(1, 30), max_size=9), st.integers(0, 40))
 def test_fullest_is_optimal(lengths, room):
