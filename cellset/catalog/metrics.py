@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cellset.catalog.aggregates import DIGEST, HIERARCHY, rounded_columns
+from cellset.catalog.aggregates import DESCRIBE, DESCRIBED, DIGEST, HIERARCHY, RAW, raw_rows, rounded_columns
 from cellset.catalog.registry import query, r6
+from cellset.catalog.selection import SIDES, sides
 from cellset.functions import vectors as V
 from cellset.functions.numbers import rounded
 from cellset.operators import aggregates as A, metrics as M
+from cellset.operators.sampling import sample_sets
 from cellset.plans import evaluation as E
 from cellset.session import materialize
-from cellset.sources.surrogates import DIM, Tables
+from cellset.sources.surrogates import DIM, SET_SIZE, Tables
 
 KEYS = ["repeat_epoch", "label"]
 CUT = 0.02  # fixed value: a true delta larger than this counts as a changed gene on these vectors
@@ -302,6 +304,26 @@ def m17(t: Tables):
                        rounded(V.total(F.transform("true_delta", F.abs))).alias("truth_l1"))
 
 
+@query("m17_drawn_plan", f"""
+with {SIDES}, v as (select *, (cell_index % 1009) / 1009.0 as x, (cell_index % 757) / 757.0 as y from s),
+ drawn as (select pair_id, epoch, string_agg(case when side = 'control' then cast(cell_index as varchar) end, ',' order by cell_index) as control,
+  string_agg(case when side = 'treated' then cast(cell_index as varchar) end, ',' order by cell_index) as treated,
+  avg(case when side = 'treated' then x end) - avg(case when side = 'control' then x end) as dx,
+  avg(case when side = 'treated' then y end) - avg(case when side = 'control' then y end) as dy from v group by pair_id, epoch)
+select row_number() over (order by epoch, c.pair_id) - 1 as row_index, c.pair_id, epoch as repeat_epoch, control, treated, {r6("dx")} as dx, {r6("dy")} as dy,
+ edge_id, cell_line_id, drug, dose_um, plate, control_pool_id from drawn join fx_conditions c on c.pair_id = drawn.pair_id""")
+def m17_drawn(t: Tables):
+    """Both drawn sets of every condition and repeat, with two surrogate expressions per cell."""
+    sets = materialize(sample_sets(sides(t), SET_SIZE, [0, 1]))
+    value = lambda n: F.col("cell_index") % n / F.lit(float(n))
+    vectors = sets.select("cell_index").distinct().withColumn("v", F.array(value(1009), value(757)))
+    metadata = ["edge_id", "cell_line_id", "drug", "dose_um", "plate", "control_pool_id"]
+    plan = E.drawn_plan(sets, vectors, t.conditions, SET_SIZE, "v", 2, metadata)
+    text = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(c)
+    return plan.select("row_index", "pair_id", "repeat_epoch", text("control"), text("treated"), rounded(F.col("true_delta")[0]).alias("dx"),
+                       rounded(F.col("true_delta")[1]).alias("dy"), *metadata)
+
+
 AVERAGE_RANK = lambda c: (f"rank() over (partition by label order by {c}) + (count(*) over (partition by label, {c}) - 1) / 2.0")
 
 
@@ -345,6 +367,23 @@ def m20(t: Tables):
     return rounded_columns(out, "pearson_absolute", "pearson_delta", "spearman_absolute", "spearman_delta")
 
 
+@query("m20_diagnostics_per_context", f"""
+with f as (select vec_id, label, gene, v, vec_id % 3 as context, label in (0, 1) and vec_id % 2 = 0 as control from fx_vec_long),
+ a as (select context, label, gene, avg(v) as t, avg(case when vec_id % 5 <> 0 then v end) as p from f where not control group by context, label, gene),
+ k as (select context, gene, avg(v) as t, avg(case when vec_id % 5 <> 0 then v end) as p from f where control group by context, gene),
+ c as (select x.context, x.label, x.gene, x.t, x.p, x.t - k.t as dt, x.p - k.p as dp from a x join k on k.gene = x.gene and k.context = x.context),
+ r as (select *, rank() over (partition by context, label order by t) as rt, rank() over (partition by context, label order by p) as rp,
+  rank() over (partition by context, label order by dt) as rdt, rank() over (partition by context, label order by dp) as rdp from c)
+select context, label, {r6(_corr("p", "t"))} as pearson_absolute, {r6(_corr("dp", "dt"))} as pearson_delta,
+ {r6(_corr("rp", "rt"))} as spearman_absolute, {r6(_corr("rdp", "rdt"))} as spearman_delta from r group by context, label""")
+def m20_context(t: Tables):
+    """Three contexts, each with control cells of its own under two labels."""
+    vecs = t.vectors.withColumn("v", F.col("embedding")).withColumn("context", F.col("vec_id") % 3)
+    out = E.context_diagnostics(vecs, "label", "v", DIM, control=F.col("label").isin(0, 1) & (F.col("vec_id") % 2 == 0),
+                                predicted=F.col("vec_id") % 5 != 0, context=["context"])
+    return rounded_columns(out, "pearson_absolute", "pearson_delta", "spearman_absolute", "spearman_delta")
+
+
 @query("m21_rollup_with_undefined", f"""
 with {METRICS} select repeat_epoch, {r6("coalesce(avg(auprc), -1)")} as mean, count(auprc) as valid_n, count(*) - count(auprc) as undefined_n,
  count(case when auprc is null and true_deg_count <> 0 then 1 end) as unexpected_undefined_n from mt group by repeat_epoch""")
@@ -365,10 +404,46 @@ def m22(t: Tables):
     return rounded_columns(out, *out.columns)
 
 
+BY_REPEAT = """rpc as (select repeat_epoch, condition_id, edge_id, cell_line_id, drug, dose_um, plate, avg(energy) as energy from raw group by all),
+ rrp as (select *, case when dose_um = 5.0 and plate in ('plate6', 'plate14')
+   and bool_or(plate = 'plate6') over w and bool_or(plate = 'plate14') over w then 'plate6|plate14' else condition_id end as rid
+  from rpc window w as (partition by repeat_epoch, edge_id, dose_um)),
+ rre as (select repeat_epoch, edge_id, dose_um, rid, avg(energy) as energy from rrp group by all),
+ rds as (select repeat_epoch, edge_id, dose_um, avg(energy) as energy from rre group by all),
+ rde as (select repeat_epoch, edge_id, avg(energy) as energy from rds group by all),
+ rep as (select repeat_epoch, count(*) as edges, avg(energy) as edge_mean from rde group by repeat_epoch)"""
+
+
+@query("m22_report_repeats", f"""
+with {RAW}, {BY_REPEAT}, c as (select repeat_epoch, count(*) as conditions, avg(energy) as e, avg(cosine) as s from raw group by repeat_epoch)
+select repeat_epoch, conditions, edges, {r6("edge_mean")} as edge_energy_mean, {r6("e")} as condition_energy_mean, {r6("s")} as condition_cosine_mean
+from c join rep using (repeat_epoch)""")
+def m22_repeats(t: Tables):
+    out = E.latent_report(raw_rows(t), ["energy", "cosine"])["repeats"]
+    return rounded_columns(out, "edge_energy_mean", "condition_energy_mean", "condition_cosine_mean")
+
+
+@query("m22_report_summary", f"""
+with {HIERARCHY}, {BY_REPEAT} select count(*) as repeats, {r6("avg(edge_mean)")} as edge_mean, {r6("stddev_samp(edge_mean)")} as edge_std,
+ (select count(distinct edge_id) from ds) as final_edges, (select count(*) from re where rid = 'plate6|plate14') as merged_replicate_groups from rep""")
+def m22_summary(t: Tables):
+    return rounded_columns(E.latent_report(raw_rows(t), ["energy", "cosine"])["summary"], "edge_mean", "edge_std")
+
+
+@query("m22_report_descriptions", f"""
+with {HIERARCHY}, e as (select edge_id, avg(energy) as value from ds group by edge_id),
+ c as (select condition_id, avg(energy) as energy, avg(cosine) as cosine from raw group by condition_id)
+select 'edges' as of, {DESCRIBE("value")} from e union all select 'energy', {DESCRIBE("energy")} from c
+union all select 'cosine', {DESCRIBE("cosine")} from c""")
+def m22_descriptions(t: Tables):
+    report = E.latent_report(raw_rows(t), ["energy", "cosine"])
+    both = report["edges"].withColumn("of", F.lit("edges")).unionByName(report["conditions"].withColumnRenamed("metric", "of"))
+    return rounded_columns(both.select("of", "count", *DESCRIBED), *DESCRIBED)
+
+
 @query("m22_hierarchy_levels", f"""
 with {HIERARCHY} select edge_id, dose_um, {r6("energy")} as energy, reps as replicates, cast(pcs as bigint) as plate_conditions from ds""")
 def m22_levels(t: Tables):
-    from cellset.catalog.aggregates import raw_rows
     dose = A.hierarchical_mean(raw_rows(t), "energy")["dose"]
     return rounded_columns(dose.select("edge_id", "dose_um", "energy", "replicates", "plate_conditions"), "energy")
 

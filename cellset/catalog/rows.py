@@ -32,14 +32,17 @@ def p02(t: Tables):
 
 
 @query("p03_map_tokens", """
-select cell_id, count(*) as mapped, cast(sum(gene_index * place) as bigint) as order_sum, sum(count * place) as count_sum
-from (select *, row_number() over (partition by cell_id order by pos) as place from fx_mapped_long) m group by cell_id""")
+with e as (select cell_id, genes[i] as token_id, expressions[i] as count, i from
+  (select cell_id, genes, expressions, unnest(range(1, len(genes) + 1)) as i from fx_stripped)),
+ m as (select e.cell_id, g.gene_index, e.count, row_number() over (partition by e.cell_id order by i) as place
+  from e join fx_genes g on e.token_id = g.token_id)
+select cell_id, count(*) as mapped, cast(sum(gene_index * place) as bigint) as order_sum, coalesce(sum(count * place), 0) as count_sum
+from m group by cell_id""")
 def p03(t: Tables):
-    cells = clean.strip_sentinel(clean.drop_malformed(t.ragged)).where(
-        (F.size("genes") == F.size("expressions")) & ~F.exists("expressions", lambda x: x < 0))
-    mapped = clean.map_tokens(cells, t.genes).where(F.size("entries") > 0)
+    """All cells with both lists, sound or not; a gene without a count keeps its place."""
+    mapped = clean.map_tokens(clean.strip_sentinel(clean.drop_malformed(t.ragged)), t.genes).where(F.size("entries") > 0)
     place = F.transform("entries", lambda e, i: e.getField("gene") * (i + 1))
-    weight = F.transform("entries", lambda e, i: e.getField("count") * (i + 1))
+    weight = F.transform("entries", lambda e, i: F.coalesce(e.getField("count"), F.lit(0.0)) * (i + 1))
     return mapped.select("cell_id", F.size("entries").cast("long").alias("mapped"),
                          F.aggregate(place, F.lit(0).cast("long"), lambda s, x: s + x).alias("order_sum"),
                          V.total(weight).alias("count_sum"))

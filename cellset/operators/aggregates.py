@@ -47,7 +47,7 @@ def gene_stats(cells: DataFrame) -> DataFrame:
 
     Cells carry collapsed ``entries``; absent genes count as zero because sums are divided by the cell count.
     """
-    sized = cells.withColumn("library", clean.entry_library()).where("library > 0")
+    sized = clean.positive_library(cells.withColumn("library", clean.entry_library()))
     # one extra entry per cell (gene NULL) counts the cells in the same pass
     marker = F.array(F.struct(F.lit(None).cast("long").alias("gene"), F.lit(0.0).alias("count")))
     long = sized.select("library", F.explode(F.concat("entries", marker)).alias("e"))
@@ -59,7 +59,7 @@ def gene_stats(cells: DataFrame) -> DataFrame:
 
 def gene_stats_long(long: DataFrame) -> DataFrame:
     """The same from long counts ``cell_id, gene_index, count`` without duplicates."""
-    sizes = clean.library_size(long).where("library > 0").withColumn("gene_index", F.lit(None).cast("long"))
+    sizes = clean.positive_library(clean.library_size(long)).withColumn("gene_index", F.lit(None).cast("long"))
     rows = clean.with_library(long).select("gene_index", "count", "library").unionByName(
         sizes.select("gene_index", F.lit(0.0).alias("count"), "library"))
     v = clean.cp10k(F.col("count"), F.col("library"))
@@ -145,26 +145,33 @@ def preprocessing_audit(cells: DataFrame, vocab: DataFrame) -> DataFrame:
     return describe_exact(long, "value", ["counter"]).join(marked, "counter")
 
 
-def with_replicates(plate_condition: DataFrame) -> DataFrame:
-    """Biological replicate of each plate-condition: the two fixed plates merge only at the fixed dose, if both exist."""
+def with_replicates(plate_condition: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Biological replicate of each plate-condition: the two fixed plates merge only at the fixed dose, if both exist.
+
+    A merged replicate of more than two plate-conditions is ambiguous and fails the job.
+    """
     pair = F.col("plate").isin(*MERGED_PLATES) & (F.col("dose_um") == MERGED_DOSE)
-    group = Window.partitionBy("edge_id", "cell_line_id", "drug", "dose_um")
+    group = Window.partitionBy(*(by or []), "edge_id", "cell_line_id", "drug", "dose_um")
     both = reduce(lambda a, b: a & b, [F.coalesce(F.bool_or(F.col("plate") == p).over(group), F.lit(False))
                                        for p in MERGED_PLATES])
-    return plate_condition.withColumn("replicate_id", F.when(pair & both, "|".join(MERGED_PLATES)).otherwise(
-        F.col("condition_id")))
+    merged = plate_condition.withColumns({"_merge": F.coalesce(pair & both, F.lit(False)), "_rows": F.count_if(pair).over(group)})
+    two = F.assert_true(~F.col("_merge") | (F.col("_rows") == len(MERGED_PLATES)), F.concat_ws(
+        " ", F.lit("ambiguous replicate of"), "edge_id")).isNull()
+    return merged.where(two).withColumn("replicate_id", F.when(F.col("_merge"), "|".join(MERGED_PLATES)).otherwise(
+        F.col("condition_id"))).drop("_merge", "_rows")
 
 
-def hierarchical_mean(raw: DataFrame, metric: str) -> dict[str, DataFrame]:
-    """Equal-weight means: repeat -> plate-condition -> replicate -> dose -> edge, with counts carried up."""
-    plate = raw.groupBy("condition_id", "edge_id", "cell_line_id", "drug", "dose_um", "plate").agg(
+def hierarchical_mean(raw: DataFrame, metric: str, by: list[str] | None = None) -> dict[str, DataFrame]:
+    """Equal-weight means: repeat -> plate-condition -> replicate -> dose -> edge, with counts carried up; inside each of ``by``."""
+    keys = by or []
+    plate = raw.groupBy(*keys, "condition_id", "edge_id", "cell_line_id", "drug", "dose_um", "plate").agg(
         F.avg(metric).alias(metric))
-    replicate = with_replicates(plate).groupBy("edge_id", "cell_line_id", "drug", "dose_um", "replicate_id").agg(
+    replicate = with_replicates(plate, keys).groupBy(*keys, "edge_id", "cell_line_id", "drug", "dose_um", "replicate_id").agg(
         F.avg(metric).alias(metric), F.count("*").alias("plate_conditions"))
-    dose = replicate.groupBy("edge_id", "cell_line_id", "drug", "dose_um").agg(
+    dose = replicate.groupBy(*keys, "edge_id", "cell_line_id", "drug", "dose_um").agg(
         F.avg(metric).alias(metric), F.count("*").alias("replicates"),
         F.sum("plate_conditions").alias("plate_conditions"))
-    edge = dose.groupBy("edge_id", "cell_line_id", "drug").agg(
+    edge = dose.groupBy(*keys, "edge_id", "cell_line_id", "drug").agg(
         F.avg(metric).alias(metric), F.count("*").alias("doses"), F.sum("replicates").alias("replicates"),
         F.sum("plate_conditions").alias("plate_conditions"))
     return {"plate_condition": plate, "replicate": replicate, "dose": dose, "edge": edge}

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from cellset.functions.vectors import all_finite, count_where, shifted
 from cellset.operators.scale import dense_index, settled
+from cellset.session import materialize
 
 SCALE = 10_000.0   # fixed value: counts per ten thousand
 EPSILON = 1e-6     # fixed value: added to the standard deviation of the z-score
@@ -57,7 +58,10 @@ def slot(key: Column) -> Column:
 
 
 def map_tokens(cells: DataFrame, vocab: DataFrame, key: str = "token_id", value: str = "gene_index") -> DataFrame:
-    """Replace tokens by vocabulary positions; adds ``entries array<struct<gene, count>>`` in list order."""
+    """Replace tokens by vocabulary positions; adds ``entries array<struct<gene, count>>`` in list order.
+
+    By a dense array inside the scan's stage; a vocabulary too wide for that goes to ``map_tokens_joined``, with the same result.
+    """
     lookup = lookup_array(vocab, key, value)
     if lookup is not None:
         table = cells.withColumn("_lookup", lookup)
@@ -66,16 +70,21 @@ def map_tokens(cells: DataFrame, vocab: DataFrame, key: str = "token_id", value:
             e.cast("double").alias("count")))
         kept = F.filter(pairs, lambda p: p.getField("gene").isNotNull())
         return settled(table.withColumn("entries", kept).drop("_lookup"), "entries")
-    # vocabulary too wide for a dense array: explode, join, and put each row's own entries together again
-    long = cells.select("cell_id", F.posexplode(F.arrays_zip("genes", "expressions")).alias("pos", "p"))
+    return map_tokens_joined(cells, vocab, key, value)
+
+
+def map_tokens_joined(cells: DataFrame, vocab: DataFrame, key: str = "token_id", value: str = "gene_index") -> DataFrame:
+    """The same for a vocabulary of any size: entries are joined, and come back to their own row, whatever its ``cell_id``."""
+    rows = materialize(cells.withColumn("_row", F.monotonically_increasing_id()))
+    long = rows.select("_row", F.posexplode(F.arrays_zip("genes", "expressions")).alias("pos", "p"))
     mapped = long.join(vocab.select(F.col(key).alias("_key"), F.col(value).alias("gene")),
                        F.col("p.genes") == F.col("_key"))
-    rows = mapped.groupBy("cell_id").agg(F.array_sort(F.collect_list(
-        F.struct("pos", "gene", F.col("p.expressions").cast("double").alias("count")))).alias("_rows"))
-    entries = F.transform("_rows", lambda r: F.struct(r.getField("gene").alias("gene"),
-                                                      r.getField("count").alias("count")))
+    lists = mapped.groupBy("_row").agg(F.array_sort(F.collect_list(
+        F.struct("pos", "gene", F.col("p.expressions").cast("double").alias("count")))).alias("_entries"))
+    entries = F.transform("_entries", lambda r: F.struct(r.getField("gene").alias("gene"),
+                                                         r.getField("count").alias("count")))
     none = F.array().cast("array<struct<gene:bigint,count:double>>")
-    return cells.join(rows, "cell_id", "left").withColumn("entries", F.coalesce(entries, none)).drop("_rows")
+    return rows.join(lists, "_row", "left").withColumn("entries", F.coalesce(entries, none)).drop("_entries", "_row")
 
 
 def collapse_entries(cells: DataFrame) -> DataFrame:
@@ -150,19 +159,20 @@ def panel_target(cells: DataFrame, panel: DataFrame, width: int, name: str = "ta
 
     ``cells`` carry mapped ``entries``. Only entries of panel genes are kept before they are summed.
     """
-    rank_of = lookup_array(panel, "gene_index", "panel_rank")
-    if rank_of is None:
-        raise ValueError("panel gene indexes must fit a dense lookup")
+    rank_of, place = lookup_array(panel, "gene_index", "panel_rank"), slot
+    if rank_of is None:  # wide gene indexes: a map of the panel, which has ``width`` entries
+        rank_of, place = panel.agg(F.map_from_entries(F.collect_list(F.struct("gene_index", "panel_rank")))).scalar(), None
+    find = (lambda g: F.get(F.col("_rank_of"), place(g))) if place else (lambda g: F.try_element_at(F.col("_rank_of"), g))
     table = cells.withColumn("_rank_of", rank_of).withColumn("library", entry_library())
     ranked = F.transform("entries", lambda e: F.struct(
-        F.get(F.col("_rank_of"), slot(e.getField("gene"))).alias("rank"), e.getField("count").alias("count")))
+        find(e.getField("gene")).alias("rank"), e.getField("count").alias("count")))
     hits = F.filter(ranked, lambda e: e.getField("rank").isNotNull())
     table = settled(table.withColumn("_hits", hits).drop("_rank_of"), "library", "_hits")
     one = lambda r: F.aggregate(
         F.filter("_hits", lambda e: e.getField("rank") == r), F.lit(0.0), lambda s, e: s + e.getField("count"))
     values = F.transform(F.sequence(F.lit(0), F.lit(width - 1)),
                          lambda r: F.log1p(F.lit(SCALE) * one(r) / F.col("library")))
-    return settled(table.where("library > 0").withColumn(name, values).drop("_hits"), name)
+    return settled(positive_library(table).withColumn(name, values).drop("_hits"), name)
 
 
 def to_long(cells: DataFrame) -> DataFrame:
@@ -171,6 +181,31 @@ def to_long(cells: DataFrame) -> DataFrame:
         "cell_id", F.col("e.gene").alias("gene_index"), F.col("e.count").alias("count"))
 
 
+def positive_library(table: DataFrame) -> DataFrame:
+    """``table`` with the check that every ``library`` is positive and finite: such a cell has no normalised values, so the job fails.
+
+    ``library_faults`` names those cells beforehand, and ``sound_cells`` leaves them out on purpose.
+    """
+    name = F.concat(F.lit("library is not positive and finite"), *(
+        [F.lit(" for cell "), F.coalesce(F.col("cell_id").cast("string"), F.lit("NULL"))] if "cell_id" in table.columns else []))
+    sound = F.coalesce((F.col("library") > 0) & (F.col("library") < float("inf")), F.lit(False))
+    return table.where(F.assert_true(sound, name).isNull())
+
+
+def library_faults(cells: DataFrame) -> DataFrame:
+    """``cell_id, reason`` of the cells with mapped ``entries`` that can't be normalised."""
+    library = F.coalesce(entry_library(), F.lit(0.0))
+    reason = F.when(F.coalesce(F.size("entries"), F.lit(0)) <= 0, "no gene in the vocabulary").when(
+        F.isnan(library) | (library == float("inf")), "library is not finite").when(library <= 0, "library is not positive")
+    return cells.select("cell_id", reason.alias("reason")).where("reason is not null")
+
+
+def sound_cells(cells: DataFrame) -> DataFrame:
+    """The cells with mapped ``entries`` whose library is positive and finite."""
+    library = entry_library()
+    return cells.where(F.coalesce((library > 0) & (library < float("inf")), F.lit(False)))
+
+
 def collapse_duplicates(long: DataFrame) -> DataFrame:
     return long.groupBy("cell_id", "gene_index").agg(F.sum("count").alias("count"))
 
@@ -181,7 +216,7 @@ def library_size(long: DataFrame) -> DataFrame:
 
 def with_library(long: DataFrame) -> DataFrame:
     """Attach each cell's library as a join on its aggregate: a hot cell is summed map-side, never sorted whole."""
-    return long.join(library_size(long).where("library > 0"), "cell_id")
+    return long.join(positive_library(library_size(long)), "cell_id")
 
 
 def cp10k(count: Column, library: Column) -> Column:
@@ -199,8 +234,8 @@ def panel_target_long(long: DataFrame, width: int, name: str = "target") -> Data
     """
     sums = [F.coalesce(F.sum(F.when(F.col("gene_index") == r, F.col("count"))), F.lit(0.0)).alias(f"_p{r}")
             for r in range(width)]
-    table = long.groupBy("cell_id").agg(F.sum("count").alias("library"), *sums).where("library > 0")
-    return table.select("cell_id", "library", F.array(*[
+    table = long.groupBy("cell_id").agg(F.sum("count").alias("library"), *sums)
+    return positive_library(table).select("cell_id", "library", F.array(*[
         cp10k(F.col(f"_p{r}"), F.col("library")) for r in range(width)]).alias(name))
 
 

@@ -8,13 +8,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellset.operators.joins import parity
+from cellset.session import materialize
 
 
 def infer_cells(cells: DataFrame, fn: Callable, batch: int = 64, key: str = "cell_id", signed: bool = False) -> DataFrame:
     """Apply ``fn(indices, values, offsets) -> array[n, d]`` to ragged cells in batches of at most ``batch``.
 
     ``cells`` has ``key`` and ``entries``. The batch is handed over in compressed-row form. A vector that is not finite
-    fails the job, and so does a batch without negative (or positive) values when ``signed`` is asked for.
+    fails the job. With ``signed`` the result is written, and refused if the whole of it lacks negative or positive values.
     """
     kind = cells.schema[key].dataType.simpleString()
     rows = cells.select(key, F.transform("entries", lambda e: e.getField("gene")).alias("genes"),
@@ -33,14 +34,19 @@ def infer_cells(cells: DataFrame, fn: Callable, batch: int = 64, key: str = "cel
                                         counts.flatten().to_numpy(zero_copy_only=False), offsets), dtype=np.float64)
                 if vectors.shape[0] != part.num_rows or not np.isfinite(vectors).all():
                     raise ValueError("inference returned a wrong number of rows or values that are not finite")
-                if signed and not ((vectors < 0).any() and (vectors > 0).any()):
-                    raise ValueError("inference returned values of one sign only")
                 width = vectors.shape[1]
                 flat = pa.array(vectors.ravel())
                 ends = pa.array(np.arange(0, vectors.size + 1, width, dtype=np.int32))
                 yield pa.RecordBatch.from_arrays([part.column(key), pa.ListArray.from_arrays(ends, flat)], [key, "vector"])
 
-    return rows.mapInArrow(run, f"`{key}` {kind}, vector array<double>")
+    out = rows.mapInArrow(run, f"`{key}` {kind}, vector array<double>")
+    if not signed:
+        return out
+    table = materialize(out)
+    ends = table.agg(F.min(F.array_min("vector")).alias("low"), F.max(F.array_max("vector")).alias("high")).first()
+    if ends.low is not None and not ends.low < 0 < ends.high:
+        raise ValueError("inference returned values of one sign only")
+    return table
 
 
 def _sets(sets: DataFrame, keys: list[str]) -> DataFrame:

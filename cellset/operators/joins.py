@@ -34,11 +34,10 @@ def attach_controls(conditions: DataFrame, pools: DataFrame, agree: list[str]) -
 
 
 def unique_side(df: DataFrame, keys: list[str]) -> DataFrame:
-    """``df`` with the check that ``keys`` are unique; a repeated key fails the job when it is read."""
-    rest = [c for c in df.columns if c not in keys]
-    packed = df.groupBy(*keys).agg(F.count("*").alias("_n"), F.first(F.struct(*rest)).alias("_row"))
-    single = F.assert_true(F.col("_n") == 1, F.lit(f"join key {keys} is not unique")).isNull()
-    return packed.where(single).select(*keys, "_row.*")
+    """``df`` itself, after the check that ``keys`` are unique; only the keys are read for it, and a repeated one raises at once."""
+    if not df.groupBy(*keys).agg(F.count("*").alias("_n")).where("_n > 1").isEmpty():
+        raise ValueError(f"join key {keys} is not unique")
+    return df
 
 
 def join_validated(left: DataFrame, right: DataFrame, on: list[str], how: str = "left",

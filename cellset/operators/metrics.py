@@ -273,7 +273,8 @@ def select_candidate(rows: DataFrame, names: list[str], truth: str) -> DataFrame
     """Winner of two prediction columns.
 
     Higher mean Pearson over rows where it is defined for all; equal values go to lower MAE. If any candidate is
-    constant where the truth varies, lower MAE over all rows decides.
+    constant where the truth varies, lower MAE over all rows decides. Without any row where Pearson is defined for all there is
+    nothing to decide by, and the job fails.
     """
     a, b = names
     t = F.col(truth)
@@ -289,7 +290,9 @@ def select_candidate(rows: DataFrame, names: list[str], truth: str) -> DataFrame
     fallback = (F.col(f"undefined_{a}") > 0) | (F.col(f"undefined_{b}") > 0)
     by_pearson = F.when(F.col(f"pearson_{a}") == F.col(f"pearson_{b}"), lower_mae).when(
         F.col(f"pearson_{a}") > F.col(f"pearson_{b}"), a).otherwise(b)
-    return stats.withColumns({"fallback": fallback, "selected": F.when(fallback, lower_mae).otherwise(by_pearson)})
+    decided = fallback | (F.col(f"pearson_{a}").isNotNull() & F.col(f"pearson_{b}").isNotNull())
+    known = F.assert_true(decided, F.lit("no row has a defined Pearson for both candidates")).isNull()
+    return stats.where(known).withColumns({"fallback": fallback, "selected": F.when(fallback, lower_mae).otherwise(by_pearson)})
 
 
 def majority_winner(metrics: DataFrame, tolerance: float = 1e-12) -> DataFrame:

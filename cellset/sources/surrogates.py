@@ -208,7 +208,7 @@ from fx_genes where gene_index < 20""",
     "fx_counts": """
 select e.cell_id, g.gene_index, e.expr as count from fx_entries e join fx_genes g on e.token_id=g.token_id""",
     "fx_lib": """
-select cell_id, sum(count) as library from fx_counts group by cell_id having sum(count) > 0""",
+select cell_id, sum(count) as library from fx_counts group by cell_id""",
     "fx_conditions": """
 select cell_line_id, drug, dose_um, plate, concat(cell_line_id,'|',drug) as edge_id,
  concat(cell_line_id,'|',plate) as control_pool_id,

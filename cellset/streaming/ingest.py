@@ -178,7 +178,7 @@ def incremental_gene_stats(spark: SparkSession, source: str, schema: T.StructTyp
         once = clean.collapse_duplicates(df)
         v = clean.cp10k(F.col("count"), F.col("library"))
         genes = clean.with_library(once).groupBy("gene_index").agg(F.sum(v).alias("s"), F.sum(v * v).alias("ss"))
-        counted = clean.library_size(once).where("library > 0").agg(
+        counted = clean.positive_library(clean.library_size(once)).agg(
             F.lit(-1).cast("long").alias("gene_index"), F.count("*").cast("double").alias("s"), F.lit(0.0).alias("ss"))
         return genes.unionByName(counted)
 

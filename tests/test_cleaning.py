@@ -79,3 +79,30 @@ def test_one_pass_panel_equals_ragged_panel(spark, small):
     assert ragged.keys() == long.keys()
     for key, target in ragged.items():
         assert long[key] == pytest.approx(target)
+
+
+def test_cells_without_library_are_named_and_refused(spark):
+    kind = "cell_id long, entries array<struct<gene:bigint,count:double>>"
+    rows = [(1, [(0, 2.0), (1, 1.0)]), (2, [(0, 0.0)]), (3, []), (4, [(0, float("nan"))]), (None, [(0, 0.0)])]
+    table = spark.createDataFrame(rows, kind)
+    panel = spark.createDataFrame([(0, 0), (1, 1)], "gene_index long, panel_rank long")
+    assert sorted(((r.cell_id or 0), r.reason) for r in clean.library_faults(table).collect()) == [
+        (0, "library is not positive"), (2, "library is not positive"), (3, "no gene in the vocabulary"), (4, "library is not finite")]
+    sound = clean.sound_cells(table)
+    assert [r.cell_id for r in clean.panel_target(sound, panel, 2).collect()] == [1]
+    for bad in (2, 3, 4):
+        with pytest.raises(Exception, match=f"not positive and finite for cell {bad}"):
+            clean.panel_target(table.where(f"cell_id = {bad}"), panel, 2).collect()
+
+
+def test_wide_vocabularies_keep_rows_apart(spark, monkeypatch):
+    """Cells that repeat an id keep their own entries, and a panel of wide gene indexes is found too."""
+    rows = spark.createDataFrame([(1, [5, 9], [1.0, 2.0]), (1, [9], [4.0]), (None, [7], [1.0])], "cell_id long, genes array<long>, expressions array<float>")
+    vocab = spark.createDataFrame([(5, 10**12), (9, 2 * 10**12)], "token_id long, gene_index long")
+    monkeypatch.setattr(clean, "LOOKUP_LIMIT", 3)
+    mapped = clean.map_tokens(rows, vocab)
+    assert sorted((tuple(r.genes), [tuple(e) for e in r.entries]) for r in mapped.collect()) == [
+        ((5, 9), [(10**12, 1.0), (2 * 10**12, 2.0)]), ((7,), []), ((9,), [(2 * 10**12, 4.0)])]
+    panel = spark.createDataFrame([(2 * 10**12, 0)], "gene_index long, panel_rank long")
+    out = clean.panel_target(mapped.where("size(entries) > 0"), panel, 1).collect()
+    assert sorted(round(r.target[0], 6) for r in out) == sorted(round(__import__("math").log1p(x), 6) for x in (10_000 * 2 / 3, 10_000.0))

@@ -174,3 +174,52 @@ def test_means_and_deltas_at_any_width(spark):
     assert some.n == 40 and np.allclose(some["mean"], control)
     pair = spark.createDataFrame([(x[0].tolist(), x[1].tolist())], "a array<double>, b array<double>").select(pearson(F.col("a"), F.col("b")).alias("r")).first()
     assert np.isclose(pair.r, np.corrcoef(x[0], x[1])[0, 1])
+
+
+def drawn(spark, rows):
+    return spark.createDataFrame(rows, "pair_id string, epoch int, side string, cell_index long")
+
+
+def test_drawn_plan_takes_own_control_and_refuses_faults(spark):
+    from cellset.plans import evaluation as E
+    rows = [(p, e, side, base + more + e * 10 + i) for p, base in (("p", 0), ("q", 100)) for e in (0, 1)
+            for side, more in (("control", 0), ("treated", 1000)) for i in (2, 0, 1)]
+    vectors = spark.range(3000).selectExpr("id as cell_index", "array(cast(id as double), 1.0D) as v")
+    names = spark.createDataFrame([("p", "e1"), ("q", "e2")], "pair_id string, edge_id string")
+    plan = lambda sets, v=vectors, c=names: E.drawn_plan(sets, v, c, 3, "v", 2, ["edge_id"])
+    got = plan(drawn(spark, rows)).orderBy("row_index").collect()
+    assert [(r.row_index, r.repeat_epoch, r.pair_id, r.edge_id) for r in got] == [
+        (0, 0, "p", "e1"), (1, 0, "q", "e2"), (2, 1, "p", "e1"), (3, 1, "q", "e2")]
+    assert got[3].control == [110, 111, 112] and got[3].treated == [1110, 1111, 1112] and got[3].true_delta == [1000.0, 0.0]
+    for sets, v, c, what in [
+            (rows[:-1], vectors, names, "treated set without 3 members"), ([*rows[1:], rows[1]], vectors, names, "without 3 members"),
+            ([r for r in rows if r[2] == "treated"], vectors, names, "control set without"), (rows, vectors.where("cell_index <> 111"), names, "finite vector"),
+            (rows, vectors, names.where("pair_id = 'p'"), "unknown condition")]:
+        with pytest.raises(Exception, match=what):
+            plan(drawn(spark, sets), v, c).collect()
+
+
+def test_candidates_without_defined_pearson_fail(spark):
+    rows = spark.createDataFrame([([1.0, 1.0], [1.0, 2.0], [2.0, 1.0])], "t array<double>, a array<double>, b array<double>")
+    with pytest.raises(Exception, match="no row has a defined Pearson"):
+        M.select_candidate(rows, ["a", "b"], "t").collect()
+
+
+def test_ambiguous_replicates_fail(spark):
+    from cellset.operators import aggregates as A
+    kinds = "condition_id string, edge_id string, cell_line_id string, drug string, dose_um double, plate string, repeat_epoch int, energy double"
+    rows = [(f"c{i}", "e", "l", "d", 5.0, p, 0, float(i)) for i, p in enumerate(["plate6", "plate14", "plate2"])]
+    level = A.hierarchical_mean(spark.createDataFrame(rows, kinds), "energy")
+    assert {(r.replicate_id, r.energy) for r in level["replicate"].collect()} == {("plate6|plate14", 0.5), ("c2", 2.0)}
+    with pytest.raises(Exception, match="ambiguous replicate of e"):
+        A.hierarchical_mean(spark.createDataFrame([*rows, ("c9", "e", "l", "d", 5.0, "plate6", 0, 1.0)], kinds), "energy")["edge"].collect()
+
+
+def test_signs_are_judged_over_the_whole_table(spark):
+    from cellset.operators import infer
+    import numpy as np
+    cells = spark.range(6).selectExpr("id as cell_id", "array(named_struct('gene', id, 'count', if(id < 3, -1.0D, 1.0D))) as entries").repartition(6)
+    each = lambda genes, counts, offsets: np.asarray(counts)[:, None]
+    assert infer.infer_cells(cells, each, batch=1, signed=True).count() == 6
+    with pytest.raises(ValueError, match="one sign"):
+        infer.infer_cells(cells.where("cell_id < 3"), each, batch=1, signed=True)
