@@ -127,13 +127,14 @@ def signature(values: np.ndarray, m: int = M) -> np.ndarray:
     return mixed_bits(key + np.arange(2 * m, dtype=np.uint64))
 
 
-def text_digest(text_col: str) -> Column:
-    return F.md5(byte_text(text_col))
+def text_hashes(text_col: str) -> list[Column]:
+    """128 bits that tell texts apart, as two numbers."""
+    return [F.xxhash64(byte_text(text_col)).alias("h1"), F.xxhash64(F.lit(1), byte_text(text_col)).alias("h2")]
 
 
 def signed(df: DataFrame, id_col: str, text_col: str, m: int) -> DataFrame:
-    """``id, n_shingles, s1, s2, keys, digest``: set size, a 128-bit digest of the set, its half keys (NULL for an empty set) and
-    an MD5 of the text."""
+    """``id, n_shingles, s1, s2, keys, h1, h2``: set size, a 128-bit digest of the set, its half keys (NULL for an empty set) and
+    hashes of the text."""
     def run(iterator):
         for batch in iterator:
             n, s1, s2, keys = [], [], [], []
@@ -148,11 +149,12 @@ def signed(df: DataFrame, id_col: str, text_col: str, m: int) -> DataFrame:
                 keys.append(signature(values, m).view(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()),
-                 pa.array(keys, pa.list_(pa.int64())), batch.column(2)], ["id", "n_shingles", "s1", "s2", "keys", "digest"])
+                 pa.array(keys, pa.list_(pa.int64())), batch.column(2), batch.column(3)],
+                ["id", "n_shingles", "s1", "s2", "keys", "h1", "h2"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(F.col(id_col).alias("id"), byte_text(text_col).alias("text"), text_digest(text_col).alias("digest")).mapInArrow(
-        run, f"id {kind}, n_shingles long, s1 long, s2 long, keys array<long>, digest string")
+    return df.select(F.col(id_col).alias("id"), byte_text(text_col).alias("text"), *text_hashes(text_col)).mapInArrow(
+        run, f"id {kind}, n_shingles long, s1 long, s2 long, keys array<long>, h1 long, h2 long")
 
 
 def table_rows(classes: DataFrame, m: int) -> DataFrame:
@@ -336,7 +338,7 @@ def linked_components(members: DataFrame, texts: DataFrame, percent: int, most:
 
 def marked_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT,
                        most: int = CLUSTER) -> DataFrame:
-    """``id, n_shingles, component_id, kept``, one row per row of ``df``, with the MD5 ``digest`` of its text and the number
+    """``id, n_shingles, component_id, kept``, one row per row of ``df``, with hashes ``h1, h2`` of its text and the number
     ``component`` of its component (NULL for a text without words).
 
     Documents are linked when their sets of distinct five-word shingles (A-Z lower-cased) have a similarity of ``percent``
@@ -360,7 +362,7 @@ def marked_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     named = grouped.join(least, "component")
     placed = rows.drop("keys").join(named.select("s1", "s2", "component", "component_id"), ["s1", "s2"], "left").withColumn(
         "component_id", F.when(F.col("n_shingles") == 0, F.col("id")).otherwise(F.col("component_id")))
-    return placed.select("id", "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"), "digest", "component")
+    return placed.select("id", "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"), "h1", "h2", "component")
 
 
 def class_texts(df: DataFrame, id_col: str, text_col: str, live: DataFrame) -> DataFrame:
@@ -377,7 +379,7 @@ def class_texts(df: DataFrame, id_col: str, text_col: str, live: DataFrame) -> D
 
 
 def without_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
-    """``df`` with one document of each component: the one with the smallest id (NULL last, ties by an MD5 of the text). Columns unchanged.
+    """``df`` with one document of each component: the one with the smallest id (NULL last, ties by a hash of the text). Columns unchanged.
 
     Texts without words are all kept. A document is its id and text together: other texts under the same id, or without an
     id, are placed by what they say, and rows equal in both stay or go together. An empty table gives an empty result.
@@ -385,10 +387,11 @@ def without_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "
     place = {c: f"c{i}" for i, c in enumerate(df.columns)}
     rows = df.toDF(*place.values())
     marked = materialize(marked_near_copies(rows, place[id_col], place[text_col], percent).where("n_shingles > 0").select(
-        "component", "id", "digest"))
-    first = marked.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "digest")).alias("first"))
+        "component", "id", "h1", "h2"))
+    first = marked.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h1", "h2")).alias("first"))
     gone = marked.distinct().join(first, "component").where(
-        ~(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("digest") == F.col("first.digest"))))
-    gone = materialize(gone.select("id", F.col("digest").alias("gone_digest")))
-    kept = rows.join(gone, rows[place[id_col]].eqNullSafe(gone["id"]) & (text_digest(place[text_col]) == gone["gone_digest"]), "left_anti")
+        ~(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("h1") == F.col("first.h1")) & (F.col("h2") == F.col("first.h2"))))
+    gone = materialize(gone.select("id", F.col("h1").alias("gone_1"), F.col("h2").alias("gone_2")))
+    h1, h2 = text_hashes(place[text_col])
+    kept = rows.join(gone, rows[place[id_col]].eqNullSafe(gone["id"]) & (h1 == gone["gone_1"]) & (h2 == gone["gone_2"]), "left_anti")
     return kept.select(*[F.col(v).alias(k) for k, v in place.items()])
