@@ -16,7 +16,8 @@ from cellset.session import materialize
 SCALE = 10_000.0   # fixed value: counts per ten thousand
 EPSILON = 1e-6     # fixed value: added to the standard deviation of the z-score
 MISSING = "N/A"    # fixed value: text of absent metadata
-LOOKUP_LIMIT = 4_000_000
+LOOKUP_LIMIT = 100_000     # slots of a lookup that is sent to the tasks
+SMALL_VOCABULARY = 4_096   # keys below this need no pass that finds those in use
 
 
 def drop_malformed(cells: DataFrame) -> DataFrame:
@@ -38,18 +39,33 @@ def metadata_defaults(cells: DataFrame, columns: list[str], default: str = MISSI
 
 
 def lookup_array(vocab: DataFrame, key: str, value: str) -> Column | None:
-    """Dense array ``key -> value`` as a scalar subquery, or None when the keys are too many or too wide for it."""
+    """Dense array ``key -> value`` of whole numbers as a literal, or None when the keys are too many or too wide for it.
+
+    A literal lies once in a task; an array column, or a subquery's result, would be copied into every row.
+    """
     head = vocab.agg(F.min(key).alias("lo"), F.max(key).alias("hi"), F.count("*").alias("n"),
                      F.count_distinct(key).alias("d")).first()
     if head.n != head.d:
         raise ValueError(f"vocabulary key {key} is not unique")
     if head.n == 0 or head.lo < 0 or head.hi >= LOOKUP_LIMIT:
         return None
-    slots = vocab.sparkSession.range(head.hi + 1).withColumnRenamed("id", "_slot")
-    filled = slots.join(vocab.select(F.col(key).alias("_key"), F.col(value).alias("_value")),
-                        F.col("_slot") == F.col("_key"), "left")
-    packed = F.array_sort(F.collect_list(F.struct("_slot", "_value")))
-    return filled.agg(F.transform(packed, lambda s: s.getField("_value")).alias("a")).scalar()
+    places = {r[0]: r[1] for r in vocab.select(key, value).collect()}
+    text = ",".join("" if (v := places.get(k)) is None else str(v) for k in range(head.hi + 1))
+    return F.split(F.lit(text), ",").try_cast("array<bigint>")
+
+
+def used_vocabulary(cells: DataFrame, vocab: DataFrame, key: str) -> DataFrame:
+    """The part of a vocabulary that the cells name, by one pass over them; a vocabulary within ``SMALL_VOCABULARY`` is left as it is.
+
+    So a lookup is as wide as the tokens in use, however large the vocabulary is.
+    """
+    head = vocab.agg(F.max(key).alias("hi"), F.count("*").alias("n"), F.count_distinct(key).alias("d")).first()
+    if head.n != head.d:
+        raise ValueError(f"vocabulary key {key} is not unique")
+    if head.n == 0 or head.hi < SMALL_VOCABULARY:
+        return vocab
+    used = cells.select(F.explode("genes").alias("_used")).distinct()
+    return materialize(vocab.join(used, F.col(key) == F.col("_used"), "left_semi"))
 
 
 def slot(key: Column) -> Column:
@@ -60,17 +76,17 @@ def slot(key: Column) -> Column:
 def map_tokens(cells: DataFrame, vocab: DataFrame, key: str = "token_id", value: str = "gene_index") -> DataFrame:
     """Replace tokens by vocabulary positions; adds ``entries array<struct<gene, count>>`` in list order.
 
-    By a dense array inside the scan's stage; a vocabulary too wide for that goes to ``map_tokens_joined``, with the same result.
+    By a dense array of the tokens in use inside the scan's stage; where these are too wide for that, ``map_tokens_joined`` gives the
+    same result.
     """
-    lookup = lookup_array(vocab, key, value)
+    used = used_vocabulary(cells, vocab.select(key, value), key)
+    lookup = lookup_array(used, key, value)
     if lookup is not None:
-        table = cells.withColumn("_lookup", lookup)
         pairs = F.zip_with("genes", "expressions", lambda g, e: F.struct(
-            F.get(F.col("_lookup"), slot(g)).alias("gene"),
-            e.cast("double").alias("count")))
+            F.get(lookup, slot(g)).alias("gene"), e.cast("double").alias("count")))
         kept = F.filter(pairs, lambda p: p.getField("gene").isNotNull())
-        return settled(table.withColumn("entries", kept).drop("_lookup"), "entries")
-    return map_tokens_joined(cells, vocab, key, value)
+        return settled(cells.withColumn("entries", kept), "entries")
+    return map_tokens_joined(cells, used, key, value)
 
 
 def map_tokens_joined(cells: DataFrame, vocab: DataFrame, key: str = "token_id", value: str = "gene_index") -> DataFrame:
@@ -162,8 +178,10 @@ def panel_target(cells: DataFrame, panel: DataFrame, width: int, name: str = "ta
     rank_of, place = lookup_array(panel, "gene_index", "panel_rank"), slot
     if rank_of is None:  # wide gene indexes: a map of the panel, which has ``width`` entries
         rank_of, place = panel.agg(F.map_from_entries(F.collect_list(F.struct("gene_index", "panel_rank")))).scalar(), None
-    find = (lambda g: F.get(F.col("_rank_of"), place(g))) if place else (lambda g: F.try_element_at(F.col("_rank_of"), g))
-    table = cells.withColumn("_rank_of", rank_of).withColumn("library", entry_library())
+    table = cells.withColumn("library", entry_library())
+    if place is None:
+        table = table.withColumn("_rank_of", rank_of)
+    find = (lambda g: F.get(rank_of, place(g))) if place else (lambda g: F.try_element_at(F.col("_rank_of"), g))
     ranked = F.transform("entries", lambda e: F.struct(
         find(e.getField("gene")).alias("rank"), e.getField("count").alias("count")))
     hits = F.filter(ranked, lambda e: e.getField("rank").isNotNull())

@@ -106,3 +106,15 @@ def test_wide_vocabularies_keep_rows_apart(spark, monkeypatch):
     panel = spark.createDataFrame([(2 * 10**12, 0)], "gene_index long, panel_rank long")
     out = clean.panel_target(mapped.where("size(entries) > 0"), panel, 1).collect()
     assert sorted(round(r.target[0], 6) for r in out) == sorted(round(__import__("math").log1p(x), 6) for x in (10_000 * 2 / 3, 10_000.0))
+
+
+def test_lookup_is_as_wide_as_the_tokens_in_use(spark):
+    wide = spark.range(200_000).selectExpr("id * 30 as token_id", "id as gene_index")
+    rows = cells(spark, ([30, 7, 90, 30], [1.0, 2.0, 3.0, 4.0]), ([5], [1.0]))
+    assert {r.token_id for r in clean.used_vocabulary(rows, wide, "token_id").collect()} == {30, 90}
+    mapped = clean.map_tokens(rows, wide)
+    plan = mapped._jdf.queryExecution().optimizedPlan().toString()
+    assert "subquery" not in plan and "Join" not in plan
+    assert [[(e.gene, e["count"]) for e in r.entries] for r in mapped.orderBy("cell_id").collect()] == [[(1, 1.0), (3, 3.0), (1, 4.0)], []]
+    with pytest.raises(ValueError, match="not unique"):
+        clean.map_tokens(rows, wide.unionAll(wide.where("token_id = 600")))
