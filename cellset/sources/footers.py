@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cellset.session import materialize
+
 FOOTER = "shard string, row_group int, first_row long, rows int, group_bytes long"
 #: Bytes that a task holds at once of a file that it hashes.
 PIECE = 8 << 20
@@ -56,15 +58,18 @@ def with_row_groups(located: DataFrame, footers: DataFrame) -> DataFrame:
 
     A row of an unknown file, or beyond the rows of its file, fails the job.
     """
-    groups = footers.where("rows > 0").groupBy("shard").agg(  # as long as a file has row groups
-        F.sort_array(F.collect_list(F.struct("first_row", "row_group", "rows"))).alias("_groups"))
-    joined = located.join(groups, "shard", "left")
-    found = joined.withColumn("_group", F.try_element_at(F.filter("_groups", lambda g: g["first_row"] <= F.col("row")), F.lit(-1)))
-    inside = F.coalesce((F.col("row") >= 0) & (F.col("row") < F.col("_group.first_row") + F.col("_group.rows")), F.lit(False))
-    message = F.concat(F.lit("no such row: "), F.col("shard"), F.lit(" "), F.coalesce(F.col("row").cast("string"), F.lit("NULL")))
-    return found.where(F.assert_true(inside, message).isNull()).withColumns({
-        "row_group": F.col("_group.row_group"), "row_in_group": (F.col("row") - F.col("_group.first_row")).cast("int"),
-    }).drop("_groups", "_group")
+    groups = materialize(footers.where("rows > 0").select(
+        F.col("shard").alias("_shard"), "first_row", F.col("row_group").alias("_group"), "rows"))
+    # rows and groups meet on stretches of the mean length of a group, so that a row meets few groups however many its file has
+    length = int(groups.agg(F.avg("rows").alias("m")).first().m or 1)
+    unit = lambda c: F.floor(c / F.lit(length))
+    pieces = groups.withColumn("_unit", F.explode(F.sequence(unit(F.col("first_row")), unit(F.col("first_row") + F.col("rows") - 1))))
+    inside = (F.col("row") >= F.col("first_row")) & (F.col("row") < F.col("first_row") + F.col("rows"))
+    found = located.join(pieces, (F.col("shard") == F.col("_shard")) & (unit(F.col("row")) == F.col("_unit")) & inside, "left")
+    message = F.concat(F.lit("no such row: "), F.coalesce("shard", F.lit("NULL")), F.lit(" "), F.coalesce(F.col("row").cast("string"), F.lit("NULL")))
+    return found.where(F.assert_true(F.col("_group").isNotNull(), message).isNull()).withColumns({
+        "row_group": F.col("_group"), "row_in_group": (F.col("row") - F.col("first_row")).cast("int"),
+    }).drop("_shard", "_group", "_unit", "first_row", "rows")
 
 
 def row_group_runs(batch) -> Iterator[tuple[str, int, int, int]]:

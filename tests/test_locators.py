@@ -140,3 +140,19 @@ def test_faulty_merges_are_refused_by_name(spark, spoilt, match):
     parts, plan = spoilt(*merge_input(spark))
     with pytest.raises(ValueError, match=match):
         sinks.merge_parts(parts, plan, "v", ["label"])
+
+
+def test_rows_meet_the_groups_of_their_stretch_only(spark):
+    """No list of all groups of a file travels with its rows; groups of uneven length, one of them far longer than the mean."""
+    groups = [("f", 0, 0, 1), ("f", 1, 1, 1), ("f", 2, 2, 900), ("f", 3, 902, 0), ("f", 4, 902, 3), ("g", 0, 0, 5)]
+    table = spark.createDataFrame([(*g, 0) for g in groups], footers.FOOTER)
+    rows = spark.createDataFrame([("f", i) for i in range(905)] + [("g", i) for i in range(5)], "shard string, row long")
+    placed = footers.with_row_groups(rows, table)
+    assert placed.columns == ["shard", "row", "row_group", "row_in_group"]
+    assert "collect_list" not in placed._jdf.queryExecution().optimizedPlan().toString()
+    found = {(r.shard, r.row): (r.row_group, r.row_in_group) for r in placed.collect()}
+    first = {(s, g): (at, n) for s, g, at, n in groups}
+    assert len(found) == 910 and all(first[s, g][0] + i == row and i < first[s, g][1] for (s, row), (g, i) in found.items())
+    for lost in (("f", 905), ("g", 5), ("h", 0), ("f", -1), ("f", None)):
+        with pytest.raises(Exception, match="no such row"):
+            footers.with_row_groups(spark.createDataFrame([lost], "shard string, row long"), table).collect()
