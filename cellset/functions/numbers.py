@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,13 +23,19 @@ def rounded(x: Column, digits: int = 6) -> Column:
 
 
 def compact(x: Column) -> Column:
-    """Ten significant digits without trailing zeros, the number form of written reports."""
-    text = F.format_string("%.9e", x)
-    exponent = F.substring_index(text, "e", -1).cast("int")
-    trim = lambda c: F.regexp_replace(c, r"\.?0+$", "")
-    fixed = trim(F.when(exponent.between(-4, 9), text.cast("decimal(38,18)")).cast("string"))
-    scientific = F.concat(trim(F.substring_index(text, "e", 1)), F.lit("e"), F.substring_index(text, "e", -1))
-    return F.when(x.isNull() | F.isnan(x), "NaN").when(x == 0, "0").otherwise(F.coalesce(fixed, scientific))
+    """Ten significant digits without trailing zeros, the number form of written reports, rounded as C's ``%.10g`` does.
+
+    A double is rounded by its exact value, and an exact half to the even digit. Java's formats round the shortest text of the
+    number, halves up, so they differ where this text has eleven digits and ends in 5.
+    """
+    def text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for values in batches:
+            yield values.map(lambda v: f"{v:.10g}").astype(object)
+
+    text.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    value = x.cast("double")
+    written = F.pandas_udf(text, "string")(value)
+    return F.when(value.isNull() | F.isnan(value), "NaN").when(value == 0, "0").otherwise(written)
 
 
 def correlation(x: Column, y: Column) -> Column:
