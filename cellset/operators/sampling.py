@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellset.functions.hashing import SEED, seeded_hash
@@ -12,6 +13,8 @@ from cellset.operators.aggregates import membership_rows, membership_text
 from cellset.operators.joins import expand_ranges
 from cellset.operators.scale import dense_index, top_per_group
 from cellset.operators.setops import set_relation
+from cellset.operators.tiles import join_groups
+from cellset.session import materialize
 
 
 def split_files(files: DataFrame, path: str, rows_per_file: int, val_rows: int, workers: int) -> DataFrame:
@@ -62,9 +65,7 @@ def sample_sets(sides: DataFrame, n: int, epochs: list[int], mode: str = "hash",
     enough = F.assert_true(size >= n, F.concat(F.lit("pool smaller than the set: "), "pair_id", F.lit(" "), "side")).isNull()
     rows = sides.where(enough).withColumn("epoch", F.explode(F.array(*[F.lit(e) for e in epochs])))
     if mode == "hash":
-        cells = expand_ranges(rows, ["pair_id", "side", "epoch"]).withColumn("_hash", draw_priority(seed))
-        return top_per_group(cells, ["pair_id", "side", "epoch"], [F.col("_hash"), F.col("cell_index")], n,
-                             F.col("cell_index")).drop("_hash")
+        return hash_draw(rows, n, seed)
     if mode != "pcg64":
         raise ValueError(mode)
     payload = F.concat(F.lit(f"{namespace}|seed={seed}|epoch="), F.col("epoch").cast("string"), F.lit("|pair_id="),
@@ -75,6 +76,34 @@ def sample_sets(sides: DataFrame, n: int, epochs: list[int], mode: str = "hash",
     return table.select("pair_id", "side", "epoch", F.explode("_members").alias("cell_index"))
 
 
+def hash_draw(rows: DataFrame, n: int, seed: int = SEED, margin: float = 6.0) -> DataFrame:
+    """The ``n`` cells of smallest hash of each range, exactly.
+
+    Hashes are uniform, so those below a share of about ``n / size`` hold the answer; only they are sorted. A range that has fewer
+    than ``n`` of them (with a probability below 1e-9) is drawn again with all its cells.
+    """
+    keys = ["pair_id", "side", "epoch"]
+    bits = 48
+    size = F.sum(F.col("stop") - F.col("start")).over(Window.partitionBy(*keys))  # one row per range
+    share = F.least(F.lit(1.0), F.lit(n + margin * math.sqrt(n) + margin * margin) / size)
+    limit = F.lower(F.lpad(F.hex(F.floor(share * F.lit(float(1 << bits)))), bits // 4 + 1, "0"))
+
+    def draw(ranges: DataFrame, cut: bool) -> DataFrame:
+        bounded = ranges.withColumn("_limit", limit) if cut else ranges
+        cells = expand_ranges(bounded, [*keys, *(["_limit"] if cut else [])]).withColumn("_hash", draw_priority(seed))
+        if cut:
+            cells = cells.where(F.concat(F.lit("0"), "_hash") < F.col("_limit")).drop("_limit")
+        return top_per_group(cells, keys, [F.col("_hash"), F.col("cell_index")], n, F.col("cell_index")).drop("_hash")
+
+    ranges = materialize(rows)
+    first = materialize(draw(ranges, True))
+    whole = first.groupBy(*keys).agg(F.count("*").alias("_drawn")).where(F.col("_drawn") == n)
+    short = join_groups(ranges, whole, keys, "left_anti")
+    if short.isEmpty():
+        return first
+    return join_groups(first, short.select(*keys).distinct(), keys, "left_anti").unionByName(draw(short, False))
+
+
 def _pcg64_draw(n: int):
     """Arrow function (seed bytes, start, stop) -> n distinct positions in ascending order."""
     def draw(batches: Iterator) -> Iterator:

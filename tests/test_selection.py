@@ -107,3 +107,22 @@ def test_pcg64_members_are_those_of_numpy(spark):
 def test_pool_smaller_than_the_set_fails(spark):
     with pytest.raises(Exception, match="pool smaller"):
         H.sample_sets(sides(spark, ("a", "treated", 0, 3)), 4, [0]).collect()
+
+
+def test_hash_draw_sorts_a_share_of_a_long_range(spark, monkeypatch):
+    ranges = sides(spark, ("p|1", "treated", 7, 40_007), ("p|1", "control", 5, 25))
+    sorted_rows, cut = [], H.top_per_group
+    monkeypatch.setattr(H, "top_per_group", lambda df, *rest: sorted_rows.append(df.count()) or cut(df, *rest))
+
+    def drawn():
+        got = H.sample_sets(ranges, 16, [0]).collect()
+        return sorted((r.pair_id, r.side, r.epoch, r.cell_index) for r in got)
+
+    def smallest(side, start, stop):
+        return [("p|1", side, 0, i) for i in sorted(sorted(range(start, stop), key=lambda i: digest("set", 0, "p|1", side, i))[:16])]
+
+    want = smallest("control", 5, 25) + smallest("treated", 7, 40_007)
+    assert drawn() == want and sorted_rows[0] < 400
+    # a share far too small: ranges that come short are drawn with all their cells
+    monkeypatch.setattr(H.math, "sqrt", lambda n: -n / 6 - 5.9)
+    assert drawn() == want and sorted_rows[-1] >= 40_000
