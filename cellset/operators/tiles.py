@@ -14,6 +14,14 @@ from pyspark.sql import functions as F
 from cellset.session import materialize
 
 BLOCK = 256
+#: A group is cut into this many blocks, so that each vector is sent so often however large the group is ...
+GRID = 8
+#: ... but no block holds more vectors than this on average.
+MAX_BLOCK = 16_384
+#: Distances that a task holds at once.
+HELD = 1 << 20
+#: Bytes of an Arrow batch: a row with two large blocks comes alone.
+BATCH_BYTES = 8 << 20
 BINS = 1024
 
 
@@ -25,11 +33,15 @@ def join_groups(left: DataFrame, right: DataFrame, keys: list[str], how: str = "
 
 
 def blocks(df: DataFrame, keys: list[str], row_id: str, vector: str, block: int = BLOCK) -> DataFrame:
-    """``keys, block, blocks, ids, flat``: members packed by a hash of their id."""
-    sizes = df.groupBy(*keys).agg(F.ceil(F.count("*") / block).alias("blocks"))
+    """``keys, block, blocks, ids, flat``: members packed by a hash of their id.
+
+    Blocks of about ``block`` members, ``GRID`` of them at most, unless these would hold more than ``MAX_BLOCK``: meeting each other,
+    blocks are sent as often as a group has blocks. Vectors keep their type; tasks compute in doubles.
+    """
+    n = F.count("*")
+    sizes = df.groupBy(*keys).agg(F.greatest(F.least(F.ceil(n / block), F.lit(GRID)), F.ceil(n / MAX_BLOCK)).alias("blocks"))
     placed = join_groups(df, sizes, keys).withColumn("block", F.pmod(F.xxhash64(row_id), F.col("blocks")))
-    wide = F.transform(vector, lambda x: x.cast("double"))
-    packed = placed.select(*keys, "block", "blocks", F.struct(F.col(row_id).alias("i"), wide.alias("v")).alias("m"))
+    packed = placed.select(*keys, "block", "blocks", F.struct(F.col(row_id).alias("i"), F.col(vector).alias("v")).alias("m"))
     return packed.groupBy(*keys, "block", "blocks").agg(F.collect_list("m").alias("m")).select(
         *keys, "block", "blocks", F.transform("m", lambda m: m.getField("i")).alias("ids"),
         F.flatten(F.transform("m", lambda m: m.getField("v"))).alias("flat"))
@@ -64,6 +76,24 @@ def pair_distances(x, y, metric: str):
     return np.sqrt(np.maximum(squares, 0.0))
 
 
+def strips(a, b, step: int | None = None):
+    """``(from, to)`` of the rows of ``a`` that meet all of ``b`` at once."""
+    step = step or max(1, HELD // max(len(b), 1))
+    for at in range(0, len(a), step):
+        yield at, min(at + step, len(a))
+
+
+def column_reader(batch, k: int):
+    """Reads list columns of one row of a batch; numbers of vectors come out as doubles."""
+    import numpy as np
+
+    def get(name):
+        values = batch.column(name)[k].values.to_numpy(zero_copy_only=False)
+        return values.astype(np.float64, copy=False) if name.endswith("flat") else values
+
+    return get
+
+
 def bin_counts(d, lo: float, hi: float, bins: int):
     """``(bins, counts, smallest, largest)`` of the values of ``d`` inside ``[lo, hi]``, for the bins that hold any."""
     import numpy as np
@@ -95,23 +125,22 @@ def _reduce_pairs(pairs: DataFrame, keys: list[str], dim: int, metric: str, mode
         for batch in batches:
             take, out = [], []
             for k in range(batch.num_rows):
-                get = lambda name, k=k: batch.column(name)[k].values.to_numpy(zero_copy_only=False)
-                d = pair_distances(get("a_flat").reshape(-1, dim), get("b_flat").reshape(-1, dim), metric)
-                if triangle:
-                    a_ids, b_ids = get("a_ids"), get("b_ids")
-                    same = batch.column("a_block")[k].as_py() == batch.column("b_block")[k].as_py()
-                    d = d[a_ids[:, None] < b_ids[None, :]] if same else d.ravel()
-                else:
-                    d = d.ravel()
-                if mode == "moments":
-                    take.append(k)
-                    out.append((d.size, float(d.sum()), float((d * d).sum()), float(d.min()) if d.size else None,
-                                float(d.max()) if d.size else None))
-                    continue
-                for target, lo, hi in zip(*(batch.column(c)[k].as_py() for c in bounds), strict=True):
-                    for x in zip(*bin_counts(d, lo, hi, BINS), strict=True):
+                get = column_reader(batch, k)
+                a, b = get("a_flat").reshape(-1, dim), get("b_flat").reshape(-1, dim)
+                a_ids, b_ids = get("a_ids"), get("b_ids")
+                same = batch.column("a_block")[k].as_py() == batch.column("b_block")[k].as_py()
+                for lo_row, hi_row in strips(a, b):
+                    d = pair_distances(a[lo_row:hi_row], b, metric)
+                    d = d[a_ids[lo_row:hi_row, None] < b_ids[None, :]] if triangle and same else d.ravel()
+                    if mode == "moments":
                         take.append(k)
-                        out.append((target, *x))
+                        out.append((d.size, float(d.sum()), float((d * d).sum()), float(d.min()) if d.size else None,
+                                    float(d.max()) if d.size else None))
+                        continue
+                    for target, lo, hi in zip(*(batch.column(c)[k].as_py() for c in bounds), strict=True):
+                        for x in zip(*bin_counts(d, lo, hi, BINS), strict=True):
+                            take.append(k)
+                            out.append((target, *x))
             rows = pa.array(take, pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [*[batch.column(name).take(rows) for name in keys],
@@ -119,6 +148,7 @@ def _reduce_pairs(pairs: DataFrame, keys: list[str], dim: int, metric: str, mode
 
     extra = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
     full = f"{extra}, {schema}" if extra else schema
+    pairs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return pairs.select(*keys, "a_block", "b_block", "a_ids", "a_flat", "b_ids", "b_flat", *bounds).mapInArrow(run, full)
 
 
@@ -174,19 +204,21 @@ def pair_values(pairs: DataFrame, keys: list[str], split: int, dim: int) -> Data
 
         for batch in batches:
             for k in range(batch.num_rows):
-                get = lambda name, k=k: batch.column(name)[k].values.to_numpy(zero_copy_only=False)
+                get = column_reader(batch, k)
                 a, b = get("a_flat").reshape(-1, dim), get("b_flat").reshape(-1, dim)
                 a_ids, b_ids = get("a_ids"), get("b_ids")
                 same = batch.column("a_block")[k].as_py() == batch.column("b_block")[k].as_py()
-                found = []
-                for i in range(len(a)):  # differences, not products: equal distances stay equal
-                    squares = (a[i] - (b[b_ids > a_ids[i]] if same else b)) ** 2
-                    found.append(np.sqrt(np.stack([squares[:, :split].sum(1), squares[:, split:].sum(1)], axis=1)))
-                values, counts = np.unique(np.concatenate(found), axis=0, return_counts=True)
-                take = pa.array(np.full(len(counts), k))
-                yield pa.RecordBatch.from_arrays(
-                    [*[batch.column(c).take(take) for c in keys], pa.array(values[:, 0].copy()), pa.array(values[:, 1].copy()), pa.array(counts)],
-                    [*keys, "x", "y", "c"])
+                for lo_row, hi_row in strips(a, b):
+                    found = []
+                    for i in range(lo_row, hi_row):  # differences, not products: equal distances stay equal
+                        squares = (a[i] - (b[b_ids > a_ids[i]] if same else b)) ** 2
+                        found.append(np.sqrt(np.stack([squares[:, :split].sum(1), squares[:, split:].sum(1)], axis=1)))
+                    values, counts = np.unique(np.concatenate(found), axis=0, return_counts=True)
+                    take = pa.array(np.full(len(counts), k))
+                    yield pa.RecordBatch.from_arrays(
+                        [*[batch.column(c).take(take) for c in keys], pa.array(values[:, 0].copy()), pa.array(values[:, 1].copy()), pa.array(counts)],
+                        [*keys, "x", "y", "c"])
 
     extra = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in fields)
+    pairs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return pairs.select(*keys, "a_block", "b_block", "a_ids", "a_flat", "b_ids", "b_flat").mapInArrow(run, f"{extra}x double, y double, c long")

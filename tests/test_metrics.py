@@ -223,3 +223,12 @@ def test_signs_are_judged_over_the_whole_table(spark):
     assert infer.infer_cells(cells, each, batch=1, signed=True).count() == 6
     with pytest.raises(ValueError, match="one sign"):
         infer.infer_cells(cells.where("cell_id < 3"), each, batch=1, signed=True)
+
+
+def test_vectors_are_sent_as_often_however_large_their_group_is(spark):
+    rows = spark.range(6000).selectExpr("id % 2 as g", "id", "array(cast(id as float), cast(1 as float)) as v").where("g = 0 or id < 600")
+    packed = tiles.blocks(rows, ["g"], "id", "v")
+    assert {r.g: r.blocks for r in packed.select("g", "blocks").distinct().collect()} == {0: tiles.GRID, 1: 2}
+    assert packed.schema["flat"].dataType.simpleString() == "array<float>"
+    both = tiles.pair_moments(tiles.block_pairs(packed, packed, ["g"], triangle=True), ["g"], 2, triangle=True)
+    assert {r.g: (r.pairs, r.min, r.max) for r in both.collect()} == {0: (3000 * 2999 // 2, 2.0, 5998.0), 1: (300 * 299 // 2, 2.0, 598.0)}
