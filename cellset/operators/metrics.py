@@ -69,38 +69,20 @@ def pairwise_structure(vecs: DataFrame, keys: list[str], row_id: str, vector: st
 def structure_correlation(sets: DataFrame, keys: list[str], row_id: str, first: str, second: str) -> DataFrame:
     """Pearson and Spearman between two pairwise-distance triangles of the same sets, of any size.
 
-    Block pairs return counts of value pairs; average ranks come from running totals over ranges of distinct values, so no
-    set is gathered. NULL where a triangle is constant or has less than two pairs; repeated ids form no pair with themselves.
+    Exact average ranks are counted in parts of a triangle, against distances that are computed anew for each part: only sums leave a
+    task, no pair is written or sent. NULL where a triangle is constant or has less than two pairs; repeated ids form no pair with
+    themselves.
     """
     sizes = sets.select(F.size(first).alias("a"), F.size(second).alias("b")).first()
     groups = sets.select(*keys).distinct()
     if sizes is None:
         return groups.selectExpr(*keys, "0L as pairs", "cast(null as double) as pearson", "cast(null as double) as spearman")
-    both = sets.select(*keys, row_id, F.concat(F.col(first).cast("array<double>"), F.col(second).cast("array<double>")).alias("_v"))
+    both = sets.where(F.col(row_id).isNotNull()).select(*keys, row_id, F.concat(first, second).alias("_v"))
     packed = materialize(tiles.blocks(both, keys, row_id, "_v"))
-    pairs = tiles.block_pairs(packed, packed, keys, triangle=True)
-    values = materialize(tiles.pair_values(pairs, keys, sizes.a, sizes.a + sizes.b).groupBy(*keys, "x", "y").agg(F.sum("c").alias("c")))
-
-    def ranks(column: str, name: str) -> DataFrame:
-        counts = values.groupBy(*keys, column).agg(F.sum("c").alias("_c"))
-        upto = running_total(counts, keys, [column], F.col("_c"), "_upto")
-        return upto.select(*keys, column, (F.col("_upto") - (F.col("_c") - 1) / 2).alias(name))
-
-    ranked = values
-    for column, name in (("x", "_rx"), ("y", "_ry")):
-        ranked = tiles.join_groups(ranked, ranks(column, name), [*keys, column])
-    ranked = materialize(ranked)
-    total = lambda c: F.sum(F.col("c") * F.col(c)) / F.sum("c")
-    means = ranked.groupBy(*keys).agg(F.sum("c").alias("pairs"), *[total(c).alias(f"_m{c}") for c in ("x", "y", "_rx", "_ry")])
-    met = tiles.join_groups(ranked, means, keys)
-    off = lambda c: F.col(c) - F.col(f"_m{c}")
-    product = lambda a, b: F.sum(F.col("c") * off(a) * off(b))
-
-    def correlation(a: str, b: str):
-        flat = (F.min(a) == F.max(a)) | (F.min(b) == F.max(b)) | (F.max("pairs") < 2)
-        return F.when(~flat, product(a, b) / F.sqrt(product(a, a) * product(b, b)))
-
-    found = met.groupBy(*keys).agg(F.max("pairs").alias("pairs"), correlation("x", "y").alias("pearson"), correlation("_rx", "_ry").alias("spearman"))
+    parts = materialize(tiles.triangle_parts(packed, keys, sizes.a, sizes.a + sizes.b))
+    flat = (F.min("x_min") == F.max("x_max")) | (F.min("y_min") == F.max("y_max")) | (F.sum("n") < 2)
+    cosine = lambda p: F.when(~flat, F.try_divide(F.sum(f"{p}xy"), F.sqrt(F.sum(f"{p}xx") * F.sum(f"{p}yy"))))
+    found = parts.groupBy(*keys).agg(F.sum("n").alias("pairs"), cosine("").alias("pearson"), cosine("rank_").alias("spearman"))
     return tiles.join_groups(groups, found, keys, "left").select(*keys, F.coalesce("pairs", F.lit(0).cast("long")).alias("pairs"), "pearson", "spearman")
 
 

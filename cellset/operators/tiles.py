@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cellset.operators.scale import dense_index
 from cellset.session import materialize
 
 BLOCK = 256
@@ -20,6 +21,11 @@ GRID = 8
 MAX_BLOCK = 16_384
 #: Distances that a task holds at once.
 HELD = 1 << 20
+#: Pairs of a triangle whose ranks a task finds at once, and pairs that it counts them against at once; about 60 bytes a pair.
+HELD_PAIRS = 1 << 23
+STRIP_PAIRS = 1 << 23
+#: Distances that are computed at once, so that they stay in a core's cache.
+TILE = 1 << 14
 #: Bytes of an Arrow batch: a row with two large blocks comes alone.
 BATCH_BYTES = 8 << 20
 BINS = 1024
@@ -191,34 +197,154 @@ def pair_median(pairs: DataFrame, moments: DataFrame, keys: list[str], dim: int,
     return done.groupBy(*keys).agg((F.sum("lo") / 2).alias("median"))
 
 
-def pair_values(pairs: DataFrame, keys: list[str], split: int, dim: int) -> DataFrame:
-    """``keys, x, y, c``: Euclidean distances in the first ``split`` and in the other components of each pair of the triangle.
+def triangle_strips(halves, ids, first: int, last: int, size: int):
+    """Distances in both halves of the pairs ``first`` to ``last`` of a triangle (row by row), ``size`` at a time, in buffers that are used again.
 
-    Equal value pairs of a block pair leave it as one row with their number.
+    ``halves`` are two matrices with a column per vector. Squares are added component by component, so equal vectors have equal
+    distances wherever they stand. Vectors of one id form no pair.
     """
-    fields = pairs.select(*keys).schema
+    import numpy as np
+
+    n = len(ids)
+    starts = np.arange(n, dtype=np.int64)
+    starts = starts * (2 * n - starts - 1) // 2
+    repeated = len(np.unique(ids)) < n
+    at, end = int(np.searchsorted(starts, first, "right")) - 1, int(np.searchsorted(starts, last, "left"))
+    buffers, filled = [np.empty(size) for _ in halves], 0
+    while at < end:
+        to = min(end, at + max(1, TILE // max(n - at - 1, 1)))
+        rows, columns = np.arange(at, to)[:, None], np.arange(at + 1, n)[None, :]
+        keep = columns > rows
+        if starts[at] < first or starts[to - 1] + n - to > last:
+            place = starts[at:to, None] + columns - rows - 1
+            keep &= (place >= first) & (place < last)
+        if repeated:
+            keep &= ids[rows] != ids[columns]
+        found = []
+        for half in halves:
+            total, square = np.zeros(keep.shape), np.empty(keep.shape)
+            for component in half:
+                np.subtract(component[at:to, None], component[None, at + 1:], out=square)
+                np.multiply(square, square, out=square)
+                np.add(total, square, out=total)
+            found.append(np.sqrt(total[keep]))
+        used = 0
+        while used < len(found[0]):
+            took = min(size - filled, len(found[0]) - used)
+            for buffer, values in zip(buffers, found, strict=True):
+                buffer[filled:filled + took] = values[used:used + took]
+            used, filled = used + took, filled + took
+            if filled == size:
+                yield buffers
+                filled = 0
+        at = to
+    if filled:
+        yield [buffer[:filled] for buffer in buffers]
+
+
+def add_ranks(ranks, held, strip) -> None:
+    """Adds to ``ranks`` how many values of ``strip`` are below each of ``held`` and how many aren't above it; both are sorted."""
+    import numpy as np
+
+    for at in range(0, len(held), HELD):
+        part = held[at:at + HELD]
+        below = np.searchsorted(strip, part, "left")
+        upto = below.copy()
+        tied = ~(strip[np.minimum(below, len(strip) - 1)] > part)  # NaN is equal to NaN
+        upto[tied] = np.searchsorted(strip, part[tied], "right")
+        ranks[at:at + HELD] += below + upto
+
+
+def triangle_sums(halves, ids, first: int, last: int, size: int) -> list | None:
+    """Of the pairs ``first`` to ``last``: number, ends of both distances, and sums of squares and products of distances and of twice the
+    average ranks, all taken from their means over the whole triangle. Each rank is counted against all distances, computed anew by strips."""
+    import numpy as np
+
+    held = next(triangle_strips(halves, ids, first, last, last - first), None) if last > first else None
+    if held is None:
+        return None
+    x, y = held
+    del held
+    order = np.argsort(x)
+    x, y = x[order], y[order]
+    order = np.argsort(y)
+    y = y[order]
+    partner = np.empty(len(order), np.int32)  # place in y of the pair of each x
+    partner[order] = np.arange(len(order), dtype=np.int32)
+    del order
+    # how many of all distances are below, and not above: twice the average rank, less one
+    ranks, totals, pairs = [np.zeros(len(x), np.int64) for _ in halves], [0.0, 0.0], 0
+    whole = len(ids) * (len(ids) - 1) // 2
+    for both in triangle_strips(halves, ids, 0, whole, min(size, whole)):
+        pairs += len(both[0])
+        for k, strip in enumerate(both):
+            totals[k] += float(strip.sum())
+            strip.sort()
+            add_ranks(ranks[k], (x, y)[k], strip)
+
+    del both, strip
+
+    def sums(a, a_mean, b, b_mean):
+        out = np.zeros(3)
+        for at in range(0, len(a), HELD):
+            p, q = a[at:at + HELD] - a_mean, b[partner[at:at + HELD]] - b_mean
+            out += (p * p).sum(), (q * q).sum(), (p * q).sum()
+        return out.tolist()
+
+    return [len(x), *[float(v) for v in (x[0], x[-1], y[0], y[-1])], *sums(x, totals[0] / pairs, y, totals[1] / pairs),
+            *sums(ranks[0], float(pairs), ranks[1], float(pairs))]
+
+
+#: Columns of ``triangle_parts`` behind the keys.
+SUMS = ["n", "x_min", "x_max", "y_min", "y_max", "xx", "yy", "xy", "rank_xx", "rank_yy", "rank_xy"]
+
+
+def triangle_parts(packed: DataFrame, keys: list[str], split: int, dim: int) -> DataFrame:
+    """``triangle_sums`` of the pair distances of each group, in the first ``split`` and in the other components, as ``keys`` and ``SUMS``.
+
+    A part is ``HELD_PAIRS`` pairs of a group, which its task holds with the group's vectors. No pair leaves a task: a group's vectors are
+    sent once per part, and its distances are computed once per part.
+    """
+    n = F.sum(F.size("ids"))
+    sizes = packed.groupBy(*keys).agg((n * (n - 1) / 2).cast("long").alias("_pairs")).where("_pairs > 0")
+    parts = sizes.withColumn("_parts", F.ceil(F.col("_pairs") / HELD_PAIRS)).withColumn(
+        "_share", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1)))
+    numbered = dense_index(parts, [*keys, "_share"], "_unit")
+    seen = numbered.agg(F.count("*").alias("units"), F.sum("_pairs").alias("work")).first()
+    # small groups share a task; a part of a large one is a task
+    tasks = max(1, min(seen.units, max(packed.sparkSession.sparkContext.defaultParallelism, (seen.work or 0) // HELD_PAIRS)))
+    dealt = join_groups(numbered, packed, keys).repartitionById(tasks, F.pmod("_unit", F.lit(tasks)).cast("int"))
+    fields = packed.select(*keys).schema
+    held, strip = HELD_PAIRS, STRIP_PAIRS
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
+        def finished(unit):
+            share, head, members = unit
+            ids = np.concatenate([m[0] for m in members])
+            v = np.ascontiguousarray(np.concatenate([m[1].reshape(-1, dim) for m in members]).T)
+            whole = len(ids) * (len(ids) - 1) // 2
+            found = triangle_sums([v[:split], v[split:]], ids, share * held, min((share + 1) * held, whole), strip)
+            if found:
+                yield pa.RecordBatch.from_arrays([*head, pa.array(found[:1], pa.int64()), *[pa.array([f], pa.float64()) for f in found[1:]]],
+                                                 [*keys, *SUMS])
+
+        number, unit = None, None
         for batch in batches:
             for k in range(batch.num_rows):
+                if (at := batch.column("_unit")[k].as_py()) != number:
+                    if unit:
+                        yield from finished(unit)
+                    number, unit = at, (batch.column("_share")[k].as_py(), [batch.column(c).slice(k, 1) for c in keys], [])
                 get = column_reader(batch, k)
-                a, b = get("a_flat").reshape(-1, dim), get("b_flat").reshape(-1, dim)
-                a_ids, b_ids = get("a_ids"), get("b_ids")
-                same = batch.column("a_block")[k].as_py() == batch.column("b_block")[k].as_py()
-                for lo_row, hi_row in strips(a, b):
-                    found = []
-                    for i in range(lo_row, hi_row):  # differences, not products: equal distances stay equal
-                        squares = (a[i] - (b[b_ids > a_ids[i]] if same else b)) ** 2
-                        found.append(np.sqrt(np.stack([squares[:, :split].sum(1), squares[:, split:].sum(1)], axis=1)))
-                    values, counts = np.unique(np.concatenate(found), axis=0, return_counts=True)
-                    take = pa.array(np.full(len(counts), k))
-                    yield pa.RecordBatch.from_arrays(
-                        [*[batch.column(c).take(take) for c in keys], pa.array(values[:, 0].copy()), pa.array(values[:, 1].copy()), pa.array(counts)],
-                        [*keys, "x", "y", "c"])
+                unit[2].append((get("ids"), get("flat")))
+        if unit:
+            yield from finished(unit)
 
     extra = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in fields)
-    pairs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    return pairs.select(*keys, "a_block", "b_block", "a_ids", "a_flat", "b_ids", "b_flat").mapInArrow(run, f"{extra}x double, y double, c long")
+    packed.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    # all parts of a group read its blocks in one order, so that they count its pairs alike
+    ordered = dealt.sortWithinPartitions("_unit", "block").select(*keys, "_unit", "_share", "ids", "flat")
+    return ordered.mapInArrow(run, f"{extra}n long, " + ", ".join(f"{c} double" for c in SUMS[1:]))

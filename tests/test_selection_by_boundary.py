@@ -6,6 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from cellset import session
 from cellset.operators import aggregates as A
 from cellset.operators import metrics as M
 from cellset.operators import scale, tiles
@@ -123,3 +124,25 @@ def test_structure_correlation_of_large_and_flat_sets(spark):
     assert (got["flat"].pairs, got["flat"].pearson, got["flat"].spearman) == (10, None, None)
     assert (got["one"].pairs, got["one"].pearson) == (0, None)
     assert M.structure_correlation(table.limit(0), ["g"], "i", "a", "b").count() == 0
+
+
+def test_structure_correlation_writes_no_pairs(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(tiles, "HELD_PAIRS", 10_000)  # eight parts, counted against strips that end inside rows
+    monkeypatch.setattr(tiles, "STRIP_PAIRS", 7_001)
+    rng = np.random.default_rng(5)
+    v = np.concatenate([rng.normal(size=(300, 5)), rng.integers(0, 3, (100, 5))])
+    v[50:90] = v[10]  # copies: many pairs at distance 0, and equal distances from each other vector
+    rows = [("x", i, r[:3].tolist(), r[3:].tolist()) for i, r in enumerate(v)]
+    rows += [("x", None, [9.0] * 3, [9.0] * 2), ("twice", 7, [1.0] * 3, [2.0] * 2), ("twice", 7, [4.0] * 3, [1.0] * 2)]
+    table = spark.createDataFrame(rows, "g string, i long, a array<float>, b array<double>")
+    monkeypatch.setattr(session, "durable_dir", lambda spark: str(tmp_path))
+    got = {r.g: r for r in M.structure_correlation(table, ["g"], "i", "a", "b").collect()}
+    written = [spark.read.parquet(str(p)).count() for p in tmp_path.iterdir()]
+    assert written and max(written) <= len(rows)
+    import pandas as pd
+    a = v[:, :3].astype(np.float32).astype(float)
+    i, j = np.triu_indices(len(v), 1)
+    x, y = [pd.Series(np.sqrt(sum((w[i, k] - w[j, k]) ** 2 for k in range(w.shape[1])))) for w in (a, v[:, 3:])]
+    assert got["x"].pairs == len(x) == 79_800 and got["x"].pearson == pytest.approx(np.corrcoef(x, y)[0, 1], abs=1e-12)
+    assert got["x"].spearman == pytest.approx(np.corrcoef(x.rank(), y.rank())[0, 1], abs=1e-12)
+    assert (got["twice"].pairs, got["twice"].pearson, got["twice"].spearman) == (0, None, None)
