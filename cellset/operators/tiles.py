@@ -21,11 +21,11 @@ GRID = 8
 MAX_BLOCK = 16_384
 #: Distances that a task holds at once.
 HELD = 1 << 20
-#: Pairs of a triangle whose ranks a task finds at once, and pairs that it counts them against at once; about 60 bytes a pair.
+#: Pairs of a triangle whose ranks a task finds at once, and pairs that it counts them against at once; 36 and 8 bytes a pair.
 HELD_PAIRS = 1 << 23
-STRIP_PAIRS = 1 << 23
+STRIP_PAIRS = 1 << 24
 #: Distances that are computed at once, so that they stay in a core's cache.
-TILE = 1 << 14
+TILE = 1 << 15
 #: Bytes of an Arrow batch: a row with two large blocks comes alone.
 BATCH_BYTES = 8 << 20
 BINS = 1024
@@ -197,11 +197,11 @@ def pair_median(pairs: DataFrame, moments: DataFrame, keys: list[str], dim: int,
     return done.groupBy(*keys).agg((F.sum("lo") / 2).alias("median"))
 
 
-def triangle_strips(halves, ids, first: int, last: int, size: int):
-    """Distances in both halves of the pairs ``first`` to ``last`` of a triangle (row by row), ``size`` at a time, in buffers that are used again.
+def triangle_strips(vectors, ids, first: int, last: int, size: int):
+    """Distances of the pairs ``first`` to ``last`` of a triangle (row by row), ``size`` at a time, in a buffer that is used again.
 
-    ``halves`` are two matrices with a column per vector. Squares are added component by component, so equal vectors have equal
-    distances wherever they stand. Vectors of one id form no pair.
+    ``vectors`` has a column per vector. Squares are added component by component, so equal vectors have equal distances wherever they
+    stand. Vectors of one id form no pair.
     """
     import numpy as np
 
@@ -210,36 +210,34 @@ def triangle_strips(halves, ids, first: int, last: int, size: int):
     starts = starts * (2 * n - starts - 1) // 2
     repeated = len(np.unique(ids)) < n
     at, end = int(np.searchsorted(starts, first, "right")) - 1, int(np.searchsorted(starts, last, "left"))
-    buffers, filled = [np.empty(size) for _ in halves], 0
+    work = np.empty((2, max(TILE, n)))
+    buffer, filled = np.empty(size), 0
     while at < end:
-        to = min(end, at + max(1, TILE // max(n - at - 1, 1)))
-        rows, columns = np.arange(at, to)[:, None], np.arange(at + 1, n)[None, :]
-        keep = columns > rows
-        if starts[at] < first or starts[to - 1] + n - to > last:
-            place = starts[at:to, None] + columns - rows - 1
-            keep &= (place >= first) & (place < last)
-        if repeated:
-            keep &= ids[rows] != ids[columns]
-        found = []
-        for half in halves:
-            total, square = np.zeros(keep.shape), np.empty(keep.shape)
-            for component in half:
-                np.subtract(component[at:to, None], component[None, at + 1:], out=square)
-                np.multiply(square, square, out=square)
-                np.add(total, square, out=total)
-            found.append(np.sqrt(total[keep]))
-        used = 0
-        while used < len(found[0]):
-            took = min(size - filled, len(found[0]) - used)
-            for buffer, values in zip(buffers, found, strict=True):
-                buffer[filled:filled + took] = values[used:used + took]
-            used, filled = used + took, filled + took
-            if filled == size:
-                yield buffers
-                filled = 0
+        wide = n - at - 1
+        to = min(end, at + max(1, TILE // max(wide, 1)))
+        total, square = [w[:(to - at) * wide].reshape(to - at, wide) for w in work]
+        total.fill(0)
+        for component in vectors:
+            np.subtract(component[at:to, None], component[None, at + 1:], out=square)
+            np.multiply(square, square, out=square)
+            np.add(total, square, out=total)
+        np.sqrt(total, out=total)
+        for row in range(at, to):
+            begin = int(starts[row])
+            lo, hi = max(first - begin, 0), min(last - begin, n - row - 1)
+            found = total[row - at, row - at + lo:row - at + hi]
+            if repeated:
+                found = found[ids[row + 1 + lo:row + 1 + hi] != ids[row]]
+            while len(found):
+                took = min(size - filled, len(found))
+                buffer[filled:filled + took] = found[:took]
+                found, filled = found[took:], filled + took
+                if filled == size:
+                    yield buffer
+                    filled = 0
         at = to
     if filled:
-        yield [buffer[:filled] for buffer in buffers]
+        yield buffer[:filled]
 
 
 def add_ranks(ranks, held, strip) -> None:
@@ -248,10 +246,12 @@ def add_ranks(ranks, held, strip) -> None:
 
     for at in range(0, len(held), HELD):
         part = held[at:at + HELD]
+        equal = lambda place: (place < len(strip)) & ~(strip.take(place, mode="clip") > part)  # noqa: E731  NaN is equal to NaN
         below = np.searchsorted(strip, part, "left")
-        upto = below.copy()
-        tied = ~(strip[np.minimum(below, len(strip) - 1)] > part)  # NaN is equal to NaN
-        upto[tied] = np.searchsorted(strip, part[tied], "right")
+        upto = below + equal(below)
+        more = (upto > below) & equal(upto)
+        if more.any():
+            upto[more] = np.searchsorted(strip, part[more], "right")
         ranks[at:at + HELD] += below + upto
 
 
@@ -260,29 +260,27 @@ def triangle_sums(halves, ids, first: int, last: int, size: int) -> list | None:
     average ranks, all taken from their means over the whole triangle. Each rank is counted against all distances, computed anew by strips."""
     import numpy as np
 
-    held = next(triangle_strips(halves, ids, first, last, last - first), None) if last > first else None
-    if held is None:
+    x, y = [next(triangle_strips(half, ids, first, last, max(last - first, 1)), None) for half in halves]
+    if x is None:
         return None
-    x, y = held
-    del held
     order = np.argsort(x)
-    x, y = x[order], y[order]
-    order = np.argsort(y)
+    x.sort()
     y = y[order]
+    order = np.argsort(y)
+    y.sort()
     partner = np.empty(len(order), np.int32)  # place in y of the pair of each x
     partner[order] = np.arange(len(order), dtype=np.int32)
     del order
-    # how many of all distances are below, and not above: twice the average rank, less one
-    ranks, totals, pairs = [np.zeros(len(x), np.int64) for _ in halves], [0.0, 0.0], 0
     whole = len(ids) * (len(ids) - 1) // 2
-    for both in triangle_strips(halves, ids, 0, whole, min(size, whole)):
-        pairs += len(both[0])
-        for k, strip in enumerate(both):
-            totals[k] += float(strip.sum())
-            strip.sort()
-            add_ranks(ranks[k], (x, y)[k], strip)
 
-    del both, strip
+    def counted(half, held):
+        """Mean of all distances, and for each of ``held`` how many are below, and not above: twice its average rank, less one."""
+        ranks, total, pairs = np.zeros(len(held), np.int64), 0.0, 0
+        for strip in triangle_strips(half, ids, 0, whole, min(size, whole)):
+            total, pairs = total + float(strip.sum()), pairs + len(strip)
+            strip.sort()
+            add_ranks(ranks, held, strip)
+        return total / pairs, ranks, float(pairs)
 
     def sums(a, a_mean, b, b_mean):
         out = np.zeros(3)
@@ -291,8 +289,9 @@ def triangle_sums(halves, ids, first: int, last: int, size: int) -> list | None:
             out += (p * p).sum(), (q * q).sum(), (p * q).sum()
         return out.tolist()
 
-    return [len(x), *[float(v) for v in (x[0], x[-1], y[0], y[-1])], *sums(x, totals[0] / pairs, y, totals[1] / pairs),
-            *sums(ranks[0], float(pairs), ranks[1], float(pairs))]
+    x_mean, x_ranks, pairs = counted(halves[0], x)
+    y_mean, y_ranks, _ = counted(halves[1], y)
+    return [len(x), *[float(v) for v in (x[0], x[-1], y[0], y[-1])], *sums(x, x_mean, y, y_mean), *sums(x_ranks, pairs, y_ranks, pairs)]
 
 
 #: Columns of ``triangle_parts`` behind the keys.
