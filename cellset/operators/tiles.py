@@ -24,6 +24,8 @@ HELD = 1 << 20
 #: Pairs of a triangle whose ranks a task finds at once, and pairs that it counts them against at once; 36 and 8 bytes a pair.
 HELD_PAIRS = 1 << 23
 STRIP_PAIRS = 1 << 24
+#: A triangle's vectors are sent to this many tasks at most, however many parts it has.
+SENT = 32
 #: Distances that are computed at once, so that they stay in a core's cache.
 TILE = 1 << 15
 #: Bytes of an Arrow batch: a row with two large blocks comes alone.
@@ -301,16 +303,17 @@ SUMS = ["n", "x_min", "x_max", "y_min", "y_max", "xx", "yy", "xy", "rank_xx", "r
 def triangle_parts(packed: DataFrame, keys: list[str], split: int, dim: int) -> DataFrame:
     """``triangle_sums`` of the pair distances of each group, in the first ``split`` and in the other components, as ``keys`` and ``SUMS``.
 
-    A part is ``HELD_PAIRS`` pairs of a group, which its task holds with the group's vectors. No pair leaves a task: a group's vectors are
-    sent once per part, and its distances are computed once per part.
+    A part is ``HELD_PAIRS`` pairs of a group, which its task holds with the group's vectors. No pair leaves a task: a group's distances are
+    computed once per part. Beyond ``SENT`` parts a task takes several of them, one after the other, so a group's vectors are sent so often
+    at most.
     """
     n = F.sum(F.size("ids"))
     sizes = packed.groupBy(*keys).agg((n * (n - 1) / 2).cast("long").alias("_pairs")).where("_pairs > 0")
-    parts = sizes.withColumn("_parts", F.ceil(F.col("_pairs") / HELD_PAIRS)).withColumn(
-        "_share", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1)))
-    numbered = dense_index(parts, [*keys, "_share"], "_unit")
+    shares = sizes.withColumn("_shares", F.least(F.ceil(F.col("_pairs") / HELD_PAIRS), F.lit(SENT))).withColumn(
+        "_share", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_shares") - 1)))
+    numbered = dense_index(shares, [*keys, "_share"], "_unit")
     seen = numbered.agg(F.count("*").alias("units"), F.sum("_pairs").alias("work")).first()
-    # small groups share a task; a part of a large one is a task
+    # small groups share a task; a share of a large one is a task
     tasks = max(1, min(seen.units, max(packed.sparkSession.sparkContext.defaultParallelism, (seen.work or 0) // HELD_PAIRS)))
     dealt = join_groups(numbered, packed, keys).repartitionById(tasks, F.pmod("_unit", F.lit(tasks)).cast("int"))
     fields = packed.select(*keys).schema
@@ -321,14 +324,14 @@ def triangle_parts(packed: DataFrame, keys: list[str], split: int, dim: int) ->
         import pyarrow as pa
 
         def finished(unit):
-            share, head, members = unit
+            (share, shares), head, members = unit
             ids = np.concatenate([m[0] for m in members])
             v = np.ascontiguousarray(np.concatenate([m[1].reshape(-1, dim) for m in members]).T)
             whole = len(ids) * (len(ids) - 1) // 2
-            found = triangle_sums([v[:split], v[split:]], ids, share * held, min((share + 1) * held, whole), strip)
-            if found:
-                yield pa.RecordBatch.from_arrays([*head, pa.array(found[:1], pa.int64()), *[pa.array([f], pa.float64()) for f in found[1:]]],
-                                                 [*keys, *SUMS])
+            for first in range(share * held, whole, shares * held):
+                if found := triangle_sums([v[:split], v[split:]], ids, first, min(first + held, whole), strip):
+                    yield pa.RecordBatch.from_arrays([*head, pa.array(found[:1], pa.int64()), *[pa.array([f], pa.float64()) for f in found[1:]]],
+                                                     [*keys, *SUMS])
 
         number, unit = None, None
         for batch in batches:
@@ -336,7 +339,8 @@ def triangle_parts(packed: DataFrame, keys: list[str], split: int, dim: int) ->
                 if (at := batch.column("_unit")[k].as_py()) != number:
                     if unit:
                         yield from finished(unit)
-                    number, unit = at, (batch.column("_share")[k].as_py(), [batch.column(c).slice(k, 1) for c in keys], [])
+                    dealt_out = [batch.column(c)[k].as_py() for c in ("_share", "_shares")]
+                    number, unit = at, (dealt_out, [batch.column(c).slice(k, 1) for c in keys], [])
                 get = column_reader(batch, k)
                 unit[2].append((get("ids"), get("flat")))
         if unit:
@@ -344,6 +348,6 @@ def triangle_parts(packed: DataFrame, keys: list[str], split: int, dim: int) ->
 
     extra = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in fields)
     packed.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    # all parts of a group read its blocks in one order, so that they count its pairs alike
-    ordered = dealt.sortWithinPartitions("_unit", "block").select(*keys, "_unit", "_share", "ids", "flat")
+    # all shares of a group read its blocks in one order, so that they count its pairs alike
+    ordered = dealt.sortWithinPartitions("_unit", "block").select(*keys, "_unit", "_share", "_shares", "ids", "flat")
     return ordered.mapInArrow(run, f"{extra}n long, " + ", ".join(f"{c} double" for c in SUMS[1:]))

@@ -129,6 +129,7 @@ def test_structure_correlation_of_large_and_flat_sets(spark):
 def test_structure_correlation_writes_no_pairs(spark, monkeypatch, tmp_path):
     monkeypatch.setattr(tiles, "HELD_PAIRS", 10_000)  # eight parts, counted against strips that end inside rows
     monkeypatch.setattr(tiles, "STRIP_PAIRS", 7_001)
+    monkeypatch.setattr(tiles, "SENT", 3)  # tasks of three and of two parts
     rng = np.random.default_rng(5)
     v = np.concatenate([rng.normal(size=(300, 5)), rng.integers(0, 3, (100, 5))])
     v[50:90] = v[10]  # copies: many pairs at distance 0, and equal distances from each other vector
@@ -146,3 +147,11 @@ def test_structure_correlation_writes_no_pairs(spark, monkeypatch, tmp_path):
     assert got["x"].pairs == len(x) == 79_800 and got["x"].pearson == pytest.approx(np.corrcoef(x, y)[0, 1], abs=1e-12)
     assert got["x"].spearman == pytest.approx(np.corrcoef(x.rank(), y.rank())[0, 1], abs=1e-12)
     assert (got["twice"].pairs, got["twice"].pearson, got["twice"].spearman) == (0, None, None)
+
+
+def test_a_set_is_sent_to_few_tasks(spark, monkeypatch):
+    monkeypatch.setattr(tiles, "HELD_PAIRS", 100)
+    monkeypatch.setattr(tiles, "SENT", 3)
+    table = spark.createDataFrame([("a", i, [float(i % 7), float(i)]) for i in range(100)], "g string, i long, v array<double>")
+    parts = tiles.triangle_parts(tiles.blocks(table, ["g"], "i", "v"), ["g"], 1, 2).withColumn("task", F.spark_partition_id())
+    assert tuple(parts.agg(F.count("*"), F.sum("n"), F.count_distinct("task")).first()) == (50, 4950, 3)
